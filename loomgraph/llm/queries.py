@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import bpe, mixing, sharding
 
 QUERIES = {
     "op2_mixing": mixing.query,
     "op7_sharding": sharding.query,
+    "op10_bpe": bpe.query,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding
+from . import bpe, linefirst, media, mixing, sharding
 
 QUERIES = {
     "op2_mixing": mixing.query,
+    "op6_media": media.query,
     "op7_sharding": sharding.query,
+    "op9_line_rules": linefirst.query,
     "op10_bpe": bpe.query,
 }
 ORACLE_SQL = {

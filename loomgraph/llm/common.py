@@ -89,3 +89,31 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column, salt: str) -> DataFrame:
+    """doc_id, text and label of about `rows` labelled documents at most, chosen by a hash of the id.
+
+    learn: which documents may be learnt from. Both sides are filtered before they meet, so the join is as small as
+    the sample. Ids that labels holds more than once, or with null, count once or not at all.
+    """
+    labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    share = min(1.0, rows / max(1, labels.count()))
+    chosen = unit(F.col("doc_id"), salt) < share if share < 1 else F.lit(True)
+    few = labels.where(chosen).groupBy("doc_id").agg(F.max("label").alias("label"))
+    return docs.where(learn & chosen & F.col("doc_id").isNotNull()).select("doc_id", "text").join(few, "doc_id")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; the last weight is the intercept."""
+    x = np.c_[x, np.ones(len(x))]
+    w = np.zeros(x.shape[1])
+    penalty = ridge * len(x) * np.r_[np.ones(x.shape[1] - 1), 1e-6]
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(h, x.T @ (p - y) + penalty * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, linefirst, media, mixing, sharding
+from . import bpe, langid, linefirst, media, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_mixing": mixing.query,
+    "op4_quality": quality.query,
+    "op5_language": langid.query,
     "op6_media": media.query,
     "op7_sharding": sharding.query,
     "op9_line_rules": linefirst.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linefirst, media, mixing, quality, sharding, toxicity
+from . import bpe, langid, linefirst, media, mixing, neardup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language": langid.query,
     "op6_media": media.query,
     "op7_sharding": sharding.query,
+    "op8_near_duplicates": neardup.query,
     "op9_line_rules": linefirst.query,
     "op10_bpe": bpe.query,
 }

@@ -2,8 +2,8 @@
 
 Words and word beginnings get log-odds of toxic against clean documents with an informative Dirichlet prior (the
 pooled frequencies, PRIOR counts strong, LEAST_PRIOR for each unit at least); those that are in more toxic documents
-than chance explains, at a false discovery rate of FALSE_SHARE over all units, keep their log-odds, every other word
-costs DRIFT. A linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments of a document. In clean
+than chance explains, at a false discovery rate of FALSE_SHARE over all units, keep their log-odds if they are
+LEAST_ODDS or more, every other word costs DRIFT. A linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments of a document. In clean
 text the number of segments scoring S or more is about K n exp(-lambda S) for n words; lambda solves
 sum p exp(lambda s) = 1 over the clean word frequencies and K is counted on clean training documents. A segment is
 significant if that number is below E_VALUE. A document's evidence is the sum of lambda S - ln(K n) over its
@@ -38,11 +38,12 @@ LEAST_PRIOR = 0.5
 FALSE_SHARE = 0.1
 #: Toxic documents that a unit must be in.
 LEAST_DOCS = 3
+LEAST_ODDS = 1.5
 DRIFT = -0.08
 E_VALUE = 0.05
 POSITIVE = 0.7
 #: Word beginnings that are units besides whole words, marked with a star.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: Words whose score a worker remembers.
 CACHE = 500_000
 
@@ -188,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
     counts = cut(counts.withColumn("s", odds("a", na) - odds("b", nb)))
     tested = counts.count()
-    chosen = significant(counts.where((F.col("a") >= LEAST_DOCS) & (F.col("b") * 10 <= F.col("a"))).collect(), tested, na / (na + nb))
+    chosen = significant(counts.where((F.col("a") >= LEAST_DOCS) & (F.col("s") >= LEAST_ODDS)).collect(), tested, na / (na + nb))
     model = Model({r["unit"]: float(r["s"]) for r in chosen}, share=toxic_n / docs_n)
     # lambda over the clean word frequencies: drift words, and each unit as often as in clean documents (half a time at least)
     total = float(max(sizes["words"], 1))

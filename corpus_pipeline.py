@@ -64,7 +64,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("taken") % F.col("size"))
     got = got.withColumns({"whole": whole, "rest": rest})
     copies = got.where("whole > 0").withColumn("again", F.explode(F.expr("sequence(1, cast(whole as int))"))).select(*COLUMNS)
-    head = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*+){', rest, '}'), 0)")
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), 0)
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("rest").cast("int")), "")
     part = got.where("rest > 0").withColumn("text", head).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
     return copies.unionByName(part)
 

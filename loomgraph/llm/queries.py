@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linefirst, media, mixing, neardup, quality, sharding, toxicity
+from . import bpe, langid, licenses, linefirst, media, mixing, neardup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_mixing": mixing.query,
+    "op3_licenses": licenses.query,
     "op4_quality": quality.query,
     "op5_language": langid.query,
     "op6_media": media.query,

@@ -74,7 +74,12 @@ def typed_cost(edge_type: Column, confidence: Column) -> Column:
 
 
 def similarity_of_cost(cost: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - cost)), 3)
+    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - cost)), 3)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places, by way of 9 places, so that the order of a sum doesn't decide a tie."""
+    return F.round(F.round(x, 9), places)
 
 
 def wire_distance(distance: Column) -> Column:

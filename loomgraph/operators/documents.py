@@ -41,7 +41,7 @@ def chunk_groups(chunks: DataFrame, size: int, id_col: str = "doc_id") -> DataFr
 
 def calls_in_window(calls: DataFrame, seconds: int = 60, rpm: int = 15, key: str = "user_id", ts: str = "ts") -> DataFrame:
     """calls with n (calls of the key in the last `seconds`, itself included) and over (more than rpm; never for rpm <= 0)."""
-    at = F.unix_micros(ts)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     w = W.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
     n = F.count("*").over(w)
     return calls.withColumn("n", n).withColumn("over", (F.col("n") > rpm) & F.lit(rpm > 0))

@@ -63,11 +63,11 @@ def scores(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringPara
     cands = (candidates if candidates is not None else have).select("cand").distinct()
     x = cands.crossJoin(jds).join(agg, ["jd", "cand"], "left")
     x = x.fillna(0.0, ["direct", "bridge", "held", "bridged_demand"]).fillna(0, ["n_matched", "n_bridged", "n_floored"])
-    lost = F.col("total_demand") - F.col("held") - F.col("bridged_demand")
+    lost = F.greatest(F.col("total_demand") - F.col("held") - F.col("bridged_demand"), F.lit(0.0))
     x = x.withColumn("penalty", F.col("bridged_demand") * float(p.bridgeable_penalty) + lost * float(p.unreachable_penalty))
     total = F.when(F.col("total_demand") == 0, 0.0).otherwise((F.col("direct") + F.col("bridge") - F.col("penalty")) / F.col("total_demand"))
     missing = F.col("n_skills") - F.col("n_matched") - F.col("n_bridged")
-    return x.select("jd", "cand", F.round(total, 3).alias("total"), "direct", "bridge", "penalty", "total_demand", "n_matched", "n_bridged", missing.alias("n_missing"), "n_floored")
+    return x.select("jd", "cand", S.rounded(total, 3).alias("total"), "direct", "bridge", "penalty", "total_demand", "n_matched", "n_bridged", missing.alias("n_missing"), "n_floored")
 
 
 def rank(scored: DataFrame, top_k: int | None = None) -> DataFrame:
@@ -143,4 +143,4 @@ def sweep(wants: DataFrame, have: DataFrame, paths: DataFrame, configs: list[dic
     jds = _demand(wants, base).groupBy("jd").agg(F.sum("demand").alias("total_demand"))
     agg = agg.join(jds, "jd").fillna(0.0, ["gain", "met"])
     total = (F.col("gain") - F.col("up") * (F.col("total_demand") - F.col("met"))) / F.col("total_demand")
-    return agg.select("config", "jd", "cand", F.round(total, 3).alias("total"))
+    return agg.select("config", "jd", "cand", S.rounded(total, 3).alias("total"))

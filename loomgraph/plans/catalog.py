@@ -31,7 +31,8 @@ def query(sql: str | None = None):
 
 
 def r(c, n: int = 6):
-    return F.round(c, n)
+    """Rounded by way of 9 places, so that the order of a sum doesn't decide a tie."""
+    return S.rounded(F.col(c) if isinstance(c, str) else c, n)
 
 
 # Taxonomy: customers stand for occupations (soc), their orders' parts for skills with categories.
@@ -237,7 +238,7 @@ x AS (
   FROM have h FULL JOIN best b ON h.cand = b.cand AND h.skill = b.skill JOIN wants w ON w.skill = coalesce(h.skill, b.skill) CROSS JOIN grid),
 y AS (SELECT config, up, jd, cand, coalesce(sum(CASE WHEN matched THEN demand * (CASE WHEN ok AND own < 1 THEN greatest(own, least(bc, 1.0::DOUBLE)) ELSE own END) WHEN ok THEN demand * bc END), 0) AS gain, coalesce(sum(demand) FILTER (matched OR ok), 0) AS met FROM x GROUP BY 1, 2, 3, 4),
 t AS (SELECT jd, sum(demand) AS td FROM wants GROUP BY 1)
-SELECT config::BIGINT AS config, jd, count(*) AS n, round(avg(round((gain - up * (td - met)) / td, 3)), 6) AS mean_total, max(round((gain - up * (td - met)) / td, 3)) AS best FROM y JOIN t USING (jd) GROUP BY 1, 2""")
+SELECT config::BIGINT AS config, jd, count(*) AS n, {P.rounded(f"avg({P.rounded('(gain - up * (td - met)) / td', 3)})", 6)} AS mean_total, max({P.rounded('(gain - up * (td - met)) / td', 3)}) AS best FROM y JOIN t USING (jd) GROUP BY 1, 2""")
 def param_sweep(t: Tables) -> DataFrame:
     x = matching.sweep(t.wants(), t.have(), t.paths(), GRID)
     return x.groupBy(F.col("config").cast("long").alias("config"), "jd").agg(F.count("*").alias("n"), r(F.avg("total")).alias("mean_total"), F.max("total").alias("best"))
@@ -245,8 +246,8 @@ def param_sweep(t: Tables) -> DataFrame:
 
 # Text
 
-_NORM = r"trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), x -> trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'), ' ')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
-_WORDS = r"list_filter(regexp_split_to_array(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '[ \t\r\n]+'), x -> x <> '')"
+_NORM = r"trim(regexp_replace(array_to_string([trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'), ' ') for x in string_split(text, chr(10))], chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+_WORDS = r"[x for x in regexp_split_to_array(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '[ \t\r\n]+') if x <> '']"
 
 
 @query(f"SELECT doc_id, md5({_NORM}) AS norm_md5, length({_NORM})::BIGINT AS n FROM documents")
@@ -292,7 +293,7 @@ _N = r"lower(trim(regexp_replace(regexp_replace(name, '[^\w+#.\- ]+', ' ', 'g'),
 _PREFIX = "^(" + "|".join(T.VENDOR_PREFIXES) + ")"
 _CORE = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_N}, '{_PREFIX}', ''), ' software$', ''), ' ci$', ''), ' ide$', ''))"
 _STOP = ", ".join(f"'{x}'" for x in T.STOP_CORES)
-_ACRO = r"list_filter(list_distinct(list_transform(regexp_extract_all(name, '\b[A-Z][A-Z0-9]{1,5}\b'), x -> lower(x))), x -> x NOT IN (" + _STOP + "))"
+_ACRO = r"[x for x in list_distinct([lower(y) for y in regexp_extract_all(name, '\b[A-Z][A-Z0-9]{1,5}\b')]) if x NOT IN (" + _STOP + ")]"
 
 
 @query(f"WITH p AS ({_PRODUCT}) SELECT name, {_N} AS norm, {_CORE} AS core FROM p")
@@ -323,11 +324,11 @@ def link_cascade(t: Tables) -> DataFrame:
     return linking.link(s, _products(t), linking.alias_table(t.spark, {}), use_embedding=False)
 
 
-@query(r"""WITH w AS (SELECT DISTINCT conv_id AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM conversations),
-a AS (SELECT DISTINCT word AS node FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM benchmark) WHERE length(word) >= 5)
+@query(r"""WITH w AS (SELECT DISTINCT conv_id AS doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM conversations),
+a AS (SELECT DISTINCT word AS node FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM benchmark) WHERE length(word) >= 5)
 SELECT DISTINCT doc_id, node FROM w JOIN a ON w = node""")
 def gazetteer(t: Tables) -> DataFrame:
-    names = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), 0)).alias("alias")).where("length(alias) >= 5").distinct()
+    names = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0)).alias("alias")).where("length(alias) >= 5").distinct()
     return linking.gazetteer_matches(t.conversations.select(F.col("conv_id").alias("doc_id"), "text"), names.withColumn("node", F.col("alias")))
 
 

@@ -79,6 +79,11 @@ best AS (
   FROM have JOIN paths ON have.skill = src WHERE dst IN (SELECT skill FROM wants) GROUP BY 1, 2)"""
 
 
+def rounded(x: str, places: int) -> str:
+    """x to so many places, by way of 9 decimal places."""
+    return f"round(({x})::DECIMAL(28, 9), {places})::DOUBLE"
+
+
 def terms(p: ScoringParams = PARAMS) -> str:
     """CTEs up to terms: jd, cand, skill, demand, matched, credit, floored, bridged for parameters p."""
     on = "TRUE" if p.enable_bridging else "FALSE"
@@ -110,8 +115,8 @@ added AS (
   FROM terms GROUP BY 1, 2),
 scored AS (
   SELECT jd, cand, coalesce(direct, 0) AS direct, coalesce(bridge, 0) AS bridge, total_demand,
-    coalesce(bd, 0) * {float(p.bridgeable_penalty)}::DOUBLE + (total_demand - coalesce(held, 0) - coalesce(bd, 0)) * {float(p.unreachable_penalty)}::DOUBLE AS penalty,
+    coalesce(bd, 0) * {float(p.bridgeable_penalty)}::DOUBLE + greatest(total_demand - coalesce(held, 0) - coalesce(bd, 0), 0) * {float(p.unreachable_penalty)}::DOUBLE AS penalty,
     coalesce(n_matched, 0) AS n_matched, coalesce(n_bridged, 0) AS n_bridged, coalesce(n_floored, 0) AS n_floored,
     n_skills - coalesce(n_matched, 0) - coalesce(n_bridged, 0) AS n_missing
   FROM (SELECT DISTINCT cand FROM have) CROSS JOIN totals LEFT JOIN added USING (jd, cand)),
-final AS (SELECT *, round((direct + bridge - penalty) / total_demand, 3) AS total FROM scored)"""
+final AS (SELECT *, {rounded('(direct + bridge - penalty) / total_demand', 3)} AS total FROM scored)"""

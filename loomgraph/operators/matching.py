@@ -112,13 +112,14 @@ def explain(result: DataFrame) -> DataFrame:
     ))
 
 
-def count_only(wants: DataFrame, have: DataFrame, k: float, candidates: DataFrame | None = None, p: S.ScoringParams | None = None) -> DataFrame:
-    """The control without a graph: direct credit plus k times the demand of unmet skills, not normalised."""
+def count_only(wants: DataFrame, have: DataFrame, k: float, candidates: DataFrame | None = None, p: S.ScoringParams | None = None, weighted: bool = False) -> DataFrame:
+    """The control without a graph: direct credit plus k for each unmet skill (weighted: k times its demand), not normalised."""
     p = p or S.ScoringParams()
+    one = F.col("demand") if weighted else F.lit(1.0)
     w, h = _demand(wants, p), _have(have)
     credit = S.proficiency_credit(F.col("weight"), p)
-    agg = h.join(w, "skill").groupBy("jd", "cand").agg(F.sum(F.col("demand") * credit).alias("direct"), F.sum("demand").alias("held"))
-    jds = w.groupBy("jd").agg(F.sum("demand").alias("all"))
+    agg = h.join(w, "skill").groupBy("jd", "cand").agg(F.sum(F.col("demand") * credit).alias("direct"), F.sum(one).alias("held"))
+    jds = w.groupBy("jd").agg(F.sum(one).alias("all"))
     cands = (candidates if candidates is not None else have).select("cand").distinct()
     x = cands.crossJoin(jds).join(agg, ["jd", "cand"], "left").fillna(0.0, ["direct", "held"])
     return x.select("jd", "cand", F.round(F.col("direct") + F.lit(float(k)) * (F.col("all") - F.col("held")), 6).alias("total"))

@@ -204,8 +204,8 @@ def rank_no_bridging(t: Tables) -> DataFrame:
     return _ranked(t, PLAIN)
 
 
-@query(f"""WITH {P.HAVE}, {P.WANTS}, t AS (SELECT jd, sum(demand) AS td FROM wants GROUP BY 1),
-a AS (SELECT jd, cand, sum(demand * least(weight, 1.0::DOUBLE)) AS direct, sum(demand) AS held FROM have JOIN wants USING (skill) GROUP BY 1, 2),
+@query(f"""WITH {P.HAVE}, {P.WANTS}, t AS (SELECT jd, count(*) AS td FROM wants GROUP BY 1),
+a AS (SELECT jd, cand, sum(demand * least(weight, 1.0::DOUBLE)) AS direct, count(*) AS held FROM have JOIN wants USING (skill) GROUP BY 1, 2),
 final AS (SELECT jd, cand, round(coalesce(direct, 0) + 1.5238::DOUBLE * (td - coalesce(held, 0)), 6) AS total FROM (SELECT DISTINCT cand FROM have) CROSS JOIN t LEFT JOIN a USING (jd, cand))
 SELECT jd, cand, total, rank FROM (SELECT jd, cand, total, row_number() OVER (PARTITION BY jd ORDER BY total DESC, cand) AS rank FROM final) WHERE rank <= 10""")
 def rank_count_only(t: Tables) -> DataFrame:

@@ -128,22 +128,14 @@ class Model:
             c = block[step, :n].astype(np.int64)
             s = table[state[:, :n] * size + c].astype(np.int64)
             miss = s < 0
+            lost = False
             if miss.any():
                 again = table[root[:, :n] * size + c].astype(np.int64)
                 lost = miss & (again < 0)
-                # a phrase that has no letter yet doesn't count again when its first letter is unknown
-                count[:, :n] += miss & ~fresh[:, :n]
-                s = np.where(miss, again, s)
-                if lost.any():
-                    s = np.where(lost, root[:, :n], s)
-                    nxt = np.zeros_like(lost)
-                    np.copyto(nxt, lost)
-                    count[:, :n] += nxt  # the unknown letter ends its phrase
-                    fresh[:, :n] = lost
-                else:
-                    fresh[:, :n] = False
-            elif step == 0:
-                fresh[:, :n] = False
+                # a miss starts a phrase, unless one is open without a letter yet; an unknown letter also ends its own
+                count[:, :n] += (miss & ~fresh[:, :n]).astype(np.int64) + lost
+                s = np.where(lost, root[:, :n], np.where(miss, again, s))
+            fresh[:, :n] = lost
             state[:, :n] = s
         count -= fresh
         np.add.at(out, np.array(owner)[order], count.T)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ class BigramEmbedder:
 
 def embed(df, text_col: str, out_col: str = "embedding", embedder: Embedder | None = None):
     """df with a vector column from an embedder, in Arrow batches."""
-    import pandas as pd
-
     embedder = embedder or BigramEmbedder()
 
     @F.pandas_udf("array<double>")

@@ -117,3 +117,38 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: the verdict on every document of the table; cleaned_md5 stands for the cleaned text."""
     out = clean(read(spark, sf_dir, "documents"), ["doc_id"])
     return out.withColumn("cleaned_md5", F.md5(F.col("cleaned_text").cast("binary"))).drop("cleaned_text")
+
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+triples AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS k FROM triples) WHERE k > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY 1),
+raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM d WHERE text <> ''),
+lines AS (SELECT doc_id, line, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, strlen(line) - strlen(regexp_replace(line, '[!-/:-@\[-`{{-~]', '', 'g')) AS marks FROM raw),
+parted AS (SELECT *, len([x for x in w if list_contains([{", ".join(sorted(_text(s.decode()) for s in SEPARATORS))}], x)]) AS bare FROM lines),
+told AS (
+  SELECT *, len(w) > 0 AND (
+    NOT ({" OR ".join(f"suffix(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), {_text(e)})" for e in ENDS)})
+    OR marks >= {PUNCTUATION_LEAST} AND 100 * marks > {PUNCTUATION_SHARE} * strlen(array_to_string(w, ''))
+    OR bare >= 2
+      AND 100 * bare >= {NAVIGATION_SHARE} * len(w)
+    OR {" OR ".join(f"contains(lower(line), {_text(p)})" for p in BOILERPLATE)}) AS failed
+  FROM parted),
+judged AS (
+  SELECT doc_id, count(*) FILTER (len(w) > 0) - count(DISTINCT line) FILTER (len(w) > 0) AS n_dup_lines, coalesce(sum(len(w)) FILTER (NOT failed), 0) AS kept_words,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT failed), '') AS cleaned
+  FROM told GROUP BY 1),
+x AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{SYMBOLS}', '')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(kept_words, 0) AS kept_words, md5(coalesce(cleaned, text)) AS cleaned_md5
+  FROM d LEFT JOIN repeats ON repeats.doc_id = d.doc_id LEFT JOIN judged ON judged.doc_id = d.doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed,
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words) AND 100 * kept_words >= {KEEP_SHARE} * n_words AS kept, kept_words::BIGINT AS kept_words, cleaned_md5
+FROM x
+"""

@@ -261,3 +261,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: the near-duplicate groups of all documents."""
     return groups(read(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and components by transitive closure: exact, and fit for small tables only.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT b, c FROM reach JOIN links ON a = doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, w.doc_id = c AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY 1) r ON r.doc_id = w.doc_id
+"""

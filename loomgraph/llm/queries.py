@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
+    "op8_near_duplicates": neardup.ORACLE,
+    "op9_line_rules": linefirst.ORACLE,
 }

@@ -503,5 +503,73 @@ def calibration_table(t: Tables) -> DataFrame:
     return linking.calibrate(s, [0.6, 0.75, 0.8, 0.86])
 
 
+# Streams: files of a table as a source, results in the shared checkpoint folder
+
+
+def _streamed(t: Tables, table: str, plan) -> DataFrame:
+    """plan over a stream of a table's files, run to its end with a checkpoint, and its Parquet output."""
+    import uuid
+
+    paths.checkpointed(t.spark.range(1))  # sets a checkpoint folder where there is none
+    folder = t.spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/stream-{uuid.uuid4().hex}"
+    batch = getattr(t, table)
+    source = t.spark.readStream.schema(batch.schema).parquet(f"{t.dir}/{table}.parquet*")
+    out = plan(source)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query(f"SELECT DISTINCT sha256({_NORM}) AS content_hash FROM documents")
+def stream_ingest(t: Tables) -> DataFrame:
+    """Content-hash deduplication of a stream of documents."""
+    return _streamed(t, "documents", lambda df: documents.hashed(df).select("content_hash").dropDuplicates(["content_hash"]))
+
+
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+SELECT epoch(start)::BIGINT AS start, event_type, n, value FROM w, m WHERE start + INTERVAL 10 MINUTES <= mark""")
+def stream_event_windows(t: Tables) -> DataFrame:
+    """Windows of ten minutes that an hour's watermark has closed."""
+
+    def plan(df):
+        x = df.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour")
+        x = x.groupBy(F.window("at", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+        return x.select(F.unix_timestamp("w.start").alias("start"), "event_type", "n", "value")
+
+    return _streamed(t, "events", plan)
+
+
+# Evaluation of the arms that need no graph, on the seeded dataset
+
+
+@query()
+def eval_arms(t: Tables) -> DataFrame:
+    """arm, split and metrics of the no-bridging, tf-idf and count-only arms; published values are in the tests."""
+    wants, graded, have = evaluation.dataset(t.spark, evaluation.Generator().jds())
+    none = t.spark.createDataFrame([], "src string, dst string, dist double, hops int")
+    name = lambda df: df.select(F.col("jd").alias("query"), "cand", F.col("total").alias("score"))
+    arms = {
+        "no_bridging": name(matching.scores(wants, have, none, S.ScoringParams(enable_bridging=False))),
+        "tfidf": evaluation.tfidf(wants.select(F.col("jd").alias("query"), "skill"), have, graded.select(F.col("jd").alias("query"), "cand")),
+        **{f"count_only_{k}": name(matching.count_only(wants, have, k)) for k in (0.9, 1.0, 1.5238)},
+    }
+    scored = None
+    for arm, df in arms.items():
+        df = df.select(F.lit(arm).alias("arm"), F.col("query").alias("jd"), "cand", "score")
+        scored = df if scored is None else scored.unionByName(df)
+    x = graded.join(scored, ["jd", "cand"]).select(F.concat_ws("/", "arm", "split", "jd").alias("query"), "cand", "score", "grade", "pos").persist()
+    ranks = evaluation.ranked(x)
+    m = evaluation.precision_at(ranks, 5).join(evaluation.mrr(ranks), "query").join(evaluation.ndcg(x), "query").join(evaluation.pairwise(x, 2, 1), "query")
+    part = lambda i: F.split("query", "/")[i]
+    return m.groupBy(part(0).alias("arm"), part(1).alias("split")).agg(
+        r(F.sum("wins2") / F.sum("pairs2")).alias("bridge_over_weak"), r(F.avg("ndcg")).alias("ndcg_10"), r(F.avg("p_at_k")).alias("p_5"), r(F.avg("mrr")).alias("mrr")
+    )
+
+
+@query()
+def eval_dataset(t: Tables) -> DataFrame:
+    """Every description and candidate of the seeded evaluation dataset; its hash is pinned in the tests."""
+    return evaluation.dataset(t.spark, evaluation.Generator().jds())[1]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rank_topk"](spark, sf_dir)

@@ -200,6 +200,13 @@ def type_conflicts(classified: DataFrame) -> DataFrame:
     return x.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def probe_report(classified: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (a, b, expected) with the type found in either order, and whether it is the expected one."""
+    c = classified.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "edge_type").dropDuplicates(["lo", "hi"])
+    p = probes.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "expected")
+    return p.join(c, ["lo", "hi"], "left").withColumn("ok", F.coalesce(F.col("edge_type") == F.col("expected"), F.lit(False)))
+
+
 def neighbors(edges: DataFrame, name, min_weight: float = 0.3) -> DataFrame:
     """name, weight of every neighbour of a node, by weight, then name."""
     both = edges.select("lo", "hi", "weight").union(edges.select("hi", "lo", "weight"))

@@ -135,6 +135,11 @@ class MatchEngine:
             self.invalidate_graph()
         return self.spark.createDataFrame([(r["surface"], r["node"], r["status"], r["score"]) for r in rows], "surface string, node string, status string, score double")
 
+    def list_eval_jds(self, jds: list[dict], split: str | None = None) -> DataFrame:
+        """jd_id, domain, split, n_skills, n_candidates of an evaluation snapshot."""
+        rows = [(j["jd_id"], j["domain"], j["split"], len(j["jd_skills"]), len(j["candidates"])) for j in jds if split is None or j["split"] == split]
+        return self.spark.createDataFrame(rows, "jd_id string, domain string, split string, n_skills int, n_candidates int")
+
     def rank_eval_jd(self, jds: list[dict], jd_id: str) -> DataFrame:
         """rank_candidates of an evaluation description with tier, grade and exact_overlap."""
         wants, graded, have = evaluation.dataset(self.spark, [j for j in jds if j["jd_id"] == jd_id])

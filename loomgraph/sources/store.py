@@ -124,6 +124,20 @@ class Store:
     def find_skill(self, name: str) -> DataFrame:
         return self.read("skills").where(F.col("name") == name)
 
+    def skill_exists(self, name: str) -> bool:
+        return not self.find_skill(name).limit(1).isEmpty()
+
+    def register_views(self, prefix: str = "") -> list[str]:
+        """A temporary SQL view of every table."""
+        for t in TABLES:
+            self.read(t).createOrReplaceTempView(prefix + t)
+        return [prefix + t for t in TABLES]
+
+    def verify(self, expected: dict[str, int]) -> DataFrame:
+        """kind, n, expected, ok for a written graph."""
+        want = self.spark.createDataFrame(list(expected.items()), "kind string, expected long")
+        return self.counts().join(want, "kind").withColumn("ok", F.col("n") == F.col("expected")).orderBy("kind")
+
     def counts(self) -> DataFrame:
         """kind, n of every table."""
         rows = [(t, self.read(t).count()) for t in TABLES]

@@ -6,6 +6,10 @@ own with unit weights, so they are not the length of the shortest path by distan
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +54,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, cut from its lineage in the shared checkpoint folder; a folder of its own where none is set (tests)."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        if not (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+            folder = tempfile.mkdtemp(prefix="loomgraph-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

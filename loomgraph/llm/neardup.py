@@ -150,7 +150,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = cut(sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    return x.where(linked("sa", "sb")).select("a", "b").distinct()
+    return x.where(linked("sa", "sb")).select("a", "b")  # no distinct: it would keep a hot b in one task
 
 
 def components(links: DataFrame) -> DataFrame:

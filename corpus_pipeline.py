@@ -3,7 +3,7 @@
 Stages, in order; each one works on all that its predecessor kept, written as Parquet and read again:
 language   documents without a language (`und`: no text or no letter) go
 toxicity   documents that the toxicity model marks (score >= 0.7) go
-near_dups  the document with the smallest id of each near-duplicate group stays
+near_dups  the document with the smallest id of each near-duplicate group (similarity 0.8 or more) stays
 mixing     sources are mixed to target weights: a document is there once for each complete epoch, once more if the
            fractional selection takes it whole, and cut at the budget if it lies on its border
 tokens     doc_id, source, n_tokens, ids_sha256, decoded_sha256 and token_ids of each remaining row
@@ -23,6 +23,8 @@ from loomgraph.llm import bpe, langid, mixing, neardup, toxicity
 from loomgraph.llm.common import prepare, read, remainder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Similarity of five-word shingles from which the stage takes documents for near duplicates, in hundredths.
+STAGE_SIMILAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +39,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, list(COLUMNS)).where("predicted = 0").select(*COLUMNS)
 
 
-def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str, similar: int = neardup.SIMILAR) -> DataFrame:
     """Rows that repeat an id are one document; the one with the smallest text stays."""
     prepare(spark)
-    kept = neardup.groups(docs).where("kept").select("doc_id").distinct()
+    kept = neardup.groups(docs, similar=similar).where("kept").select("doc_id").distinct()
     stays = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     again = stays.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
@@ -74,7 +76,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.tokenize(docs, *bpe.vocabulary(), ["doc_id", "source"])
 
 
-STAGES = [("language", language), ("toxicity", toxic), ("near_dups", near_dups), ("mixing", mixed), ("tokens", tokens)]
+def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups(spark, docs, sf_dir, STAGE_SIMILAR)
+
+
+STAGES = [("language", language), ("toxicity", toxic), ("near_dups", near_dups_stage), ("mixing", mixed), ("tokens", tokens)]
 #: Language models, signatures and BPE can't be stated in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 

@@ -5,8 +5,8 @@
    that step j of its permutation names, and stops as soon as j exceeds the largest value of the signature. Values at
    different places exclude each other, so the estimate varies less than with independent hashes.
 2. Documents with equal sets form a class and its smallest id represents it, so copies cost one row each.
-3. BANDS bands of ROWS values put representatives into buckets: two sets of similarity 0.85 share none with
-   probability (1 - 0.85^8)^36 = 1e-5, of 0.9 with 2e-9.
+3. BANDS bands of rows_for(similar) values put representatives into buckets: at 0.85 they hold 8 values, and two
+   sets of that similarity share none with probability (1 - 0.85^8)^36 = 1e-5; at 0.80 they hold 6, with 2e-5.
 4. In each bucket every representative is paired with the smallest one (as many pairs as rows), and each pair is
    verified on its full sets.
 5. Components of the verified links. Buckets whose other members are then still in different components hold pairs
@@ -35,8 +35,10 @@ from .common import cut, map_texts, read, splitmix
 BANDS, ROWS = 36, 8
 HASHES = BANDS * ROWS
 SHINGLE = 5
-#: Similarity that links, in hundredths.
+#: Similarity that links, in hundredths, where the caller names none.
 SIMILAR = 85
+#: Probability, at most, that two sets of just that similarity share no bucket.
+MISSED = 2e-5
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 256
 #: Elements whose permutations are held at once.
@@ -52,6 +54,11 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def rows_for(similar: int) -> int:
+    """Values of a band: the most with which BANDS bands miss a pair of that similarity (hundredths) with MISSED at most."""
+    return max((r for r in range(1, 65) if (1 - (similar / 100) ** r) ** BANDS <= MISSED), default=1)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n."""
     if not _POWERS or len(_POWERS["up"]) < n:
@@ -85,9 +92,9 @@ def shingles(text: str | None) -> np.ndarray:
         return np.unique(splitmix(s + SHORT[n]))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """SuperMinHash signatures (sets x HASHES): step << 32 | fraction; all ones for the empty set."""
-    h = np.full((len(sets), HASHES), np.iinfo(np.uint64).max, np.uint64)
+def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
+    """SuperMinHash signatures (sets x hashes): step << 32 | fraction; all ones for the empty set."""
+    h = np.full((len(sets), hashes), np.iinfo(np.uint64).max, np.uint64)
     flat = h.reshape(-1)
     sizes = np.array([len(s) for s in sets], np.int64)
     x = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
@@ -95,15 +102,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     for at in range(0, len(x), ELEMENTS):
         own, e = owner[at : at + ELEMENTS], x[at : at + ELEMENTS]
         own0 = own[0]
-        place = np.tile(np.arange(HASHES, dtype=np.uint16), (len(e), 1)).reshape(-1)
-        row = np.arange(len(e), dtype=np.int64) * HASHES
-        for j in range(HASHES):
+        place = np.tile(np.arange(hashes, dtype=np.uint16), (len(e), 1)).reshape(-1)
+        row = np.arange(len(e), dtype=np.int64) * hashes
+        for j in range(hashes):
             with np.errstate(over="ignore"):
                 z = splitmix(e + np.uint64(j) * np.uint64(BASE))
-            k = j + ((z & np.uint64(0xFFFFFFFF)) * np.uint64(HASHES - j) >> np.uint64(32)).astype(np.int64)
+            k = j + ((z & np.uint64(0xFFFFFFFF)) * np.uint64(hashes - j) >> np.uint64(32)).astype(np.int64)
             target = place[row + k].astype(np.int64)
             place[row + k] = place[row + j]
-            np.minimum.at(flat, own * HASHES + target, np.uint64(j) << np.uint64(32) | z >> np.uint64(32))
+            np.minimum.at(flat, own * hashes + target, np.uint64(j) << np.uint64(32) | z >> np.uint64(32))
             most = h[own0 : own[-1] + 1].max(1) >> np.uint64(32)
             live = most[own - own0] > j
             if not live.all():
@@ -113,20 +120,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
+def band_keys(h: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key of each band of each signature."""
     with np.errstate(over="ignore"):
-        x = h.reshape(-1, BANDS, ROWS)
+        x = h.reshape(-1, BANDS, rows)
         acc = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(BASE)
-        for i in range(ROWS):
+        for i in range(rows):
             acc = splitmix(acc ^ x[:, :, i])
         return acc.view(np.int64)
 
 
-def describe(texts: list[str | None]) -> dict[str, list]:
+def describe(texts: list[str | None], rows: int = ROWS) -> dict[str, list]:
     """n: set size; h1, h2: 128 bits of the set; bands: bucket keys."""
     sets = [shingles(t) for t in texts]
-    keys = band_keys(signatures(sets))
+    keys = band_keys(signatures(sets, BANDS * rows), rows)
     with np.errstate(over="ignore"):
         h1 = [splitmix(s).sum(dtype=np.uint64).view(np.int64) for s in sets]
         h2 = [np.bitwise_xor.reduce(splitmix(s + np.uint64(BASE))).view(np.int64) for s in sets]
@@ -139,18 +146,18 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return map_texts(few, ["doc_id"], "set array<long>", lambda texts: {"set": [shingles(t).view(np.int64) for t in texts]})
 
 
-def linked(a: DataFrame | str, b: str):
+def linked(a: DataFrame | str, b: str, similar: int = SIMILAR):
     """Whether two sets are similar enough, on their full content."""
     both = F.size(F.array_intersect(a, b))
-    return F.lit(100) * both >= F.lit(SIMILAR) * (F.size(a) + F.size(b) - both)
+    return F.lit(100) * both >= F.lit(similar) * (F.size(a) + F.size(b) - both)
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     sets = cut(sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    return x.where(linked("sa", "sb")).select("a", "b")  # no distinct: it would keep a hot b in one task
+    return x.where(linked("sa", "sb", similar)).select("a", "b")  # no distinct: it would keep a hot b in one task
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,11 +180,11 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def search_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def search_block(pdf: pd.DataFrame, similar: int = SIMILAR) -> pd.DataFrame:
     """Links between members of different components of one pair of blocks, exactly.
 
     Elements are ordered from the rarest in the group to the most frequent; two sets of the wanted similarity share
-    one of their first n - ceil(0.85 n) + 1 elements. Members that a link has joined are not compared again.
+    one of their first n - ceil(similar n / 100) + 1 elements. Members that a link has joined are not compared again.
     """
     pdf = pdf.drop_duplicates("id").reset_index(drop=True)
     sets = [np.asarray(s, np.int64) for s in pdf["set"]]
@@ -195,14 +202,14 @@ def search_block(pdf: pd.DataFrame) -> pd.DataFrame:
         places = np.searchsorted(values, s)
         order = s[np.lexsort((places, counts[places]))]
         n = len(s)
-        first = order[: n - -(-SIMILAR * n // 100) + 1].tolist()
+        first = order[: n - -(-similar * n // 100) + 1].tolist()
         for j in sorted({j for e in first for j in index.get(e, ())}):
             a, b = top(comps[i]), top(comps[j])
             m = len(sets[j])
-            if a == b or 100 * min(n, m) < SIMILAR * max(n, m):
+            if a == b or 100 * min(n, m) < similar * max(n, m):
                 continue
             both = len(np.intersect1d(s, sets[j], assume_unique=True))
-            if 100 * both >= SIMILAR * (n + m - both):
+            if 100 * both >= similar * (n + m - both):
                 boss[a] = b
                 out.append((ids[i], ids[j]))
         for e in first:
@@ -210,7 +217,7 @@ def search_block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def rest(docs: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame:
+def rest(docs: DataFrame, members: DataFrame, comps: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Links between members of a bucket that were not paired with its smallest member and are in different components."""
     named = members.where("rep <> center").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     named = cut(named)
@@ -226,13 +233,14 @@ def rest(docs: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame:
     sets = sets_of(docs, dealt.select(F.col("rep").alias("doc_id")).distinct())
     groups = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("bucket", "x", "y", F.col("rep").alias("id"), "component", "set")
     kind = dict(groups.dtypes)["id"]
-    return groups.groupBy("bucket", "x", "y").applyInPandas(search_block, f"a {kind}, b {kind}")
+    return groups.groupBy("bucket", "x", "y").applyInPandas(lambda pdf: search_block(pdf, similar), f"a {kind}, b {kind}")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs; similar: hundredths of similarity that link."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cut(map_texts(docs, ["doc_id"], "n long, h1 long, h2 long, bands array<long>", describe))
+    width = rows_for(similar)
+    rows = cut(map_texts(docs, ["doc_id"], "n long, h1 long, h2 long, bands array<long>", lambda texts: describe(texts, width)))
     full = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
     classes = cut(classes)
@@ -240,9 +248,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     centers = exploded.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("far")).where("center <> far").drop("far")
     members = cut(exploded.join(centers, "bucket"))
     pairs = cut(members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct())
-    links = cut(verify(docs, pairs))
+    links = cut(verify(docs, pairs, similar))
     comps = components(links)
-    more = cut(rest(docs, members, comps))
+    more = cut(rest(docs, members, comps, similar))
     # an id with several texts joins their classes
     several = full.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("doc_id", "n", "rep")
     several = cut(several)

@@ -240,3 +240,22 @@ def test_remainder_is_crc32(spark):
 
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     assert all(r["m"] == crc32(str(r["doc_id"]).encode()) % 3 for r in df.withColumn("m", remainder("doc_id", 3)).collect())
+
+
+def test_pipeline_links_from_four_fifths(spark):
+    """Pairs between 0.75 and 0.9, against brute force at the stage's own similarity."""
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for i in range(120):
+        base, n = [word() for _ in range(104)], 4 + i % 11
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[n:] + [word() for _ in range(n)]))]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in docs)}
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in sets if i % 2 == 0}
+    assert sum(0.8 <= x < 0.85 for x in share.values()) >= 20 and min(share.values()) < 0.8
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in dict(P.STAGES)["near_dups"](spark, df, DIR).collect()} == set(sets) - {i + 1 for i, x in share.items() if x >= 0.8}

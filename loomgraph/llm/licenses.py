@@ -1,7 +1,9 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are the lines of a text. A paragraph with one of the TRIGGERS (words that every template holds one of) is
-classified by a multinomial logistic regression over hashed word 1- to 3-grams (sparse: only the features present
+Paragraphs are the lines of a text and, for notices that are wrapped, stretches of words that run over several lines of
+a block (lines without a blank one between them). A stretch is where a template's word pairs lie densest: at any offset,
+LEAST_OVERLAP of them within STRETCH times its length, with CONTEXT words on either side. A paragraph with one of the
+TRIGGERS (words that every template holds one of) is classified by a multinomial logistic regression over hashed word 1- to 3-grams (sparse: only the features present
 are touched); its classes are the licence families and `unknown`. The model is trained on the driver from TEMPLATES
 and seeded variations of them (words dropped, names and years put in, neighbouring prose) and, as unknown, from
 sentences about licences that grant none, shuffled templates and prose. Its temperature is fitted on variations held
@@ -11,7 +13,8 @@ LEAST_PROBABILITY or more and the paragraph contains LEAST_OVERLAP of the word p
 Rows are independent, in Arrow batches; the model (families x BUCKETS floats) is broadcast. Nothing is shuffled.
 
 Defined cases: null and empty texts have no licence; of several licences, the families are listed in code-point order
-and the first confirmed paragraph with the highest probability gives the family; repeated rows are scanned each for
+and the first confirmed paragraph with the highest probability gives the family (of a stretch, paragraph is the line
+where it begins); a family that a line of the stretch has by itself isn't sought in the stretch; repeated rows are scanned each for
 themselves; an empty table gives no rows; columns that are not named in the arguments are ignored.
 """
 
@@ -32,6 +35,9 @@ SEED = 11
 STEPS = 250
 LEAST_PROBABILITY = 0.6
 LEAST_OVERLAP = 0.5
+#: Length of a stretch in template lengths, at most, and words taken on either side of it.
+STRETCH = 1.5
+CONTEXT = 6
 UNKNOWN = "unknown"
 
 # Short notices by which public licences are granted.
@@ -117,6 +123,11 @@ class Model:
     def __init__(self, seed: int = SEED):
         self.families = [*sorted(TEMPLATES), UNKNOWN]
         self.pairs = {f: [set(zip(w, w[1:])) for w in (words_of(t.lower()) for t in ts)] for f, ts in TEMPLATES.items()}
+        self.lengths = [len(w) for w in self._all_pairs()]
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for i, pairs in enumerate(self._all_pairs()):
+            for pair in pairs:
+                self.holders.setdefault(pair, []).append(i)
         rng = random.Random(seed)
         sets: tuple[list, list] = ([], [])  # to fit, to calibrate
         for k, f in enumerate(self.families[:-1]):
@@ -134,6 +145,9 @@ class Model:
         self.weights = self._fit(sets[0])
         self.temperature = min((self._loss(sets[1], t), t) for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0))[1]
 
+    def _all_pairs(self) -> list[set]:
+        return [t for f in self.families[:-1] for t in self.pairs[f]]
+
     def _fit(self, rows: list) -> np.ndarray:
         """Rows of weights by feature, by full-batch gradient steps with a ridge; the last row is the intercept."""
         at = np.concatenate([np.r_[x, BUCKETS] for x, _ in rows])
@@ -175,20 +189,76 @@ class Model:
         own = set(zip(w, w[1:]))
         return family, p, max(len(own & t) / len(t) for t in self.pairs[family])
 
+    def stretches(self, words: list[str], lines: list[int]) -> list[tuple[int, int]]:
+        """First and last word of the stretches over more than one line; lines: the line of each word."""
+        hits: dict[int, list] = {}
+        for at, pair in enumerate(zip(words, words[1:])):
+            for k in self.holders.get(pair, ()):
+                hits.setdefault(k, []).append((at, pair))
+        found = set()
+        for k, own in hits.items():
+            n, most = self.lengths[k], max(3, int(STRETCH * (self.lengths[k] + 1)))
+            if len({pair for _, pair in own}) < LEAST_OVERLAP * n:
+                continue
+            count, left, best = {}, 0, None
+            for at, pair in own:
+                count[pair] = count.get(pair, 0) + 1
+                while at + 2 - own[left][0] > most or count[own[left][1]] > 1:  # too long, or held again further on
+                    count[own[left][1]] -= 1
+                    if not count[own[left][1]]:
+                        del count[own[left][1]]
+                    left += 1
+                first, size = own[left][0], len(count)
+                if best and first > best[2]:  # the next notice
+                    found.add(best[1:])
+                    best = None
+                if size >= LEAST_OVERLAP * n and (best is None or size > best[0]):
+                    best = (size, first, at + 1)
+            if best:
+                found.add(best[1:])
+        return sorted((a, b) for a, b in found if lines[a] != lines[b])
+
     def scan(self, text: str | None) -> dict:
-        best, found, doubtful = None, set(), 0
-        for i, line in enumerate(text.split("\n")) if text and TRIGGERS.search(text) else ():
+        rows = text.split("\n") if text and TRIGGERS.search(" ".join(text.split("\n"))) else []
+        got, doubted, of_line = [], set(), {}
+        for i, line in enumerate(rows):
             if not TRIGGERS.search(line):
                 continue
             family, p, overlap = self.paragraph(line)
             if family == UNKNOWN or p < LEAST_PROBABILITY or overlap < LEAST_OVERLAP:
-                doubtful += 1
+                doubted.add(i)
                 continue
-            found.add(family)
-            if best is None or p > best[1]:
-                best = (family, p, overlap, i)
-        family, p, overlap, at = best or (None, None, None, None)
-        return {"family": family, "probability": p, "overlap": overlap, "paragraph": at, "families": sorted(found), "n_unconfirmed": doubtful}
+            of_line[i] = family
+            got.append((i, family, p, overlap))
+        for words, lines in blocks(rows):
+            for a, b in self.stretches(words, lines):
+                part = " ".join(words[max(0, a - CONTEXT) : b + 1 + CONTEXT])
+                if not TRIGGERS.search(part):
+                    continue
+                family, p, overlap = self.paragraph(part)
+                if family == UNKNOWN or p < LEAST_PROBABILITY or overlap < LEAST_OVERLAP:
+                    continue
+                over = range(lines[a], lines[b] + 1)
+                doubted.difference_update(over)
+                if all(of_line.get(i) != family for i in over):
+                    got.append((lines[a], family, p, overlap))
+        at, family, p, overlap = min(got, key=lambda x: (-x[2], x[0])) if got else (None, None, None, None)
+        return {"family": family, "probability": p, "overlap": overlap, "paragraph": at, "families": sorted({x[1] for x in got}), "n_unconfirmed": len(doubted)}
+
+
+def blocks(rows: list[str]):
+    """The words of each block of two or more lines that has a trigger, and the line of each word; a line without words ends a block."""
+    words, lines, first = [], [], 0
+    for i, line in enumerate([*rows, ""]):
+        own = words_of(line.lower())
+        if own:
+            first = first if words else i
+            words += own
+            lines += [i] * len(own)
+            continue
+        if words and i - first > 1 and TRIGGERS.search(" ".join(rows[first:i])):
+            yield words, lines
+        words, lines = [], []
 
 
 SCHEMA = "family string, probability double, overlap double, paragraph int, families array<string>, n_unconfirmed int"

@@ -307,3 +307,20 @@ def test_licences(model):
         assert model.scan(t)["family"] is None
     got = model.scan("Released under the MIT License.\nLicensed under CC BY 4.0.")
     assert got["families"] == ["CC-BY", "MIT"]
+
+
+def test_wrapped_licences(model):
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge and publish."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    prose = "\n".join(["The tide came in before noon and the boats lay still."] * 40)
+    for family, notice in (("MIT", mit), ("GPL", gpl), ("BSD", bsd)):
+        for width in (30, 55, 78):
+            for mark in ("", "# ", " * "):
+                wrapped = "\n".join(mark + x for x in textwrap.wrap(notice, width))
+                for text, line in ((wrapped, 0), (f"{prose}\n{wrapped}\n{prose}", 40), (f"{prose}\n\n{wrapped}\n\n{prose}", 41)):
+                    got = model.scan(text)
+                    assert got["families"] == [family] and got["paragraph"] == line, (family, width, text[:60])
+    assert model.scan("She kept all\nrights to the song that\nhe licensed under\nthe old contract.")["family"] is None

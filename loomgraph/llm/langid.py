@@ -1,17 +1,20 @@
 """Language identification by cross-parsing entropy.
 
-Training takes a bounded sample of labelled text for each language: about DOCS documents by a hash of their id, CHARS
-characters of them in all, and builds a suffix automaton of it. A text is parsed greedily against each automaton: the
+Training takes a bounded sample of labelled text for each language, of all languages: about DOCS documents by a hash of
+their id, of each a window of DOC_CHARS characters at a hashed offset, CHARS characters in all, and builds a suffix automaton of it. A text is parsed greedily against each automaton: the
 longest match from the current place is one phrase, then the next phrase starts. The language whose automaton needs
 the fewest phrases wins (every phrase costs log2 of the sample's length, and all samples count with the same length,
 so cost per character is the normalised number of phrases).
 
-Text is reduced to lower-case letters and single spaces. An automaton is a dense transition table (states x alphabet,
-int32) over the letters of the training text; a letter outside has no transition and is a phrase of its own. Texts are
+Text is reduced to lower-case letters and single spaces. The transitions of all automata, each over all letters of its
+own sample, are in one table: dense (states x letters, int32) up to DENSE_BYTES, else open-addressed by a hash of state
+and letter, with the same results and about four times slower. A letter that a sample lacks has no transition and is a
+phrase of its own. Texts are
 parsed in segments of SEGMENT characters, all segments of a batch and all languages in step, as array operations;
 a segment's border ends a phrase for every language alike. The whole text counts.
 
-The model (states x alphabet) is bounded by 2 ALL_CHARS x ALPHABET x 4 bytes, 192 MB, and broadcast.
+The model is broadcast. A hashed language has at most 3 CHARS transitions, of 24 to 48 bytes: 6 MB; time a text grows
+with the number of languages. Root transitions are held as languages x letters x 4 bytes.
 Rows are independent; nothing is shuffled. Training collects at most about DOCS x DOC_CHARS characters a language.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; with no labelled text everything is
@@ -21,8 +24,6 @@ table gives no rows; columns that are not named in the arguments are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,26 +34,24 @@ from .common import map_texts, read, remainder, unit
 DOCS = 150
 DOC_CHARS = 4_000
 CHARS = 40_000
-#: Characters of the samples of all languages together.
-ALL_CHARS = 250_000
-#: Largest number of languages, the most frequent first, and of letters.
-LANGUAGES = 64
-ALPHABET = 96
 SEGMENT = 2048
+#: Largest dense table.
+DENSE_BYTES = 192_000_000
 UNKNOWN = "und"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
-    """The suffix automaton of a sequence of letters 0..alphabet-1 as a transition table; -1: no transition."""
-    moves: list[list[int]] = [[-1] * alphabet]
+def automaton(text: np.ndarray) -> tuple[int, np.ndarray]:
+    """The suffix automaton of a sequence of letters: its number of states, and its transitions as rows (state, letter, next)."""
+    moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
         new = len(moves)
-        moves.append([-1] * alphabet)
+        moves.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and moves[p][c] < 0:
+        while p >= 0 and c not in moves[p]:
             moves[p][c] = new
             p = link[p]
         if p >= 0:
@@ -61,15 +60,15 @@ def automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
                 link[new] = q
             else:
                 copy = len(moves)
-                moves.append(moves[q][:])
+                moves.append(dict(moves[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and moves[p][c] == q:
+                while p >= 0 and moves[p].get(c) == q:
                     moves[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return np.array(moves, np.int32)
+    return len(moves), np.array([(s, c, t) for s, own in enumerate(moves) for c, t in own.items()], np.int64).reshape(-1, 3)
 
 
 def letters(text: str) -> str:
@@ -78,25 +77,65 @@ def letters(text: str) -> str:
 
 
 class Model:
-    """languages; code: code point -> letter of the alphabet (the last one stands for all others); tables joined."""
+    """languages; code: code point -> letter of the alphabet (the last one stands for all others); keys and values: the hash
+    table of all transitions, key -1 where it is free, or dense: the next state by key; roots: the transitions of each language's first state."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], dense_bytes: int = DENSE_BYTES):
         self.languages = sorted(samples)
-        counts = Counter(c for s in samples.values() for c in s)
-        chosen = sorted(c for c, _ in counts.most_common(ALPHABET - 1))
+        chosen = sorted({c for s in samples.values() for c in s})
         n = self.size = len(chosen) + 1
-        self.code = np.full(max(map(ord, chosen), default=0) + 2, n - 1, np.uint8)
-        self.code[[ord(c) for c in chosen]] = np.arange(n - 1, dtype=np.uint8)
-        tables, starts, at = [], [], 0
+        self.code = np.full(max(map(ord, chosen), default=0) + 2, n - 1, np.int32)
+        self.code[[ord(c) for c in chosen]] = np.arange(n - 1, dtype=np.int32)
+        edges, starts, at = [np.zeros((0, 3), np.int64)], [], 0
         for lang in self.languages:
-            t = automaton(self.encode(samples[lang]), n)
-            t[:, n - 1] = -1
-            t[t >= 0] += at
-            tables.append(t)
+            states, own = automaton(self.encode(samples[lang]))
+            edges.append(own + np.array([at, 0, at]))
             starts.append(at)
-            at += len(t)
-        self.next = (np.concatenate(tables) if tables else np.zeros((1, n), np.int32)).reshape(-1)
+            at += states
         self.starts = np.array(starts, np.int64)
+        rows = np.concatenate(edges)
+        keys, values = rows[:, 0] * n + rows[:, 1], rows[:, 2].astype(np.int32)
+        self.dense = None
+        if 4 * at * n <= dense_bytes:
+            self.dense = np.full(max(1, at) * n, -1, np.int32)
+            self.dense[keys] = values
+        else:
+            self._hash(keys, values)
+        self.roots = self.moves(np.repeat(self.starts[:, None], n, 1) * n + np.arange(n)).astype(np.int32)
+
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, slots = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = left[self.keys[slots[left]] < 0]
+            _, first = np.unique(slots[free], return_index=True)
+            put = free[first]
+            self.keys[slots[put]], self.values[slots[put]] = keys[put], values[put]
+            left = left[self.keys[slots[left]] != keys[left]]
+            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * MIX >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def moves(self, keys: np.ndarray) -> np.ndarray:
+        """The next state of each key (state * size + letter); -1: no transition."""
+        if self.dense is not None:
+            return self.dense[keys]
+        slots = self._slots(keys)
+        found = self.keys[slots]
+        out = np.where(found == keys, self.values[slots], -1)
+        again = np.flatnonzero((found != keys) & (found >= 0))
+        wanted, at, flat = keys.reshape(-1)[again], slots.reshape(-1)[again], out.reshape(-1)
+        while len(again):
+            at = (at + 1) & (len(self.keys) - 1)
+            found = self.keys[at]
+            hit = found == wanted
+            flat[again[hit]] = self.values[at[hit]]
+            more = ~hit & (found >= 0)
+            again, wanted, at = again[more], wanted[more], at[more]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -116,21 +155,20 @@ class Model:
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        block = np.full((lengths[0], len(parts)), self.size - 1, np.uint8)
+        block = np.full((lengths[0], len(parts)), self.size - 1, np.int32)
         for j, i in enumerate(order.tolist()):
             block[: lengths[j], j] = parts[i]
         live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # segments longer than each step
         size, root = self.size, np.repeat(self.starts[:, None], len(parts), 1)
         state, count = root.copy(), np.ones((k, len(parts)), np.int64)
         fresh = np.ones((k, len(parts)), bool)
-        table = self.next
         for step, n in enumerate(live.tolist()):
             c = block[step, :n].astype(np.int64)
-            s = table[state[:, :n] * size + c].astype(np.int64)
+            s = self.moves(state[:, :n] * size + c).astype(np.int64)
             miss = s < 0
             lost = False
             if miss.any():
-                again = table[root[:, :n] * size + c].astype(np.int64)
+                again = self.roots[:, c].astype(np.int64)
                 lost = miss & (again < 0)
                 # a miss starts a phrase, unless one is open without a letter yet; an unknown letter also ends its own
                 count[:, :n] += (miss & ~fresh[:, :n]).astype(np.int64) + lost
@@ -161,14 +199,16 @@ class Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """labelled: rows to learn from. A language's documents are those of the lowest id hashes."""
-    counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string")).count().orderBy(F.desc("count")).limit(LANGUAGES).collect() if r[0] is not None}
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL")
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return Model({})
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCS / n))])
-    h = unit(F.col(id_col), "langid")
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), h.alias("h"), F.substring(F.col(text_col), 1, DOC_CHARS).alias("text"))
+    share = labelled.sparkSession.createDataFrame([(k, min(1.0, DOCS / n)) for k, n in counts.items()], "lang string, share double")
+    start = F.pmod(F.xxhash64(F.lit("langid window"), "id"), F.greatest(F.length("text") - DOC_CHARS, F.lit(0)) + 1) + 1
+    rows = labelled.where("text IS NOT NULL").withColumn("h", unit(F.col("id"), "langid")).join(F.broadcast(share), "lang").where("h <= share")
+    rows = rows.select("lang", "h", F.substring("text", start.cast("int"), F.lit(DOC_CHARS)).alias("text"))
     found: dict[str, set] = {}
-    for r in rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("h") <= F.element_at(share, F.col("lang")))).toLocalIterator():
+    for r in rows.toLocalIterator():
         found.setdefault(r["lang"], set()).add((r["h"], r["text"]))
     samples = {}
     for lang, rows_ in found.items():
@@ -179,7 +219,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 if (x := letters(line)) and x not in seen:
                     seen.add(x)
                     lines.append(x)
-        samples[lang] = " ".join(lines)[: min(CHARS, ALL_CHARS // len(found))]
+        samples[lang] = " ".join(lines)[:CHARS]
     return Model({k: s for k, s in samples.items() if s})
 
 

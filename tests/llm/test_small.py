@@ -324,3 +324,29 @@ def test_wrapped_licences(model):
                     got = model.scan(text)
                     assert got["families"] == [family] and got["paragraph"] == line, (family, width, text[:60])
     assert model.scan("She kept all\nrights to the song that\nhe licensed under\nthe old contract.")["family"] is None
+
+
+def test_languages_of_many_scripts():
+    """Each sample's own letters count, however many letters there are in all; against brute force."""
+    import random
+
+    rng = random.Random(6)
+    ranges = {"am": 0x1200, "el": 0x3B1, "hy": 0x561, "ja": 0x3041, "ka": 0x10D0, "ko": 0xAC00, "th": 0xE01, "zh": 0x4E00}
+    made = lambda first, n: " ".join("".join(chr(first + rng.randrange(20)) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    samples = {k: langid.letters(made(f, 300)) for k, f in ranges.items()}
+    m, hashed = langid.Model(samples), langid.Model(samples, dense_bytes=0)
+    assert m.dense is not None and hashed.dense is None
+    assert len(set("".join(samples.values()))) > 150
+    texts = [langid.letters(made(f, 30)) for f in ranges.values()]
+
+    def brute(sample, text):
+        n = i = 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[i : j + 1] in sample:
+                j += 1
+            i, n = max(j, i + 1), n + 1
+        return n
+
+    assert m.phrases(texts).tolist() == [[brute(samples[k], t) for k in m.languages] for t in texts] == hashed.phrases(texts).tolist()
+    assert m.predict(texts)["lang_pred"] == list(ranges)

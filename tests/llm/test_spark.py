@@ -259,3 +259,14 @@ def test_pipeline_links_from_four_fifths(spark):
     assert sum(0.8 <= x < 0.85 for x in share.values()) >= 20 and min(share.values()) < 0.8
     df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in dict(P.STAGES)["near_dups"](spark, df, DIR).collect()} == set(sets) - {i + 1 for i, x in share.items() if x >= 0.8}
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than 64, one of them rare, and text beyond a long document's first characters."""
+    prepare(spark)
+    rows = [(100 * k + i, "".join(chr(0x4E00 + 40 * k + j) for j in range(30)), f"l{k:02}") for k in range(70) for i in range(2 if k < 69 else 1)]
+    rows += [(10**6 + i, "1" * langid.DOC_CHARS + " late words" * 2_000, "late") for i in range(20)]
+    df = spark.createDataFrame([*rows, (-1, "no label", None)], "doc_id long, text string, lang string")
+    m = langid.train(df)
+    assert m.languages == sorted({r[2] for r in rows})
+    assert all(r["lang_pred"] == r["lang"] for r in langid.identify(df.where("lang IS NOT NULL"), m, ["lang"]).collect())

@@ -154,27 +154,52 @@ def gazetteer_matches(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id",
 
 def register(surface_rows: list[str], nodes: DataFrame, threshold: float = 0.82, embedder: Embedder | None = None) -> list[dict]:
     """Ontology growth, in order: an exact name, a near duplicate of threshold or more, else a new node that later
-    surfaces can find. The list is bounded by the caller; existing nodes are matched as one matrix."""
+    surfaces can find. The list is bounded by the caller; all existing nodes are searched, in Arrow batches, and only
+    the nearest one to each surface of the list comes to the driver."""
     embedder = embedder or BigramEmbedder()
-    rows = nodes.select("name").orderBy("name").limit(BROADCAST_NODES).collect()
-    names = [r[0] for r in rows]
-    matrix = embedder.encode(names) if names else np.zeros((0, 1))
+    spark = nodes.sparkSession
+    wanted = list(dict.fromkeys(surface_rows))
+    names = nodes.select("name").where("name IS NOT NULL")
+    same = names.join(F.broadcast(spark.createDataFrame([(s,) for s in wanted], "name string")), "name", "left_semi")
+    exact = {r[0] for r in same.distinct().collect()}
+    left = [s for s in wanted if s not in exact]
+    vectors = dict(zip(left, embedder.encode(left))) if left else {}
+    best = nearest_of_all(left, np.array([vectors[s] for s in left]), names, embedder) if left else {}
+    made: list[str] = []
     out = []
     for s in surface_rows:
-        if s in names:
+        if s in exact or s in made:
             out.append({"surface": s, "node": s, "status": "exact", "score": 1.0})
             continue
-        v = embedder.encode([s])
-        sim = (matrix @ v[0]) if names else np.zeros(0)
-        if len(sim) and sim.max() >= threshold:
-            out.append({"surface": s, "node": names[int(sim.argmax())], "status": "near_duplicate", "score": float(sim.max())})
+        score, node = best.get(s, (-np.inf, None))
+        if made:
+            sim = np.array([vectors[m] for m in made]) @ vectors[s]
+            if sim.max() > score:
+                score, node = float(sim.max()), made[int(sim.argmax())]
+        if node is not None and score >= threshold:
+            out.append({"surface": s, "node": node, "status": "near_duplicate", "score": float(score)})
             continue
-        names.append(s)
-        matrix = np.vstack([matrix, v]) if len(matrix) else v
+        made.append(s)
         out.append({"surface": s, "node": s, "status": "created", "score": 1.0})
     return out
 
 
+def nearest_of_all(surface_rows: list[str], vectors: np.ndarray, names: DataFrame, embedder: Embedder) -> dict[str, tuple[float, str]]:
+    """Score and name of the node nearest to each surface, the first in order of equals, over all of names (name)."""
+
+    def run(batches):
+        for b in batches:
+            own = sorted(b["name"])
+            if own:
+                sim = embedder.encode(own) @ vectors.T
+                at = sim.argmax(0)
+                yield pd.DataFrame({"i": np.arange(len(at)), "score": sim.max(0).astype(float), "node": [own[k] for k in at]})
+
+    near = names.mapInPandas(run, "i int, score double, node string")
+    near = near.groupBy("i").agg(F.min(F.struct((-F.col("score")).alias("less"), "node")).alias("x"))
+    return {surface_rows[r["i"]]: (-r["x"]["less"], r["x"]["node"]) for r in near.collect()}
+
+
 def calibrate(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """threshold, correct, missed, wrong over scored cases (expected node or null, found node, score)."""
     t = scored.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")

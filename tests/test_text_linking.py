@@ -72,6 +72,13 @@ def test_register_sees_what_it_created(spark, nodes):
     assert [r["status"] for r in got] == ["exact", "created", "exact"]
 
 
+def test_register_searches_all_nodes(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BROADCAST_NODES", 3)
+    many = spark.createDataFrame([(x,) for x in ("Ada", "Basic", "Cobol", "Kubernetes", "PostgreSQL", "Zig")], "name string").repartition(3)
+    got = linking.register(["Zig", "PostgreSQLs", "quantum basket", "quantum baskets"], many)
+    assert [(r["node"], r["status"]) for r in got] == [("Zig", "exact"), ("PostgreSQL", "near_duplicate"), ("quantum basket", "created"), ("quantum basket", "near_duplicate")]
+
+
 def test_upsert_and_scope(spark):
     old = spark.createDataFrame([("a", "x", ["b1"]), ("b", "y", ["b1"])], "id string, v string, batch_ids array<string>")
     new = spark.createDataFrame([("b", None, ["b2"]), ("c", "z", ["b2"])], "id string, v string, batch_ids array<string>")

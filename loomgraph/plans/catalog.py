@@ -462,7 +462,7 @@ SELECT round(a[floor(len(a) * 0.025)::INT + 1], 6) AS lo, round(a[floor(len(a) *
 def bootstrap_ci(t: Tables) -> DataFrame:
     p = evaluation.precision_at(evaluation.ranked(t.graded()), 5)
     v = p.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("query")) - 1).alias("item"), F.col("p_at_k").alias("value"), F.lit(1.0).alias("weight"))
-    out = evaluation.bootstrap(v, evaluation.draws(t.spark, 20, 200))
+    out = evaluation.bootstrap(v, evaluation.draws(t.spark, v.count(), 200))
     return out.select(r("lo").alias("lo"), r("hi").alias("hi"))
 
 

@@ -86,3 +86,21 @@ def test_categories_and_types(spark):
     rows = [("a", "b", "substitute", "symmetric", 1.0, 1), ("b", "a", "prerequisite", "a_to_b", 0.5, 2), ("a", "c", "complement", "symmetric", 1.0, 3)]
     c = spark.createDataFrame(rows, "a string, b string, edge_type string, direction string, confidence double, seq long")
     assert [tuple(r) for r in graph.typed_edges(c).collect()] == [("a", "b", 0.1, "prerequisite")]
+
+
+def test_bootstrap_draws_from_every_source(spark, tmp_path):
+    """bootstrap_ci over more and fewer sources than the 20 of the supplied tables, by brute force."""
+    import random
+
+    from loomgraph.plans import catalog
+
+    for n in (27, 7):
+        d = str(tmp_path / str(n))
+        rows = [(10 * s + k, f"t{s} {k}", "en", f"s{s:02}", 50 + 3 * k + s) for s in range(n) for k in range(5)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(r[0], int(r[0] % 10 < 1 + r[0] // 10 % 5), 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        values = [(1 + s % 5) / 5 for s in range(n)]
+        rng = random.Random(42)
+        means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(200))
+        got = catalog.QUERIES["bootstrap_ci"](spark, d).first()
+        assert (got["lo"], got["hi"]) == (round(means[5], 6), round(means[195], 6))

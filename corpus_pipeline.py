@@ -14,13 +14,11 @@ documents a stage is given, by the same rule of held-out ids as the single queri
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, langid, mixing, neardup, toxicity
-from loomgraph.llm.common import prepare, read, remainder
+from loomgraph.llm.common import folder, prepare, read, remainder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Similarity of five-word shingles from which the stage takes documents for near duplicates, in hundredths.
@@ -88,11 +86,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, with a table in the shared folder between stages."""
     docs = read(spark, sf_dir, "documents")
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/pipeline-{uuid.uuid4().hex}"
+    where = folder(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{folder}/{i}-{name}"
+            path = f"{where}/{i}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs

@@ -4,41 +4,82 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch handed to a Python worker; a batch of long texts must fit a worker's memory.
+#: Rows and bytes of an Arrow batch handed to a Python worker, and bytes of text handed to a function at once (one text
+#: may be longer).
 BATCH_ROWS = 256
+BATCH_BYTES = 16 << 20
+PIECE_BYTES = 4 << 20
+
+_OWN: list[tuple] = []  # paths of intermediate tables, with the context that wrote them
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and take small Arrow batches.
+    """Let Python workers import this package, take small Arrow batches, and see that there is a checkpoint folder.
 
-    On a cluster the package is normally shipped with ``--py-files``; the added path does no harm there.
+    The two batch settings of the session are lowered, never raised. On a cluster the package is normally shipped with
+    ``--py-files``; the added path does no harm there. Intermediate tables go to the folder that spark.checkpoint.dir
+    names; only a local master, whose executors are on the same machine, gets a folder of its own without it.
     """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="loomgraph-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(folder)
+    spark.sparkContext.setCheckpointDir(folder)
+
+
+@atexit.register
+def _remove_own() -> None:
+    for sc, path in _OWN:
+        try:
+            path = sc._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the JVM may have gone, and an unclean folder must not fail a finished job
+            return
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder; it is removed when the driver's process ends."""
+    prepare(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    _OWN.append((spark.sparkContext, path))
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there from now on."""
     prepare(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _OWN.append((df.sparkSession.sparkContext, file.get()))
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,32 +99,54 @@ def unit(doc_id: Column, salt: str) -> Column:
     return F.pmod(h, F.lit(1 << 48)) / F.lit(float(1 << 48))
 
 
+def clash(keep, own, what: str = "keep") -> None:
+    """Refuse columns to keep that would be in the result twice; names count as Spark resolves them, whatever their case."""
+    low = [c.lower() for c in (*keep, *own)]
+    if twice := sorted({c for c in low if low.count(c) > 1}):
+        raise ValueError(f"{what} names columns that the result has already: {', '.join(twice)}; rename them first")
+
+
+def pieces(sizes: np.ndarray, most: int = PIECE_BYTES) -> list[tuple[int, int]]:
+    """Ranges of consecutive rows with at most so many bytes, or of one row."""
+    out, first, total = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if total + n > most and i > first:
+            out.append((first, i))
+            first, total = i, 0
+        total += n
+    return [*out, (first, len(sizes))]
+
+
 def map_texts(df: DataFrame, keep: list[str], schema: str, fn, text: str = "text") -> DataFrame:
-    """Rows of fn over Arrow batches: fn(list of texts or None) -> dict of columns, in the order of the texts.
+    """Rows of fn over pieces of Arrow batches: fn(list of texts or None) -> dict of columns, in the order of the texts.
 
-    keep: columns passed through unchanged. schema: the DDL of fn's columns.
+    keep: columns passed through unchanged (the text goes to Python once, kept or not). schema: the DDL of fn's columns.
     """
     prepare(df.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
-    source = df.select(*kept, F.col(text).cast("string").alias("__text"))
-    ddl = ", ".join([*(f"`{c}` {types[c]}" for c in keep), schema])
-    out_schema = df.sparkSession.createDataFrame([], ddl).schema
+    out_schema = df.sparkSession.createDataFrame([], schema).schema
+    clash(keep, out_schema.names)
+    out_schema = df.sparkSession.createDataFrame([], ", ".join([*(f"`{c}` {types[c]}" for c in keep), schema])).schema
     n = len(keep)
+    at = keep.index(text) if text in keep and types[text] == "string" else n
+    sent = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
+    if at == n:
+        sent.append(F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out_schema)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            got = fn(b.column(n).to_pylist())
-            cols = [b.column(i).cast(arrow.field(i).type) for i in range(n)]
-            cols += [pa.array(got[arrow.field(i).name], type=arrow.field(i).type) for i in range(n, len(arrow))]
-            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-
-    return source.mapInArrow(run, out_schema)
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(at)), 0).to_numpy(zero_copy_only=False)
+            for a, b in pieces(sizes) if whole.num_rows else ():
+                part = whole.slice(a, b - a)
+                got = fn(part.column(at).to_pylist())
+                cols = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
+                cols += [pa.array(got[arrow.field(i).name], type=arrow.field(i).type) for i in range(n, len(arrow))]
+                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    return df.select(*sent).mapInArrow(run, out_schema)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

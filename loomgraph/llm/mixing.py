@@ -8,11 +8,14 @@ document on the border is taken in part, so that targets are met to the word.
 The order within a source is never made in one task: rows are range-partitioned on (source, key), each partition's
 part of a source is summed, those sums are prefix-summed (as many rows as partitions plus sources), and running
 sums within a part start from there. A source with a third of all rows spreads over a third of the partitions.
-The table of sources (one row each) is broadcast up to BROADCAST_SOURCES rows, else joined with AQE's skew split.
+Sources are numbered in the same way, and their targets found by aggregates over them, so they may be many. The table
+of sources (one row each) is broadcast up to BROADCAST_SOURCES rows, else joined with AQE's skew split.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; a source of size 0 has
-target 0; repeated rows are separate documents, ordered by id and text; an empty table gives no rows; columns that
-are not named in the arguments are ignored.
+target 0; repeated rows are separate documents, ordered by id and text, and rows equal in both take what they take
+in any order; a text of any length is counted whole, in the JVM, and isn't held besides; an empty table gives no rows;
+columns that are not named in the arguments are ignored, whatever their names; a name in keep that the result has
+already is refused.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, read
+from .common import WORD, clash, cut, read
 
 SEED = "mix-1"
 #: A source gives its words this many times at most.
@@ -47,36 +50,46 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return (F.conv(h, 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
 
 
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with __place: 0, 1, 2, ... in that order, from the counts of range partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    before = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return rows.withColumn("__own", own).join(F.broadcast(starts), "__part").withColumn("__place", F.col("__start") + F.col("__own") - 1).drop("__part", "__start", "__own")
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """src, source_size -> and target: all words shared by weight, no source above MOST times its size.
 
-    Sharing the excess again and again ends at min(MOST * size, rate * weight) with one rate for all; sources in the
-    order of size / weight reach their limit first, so the rate is found from prefix sums.
+    The excess of the sources above their limit is shared again by weight until none is above; every round is one
+    aggregate and holds at least one source more, and few rounds do, as each rate comes from all sources that are free.
     """
-    everything = W.partitionBy(F.lit(0))
-    place = F.row_number().over(everything.orderBy(F.col("src").isNull(), "src"))
+    x = numbered(sources, F.col("src").isNull(), "src")
     kinds = F.array(*[F.lit(w) for w in WEIGHTS])
-    x = sources.withColumn("w", F.element_at(kinds, (F.pmod(place - 1, F.lit(len(WEIGHTS))) + 1).cast("int")).cast("long"))
-    order = everything.orderBy(F.col("source_size") / F.col("w"), F.col("src").isNull(), "src").rowsBetween(W.unboundedPreceding, -1)
-    full = lambda c: F.sum(c).over(everything)
-    x = x.withColumns({
-        "total": full("source_size"), "weights": full("w"),
-        "held": F.coalesce(F.sum("source_size").over(order), F.lit(0)) * MOST, "held_w": F.coalesce(F.sum("w").over(order), F.lit(0)),
-    })
-    x = x.withColumn("rate", (F.col("total") - F.col("held")).cast("double") / (F.col("weights") - F.col("held_w")).cast("double"))
-    fits = F.col("rate") * F.col("w") <= F.col("source_size") * MOST
-    x = x.withColumn("rate", F.max(F.when(fits, F.struct(-(F.col("source_size") / F.col("w")), "rate"))).over(everything)["rate"])
-    limit = (F.col("source_size") * MOST).cast("double")
-    return x.select("src", "source_size", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.least(limit, F.col("rate") * F.col("w"))).alias("target"))
+    x = cut(x.select("src", "source_size", F.element_at(kinds, (F.pmod("__place", F.lit(len(WEIGHTS))) + 1).cast("int")).cast("long").alias("w")))
+    limit = F.col("source_size") * MOST
+    rate, above = None, -1
+    while True:
+        held = F.lit(False) if rate is None else F.lit(rate) * F.col("w") > limit
+        got = x.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w"), F.sum(F.when(held, limit)).alias("held"), F.sum(F.when(held, F.col("w"))).alias("held_w"), F.count_if(held).alias("n")).first()
+        free = (got["w"] or 0) - (got["held_w"] or 0)
+        if got["n"] == above or not free:
+            break
+        rate, above = ((got["total"] or 0) - (got["held"] or 0)) / free, got["n"]
+    return x.select("src", "source_size", F.least(limit.cast("double"), F.lit(rate or 0.0) * F.col("w")).alias("target"))
 
 
 def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs; keep: further columns to carry along."""
+    clash(keep, ("doc_id", "size", "source_size", "target", "taken"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)]
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("src"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        (-F.log(uniform(F.col(id_col), seed)) / quality_weight(text)).alias("key"), F.md5(text.cast("binary")).alias("tie"), *keep,
+        (-F.log(uniform(F.col(id_col), seed)) / quality_weight(text)).alias("key"), F.md5(text.cast("binary")).alias("tie"), *kept,
     )
     rows = cut(rows)
     sources = cut(targets(rows.groupBy("src").agg(F.sum("size").alias("source_size"))))
@@ -98,7 +111,8 @@ def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.expr("floor(target + 0.5D) div source_size"))
     rest = budget - epochs * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("start") - F.col("own"), F.lit(0)), F.col("size"))
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *keep)
+    out = [F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)]
+    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +133,7 @@ held AS (
     coalesce(sum(source_size) OVER o, 0)::BIGINT * {MOST} AS held, coalesce(sum(w) OVER o, 0)::BIGINT AS held_w
   FROM weighted WINDOW o AS (ORDER BY source_size::DOUBLE / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 rated AS (SELECT *, (total - held)::DOUBLE / (weights - held_w)::DOUBLE AS rate FROM held),
-chosen AS (SELECT min_by(rate, source_size::DOUBLE / w) AS rate FROM rated WHERE rate * w <= source_size * {MOST}),
+chosen AS (SELECT rate FROM rated WHERE rate * w <= source_size * {MOST} ORDER BY source_size::DOUBLE / w, src NULLS LAST LIMIT 1),
 target AS (
   SELECT src, source_size, CASE WHEN total = 0 THEN 0.0 ELSE least((source_size * {MOST})::DOUBLE, (SELECT rate FROM chosen) * w) END AS target FROM rated),
 ordered AS (

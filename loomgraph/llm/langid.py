@@ -1,25 +1,28 @@
 """Language identification by cross-parsing entropy.
 
 Training takes a bounded sample of labelled text for each language, of all languages: about DOCS documents by a hash of
-their id, of each a window of DOC_CHARS characters at a hashed offset, CHARS characters in all, and builds a suffix automaton of it. A text is parsed greedily against each automaton: the
-longest match from the current place is one phrase, then the next phrase starts. The language whose automaton needs
-the fewest phrases wins (every phrase costs log2 of the sample's length, and all samples count with the same length,
-so cost per character is the normalised number of phrases).
+their id, of each a window of DOC_CHARS characters at a hashed offset, CHARS characters in all, and builds a suffix
+automaton of it. A text is parsed greedily against each automaton: the longest match from the current place is one
+phrase, then the next phrase starts. A phrase is a place in the sample, so it costs log2 of the sample's length in bits;
+the language whose phrases cost the fewest bits a letter wins. So a short sample, whose matches are short, isn't at a
+disadvantage for that alone.
 
 Text is reduced to lower-case letters and single spaces. The transitions of all automata, each over all letters of its
 own sample, are in one table: dense (states x letters, int32) up to DENSE_BYTES, else open-addressed by a hash of state
 and letter, with the same results and about four times slower. A letter that a sample lacks has no transition and is a
-phrase of its own. Texts are
-parsed in segments of SEGMENT characters, all segments of a batch and all languages in step, as array operations;
-a segment's border ends a phrase for every language alike. The whole text counts.
+phrase of its own. Texts are parsed in segments of SEGMENT characters, all segments of a piece of a batch and all
+languages in step, as array operations; a segment is then parsed again from the state in which the one before it ended,
+as far as both parses differ, so that the phrases are those of one parse of the whole text.
 
 The model is broadcast. A hashed language has at most 3 CHARS transitions, of 24 to 48 bytes: 6 MB; time a text grows
 with the number of languages. Root transitions are held as languages x letters x 4 bytes.
 Rows are independent; nothing is shuffled. Training collects at most about DOCS x DOC_CHARS characters a language.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; with no labelled text everything is
-`und`; ties go to the first language in code-point order; repeated rows are predicted each for themselves; an empty
-table gives no rows; columns that are not named in the arguments are ignored.
+`und`; a label that is null isn't learnt; ties go to the first language in code-point order; a text of any length is
+parsed whole, in memory in proportion to it; repeated rows are predicted each for themselves; an empty table gives no
+rows; columns that are not named in the arguments are ignored, whatever their names; a name in keep that the result has
+already is refused.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ DOCS = 150
 DOC_CHARS = 4_000
 CHARS = 40_000
 SEGMENT = 2048
+#: Steps after which a parse is compared with an earlier one of the same segment.
+MARK = 64
 #: Largest dense table.
 DENSE_BYTES = 192_000_000
 UNKNOWN = "und"
@@ -93,6 +98,7 @@ class Model:
             starts.append(at)
             at += states
         self.starts = np.array(starts, np.int64)
+        self.bits = np.array([np.log2(max(2, len(samples[lang]))) for lang in self.languages])
         rows = np.concatenate(edges)
         keys, values = rows[:, 0] * n + rows[:, 1], rows[:, 2].astype(np.int32)
         self.dense = None
@@ -104,8 +110,8 @@ class Model:
         self.roots = self.moves(np.repeat(self.starts[:, None], n, 1) * n + np.arange(n)).astype(np.int32)
 
     def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.wide = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.wide, -1, np.int64), np.zeros(1 << self.wide, np.int32)
         left, slots = np.arange(len(keys)), self._slots(keys)
         while len(left):
             free = left[self.keys[slots[left]] < 0]
@@ -113,11 +119,11 @@ class Model:
             put = free[first]
             self.keys[slots[put]], self.values[slots[put]] = keys[put], values[put]
             left = left[self.keys[slots[left]] != keys[left]]
-            slots[left] = (slots[left] + 1) & ((1 << self.bits) - 1)
+            slots[left] = (slots[left] + 1) & ((1 << self.wide) - 1)
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (keys.astype(np.uint64) * MIX >> np.uint64(64 - self.bits)).astype(np.int64)
+            return (keys.astype(np.uint64) * MIX >> np.uint64(64 - self.wide)).astype(np.int64)
 
     def moves(self, keys: np.ndarray) -> np.ndarray:
         """The next state of each key (state * size + letter); -1: no transition."""
@@ -141,49 +147,83 @@ class Model:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         return self.code[np.minimum(points, len(self.code) - 1)]
 
+    def parse(self, block: np.ndarray, lengths: np.ndarray, state: np.ndarray, count: np.ndarray):
+        """Read the columns of block (letters by step, the longest column first) from the given states, in place; after
+        each MARK steps, and at the end, yields the step reached."""
+        root = self.starts[:, None]
+        live = np.searchsorted(-lengths, -np.arange(len(block)), side="left")  # columns longer than each step
+        for step, n in enumerate(live.tolist()):
+            c = block[step, :n].astype(np.int64)
+            now = state[:, :n]
+            s = self.moves(now * self.size + c)
+            miss = s < 0
+            count[:, :n] += miss | (now == root)  # a phrase starts where none is open or the open one can't go on
+            if miss.any():
+                s = np.where(miss, self.roots[:, c], s)
+                s = np.where(s < 0, root, s)  # the sample lacks the letter: a phrase of its own
+            state[:, :n] = s
+            if (step + 1) % MARK == 0 or step + 1 == len(block):
+                yield step + 1
+
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text (of letters() form) against each language."""
-        k, parts, owner = len(self.languages), [], []
+        """Phrases of each text (of letters() form) against each language: those of one greedy parse from its first letter.
+
+        Segments of SEGMENT letters are parsed side by side, at first as if a phrase began at each. Then those whose
+        predecessor ended in another state are parsed again from there, as far as the first mark where they are in the
+        state they were in before; from it on nothing differs.
+        """
+        k, parts, owner, first = len(self.languages), [], [], []
         for i, t in enumerate(texts):
             codes = self.encode(t)
             for a in range(0, len(codes), SEGMENT):
                 parts.append(codes[a : a + SEGMENT])
                 owner.append(i)
+                first.append(a == 0)
         out = np.zeros((len(texts), k), np.int64)
         if not parts or not k:
             return out
-        lengths = np.array([len(p) for p in parts])
-        order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        block = np.full((lengths[0], len(parts)), self.size - 1, np.int32)
-        for j, i in enumerate(order.tolist()):
-            block[: lengths[j], j] = parts[i]
-        live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # segments longer than each step
-        size, root = self.size, np.repeat(self.starts[:, None], len(parts), 1)
-        state, count = root.copy(), np.ones((k, len(parts)), np.int64)
-        fresh = np.ones((k, len(parts)), bool)
-        for step, n in enumerate(live.tolist()):
-            c = block[step, :n].astype(np.int64)
-            s = self.moves(state[:, :n] * size + c).astype(np.int64)
-            miss = s < 0
-            lost = False
-            if miss.any():
-                again = self.roots[:, c].astype(np.int64)
-                lost = miss & (again < 0)
-                # a miss starts a phrase, unless one is open without a letter yet; an unknown letter also ends its own
-                count[:, :n] += (miss & ~fresh[:, :n]).astype(np.int64) + lost
-                s = np.where(lost, root[:, :n], np.where(miss, again, s))
-            fresh[:, :n] = lost
-            state[:, :n] = s
-        count -= fresh
-        np.add.at(out, np.array(owner)[order], count.T)
+        m, root = len(parts), self.starts[:, None]
+        began = np.repeat(root, m, 1)
+        ended, total = began.copy(), np.zeros((k, m), np.int32)
+        marks = -(-max(map(len, parts)) // MARK)
+        passed, counted = np.full((marks, k, m), -1, np.int32), np.zeros((marks, k, m), np.int32)
+        todo = np.arange(m)
+        while len(todo):
+            size = np.array([len(parts[i]) for i in todo.tolist()])
+            order = np.argsort(-size, kind="stable")
+            cols, size = todo[order], size[order]
+            block = np.full((size[0], len(cols)), self.size - 1, np.int32)
+            for j, i in enumerate(cols.tolist()):
+                block[: size[j], j] = parts[i]
+            state, count = began[:, cols], np.zeros((k, len(cols)), np.int32)
+            open_ = np.ones(len(cols), bool)
+            for step in self.parse(block, size, state, count):
+                at = (step - 1) // MARK
+                here = np.flatnonzero(open_ & (size > at * MARK))
+                own = cols[here]
+                same = (passed[at][:, own] == state[:, here]).all(0)
+                shift = count[:, here] - counted[at][:, own]
+                passed[at][:, own], counted[at][:, own] = state[:, here], count[:, here]
+                met = own[same]
+                counted[at + 1 :, :, met] += shift[:, same]
+                total[:, met] += shift[:, same]
+                open_[here[same]] = False
+                over = here[~same & (size[here] <= step)]
+                ended[:, cols[over]], total[:, cols[over]] = state[:, over], count[:, over]
+                open_[over] = False
+                if not open_.any():
+                    break
+            wanted = np.where(np.array(first), root, np.roll(ended, 1, 1))
+            todo = np.flatnonzero((wanted != began).any(0))
+            began = wanted
+        np.add.at(out, np.array(owner), total.T)
         return out
 
     def predict(self, texts: list[str | None]) -> dict[str, list]:
         reduced = [letters(t) if t else "" for t in texts]
-        counts = self.phrases(reduced)
+        costs = self.phrases(reduced) * self.bits
         langs, scores, rates = [], [], []
-        for t, c in zip(reduced, counts.tolist()):
+        for t, c in zip(reduced, costs.tolist()):
             if not t or not c:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
@@ -194,7 +234,7 @@ class Model:
             langs.append(self.languages[best])
             scores.append(rest / (rest + c[best]))
             rates.append(c[best] / len(t))
-        return {"lang_pred": langs, "score": scores, "phrase_rate": rates}
+        return {"lang_pred": langs, "score": scores, "bits_a_letter": rates}
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -224,9 +264,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep, lang_pred, score (0.5 to 1: the next language's share of both phrase counts) and phrase_rate (phrases a character)."""
+    """keep, lang_pred, score (0.5 to 1: the next language's share of the bits of both) and bits_a_letter (the best one's)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, keep, "lang_pred string, score double, phrase_rate double", lambda texts: sent.value.predict(texts), text_col)
+    return map_texts(docs, keep, "lang_pred string, score double, bits_a_letter double", lambda texts: sent.value.predict(texts), text_col)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -238,4 +278,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     out = identify(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
-    return out.select("doc_id", "held_out", "lang_pred", "score", "phrase_rate")
+    return out.select("doc_id", "held_out", "lang_pred", "score", "bits_a_letter")

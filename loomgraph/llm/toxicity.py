@@ -14,9 +14,11 @@ copies don't make a vocabulary of their own). Word counts are made on the execut
 by the sample, come to the driver and are broadcast. Scoring is row by row: no shuffle, no state.
 
 Defined cases: null and empty texts have no segments and get the score of no evidence; without labels, or with one
-class only, no unit is significant and every score is the share of toxic documents (0 without labels); a text of any
-length is scanned whole; repeated rows are scored each for themselves; an empty table gives no rows; columns that are
-not named in the arguments are ignored.
+class only, no unit is significant and every score is the share of toxic documents (0 without labels); a label that is
+null, or of a null id, isn't learnt from, and an id with several labels counts as the highest; a text of any length is
+scanned whole, in memory in proportion to its words; units of equal significance rank by their text, and segments of
+equal score are all kept; repeated rows are scored each for themselves; an empty table gives no rows; columns that are
+not named in the arguments are ignored, whatever their names; a name in keep that the result has already is refused.
 """
 
 from __future__ import annotations
@@ -159,12 +161,28 @@ def shape(text: str | None) -> tuple[list[str], str, int]:
     return sorted({u for w in set(words) for u in units(w)}), f"{first}", len(words)
 
 
+def log_tail(a: int, n: int, share: float) -> float:
+    """The logarithm of the chance of a or more in n independent cases of chance `share` each; 0 up to the expected number."""
+    if a <= n * share:
+        return 0.0
+    if share <= 0:
+        return -math.inf
+    first = math.lgamma(n + 1) - math.lgamma(a + 1) - math.lgamma(n - a + 1) + a * math.log(share) + (n - a) * math.log1p(-share)
+    total = term = 1.0
+    for k in range(a, n):  # terms fall from here on
+        term *= (n - k) / (k + 1) * share / (1 - share)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return first + math.log(total)
+
+
 def significant(rows: list, tested: int, share: float) -> list:
     """Rows (unit, a toxic documents, b clean ones) that pass the Benjamini-Hochberg procedure among `tested` units."""
-    tail = lambda a, n: sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(a, n + 1))
-    memo = Memo(lambda ab: tail(ab[0], sum(ab)) if sum(ab) < 400 else 0.0)
+    memo = Memo(lambda ab: log_tail(ab[0], sum(ab), share))
     ranked = sorted(rows, key=lambda r: (memo[r["a"], r["b"]], r["unit"]))
-    last = max((i for i, r in enumerate(ranked, 1) if memo[r["a"], r["b"]] <= FALSE_SHARE * i / max(1, tested)), default=0)
+    limit = lambda i: math.log(FALSE_SHARE * i / max(1, tested))
+    last = max((i for i, r in enumerate(ranked, 1) if memo[r["a"], r["b"]] <= limit(i)), default=0)
     return ranked[:last]
 
 

@@ -1,26 +1,34 @@
 """Media columns: motion-JPEG in AVI. RIFF index, intra frames, shots by adaptive histogram differences, clip rows.
 
-read_avi() finds the video chunks through idx1 (or, without one, by walking movi). decode() decodes a baseline JPEG:
-Huffman tables, restart intervals, 4:2:0 and other samplings, dequantisation and inverse DCT; with scale 8 it keeps
-each block's DC term only, which is the frame at an eighth of its size. shots() cuts where the difference of
-consecutive luma histograms exceeds the mean of the last WINDOW differences by SIGMAS standard deviations, and
-LEAST_CUT at least; clips() gives one row for each shot with its times.
+Avi finds the video chunks through idx1 (or, without one, by walking movi). decode() decodes a baseline JPEG: Huffman
+tables, restart intervals, 4:2:0 and other samplings, dequantisation and inverse DCT; with scale 8 it keeps each
+block's DC term only, which is the frame at an eighth of its size. A reader takes the bits in one pass. Frames of one
+component whose blocks have no other term than the DC are read side by side as arrays, from any Huffman tables: the
+length of a block is looked up at every bit place at once, and the chains of blocks are followed in step (flat()); a
+frame that has other terms is left to the reader. shots() cuts where the difference of consecutive luma histograms
+exceeds the mean of the last WINDOW differences by SIGMAS standard deviations, and LEAST_CUT at least; clips() gives
+one row for each shot with its times.
 
 write_avi() is the lossless store of the query: each payload byte is the DC term of one 8x8 block. The quantiser of
 the DC term is 8, so that a block decodes to the byte's value in all 64 samples, in any JPEG decoder; 8-bit samples
 at scale 8 are the payload. The Huffman table gives a difference of category s a code of 9 - s bits and the block
-end one bit, so that every block has 10 bits and whole frames are packed and unpacked as arrays.
+end one bit, so that every block has 10 bits and whole frames are packed as arrays. The query decodes the stored
+frames like any others.
 
-Rows are independent, in Arrow batches; memory is bounded by a batch. Nothing is shuffled or collected.
+Rows are independent; a piece of an Arrow batch (PIECE_BYTES of text, or one text) is in memory with its media, and
+GROUP frames with the tables of their bit places. Nothing is shuffled or collected.
 
-Defined cases: null media has null clips, null text an all-zero payload; a broken file gives an error text, not an
-exception; an index entry that points outside the file is skipped; repeated rows are treated each for themselves; an
-empty table gives no rows; columns that are not named in the arguments are ignored.
+Defined cases: null media has null clips, null text an all-zero payload; a text of any length is stored whole, in
+memory in proportion to it; a broken file gives an error text, not an exception; an index entry that points outside
+the file is skipped; frames of equal difference to the limit aren't cut (ties belong to the shot before); repeated rows
+are treated each for themselves; an empty table gives no rows; columns that are not named in the arguments are ignored,
+whatever their names; a name in keep that the result has already is refused.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections import deque
@@ -28,7 +36,7 @@ from collections import deque
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, prepare, read
+from .common import clash, map_texts, prepare, read
 
 FPS = 25
 #: Blocks in a row and rows in a frame of the lossless store.
@@ -39,6 +47,9 @@ WINDOW = 8
 SIGMAS = 3.0
 LEAST_CUT = 0.25
 CHUNK = struct.Struct("<4sI")
+#: Frames that are read side by side.
+GROUP = 256
+RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 
 # The zigzag order of ITU T.81 as row-major positions, from its rule.
 ZIGZAG = np.array([8 * r + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))])
@@ -60,8 +71,6 @@ def _codes() -> np.ndarray:
 
 
 CODES = _codes()
-DIFFERENCES = np.full(1024, 9999, np.int16)
-DIFFERENCES[CODES] = np.arange(-255, 256)
 DC_LENGTHS = bytes([1] * 9 + [0] * 7)
 DC_SYMBOLS = bytes(range(8, -1, -1))
 AC_LENGTHS = bytes([1] + [0] * 15)
@@ -88,16 +97,6 @@ def pack(values: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def unpack(data: np.ndarray) -> np.ndarray:
-    b = data.reshape(-1, 5).astype(np.uint16)
-    out = np.empty((len(b), 4), np.uint16)
-    out[:, 0] = b[:, 0] << 2 | b[:, 1] >> 6
-    out[:, 1] = (b[:, 1] & 63) << 4 | b[:, 2] >> 4
-    out[:, 2] = (b[:, 2] & 15) << 6 | b[:, 3] >> 2
-    out[:, 3] = (b[:, 3] & 3) << 8 | b[:, 4]
-    return out.reshape(-1)
-
-
 def _chunk(name: bytes, body: bytes) -> bytes:
     return CHUNK.pack(name, len(body)) + body + b"\0" * (len(body) & 1)
 
@@ -180,17 +179,18 @@ class Avi:
 # JPEG
 
 
-def huffman(lengths: bytes, symbols: bytes) -> list[tuple[int, int]]:
-    """16 bits ahead -> (bits of the code, symbol); (0, 0) where no code fits."""
-    table = [(0, 0)] * 65536
+def huffman(lengths: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """By 16 bits ahead, the bits of the code (0 where none fits) and the symbol."""
+    sizes, values = np.zeros(65536, np.uint8), np.zeros(65536, np.uint8)
     code = k = 0
     for n in range(1, 17):
         for _ in range(lengths[n - 1]):
             first = code << (16 - n)
-            table[first : first + (1 << (16 - n))] = [(n, symbols[k])] * (1 << (16 - n))
+            sizes[first : first + (1 << (16 - n))] = n
+            values[first : first + (1 << (16 - n))] = symbols[k]
             code, k = code + 1, k + 1
         code <<= 1
-    return table
+    return sizes, values
 
 
 class Frame:
@@ -240,9 +240,11 @@ class Frame:
         end = data.rfind(b"\xff\xd9")
         self.coded = data[self.start : end if end > 0 else len(data)]
 
-    def fixed(self) -> bool:
-        """Whether every block has the 10 bits of the lossless store."""
-        return len(self.parts) == 1 and not self.restart and self.tables.get(self.parts[0][4]) == (DC_LENGTHS, DC_SYMBOLS) and self.tables.get(self.parts[0][5]) == (AC_LENGTHS, b"\0")
+    def alone(self) -> tuple | None:
+        """The tables of a scan of one component without restarts: what flat() needs to be equal."""
+        if len(self.parts) != 1 or self.restart:
+            return None
+        return self.tables.get(self.parts[0][4]), self.tables.get(self.parts[0][5])
 
     def coefficients(self) -> list[np.ndarray]:
         """Of each component: blocks down, blocks across, 64 quantised terms in zigzag order."""
@@ -251,19 +253,12 @@ class Frame:
             hmax = vmax = self.parts[0][1] = self.parts[0][2] = 1
         mx, my = -(-self.width // (8 * hmax)), -(-self.height // (8 * vmax))
         planes = [np.zeros((my * p[2], mx * p[1], 64), np.int32) for p in self.parts]
-        tables = {k: huffman(*v) for k, v in self.tables.items()}
-        runs, at = [], 0
-        raw = self.coded
-        for i in range(len(raw) - 1):  # split at restart markers
-            if raw[i] == 0xFF and 0xD0 <= raw[i + 1] <= 0xD7:
-                runs.append(raw[at:i])
-                at = i + 2
-        runs.append(raw[at:])
+        tables = {k: tuple(x.tolist() for x in huffman(*v)) for k, v in self.tables.items()}
         mcu, per = 0, self.restart or mx * my
-        for run in runs:
+        for run in RESTART.split(self.coded):
             data = run.replace(b"\xff\0", b"\xff")
-            bits, n = int.from_bytes(data + b"\xff" * 8, "big"), 8 * len(data) + 64
-            pos, last = 0, [0] * len(self.parts)
+            end, pos, last = 8 * len(data), 0, [0] * len(self.parts)
+            data += b"\xff" * 8
             for mcu in range(mcu, min(mcu + per, mx * my)):
                 y, x = divmod(mcu, mx)
                 for k, p in enumerate(self.parts):
@@ -273,8 +268,11 @@ class Frame:
                             block = planes[k][y * p[2] + v, x * p[1] + h]
                             i = 0
                             while i < 64:
-                                size, symbol = (ac if i else dc)[bits >> (n - pos - 16) & 0xFFFF]
-                                if not size or pos > n - 64:
+                                at = pos >> 3
+                                ahead = int.from_bytes(data[at : at + 5], "big") << (pos & 7)  # 32 bits are whole
+                                sizes, symbols = ac if i else dc
+                                size, symbol = sizes[ahead >> 24 & 0xFFFF], symbols[ahead >> 24 & 0xFFFF]
+                                if not size or pos > end:
                                     raise ValueError("broken JPEG data")
                                 pos += size
                                 if i and symbol == 0:
@@ -284,7 +282,7 @@ class Frame:
                                     continue
                                 i += symbol >> 4 if i else 0
                                 s = symbol & 15
-                                value = bits >> (n - pos - s) & ((1 << s) - 1)
+                                value = ahead >> (40 - size - s) & ((1 << s) - 1)
                                 pos += s
                                 if s and value < 1 << (s - 1):
                                     value -= (1 << s) - 1
@@ -298,23 +296,75 @@ class Frame:
         return planes
 
 
+def block_lengths(dc: tuple[bytes, bytes], ac: tuple[bytes, bytes]) -> np.ndarray | None:
+    """By 16 bits ahead, the bits of a block with a DC term only (0: not such a block); None if 16 can't always tell."""
+    (dc_sizes, dc_symbols), (ac_sizes, ac_symbols) = huffman(*dc), huffman(*ac)
+    step = np.where((dc_sizes > 0) & (dc_symbols < 12), dc_sizes + dc_symbols, 0).astype(np.int64)
+    rest = np.arange(65536) << step & 0xFFFF
+    whole = (ac_symbols[rest] == 0) & (ac_sizes[rest] > 0) & (step > 0)
+    if (step > 15).any() or (whole & (step + ac_sizes[rest] > 16)).any():
+        return None
+    return np.where(whole, step + ac_sizes[rest], 0).astype(np.uint8)
+
+
+def flat(frames: list[Frame]) -> list[np.ndarray | None]:
+    """The quantised DC terms of frames with the same alone(), in scan order; None for a frame with any other term, or
+    with broken data."""
+    tables = frames[0].alone()
+    lengths = block_lengths(*tables)
+    if lengths is None:
+        return [None] * len(frames)
+    coded = [f.coded.replace(b"\xff\0", b"\xff") for f in frames]
+    blocks = [-(-f.height // 8) * -(-f.width // 8) for f in frames]
+    most = max(blocks)
+    raw = np.frombuffer(b"".join([*(x + b"\xff\xff" for x in coded), b"\xff" * (2 * most + 8)]), np.uint8).astype(np.int64)
+    three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+    here = np.empty((len(three), 8), np.uint8)  # the length of a block at every bit place
+    for i in range(8):
+        here[:, i] = lengths[three >> (8 - i) & 0xFFFF]
+    here = here.reshape(-1)
+    at = np.empty((most + 1, len(frames)), np.int64)
+    at[0] = np.cumsum([0, *(8 * (len(x) + 2) for x in coded[:-1])])
+    for j in range(most):
+        np.add(at[j], here[at[j]], out=at[j + 1])  # at anything else than such a block it stands still
+    bits = lambda p: three[p >> 3] >> (8 - (p & 7)) & 0xFFFF
+    sizes, symbols = huffman(*tables[0])
+    code = bits(at[:-1])
+    size = symbols[code].astype(np.int64)
+    value = bits(at[:-1] + sizes[code]) >> (16 - size)
+    terms = np.cumsum(np.where(value < (1 << size) >> 1, value - (1 << size) + 1, value), axis=0)
+    good = [at[n, i] > at[n - 1, i] and at[n, i] <= at[0, i] + 8 * len(x) for i, (n, x) in enumerate(zip(blocks, coded))]
+    return [terms[:n, i] if ok else None for i, (n, ok) in enumerate(zip(blocks, good))]
+
+
+def decode_all(datas: list[bytes], scale: int = 1) -> list[np.ndarray]:
+    """The luma planes of baseline JPEGs as 8-bit samples; scale 8: an eighth of the size, from the DC terms."""
+    frames = [Frame(x) for x in datas]
+    terms: list[np.ndarray | None] = [None] * len(frames)
+    alike: dict[tuple, list[int]] = {}
+    for i, f in enumerate(frames):
+        if scale == 8 and (key := f.alone()) and None not in key:
+            alike.setdefault(key, []).append(i)
+    for group in alike.values():
+        for a in range(0, len(group), GROUP):
+            own = group[a : a + GROUP]
+            for i, x in zip(own, flat([frames[i] for i in own])):
+                terms[i] = x
+    return [_plane(f, scale, x) for f, x in zip(frames, terms)]
+
+
 def decode(data: bytes, scale: int = 1) -> np.ndarray:
-    """The luma plane of a baseline JPEG as 8-bit samples; scale 8: an eighth of the size, from the DC terms."""
-    f = Frame(data)
+    return decode_all([data], scale)[0]
+
+
+def _plane(f: Frame, scale: int, terms: np.ndarray | None) -> np.ndarray:
     q = f.quant[f.parts[0][3]]
-    if scale == 8 and f.fixed():
-        down, across = -(-f.height // 8), -(-f.width // 8)
-        coded = np.frombuffer(f.coded.replace(b"\xff\0", b"\xff"), np.uint8)[: down * across * 10 // 8]
-        if down * across % 4 == 0 and len(coded) * 8 == down * across * 10:
-            d = DIFFERENCES[unpack(coded)]
-            if (d == 9999).any():
-                raise ValueError("broken JPEG data")
-            dc = np.cumsum(d, dtype=np.int32).reshape(down, across)
-            return np.clip(np.rint(dc * (q[0] / 8)) + 128, 0, 255).astype(np.uint8)
-    planes = f.coefficients()[0]
-    down, across = planes.shape[:2]
+    if terms is None:
+        planes = f.coefficients()[0]
+        down, across = planes.shape[:2]
+        terms = planes[:, :, 0]
     if scale == 8:
-        out = np.rint(planes[:, :, 0] * (q[0] / 8)) + 128
+        out = np.rint(terms.reshape(-(-f.height // 8) if len(f.parts) == 1 else down, -1) * (q[0] / 8)) + 128
         return np.clip(out[: -(-f.height // 8), : -(-f.width // 8)], 0, 255).astype(np.uint8)
     terms = np.zeros((down, across, 64))
     terms[:, :, ZIGZAG] = planes * q
@@ -349,17 +399,23 @@ def shots(hist: np.ndarray) -> list[int]:
     return first
 
 
-def frames_of(avi: Avi, scale: int = 8) -> np.ndarray:
-    got = [decode(avi.data[a : a + n], scale) for a, n in avi.frames]
-    if len({g.shape for g in got}) > 1:
-        raise ValueError("frames differ in size")
-    return np.stack(got) if got else np.zeros((0, 0, 0), np.uint8)
+def frames_of(avis: list[Avi], scale: int = 8) -> list[np.ndarray]:
+    """The frames of each file, decoded together."""
+    got = decode_all([a.data[at : at + n] for a in avis for at, n in a.frames], scale)
+    out, first = [], 0
+    for a in avis:
+        own = got[first : first + len(a.frames)]
+        first += len(a.frames)
+        if len({g.shape for g in own}) > 1:
+            raise ValueError("frames differ in size")
+        out.append(np.stack(own) if own else np.zeros((0, 0, 0), np.uint8))
+    return out
 
 
 def clip_rows(media: bytes) -> list[dict]:
     """One entry for each shot: clip, first_frame, frames, start_s, end_s, mean_luma."""
     avi = Avi(media)
-    x = frames_of(avi)
+    x = frames_of([avi])[0]
     first = shots(histograms(x))
     return [
         {"clip": i, "first_frame": a, "frames": b - a, "start_s": a * avi.seconds, "end_s": b * avi.seconds, "mean_luma": float(x[a:b].mean())}
@@ -374,6 +430,7 @@ def clips(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
     prepare(df.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     cols = ["clip", "first_frame", "frames", "start_s", "end_s", "mean_luma"]
+    clash(keep, [*cols, "error"])
     ddl = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "clip int, first_frame int, frames int, start_s double, end_s double, mean_luma double, error string"])
 
     def run(batches):
@@ -391,26 +448,31 @@ def clips(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, media_col).mapInPandas(run, ddl)
 
 
-def digest(text: str | None) -> tuple:
-    """The store of one text, read back: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    raw = (text or "").encode()
-    media = write_avi(raw + b"\0" * (-len(raw) % UNIT if raw else UNIT))
-    avi = Avi(media)
-    x = frames_of(avi)
-    payload = x.tobytes()[: int(avi.comment.partition(b"=")[2])]
-    hist = histograms(x)
-    first = shots(hist)
-    times = ",".join(f"{a * avi.seconds:.2f}" for a in first)
-    feature = f"frames={len(x)};size={avi.width}x{avi.height};shots={len(first)};starts={times};luma={x.mean():.4f};peak={int(hist.sum(0).argmax())}"
-    return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+DIGEST = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6: every text stored as AVI motion-JPEG, read back and described."""
-    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+def digests(texts: list[str | None]) -> list[tuple]:
+    """The stores of texts, read back: the DIGEST of each."""
+    raws = [(t or "").encode() for t in texts]
+    medias = [write_avi(raw + b"\0" * (-len(raw) % UNIT if raw else UNIT)) for raw in raws]
+    avis = [Avi(m) for m in medias]
+    out = []
+    for raw, media, avi, x in zip(raws, medias, avis, frames_of(avis)):
+        payload = x.tobytes()[: int(avi.comment.partition(b"=")[2])]
+        hist = histograms(x)
+        first = shots(hist)
+        times = ",".join(f"{a * avi.seconds:.2f}" for a in first)
+        feature = f"frames={len(x)};size={avi.width}x{avi.height};shots={len(first)};starts={times};luma={x.mean():.4f};peak={int(hist.sum(0).argmax())}"
+        out.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+    return out
 
-    def run(texts):
-        return dict(zip(names, map(list, zip(*map(digest, texts)))))
 
+def store(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """keep and the DIGEST of every row's text, stored as AVI motion-JPEG and read back."""
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_texts(read(spark, sf_dir, "documents"), ["doc_id"], schema, run)
+    return map_texts(docs, keep, schema, lambda texts: dict(zip(DIGEST, map(list, zip(*digests(texts))))), text_col)
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6: every text stored as AVI motion-JPEG, read back and described."""
+    return store(read(spark, sf_dir, "documents"), ["doc_id"])

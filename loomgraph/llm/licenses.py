@@ -3,19 +3,23 @@
 Paragraphs are the lines of a text and, for notices that are wrapped, stretches of words that run over several lines of
 a block (lines without a blank one between them). A stretch is where a template's word pairs lie densest: at any offset,
 LEAST_OVERLAP of them within STRETCH times its length, with CONTEXT words on either side. A paragraph with one of the
-TRIGGERS (words that every template holds one of) is classified by a multinomial logistic regression over hashed word 1- to 3-grams (sparse: only the features present
-are touched); its classes are the licence families and `unknown`. The model is trained on the driver from TEMPLATES
-and seeded variations of them (words dropped, names and years put in, neighbouring prose) and, as unknown, from
-sentences about licences that grant none, shuffled templates and prose. Its temperature is fitted on variations held
-out from training, so that probabilities are calibrated. A prediction other than unknown is confirmed if it has
-LEAST_PROBABILITY or more and the paragraph contains LEAST_OVERLAP of the word pairs of one of the family's templates.
+TRIGGERS (words that every template holds one of) is classified by a multinomial logistic regression over hashed word
+1- to 3-grams (sparse: in training and in scoring only the features present are touched); its classes are the licence
+families and `unknown`. The model is trained on the driver from TEMPLATES and seeded variations of them (words dropped,
+names and years put in, neighbouring prose) and, as unknown, from variations of the notices of other licences
+(OUTSIDE), of sentences about licences that grant none, and of shuffled templates. Its temperature is fitted on
+variations held out from training, so that probabilities are calibrated. A prediction other than unknown is confirmed
+if it has LEAST_PROBABILITY or more, the paragraph has the family's NAMES, and it contains LEAST_OVERLAP of the word
+pairs of one of the family's templates.
 
 Rows are independent, in Arrow batches; the model (families x BUCKETS floats) is broadcast. Nothing is shuffled.
 
 Defined cases: null and empty texts have no licence; of several licences, the families are listed in code-point order
 and the first confirmed paragraph with the highest probability gives the family (of a stretch, paragraph is the line
 where it begins); a family that a line of the stretch has by itself isn't sought in the stretch; repeated rows are scanned each for
-themselves; an empty table gives no rows; columns that are not named in the arguments are ignored.
+themselves; a text of any length is scanned whole, in memory in proportion to it; an empty table gives no rows; columns
+that are not named in the arguments are ignored, whatever their names; a name in keep that the result has already is
+refused.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from .common import map_texts, read
 BUCKETS = 1 << 14
 VARIATIONS = 60
 SEED = 11
-STEPS = 250
+STEPS = 150
 LEAST_PROBABILITY = 0.6
 LEAST_OVERLAP = 0.5
 #: Length of a stretch in template lengths, at most, and words taken on either side of it.
@@ -90,6 +94,31 @@ TEMPLATES = {
         "Copyright 2020 the author. All rights reserved. No part of this publication may be reproduced without permission.",
     ),
 }
+# Words that a notice of the family has, one of each group at least (a pattern over its words).
+NAMES = {
+    "Apache-2.0": r"apache", "BSD": r"bsd|redistribution and use", "CC-BY": r"creative commons attribution|cc by",
+    "CC-BY-NC": r"noncommercial|non commercial|cc by-nc", "CC-BY-SA": r"sharealike|share alike|cc by-sa",
+    "CC0": r"cc0|waived all copyright", "GPL": r"gnu general public|gnu gpl|\bgpl", "LGPL": r"gnu lesser|lesser general|lgpl",
+    "MIT": r"\bmit\b|permission is hereby granted", "MPL-2.0": r"mozilla|\bmpl", "all-rights-reserved": r"all rights reserved",
+}
+# Notices of licences that are none of the families; they are learnt as unknown.
+OUTSIDE = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License, version 2.0.",
+    "Licensed under the Eclipse Public License, version 1.0.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
+    "Licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU AGPL 3.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This package may be distributed under the terms of the Artistic License 2.0.",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted.",
+    "Distributed under the Boost Software License, version 1.0.",
+    "This is free and unencumbered software released into the public domain under the Unlicense.",
+    "This Font Software is licensed under the SIL Open Font License, version 1.1.",
+    "This software is provided as-is, without any express or implied warranty, under the zlib License.",
+    "Made available under the Open Database License.", "Subject to the Common Development and Distribution License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "Permission is granted to copy, distribute and/or modify this document under the GNU Free Documentation License.",
+    "Licensed under the Microsoft Public License.", "Released under the Python Software Foundation License, version 2.",
+)
 # Sentences about licences that grant none.
 OTHER = (
     "You need a driving license to rent a car.", "The license plate was found near the river.", "Our license fee rises next year.",
@@ -123,6 +152,7 @@ class Model:
     def __init__(self, seed: int = SEED):
         self.families = [*sorted(TEMPLATES), UNKNOWN]
         self.pairs = {f: [set(zip(w, w[1:])) for w in (words_of(t.lower()) for t in ts)] for f, ts in TEMPLATES.items()}
+        self.names = {f: re.compile(x) for f, x in NAMES.items()}
         self.lengths = [len(w) for w in self._all_pairs()]
         self.holders: dict[tuple[str, str], list[int]] = {}
         for i, pairs in enumerate(self._all_pairs()):
@@ -137,7 +167,7 @@ class Model:
                     sets[i % 5 == 4].append((features(w if i == 0 else variation(w, rng)), k))
         last = len(self.families) - 1
         for i in range(VARIATIONS * 12):
-            w = words_of(rng.choice(OTHER).lower()) if i % 3 else words_of(rng.choice(rng.choice(list(TEMPLATES.values()))).lower())
+            w = words_of(rng.choice(rng.choice(list(TEMPLATES.values())) if i % 3 == 0 else OTHER if i % 3 == 1 else OUTSIDE).lower())
             if i % 3 == 0:
                 rng.shuffle(w)
                 w = w[: max(2, len(w) // 3)]
@@ -149,21 +179,26 @@ class Model:
         return [t for f in self.families[:-1] for t in self.pairs[f]]
 
     def _fit(self, rows: list) -> np.ndarray:
-        """Rows of weights by feature, by full-batch gradient steps with a ridge; the last row is the intercept."""
+        """Rows of weights by feature, by full-batch gradient steps with a ridge over the features that each row has; the
+        last row is the intercept."""
         at = np.concatenate([np.r_[x, BUCKETS] for x, _ in rows])
         row = np.repeat(np.arange(len(rows)), [len(x) + 1 for x, _ in rows])
-        size = np.sqrt(np.bincount(row))[row]
-        y = np.eye(len(self.families))[[k for _, k in rows]]
+        value = 1 / np.sqrt(np.bincount(row))[row][:, None]
+        y = np.eye(len(self.families), dtype=np.float32)[[k for _, k in rows]]
+        often = np.bincount(at, minlength=BUCKETS + 1)[at] > 1  # what one row alone has teaches nothing about others
+        at, row, value = at[often], row[often], value[often].astype(np.float32)
+        first_of_row = np.searchsorted(row, np.arange(len(rows)))
         used, at = np.unique(at, return_inverse=True)
-        x = np.zeros((len(rows), len(used)))
-        x[row, at] = 1 / size
-        w = np.zeros((len(used), len(self.families)))
+        by_feature = np.argsort(at, kind="stable")
+        first_of_feature = np.searchsorted(at[by_feature], np.arange(len(used)))
+        w = np.zeros((len(used), len(self.families)), np.float32)
         speed = np.zeros_like(w)
         for _ in range(STEPS):
-            z = x @ w
+            z = np.add.reduceat(w[at] * value, first_of_row)
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            speed = 0.9 * speed + x.T @ (p - y) / len(rows) + 1e-6 * w
+            slope = np.add.reduceat(((p - y)[row] * value)[by_feature], first_of_feature)
+            speed = 0.9 * speed + slope / len(rows) + 1e-6 * w
             w -= 8.0 * speed
         out = np.zeros((BUCKETS + 1, len(self.families)), np.float32)
         out[used] = w
@@ -186,6 +221,8 @@ class Model:
         family, p = self.families[k], float(p[k] / p.sum())
         if family == UNKNOWN:
             return family, p, 0.0
+        if not self.names[family].search(" ".join(w)):
+            return UNKNOWN, p, 0.0
         own = set(zip(w, w[1:]))
         return family, p, max(len(own & t) / len(t) for t in self.pairs[family])
 

@@ -143,12 +143,12 @@ def test_store_round_trip(size):
     text = "".join(chr(random.Random(size).choice((65, 233, 0x4E2D, 0x1F600, 255))) for _ in range(size))
     raw = text.encode()
     payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-    n, m, sha, crc, media_bytes, _, feature = media.digest(text)
+    n, m, sha, crc, media_bytes, _, feature = media.digests([text])[0]
     assert (n, m, sha, crc) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    assert media.digest(text)[5] == media.digest(text)[5] and feature.startswith("frames=")
+    assert media.digests([text, text])[0] == media.digests([text])[0] and feature.startswith("frames=")
 
 
-def test_full_decode_agrees_with_the_packed_one():
+def test_frames_side_by_side_agree_with_the_reader():
     payload = bytes(random.Random(1).randrange(256) for _ in range(64 * 5))
     avi = media.Avi(media.write_avi(payload))
     a, n = avi.frames[0]
@@ -326,6 +326,63 @@ def test_wrapped_licences(model):
     assert model.scan("She kept all\nrights to the song that\nhe licensed under\nthe old contract.")["family"] is None
 
 
+HELD_OUT = [
+    ("Apache-2.0", "Our code is licensed under the Apache License, Version 2.0, see the notice file."),
+    ("Apache-2.0", "You may obtain this file under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with it."),
+    ("MIT", "The library is released under the MIT License by its authors."), ("MIT", "Source code licensed under the MIT license (see LICENSE.txt)."),
+    ("GPL", "The plugin is licensed under the GNU General Public License, version 2."),
+    ("GPL", "You can redistribute it and modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
+    ("LGPL", "The bindings are licensed under the GNU Lesser General Public License, version 2.1."),
+    ("BSD", "Use of this code is governed by a BSD-style license that can be found in the root folder."), ("BSD", "It is licensed under the BSD 3-Clause License."),
+    ("CC-BY", "All pictures are licensed under a Creative Commons Attribution 4.0 International License."), ("CC-BY-SA", "Text licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC", "The recordings are licensed under CC BY-NC 4.0."), ("CC0", "The data set is released into the public domain under CC0 1.0."),
+    ("MPL-2.0", "This file is licensed under the Mozilla Public License, version 2.0."), ("all-rights-reserved", "Copyright 2011 Example Ltd. All rights reserved."),
+    (None, "Licensed under the Eclipse Public License, version 2.0."), (None, "Eclipse Public License, version 2.0"),
+    (None, "The server is licensed under the GNU Affero General Public License, version 3 or later."), (None, "GNU Affero GPL"),
+    (None, "The typeface is licensed under the Open Font License."), (None, "Distributed under the Artistic License."),
+    (None, "This data is made available under the Open Database License, see the appendix."), (None, "Released under the Academic Free License, version 3.0."),
+    (None, "Her driving license was issued in the spring."), (None, "The rights to the film were sold in May."),
+    (None, "A license to fish is required on this river, version 2 of the form."), (None, "General permission was given by the public office."),
+    (None, "The author has waived all fees."), (None, "Released in the spring, the record sold well under license."),
+]
+
+
+def test_precision_and_recall_on_notices_not_learnt(model):
+    got = [(want, model.scan(f"Some prose.\n{text}\nMore prose.")["family"]) for want, text in HELD_OUT]
+    right = sum(w == g for w, g in got if w)
+    assert right / sum(w is not None for w, _ in got) >= 0.9, got
+    assert right / max(1, sum(g is not None for _, g in got)) >= 0.95, got
+
+
+def test_probabilities_are_calibrated(model):
+    """On fresh variations, what is predicted with p is right in about p of the cases."""
+    rng = random.Random(99)
+    hits, ps = [], []
+    for _ in range(600):
+        f = rng.choice(model.families)
+        pool = licenses.OUTSIDE + licenses.OTHER if f == licenses.UNKNOWN else licenses.TEMPLATES[f]
+        z = model.logits(licenses.features(licenses.variation(licenses.words_of(rng.choice(pool).lower()), rng))) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        hits.append(model.families[int(p.argmax())] == f)
+        ps.append(p.max())
+    assert abs(np.mean(hits) - np.mean(ps)) < 0.06 and np.mean(hits) > 0.9
+
+
+def test_scan_against_brute_force(model):
+    """Every line, and every run of lines, tried without triggers or pair counting: no notice is lost by the search."""
+    rng = random.Random(3)
+    for seed in range(30):
+        lines = [" ".join(rng.choice("the tide came in before noon and boats lay still".split()) for _ in range(8)) for _ in range(6)]
+        family = rng.choice(sorted(licenses.TEMPLATES))
+        lines.insert(rng.randrange(7), rng.choice(licenses.TEMPLATES[family]))
+        found = set()
+        for i in range(len(lines)):
+            got, p, overlap = model.paragraph(lines[i])
+            if got != licenses.UNKNOWN and p >= licenses.LEAST_PROBABILITY and overlap >= licenses.LEAST_OVERLAP:
+                found.add(got)
+        assert model.scan("\n".join(lines))["families"] == sorted(found) == [family]
+
+
 def test_languages_of_many_scripts():
     """Each sample's own letters count, however many letters there are in all; against brute force."""
     import random

@@ -9,24 +9,36 @@
    sets of that similarity share none with probability (1 - 0.85^8)^36 = 1e-5; at 0.80 they hold 6, with 2e-5.
 4. In each bucket every representative is paired with the smallest one (as many pairs as rows), and each pair is
    verified on its full sets.
-5. Components of the verified links. Buckets whose other members are then still in different components hold pairs
-   that were not tried; these are searched exactly in blocks of BLOCK members by a prefix filter over the full sets,
-   so that a task never has more than two blocks and rows are made for verified links only.
-6. Components of all links by the large-star / small-star form of union-find, in rounds over the links; nothing of it
-   is collected to the driver.
+5. Components of the verified links. Members of buckets that are then still in different components are searched by an
+   exact prefix join: elements are ordered by a sketch of their frequency (any order is right, rare ones first are
+   fast), two sets of the wanted similarity share one of their first n - ceil(similar n / 100) + 1 elements, and what
+   follows the first shared one bounds their intersection. Only pairs of different components that pass both bounds
+   become rows; they are verified on their full sets. Elements with many holders are dealt to several tasks.
+6. Components of all links by the large-star / small-star form of union-find, in rounds over the links, until the links
+   are stars; nothing of it is collected to the driver.
+
+Sets are made a second time for members of buckets only, from texts that a bitmap of their ids (at most MOST_BITS,
+broadcast) has let through before the shuffle. To the driver come counts, that bitmap and the sketch (SLOTS numbers).
+Shingles are told apart by 64 bits and sets by 128 bits more: among 10^10 documents two different sets are taken for
+equal with a chance of 1e-18, and a shingle of two sets of 1,000 for shared with 1e-13.
+
+The prefix join makes as many rows as pairs pass its bounds. A group whose members are all just below the wanted
+similarity to each other has the square of its size of these, which no exact search avoids.
 
 Intermediate tables are checkpointed in the shared folder; a lost executor costs tasks, not the job.
 
 Defined cases: null texts and texts without words have the empty set, are linked with nothing and are kept; a null id
 has a null component and is kept; rows with the same id are one document with several texts, linked with all that any
-of them is linked with; fewer than five words make one shingle; repeated rows are copies; an empty table gives no
-rows; columns that are not named in the arguments are ignored.
+of them is linked with; fewer than five words make one shingle; repeated rows are copies; a similarity that equals the
+limit links; a text of any length is shingled whole, in memory of some 50 times its bytes; an empty table gives no
+rows; columns that are not named in the arguments are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +51,14 @@ SHINGLE = 5
 SIMILAR = 85
 #: Probability, at most, that two sets of just that similarity share no bucket.
 MISSED = 2e-5
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 256
+#: Counters of the frequency sketch.
+SLOTS = 1 << 20
+#: Holders of an element that meet all its holders in one task.
+HOLDERS = 2048
+#: Bits of the bitmap of wanted ids, at most, and for each id.
+MOST_BITS, ID_BITS = 1 << 28, 16
+#: Bits of one row of it.
+BITMAP = 32_768
 #: Elements whose permutations are held at once.
 ELEMENTS = 32_768
 
@@ -140,10 +158,23 @@ def describe(texts: list[str | None], rows: int = ROWS) -> dict[str, list]:
     return {"n": [len(s) for s in sets], "h1": h1, "h2": h2, "bands": list(keys)}
 
 
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids; a bitmap keeps most others from the shuffle of the join."""
+    rows = -(-min(MOST_BITS, ID_BITS * ids.count()) // BITMAP)
+    if not rows:
+        return docs.where("false")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(rows * BITMAP))
+    row, bit = F.floor(place / BITMAP).cast("int"), (place % BITMAP).cast("int")
+    maps = ids.groupBy(row.alias("__row")).agg(F.bitmap_construct_agg(place % BITMAP).alias("__map"))
+    byte = F.conv(F.hex(F.substring("__map", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    few = docs.withColumns({"__row": row, "__bit": bit}).join(F.broadcast(maps), "__row")
+    few = few.where(F.floor(byte / F.pow(F.lit(2), F.col("__bit") % 8)) % 2 == 1)
+    return few.drop("__row", "__bit", "__map").join(ids, "doc_id", "left_semi")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and set for the documents in ids."""
-    few = docs.join(ids, "doc_id", "left_semi")
-    return map_texts(few, ["doc_id"], "set array<long>", lambda texts: {"set": [shingles(t).view(np.int64) for t in texts]})
+    return map_texts(among(docs, ids), ["doc_id"], "set array<long>", lambda texts: {"set": [shingles(t).view(np.int64) for t in texts]})
 
 
 def linked(a: DataFrame | str, b: str, similar: int = SIMILAR):
@@ -152,9 +183,8 @@ def linked(a: DataFrame | str, b: str, similar: int = SIMILAR):
     return F.lit(100) * both >= F.lit(similar) * (F.size(a) + F.size(b) - both)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    sets = cut(sets_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
+def verify(sets: DataFrame, pairs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose full sets (doc_id, set) are similar enough."""
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
     x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     return x.where(linked("sa", "sb", similar)).select("a", "b")  # no distinct: it would keep a hot b in one task
@@ -163,77 +193,93 @@ def verify(docs: DataFrame, pairs: DataFrame, similar: int = SIMILAR) -> DataFra
 def components(links: DataFrame) -> DataFrame:
     """id and component (smallest id) of every id in links (a, b)."""
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
+        # stars already: every node has one smaller neighbour, which has none itself
+        many = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi")
+        if many.isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         # large star: the larger neighbours of a node go to the smallest of its neighbourhood
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        edges = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # small star: a node and its smaller neighbours go to the smallest of them
-        edges = cut(edges)
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         hung = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = cut(hung.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        before = now
-
-
-def search_block(pdf: pd.DataFrame, similar: int = SIMILAR) -> pd.DataFrame:
-    """Links between members of different components of one pair of blocks, exactly.
-
-    Elements are ordered from the rarest in the group to the most frequent; two sets of the wanted similarity share
-    one of their first n - ceil(similar n / 100) + 1 elements. Members that a link has joined are not compared again.
-    """
-    pdf = pdf.drop_duplicates("id").reset_index(drop=True)
-    sets = [np.asarray(s, np.int64) for s in pdf["set"]]
-    values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    boss = {c: c for c in pdf["component"]}
-
-    def top(c):
-        while boss[c] != c:
-            boss[c] = boss[boss[c]]
-            c = boss[c]
-        return c
-
-    comps, ids, out, index = pdf["component"].tolist(), pdf["id"].tolist(), [], {}
-    for i, s in enumerate(sets):
-        places = np.searchsorted(values, s)
-        order = s[np.lexsort((places, counts[places]))]
-        n = len(s)
-        first = order[: n - -(-similar * n // 100) + 1].tolist()
-        for j in sorted({j for e in first for j in index.get(e, ())}):
-            a, b = top(comps[i]), top(comps[j])
-            m = len(sets[j])
-            if a == b or 100 * min(n, m) < similar * max(n, m):
-                continue
-            both = len(np.intersect1d(s, sets[j], assume_unique=True))
-            if 100 * both >= similar * (n + m - both):
-                boss[a] = b
-                out.append((ids[i], ids[j]))
-        for e in first:
-            index.setdefault(e, []).append(i)
-    return pd.DataFrame(out, columns=["a", "b"])
 
 
-def rest(docs: DataFrame, members: DataFrame, comps: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def slots(s: np.ndarray) -> np.ndarray:
+    return (s.view(np.uint64) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def sketch(sets: DataFrame) -> np.ndarray:
+    """Elements by slot: how often the elements of a slot are in sets, all together."""
+
+    def run(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            n += np.bincount(slots(b.column(0).flatten().to_numpy(zero_copy_only=False)), minlength=SLOTS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["slot", "n"])
+
+    got = sets.select("set").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def prefix(s: np.ndarray, frequency: np.ndarray, similar: int) -> np.ndarray:
+    """The elements, rarest first, of which a set of the wanted similarity has one."""
+    order = np.lexsort((s, frequency[slots(s)]))
+    return s[order[: len(s) - -(-similar * len(s) // 100) + 1]]
+
+
+def prefixes(sets: DataFrame, frequency: np.ndarray, similar: int) -> DataFrame:
+    """element, id, component, n (set size) and rest (elements from this one on) for each element of each prefix."""
+    sent = sets.sparkSession.sparkContext.broadcast(frequency)
+    kind = dict(sets.dtypes)["id"]
+    schema = sets.sparkSession.createDataFrame([], f"element long, id {kind}, component {kind}, n int, rest int").schema
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            own = [prefix(s.values.to_numpy(zero_copy_only=False), sent.value, similar) for s in b.column(2)]
+            k = np.array([len(x) for x in own], np.int64)
+            if not k.sum():
+                continue
+            n = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(k)), k)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+            cols = [pa.array(np.concatenate(own)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(n[row]), pa.array(n[row] - place)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+
+    return sets.select("id", "component", "set").mapInArrow(run, schema)
+
+
+def close(named: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of sets (id, component, set) in different components that the bounds of the prefix join let pass."""
+    rows = cut(prefixes(named, sketch(named), similar))
+    holders = rows.groupBy("element").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    holders = holders.select("element", F.ceil(F.col("k") / HOLDERS).cast("int").alias("shares"))
+    dealt = rows.join(holders, "element")
+    one = dealt.select("element", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    other = dealt.select("element", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    most = F.least("ra", "rb")
+    fits = F.lit(100) * most >= F.lit(similar) * (F.col("na") + F.col("nb") - most)  # holds for the first element shared, if the sets are close
+    pairs = one.join(other, ["element", "share"]).where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & fits)
+    return pairs.select("a", "b").distinct()
+
+
+def rest(sets: DataFrame, members: DataFrame, comps: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """Links between members of a bucket that were not paired with its smallest member and are in different components."""
     named = members.where("rep <> center").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     named = cut(named)
-    mixed = named.groupBy("bucket").agg(
-        F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("rep") % 1_000_000_007).alias("same"), F.min("rep").alias("least"),
-    ).where("lo <> hi")
-    # buckets of several bands with the same members count once
-    once = mixed.groupBy("same", "k", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "k")
-    dealt = named.join(once, "bucket").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("bucket", "rep", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    dealt = cut(dealt)
-    sets = sets_of(docs, dealt.select(F.col("rep").alias("doc_id")).distinct())
-    groups = dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("bucket", "x", "y", F.col("rep").alias("id"), "component", "set")
-    kind = dict(groups.dtypes)["id"]
-    return groups.groupBy("bucket", "x", "y").applyInPandas(lambda pdf: search_block(pdf, similar), f"a {kind}, b {kind}")
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = named.join(mixed, "bucket", "left_semi").groupBy("rep").agg(F.min("component").alias("component"))
+    open_ = cut(open_.select(F.col("rep").alias("doc_id"), "component").join(sets, "doc_id").select(F.col("doc_id").alias("id"), "component", "set"))
+    return verify(sets, cut(close(open_, similar)), similar)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR) -> DataFrame:
@@ -247,10 +293,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     exploded = classes.select("rep", F.explode("bands").alias("bucket"))
     centers = exploded.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("far")).where("center <> far").drop("far")
     members = cut(exploded.join(centers, "bucket"))
+    sets = cut(sets_of(docs, cut(members.select(F.col("rep").alias("doc_id")).distinct())))
     pairs = cut(members.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct())
-    links = cut(verify(docs, pairs, similar))
+    links = cut(verify(sets, pairs, similar))
     comps = components(links)
-    more = cut(rest(docs, members, comps, similar))
+    more = cut(rest(sets, members, comps, similar))
     # an id with several texts joins their classes
     several = full.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select("doc_id", "n", "rep")
     several = cut(several)

@@ -177,15 +177,41 @@ def test_groups_of_planted_copies(spark):
     check_groups(spark, list(enumerate(docs)))
 
 
-def test_left_over_pairs_are_found(spark):
-    """search_block finds links that the pairs with a bucket's smallest member miss."""
-    import numpy as np
-    import pandas as pd
-
-    a = np.arange(100)
-    sets = [np.arange(1000, 1100), a, np.r_[a[:95], 200:205], np.arange(500, 600)]
-    out = neardup.search_block(pd.DataFrame({"id": [1, 2, 3, 4], "component": [1, 2, 3, 4], "set": sets}))
-    assert [sorted(r) for r in out.to_numpy().tolist()] == [[2, 3]]
+def test_prefix_join_finds_every_link(spark):
+    """Against all pairs, with a heavy element, sets of other components only, and both bounds near their limits."""
+    import random
+
+    prepare(spark)
+    rng = random.Random(2)
+    sets = []
+    for _ in range(25):
+        base = rng.sample(range(10**6), rng.randint(1, 60))
+        sets += [sorted({*rng.sample(base, max(1, len(base) - rng.randint(0, 8))), *rng.sample(range(10**6), rng.randint(0, 6)), 7}) for _ in range(8)]
+    for similar in (80, 85, 100):
+        rows = [(i, i if i % 5 else 1000, s) for i, s in enumerate(sets)]
+        df = spark.createDataFrame(rows, "id long, component long, set array<long>")
+        want = {(i, j) for i, ci, a in rows for j, cj, b in rows if i > j and ci != cj and 100 * len({*a} & {*b}) >= similar * len({*a} | {*b})}
+        pairs = neardup.close(df, similar)
+        got = neardup.verify(df.withColumnRenamed("id", "doc_id"), pairs, similar)
+        assert {tuple(r) for r in got.collect()} == want and (want or similar == 100)
+        assert pairs.count() <= max(60, 4 * len(want))
+
+
+def test_elements_with_many_holders_are_dealt(spark, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(neardup, "HOLDERS", 4)
+    rows = [(i, i, [1, 2, 3, 4, 100 + i]) for i in range(30)] + [(50, 50, [1, 2, 3, 4])]
+    df = spark.createDataFrame(rows, "id long, component long, set array<long>")
+    assert {tuple(r) for r in neardup.close(df, 80).collect()} == {(50, i) for i in range(30)}
+
+
+def test_ids_through_the_bitmap(spark):
+    prepare(spark)
+    docs = spark.createDataFrame([(i if i % 7 else None, f"t{i}") for i in range(5000)], "doc_id long, text string")
+    want = {i for i in range(5000) if i % 7 and i % 13 == 0}
+    ids = spark.createDataFrame([(i,) for i in want], "doc_id long")
+    assert {r["doc_id"] for r in neardup.among(docs, ids).collect()} == want
+    assert neardup.among(docs, ids.where("false")).count() == 0
 
 
 def test_components(spark):

@@ -14,8 +14,10 @@ deterministic: a lost executor costs its tasks only. The vocabulary file is read
 (some hundred KB, whatever the input).
 
 Defined cases: null text counts as empty, and has no tokens; a lone byte is always in a byte-level vocabulary, so
-every text can be encoded and decodes to itself; repeated rows are encoded each for themselves; an empty table
-gives no rows; columns that are not named in the arguments are ignored.
+every text can be encoded and decodes to itself; of equal ranks the leftmost pair is merged first; a text of any length
+is encoded whole, in memory in proportion to it; repeated rows are encoded each for themselves; an empty table gives no
+rows; columns that are not named in the arguments are ignored, whatever their names; a name in keep that the result has
+already is refused.
 """
 
 from __future__ import annotations

@@ -7,11 +7,14 @@ A line with words fails if
 - boilerplate: it contains, in lower case, one of BOILERPLATE.
 A document is kept if its base rules hold and the words of its remaining lines are KEEP_SHARE % of its words or more.
 
-One pass over whole texts, row by row, in Arrow batches: no shuffle, no state, memory bounded by a batch.
+One pass over whole texts, row by row, in Arrow batches: no shuffle, no state; a piece of a batch (PIECE_BYTES of text,
+or one text) is in memory.
 
 Defined cases: null and empty texts have no words, fail the base rules and have null or empty cleaned text;
-very long texts take time and memory in proportion to their length; repeated rows are judged each for themselves;
-an empty table gives no rows; columns that are not named in the arguments are ignored.
+very long texts take time and memory in proportion to their length; of equal lines the first isn't a duplicate, and
+shares that equal a limit pass it; repeated rows are judged each for themselves; an empty table gives no rows; columns
+that are not named in the arguments are ignored, whatever their names; a name in keep that the result has already is
+refused.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ Scoring is row by row, in Arrow batches, from a broadcast model of a few hundred
 labelled sample.
 
 Defined cases: null and empty texts get the statistics of the empty text and a score like any other; with no labels,
-or one class only, the score is the share of that class (0.5 without labels); repeated rows are scored each for
-themselves; an empty table gives no rows; columns that are not named in the arguments are ignored.
+or one class only, the score is the share of that class (0.5 without labels); of cuts with equal gain the first feature's
+first is taken, and a value equal to a threshold goes left; a text of any length gives its numbers in time and memory in
+proportion to it; repeated rows are scored each for themselves; an empty table gives no rows; columns that are not named
+in the arguments are ignored, whatever their names; a name in keep that the result has already is refused.
 """
 
 from __future__ import annotations

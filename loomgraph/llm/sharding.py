@@ -1,8 +1,9 @@
 """Sharding by a k-d tree over metadata, with leaves of equal bytes.
 
-The tree is built level by level. For every open node one aggregation gives its weight and the extent of each
-dimension; the widest dimension is cut at the weighted median (for an odd number of leaves, at the matching
-weighted quantile). The cut is found exactly without sorting: the node's key range is divided into BUCKETS equal
+The tree is built level by level until leaves reach the target bytes: shards_for() gives the number of leaves of a
+target, and a node is divided as long as it holds more than one. For every open node one aggregation gives its weight
+and the extent of each dimension; the widest dimension is cut at the weighted median (for an odd number of leaves, at
+the matching weighted quantile, so that all leaves end at the same size). The cut is found exactly without sorting: the node's key range is divided into BUCKETS equal
 parts, their weights are summed on the executors, and the part that the cut falls into is divided again until it
 holds a single row or a single key. What comes to the driver is at most BUCKETS numbers for each of fewer than
 `shards` nodes, whatever the input. Rows are read from one checkpointed table of ids, sizes and keys.
@@ -11,8 +12,10 @@ A dimension's key is 63 bits: 23 bits of the dimension's own value, 24 bits of t
 id's hash. So rows with the same metadata can still be divided, a group of copies however large included, and
 copies stay together wherever a cut does not have to pass through their group.
 
-Defined cases: null text counts as no bytes; null metadata has the lowest value; repeated rows are separate rows;
-an empty table gives no rows; columns that are not named in the arguments are ignored.
+Defined cases: null text counts as no bytes; null metadata has the lowest value; repeated rows are separate rows, and
+ties in a key go to the same side of a cut; a text longer than a shard's share makes that shard larger, as rows aren't
+divided; a text of any length is hashed in the JVM and not held besides; an empty table gives no rows; columns that are
+not named in the arguments are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -151,12 +154,23 @@ def numbered(rows: DataFrame, total: int, shards: int) -> DataFrame:
     return rows.withColumn("own", own).join(counts, ["shard", "run"]).withColumn("slot", (F.col("start") + F.col("own") - 1).cast("long"))
 
 
-def shard_kd(docs: DataFrame, shards: int = SHARDS, dims: Sequence[str] = ("lang", "size"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shards_for(rows: DataFrame, target_bytes: int) -> int:
+    """The least number of leaves with which none need be larger than the target (rows being indivisible, some may be)."""
+    if target_bytes < 1:
+        raise ValueError("target_bytes must be 1 or more")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    return max(1, -(-total // target_bytes))
+
+
+def shard_kd(docs: DataFrame, shards: int | None = SHARDS, dims: Sequence[str] = ("lang", "size"), id_col: str = "doc_id", text_col: str = "text", target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot for every row of docs.
 
-    dims: 'size' (UTF-8 bytes of the text, on a logarithmic axis) or names of categorical columns.
+    dims: 'size' (UTF-8 bytes of the text, on a logarithmic axis) or names of categorical columns. target_bytes: the
+    bytes of a leaf, instead of a number of shards.
     """
     rows = cut(keyed(docs, dims, id_col, text_col))
+    if target_bytes is not None:
+        shards = shards_for(rows, target_bytes)
     root = build(rows, len(dims), shards)
     placed = rows.select("doc_id", "size", "text_crc32", _place(root).cast("int").alias("shard"))
     return numbered(placed, rows.count(), shards).select("doc_id", "size", "text_crc32", "shard", "slot")

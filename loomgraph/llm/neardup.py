@@ -168,7 +168,7 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     maps = ids.groupBy(row.alias("__row")).agg(F.bitmap_construct_agg(place % BITMAP).alias("__map"))
     byte = F.conv(F.hex(F.substring("__map", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     few = docs.withColumns({"__row": row, "__bit": bit}).join(F.broadcast(maps), "__row")
-    few = few.where((F.floor(byte / F.pow(F.lit(2), F.col("__bit") % 8)) % 2 == 1) & (F.rand() >= 0))  # rand: keeps the join above the filter
+    few = few.where((F.floor(byte / F.pow(F.lit(2), F.col("__bit") % 8)) % 2 == 1) & (F.spark_partition_id() >= 0))  # not deterministic: keeps the join above it
     return few.drop("__row", "__bit", "__map").join(ids, "doc_id", "left_semi")
 
 

@@ -9,8 +9,8 @@ disadvantage for that alone.
 
 Text is reduced to lower-case letters and single spaces. The transitions of all automata, each over all letters of its
 own sample, are in one table: dense (states x letters, int32) up to DENSE_BYTES, else open-addressed by a hash of state
-and letter, with the same results and about four times slower. A letter that a sample lacks has no transition and is a
-phrase of its own. Texts are parsed in segments of SEGMENT characters, all segments of a piece of a batch and all
+and letter, with the same results and about four times slower. A letter that a sample lacks has no transition, is a
+phrase of its own, and costs log2 of the number of letters besides, to say which. Texts are parsed in segments of SEGMENT characters, all segments of a piece of a batch and all
 languages in step, as array operations; a segment is then parsed again from the state in which the one before it ended,
 as far as both parses differ, so that the phrases are those of one parse of the whole text.
 
@@ -76,9 +76,20 @@ def automaton(text: np.ndarray) -> tuple[int, np.ndarray]:
     return len(moves), np.array([(s, c, t) for s, own in enumerate(moves) for c, t in own.items()], np.int64).reshape(-1, 3)
 
 
+class _Letters(dict):
+    """Code point -> itself for letters, a space for all else; filled as they come."""
+
+    def __missing__(self, point: int) -> int:
+        out = self[point] = point if chr(point).isalpha() else 32
+        return out
+
+
+_LETTERS = _Letters()
+
+
 def letters(text: str) -> str:
     """Lower-case letters, and one space for each run of anything else."""
-    return " ".join("".join([c if c.isalpha() else " " for c in text.lower()]).split())
+    return " ".join(text.lower().translate(_LETTERS).split())
 
 
 class Model:
@@ -129,19 +140,20 @@ class Model:
         """The next state of each key (state * size + letter); -1: no transition."""
         if self.dense is not None:
             return self.dense[keys]
-        slots = self._slots(keys)
-        found = self.keys[slots]
-        out = np.where(found == keys, self.values[slots], -1)
-        again = np.flatnonzero((found != keys) & (found >= 0))
-        wanted, at, flat = keys.reshape(-1)[again], slots.reshape(-1)[again], out.reshape(-1)
+        wanted = keys.reshape(-1)
+        at = self._slots(wanted)
+        found = self.keys[at]
+        out = np.where(found == wanted, self.values[at], -1)
+        again = np.flatnonzero((found != wanted) & (found >= 0))
+        wanted, at = wanted[again], at[again]
         while len(again):
             at = (at + 1) & (len(self.keys) - 1)
             found = self.keys[at]
             hit = found == wanted
-            flat[again[hit]] = self.values[at[hit]]
+            out[again[hit]] = self.values[at[hit]]
             more = ~hit & (found >= 0)
             again, wanted, at = again[more], wanted[more], at[more]
-        return out
+        return out.reshape(keys.shape)
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -195,7 +207,7 @@ class Model:
             block = np.full((size[0], len(cols)), self.size - 1, np.int32)
             for j, i in enumerate(cols.tolist()):
                 block[: size[j], j] = parts[i]
-            state, count = began[:, cols], np.zeros((k, len(cols)), np.int32)
+            state, count = np.ascontiguousarray(began[:, cols]), np.zeros((k, len(cols)), np.int32)
             open_ = np.ones(len(cols), bool)
             for step in self.parse(block, size, state, count):
                 at = (step - 1) // MARK
@@ -219,9 +231,14 @@ class Model:
         np.add.at(out, np.array(owner), total.T)
         return out
 
+    def foreign(self, texts: list[str]) -> np.ndarray:
+        """Letters of each text that each language's sample lacks."""
+        lacks = (self.roots < 0).astype(np.int64)
+        return np.array([lacks @ np.bincount(self.encode(t), minlength=self.size) for t in texts]).reshape(len(texts), -1)
+
     def predict(self, texts: list[str | None]) -> dict[str, list]:
         reduced = [letters(t) if t else "" for t in texts]
-        costs = self.phrases(reduced) * self.bits
+        costs = self.phrases(reduced) * self.bits + self.foreign(reduced) * np.log2(max(2, self.size))
         langs, scores, rates = [], [], []
         for t, c in zip(reduced, costs.tolist()):
             if not t or not c:

@@ -109,6 +109,49 @@ def test_long_text_is_parsed_whole():
     assert m.predict(["ab" * 10 + "cd" * 40_000])["lang_pred"] == ["b"]
 
 
+@pytest.mark.parametrize("dense_bytes", [0, langid.DENSE_BYTES])
+def test_parse_goes_on_over_segment_borders(dense_bytes):
+    """Texts of several segments against one greedy parse, also where parses from different places never meet."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    samples = {"a": " ".join(word() for _ in range(300)), "b": "abc" * 40 + "aaa"}
+    m = langid.Model(samples, dense_bytes)
+
+    def brute(sample, text):
+        n = i = 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[i : j + 1] in sample:
+                j += 1
+            i, n = max(j, i + 1), n + 1
+        return n
+
+    texts = [" ".join(word() for _ in range(2500)), "a" * 7001, "abc" * 3000, samples["a"] * 5, "x", "ab" * 2048, "z" * 5000, ""]
+    want = [[brute(samples[k], t) for k in m.languages] for t in texts]
+    assert m.phrases(texts).tolist() == want == [m.phrases([t])[0].tolist() for t in texts]
+
+
+def test_a_short_sample_is_no_disadvantage():
+    """Languages of different syllables, one sample fifty times as long as the other, and one of ideographs."""
+    rng = random.Random(12)
+
+    def made(seed, n, letters=None):
+        r = random.Random(seed)
+        if letters:
+            return "".join(rng.choice(letters) for _ in range(n))
+        words = ["".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(400)]
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    samples = {"big": made(1, 8000)[:40_000], "small": made(2, 200)[:800], "han": made(0, 4000, han)}
+    m = langid.Model(samples)
+    assert len(samples["big"]) == 50 * len(samples["small"]) == 40_000
+    texts = [(k, made(s, 60) if s else made(0, 80, han)) for k, s in (("big", 1), ("small", 2), ("han", 0)) for _ in range(100)]
+    got = m.predict([t for _, t in texts])["lang_pred"]
+    for k in samples:
+        assert sum(g == w for g, (w, _) in zip(got, texts) if w == k) > 95, k
+
+
 # line rules
 
 

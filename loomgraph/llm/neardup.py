@@ -158,18 +158,27 @@ def describe(texts: list[str | None], rows: int = ROWS) -> dict[str, list]:
     return {"n": [len(s) for s in sets], "h1": h1, "h2": h2, "bands": list(keys)}
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; a bitmap keeps most others from the shuffle of the join."""
-    rows = -(-min(MOST_BITS, ID_BITS * ids.count()) // BITMAP)
-    if not rows:
-        return docs.where("false")
+def flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs with __hit: false only where doc_id isn't in ids, by a broadcast bitmap (or null)."""
+    rows = max(1, -(-min(MOST_BITS, ID_BITS * ids.count()) // BITMAP))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(rows * BITMAP))
     row, bit = F.floor(place / BITMAP).cast("int"), (place % BITMAP).cast("int")
     maps = ids.groupBy(row.alias("__row")).agg(F.bitmap_construct_agg(place % BITMAP).alias("__map"))
     byte = F.conv(F.hex(F.substring("__map", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    few = docs.withColumns({"__row": row, "__bit": bit}).join(F.broadcast(maps), "__row")
-    few = few.where((F.floor(byte / F.pow(F.lit(2), F.col("__bit") % 8)) % 2 == 1) & (F.spark_partition_id() >= 0))  # not deterministic: keeps the join above it
-    return few.drop("__row", "__bit", "__map").join(ids, "doc_id", "left_semi")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("__bit") % 8)) % 2 == 1, F.lit(False))
+    out = docs.withColumns({"__row": row, "__bit": bit}).join(F.broadcast(maps), "__row", "left")
+    return out.withColumn("__hit", hit & (F.spark_partition_id() >= 0)).drop("__row", "__bit", "__map")  # not deterministic: joins stay above it
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids; most others don't reach the shuffle of the join."""
+    return flagged(docs, ids).where("__hit").drop("__hit").join(ids, "doc_id", "left_semi")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids; only those that the bitmap can't tell are shuffled."""
+    x = flagged(docs, ids)
+    return x.where("NOT __hit").drop("__hit").union(x.where("__hit").drop("__hit").join(ids, "doc_id", "left_anti"))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -46,6 +46,7 @@ def all_operators(spark, docs):
     yield sharding.shard_kd(docs)
     yield neardup.groups(docs)
     yield linefirst.clean(docs, ["doc_id"])
+    yield media.store(docs, ["doc_id"])
     yield bpe.tokenize(docs, path, pattern, ["doc_id"])
 
 
@@ -59,6 +60,83 @@ def test_empty_tables(spark, empty):
         assert out.count() == 0
 
 
+KEPT = ["doc_id", "text", "lang", "shard", "part", "n"]
+
+
+def test_columns_of_any_name_are_kept(spark, awkward):
+    """Names that operators use inside come through with their values."""
+    lab, learn = labels(spark), F.lit(True)
+    path, pattern = bpe.vocabulary()
+    want = sorted(repr(tuple(r[c] for c in KEPT)) for r in awkward.collect())
+    keyed = [c for c in KEPT if c != "doc_id"]
+    for out, keep in (
+        (toxicity.score(awkward, toxicity.train(awkward, lab, learn), KEPT), KEPT), (licenses.scan(awkward, licenses.Model(), KEPT), KEPT),
+        (quality.score(awkward, quality.train(awkward, lab, learn), KEPT), KEPT), (langid.identify(awkward, langid.train(awkward), KEPT), KEPT),
+        (linefirst.clean(awkward, KEPT), KEPT), (media.store(awkward, KEPT), KEPT), (bpe.tokenize(awkward, path, pattern, KEPT), KEPT), (mixing.mix(awkward, keep=keyed), KEPT),
+    ):
+        assert sorted(repr(tuple(r[c] for c in keep)) for r in out.collect()) == want
+
+
+def test_clashing_names_are_refused(spark, awkward):
+    path, pattern = bpe.vocabulary()
+    clashing = (
+        lambda: toxicity.score(awkward, toxicity.Model({}), ["doc_id", "score"]), lambda: quality.score(awkward, quality.Trees(0.0), ["score"]),
+        lambda: langid.identify(awkward.withColumn("Lang_Pred", F.lit(1)), langid.Model({}), ["Lang_Pred"]), lambda: linefirst.clean(awkward.withColumn("kept", F.lit(1)), ["kept"]),
+        lambda: licenses.scan(awkward.withColumn("family", F.lit(1)), licenses.Model(), ["family"]), lambda: media.store(awkward.withColumn("feature", F.lit(1)), ["feature"]),
+        lambda: bpe.tokenize(awkward.withColumn("token_ids", F.lit(1)), path, pattern, ["token_ids"]), lambda: mixing.mix(awkward.withColumn("size", F.lit(1)), keep=("size",)),
+        lambda: langid.identify(awkward, langid.Model({}), ["doc_id", "doc_id"]),
+    )
+    for make in clashing:
+        with pytest.raises(ValueError, match="rename them first"):
+            make()
+
+
+def test_batches_are_cut_by_bytes():
+    import numpy as np
+
+    from loomgraph.llm.common import pieces
+
+    assert pieces(np.array([5, 5, 5, 20, 1, 1]), 10) == [(0, 2), (2, 3), (3, 4), (4, 6)] and pieces(np.array([99]), 10) == [(0, 1)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from loomgraph.llm import common
+
+    class Away:
+        master, environment = "spark://host:7077", {}
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda s: type("O", (), {"isDefined": lambda o: False})()})()})()
+
+    class Session:
+        sparkContext = Away()
+        conf = type("C", (), {"get": lambda self, k, d="1": d, "set": lambda *a: None})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.prepare(Session())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_target_bytes(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    docs = spark.createDataFrame([(i, "x" * rng.randint(0, 400), rng.choice("ab")) for i in range(600)], "doc_id long, text string, lang string")
+    total = docs.agg(F.sum(F.length("text") + 16)).first()[0]
+    for target in (total + 1, total, 5000, 30_000):
+        sizes = [r["s"] for r in sharding.shard_kd(docs, None, target_bytes=target).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+        assert len(sizes) == max(1, -(-total // target)) and max(sizes) <= target + 416
+    with pytest.raises(ValueError):
+        sharding.shard_kd(docs, None, target_bytes=0)
+
+
+@tables
+def test_held_out_rule_of_queries(spark):
+    from zlib import crc32
+
+    for query, n, k in ((toxicity.query, 3, 1), (quality.query, 4, 2), (langid.query, 4, 2)):
+        rows = query(spark, DIR).select("doc_id", "held_out").collect()
+        assert rows and all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % n == k) for r in rows)
+
+
 def test_every_query_is_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
 
@@ -242,6 +320,66 @@ def test_clips(spark):
     assert got == [(1, 0, True), (1, 1, True), (2, None, False)]
 
 
+def pipeline_docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_of_awkward_and_empty_documents(spark, awkward, empty):
+    """Every stage takes nulls, repeats, other columns of any name, and nothing at all."""
+    import corpus_pipeline as P
+
+    for docs in (awkward, empty):
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, DIR)
+            assert name == "tokens" or out.columns == list(P.COLUMNS)
+            rows = out.collect()
+            assert bool(rows) == bool(docs.count()) or name == "toxicity"
+    assert {r["doc_id"] for r in dict(P.STAGES)["near_dups"](spark, awkward, DIR).collect()} == {1, 2, 3, 4, 6, None}
+
+
+def test_same_id_with_different_texts(spark):
+    """Rows that share an id, or have none, are kept by their texts, and mixing takes every word that is due."""
+    import corpus_pipeline as P
+
+    other = " ".join(f"w{i}" for i in range(30))
+    rows = [(7, "a b c d e f g h", "en", "s", 15), (7, other, "en", "s", 9), (7, other, "en", "s", 9), (None, other, "en", "s", 9), (None, other, "en", "s", 9), (8, other, "en", "s", 9)]
+    left = dict(P.STAGES)["near_dups"](spark, pipeline_docs(spark, rows), DIR).collect()
+    assert sorted((str(r["doc_id"]), r["text"][:3]) for r in left) == [("7", "a b"), ("7", "w0 "), ("None", "w0 "), ("None", "w0 ")]
+    docs = pipeline_docs(spark, [(None, other, "en", "s", 9)] * 3 + [(i, "x y z", "en", "t", 5) for i in range(4)])
+    want = sum(r["taken"] for r in mixing.mix(docs).collect())
+    got = sum(len((r["text"] or "").split()) for r in P.mixed(spark, docs, DIR).collect())
+    assert got == want
+
+
+@tables
+def test_toxicity_and_tokens_stages(spark):
+    """Against the operators, row by row: what is marked goes, and the tokens are the library's."""
+    import tiktoken
+
+    import corpus_pipeline as P
+
+    docs = read(spark, DIR, "documents")
+    marked = {r["doc_id"] for r in toxicity.query(spark, DIR).collect() if r["predicted"]}
+    assert {r["doc_id"] for r in P.toxic(spark, docs, DIR).collect()} == {r["doc_id"] for r in docs.collect()} - marked
+    path, pattern = bpe.vocabulary()
+    lib = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(bpe.load_ranks(path))}, special_tokens={})
+    few = docs.where("doc_id < 40")
+    texts = {r["doc_id"]: r["text"] for r in few.collect()}
+    for r in P.tokens(spark, few, DIR).collect():
+        assert r["token_ids"] == lib.encode_ordinary(texts[r["doc_id"]] or "") and r["n_tokens"] == len(r["token_ids"])
+
+
+@tables
+def test_run_is_its_stages_in_order(spark):
+    import corpus_pipeline as P
+
+    docs = read(spark, DIR, "documents")
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, DIR)
+    key = lambda df: sorted((str(r["doc_id"]), r["ids_sha256"]) for r in df.collect())
+    assert key(P.run(spark, DIR)) == key(docs)
+
+
 @tables
 def test_pipeline(spark):
     import corpus_pipeline as P

@@ -73,6 +73,16 @@ def typed_cost(edge_type: Column, confidence: Column) -> Column:
     return base * (F.lit(2.0) - confidence)
 
 
+def is_traversable(edge_type: Column) -> Column:
+    """Whether a typed edge may carry a bridge."""
+    return F.coalesce(edge_type.isin("substitute", "prerequisite"), F.lit(False))
+
+
+def is_directed(edge_type: Column, direction: Column) -> Column:
+    """Whether a typed edge holds in one direction only: a prerequisite that isn't symmetric."""
+    return F.coalesce((edge_type == "prerequisite") & (direction != "symmetric"), F.lit(False))
+
+
 def similarity_of_cost(cost: Column) -> Column:
     return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - cost)), 3)
 

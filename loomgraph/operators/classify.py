@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .paths import symmetric
+from .paths import checkpointed, symmetric
 
 TYPES = ("substitute", "complement", "prerequisite", "unrelated")
 DIRECTIONS = ("a_to_b", "b_to_a", "symmetric")
@@ -47,29 +47,33 @@ def classify(pairs: DataFrame, classifier: Classifier, cache: DataFrame | None =
     return todo.mapInPandas(run, SCHEMA)
 
 
-def bridge_path(edges: DataFrame, nodes: DataFrame, held: list[str], target: str, max_hops: int = 6) -> dict:
+def bridge_path(edges: DataFrame, nodes: DataFrame, held: list[str], target: str) -> dict:
     """Why a target is or isn't reached from held skills: status, and the path with the similarity of each edge.
 
-    nodes: name, node_type. The frontier of each round keeps the cheapest path to every node it reaches.
+    nodes: name, node_type. A round keeps the cheapest path to every node it reaches and extends those that the one
+    before made cheaper, as long as they cost less than what the target costs already; so paths may have any length.
     """
     kinds = {r["name"]: r["node_type"] for r in nodes.where(F.col("name").isin([*held, target])).collect()}
-    for name in (target, *held):
-        if name in kinds and kinds[name] != "skill":
-            if name == target:
-                return {"status": "not a skill", "path": []}
-        elif name == target and name not in kinds:
-            return {"status": "not a node", "path": []}
+    if target not in kinds:
+        return {"status": "not a node", "path": []}
+    if kinds[target] != "skill":
+        return {"status": "not a skill", "path": []}
     ignored = [h for h in held if kinds.get(h) != "skill"]
-    sym = symmetric(edges)
+    sym = symmetric(edges).persist()
     if sym.where(F.col("a") == target).isEmpty():
         return {"status": "orphan", "path": [], "ignored": ignored}
     step = F.array(F.struct(F.col("a").alias("from"), F.col("b").alias("to"), F.round(1 - F.col("distance"), 3).alias("sim")))
-    level = sym.where(F.col("a").isin([h for h in held if h not in ignored])).select(F.col("b").alias("at"), F.col("distance").alias("dist"), step.alias("path"))
-    best = level.groupBy("at").agg(F.min(F.struct("dist", "path")).alias("x")).select("at", "x.*")
-    for _ in range(max_hops - 1):
-        longer = best.join(sym, best["at"] == sym["a"]).select(F.col("b").alias("at"), (F.col("dist") + F.col("distance")).alias("dist"), F.concat("path", step).alias("path"))
-        best = best.union(longer).groupBy("at").agg(F.min(F.struct("dist", "path")).alias("x")).select("at", "x.*")
-    found = best.where(F.col("at") == target).first()
+    first = sym.where(F.col("a").isin([h for h in held if h not in ignored])).select(F.col("b").alias("at"), F.col("distance").alias("dist"), step.alias("path"))
+    best = checkpointed(first.groupBy("at").agg(F.min(F.struct("dist", "path")).alias("x")).select("at", "x.*", F.lit(True).alias("moved")))
+    while True:
+        found = best.where(F.col("at") == target).first()
+        moved = best.where("moved") if found is None else best.where("moved").where(F.col("dist") < found["dist"])
+        if moved.isEmpty():
+            break
+        longer = moved.join(sym, moved["at"] == sym["a"]).select(F.col("b").alias("at"), (F.col("dist") + F.col("distance")).alias("dist"), F.concat("path", step).alias("path"), F.lit(None).cast("double").alias("old"))
+        both = best.select("at", "dist", "path", F.col("dist").alias("old")).unionByName(longer).groupBy("at").agg(F.min(F.struct("dist", "path")).alias("x"), F.min("old").alias("old"))
+        best = checkpointed(both.select("at", "x.*", (F.col("old").isNull() | (F.col("x.dist") < F.col("old"))).alias("moved")))
+    sym.unpersist()
     if found is None:
         return {"status": "no path", "path": [], "ignored": ignored}
     return {"status": "path", "distance": found["dist"], "path": [(p["from"], p["to"], p["sim"]) for p in found["path"]], "ignored": ignored}

@@ -59,7 +59,7 @@ def skill_graph(occupations: DataFrame, skills: DataFrame, custom: bool = True)
     occupations, skills = in_scope(occupations, skills)
     roles = occupations.select(F.col("title").alias("name"), "soc").dropDuplicates(["name"])
     nodes = pick_category(skills).select(F.col("skill").alias("name"), "category", "category_all", "category_n", F.lit(None).cast("string").alias("embed_category"), F.lit("onet").alias("source"))
-    requires = skills.join(F.broadcast(occupations), "soc").select(F.col("title").alias("role"), "skill").distinct()
+    requires = skills.join(occupations, "soc").select(F.col("title").alias("role"), "skill").distinct()
     if custom:
         own = nodes.sparkSession.createDataFrame(list(CUSTOM_SKILLS), "name string, c string")
         fresh = own.join(nodes, "name", "left_anti").select("name", F.col("c").alias("category"), F.array("c").alias("category_all"), F.lit(1).cast("long").alias("category_n"), F.col("c").alias("embed_category"), F.lit("custom").alias("source"))
@@ -77,8 +77,8 @@ def embed_text(name: str = "name", category: str = "category", embed_category: s
 def nearest(nodes: DataFrame, k: int | None, min_sim: float, block: int = BLOCK) -> DataFrame:
     """src, dst, sim: of every node (id, embedding) the k most similar others (all, for None) with min_sim or more.
 
-    Vectors are compared in pairs of blocks, as matrix products; each pair of blocks gives at most k rows a node.
-    Ties go to the smaller id.
+    Exact: vectors are compared in pairs of blocks, as matrix products, each pair of blocks once for both directions; it
+    gives at most k rows a node and direction, and the work grows with the square of the nodes. Ties go to the smaller id.
     """
     kind = dict(nodes.dtypes)["id"]
     n = nodes.count()
@@ -91,18 +91,26 @@ def nearest(nodes: DataFrame, k: int | None, min_sim: float, block: int = BLOCK)
         x = np.array([np.asarray(v, float) for v in vs])
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    def best(sim: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(sim >= min_sim)
+        order = np.lexsort((b[j], -sim[i, j], i))
+        i, j = i[order], j[order]
+        if k is not None:
+            place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+            i, j = i[place < k], j[place < k]
+        return pd.DataFrame({"src": a[i], "dst": b[j], "sim": sim[i, j]})
+
     def run(batches):
         for pdf in batches:
-            for ids, vs, ids2, vs2 in pdf[["ids", "vs", "ids2", "vs2"]].itertuples(index=False):
+            for part, q, ids, vs, ids2, vs2 in pdf[["part", "q", "ids", "vs", "ids2", "vs2"]].itertuples(index=False):
                 a, b = np.asarray(ids), np.asarray(ids2)
                 sim = unit(vs) @ unit(vs2).T
                 sim[a[:, None] == b[None, :]] = -2
-                for i, row in enumerate(sim):
-                    at = np.flatnonzero(row >= min_sim)
-                    at = at[np.lexsort((b[at], -row[at]))][:k]
-                    yield pd.DataFrame({"src": a[i], "dst": b[at], "sim": row[at]}, index=range(len(at)))
+                yield best(sim, a, b)
+                if part != q:
+                    yield best(sim.T, b, a)
 
-    near = blocks.crossJoin(right).mapInPandas(run, f"src {kind}, dst {kind}, sim double")
+    near = blocks.crossJoin(right).where("part <= q").mapInPandas(run, f"src {kind}, dst {kind}, sim double")
     if k is None:
         return near
     place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("sim"), "dst"))
@@ -220,10 +228,19 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("name").join(ends, "name", "left_anti")
 
 
-def audit(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: skills, similar, orphans, density."""
+def skill_view(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The skill-only part of a mixed graph: nodes (name, node_type) of type skill, isolated ones too, and the edges
+    (lo, hi, weight, relation) of relation similar between them."""
+    skills = nodes.where("node_type = 'skill'")
+    end = lambda c: skills.select(F.col("name").alias(c)).distinct()
+    return skills, edges.where("relation = 'similar'").join(end("lo"), "lo", "left_semi").join(end("hi"), "hi", "left_semi")
+
+
+def audit(nodes: DataFrame, edges: DataFrame, bridge_cutoff: float = 0.6) -> DataFrame:
+    """One row: skills, similar, orphans, density, and untraversable: edges longer than the cutoff, which never bridge."""
     a = nodes.agg(F.count("*").alias("skills"))
-    b = edges.agg(F.count("*").alias("similar"))
+    b = edges.agg(F.count("*").alias("similar"), F.count_if(F.lit(1.0) - F.col("weight") > bridge_cutoff).alias("untraversable"))
     c = orphans(nodes, edges).agg(F.count("*").alias("orphans"))
     possible = F.col("skills") * (F.col("skills") - 1) / 2.0
-    return a.crossJoin(b).crossJoin(c).withColumn("density", F.round(F.when(possible > 0, F.col("similar") / possible).otherwise(0.0), 6))
+    out = a.crossJoin(b).crossJoin(c).withColumn("density", F.round(F.when(possible > 0, F.col("similar") / possible).otherwise(0.0), 6))
+    return out.withColumn("min_traversable_similarity", F.round(F.lit(1.0 - bridge_cutoff), 3))

@@ -6,6 +6,8 @@ skills become rows; what a candidate misses without a path enters through the de
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,10 +90,45 @@ def gaps(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringParams
     return x.select("jd", "cand", "skill", "via", d.alias("distance"), "hops", S.bridgeable(d, h, p).alias("bridgeable"), "demand", S.gap_reason(d, h, p).alias("reason"))
 
 
-def results(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringParams) -> DataFrame:
+def gap_counts(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringParams, candidates: DataFrame | None = None) -> DataFrame:
+    """jd, reason (its first word), n and demand of gaps(), without a row for each gap.
+
+    Rows are made for held and for reached skills only; what is left of every description's total has no path.
+    """
+    wants = _demand(wants, p)
+    cands = (candidates if candidates is not None else have).select("cand").distinct()
+    own = _have(have).join(cands, "cand", "left_semi").select("cand", "skill")
+    near = reach(own, paths, wants).join(own, ["cand", "skill"], "left_anti").join(wants, "skill")
+    kind = F.regexp_extract(S.gap_reason(F.col("dist"), F.col("hops"), p), "^[a-z_]+", 0)
+    none = F.lit("no_path" if p.enable_bridging else "bridging_disabled")
+    each = lambda df, by: df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("demand").alias("demand"))
+    reached = each(near.select("jd", kind.alias("reason"), "demand"), ("jd", "reason"))
+    held = each(own.join(wants, "skill"), ("jd",))
+    n = cands.agg(F.count("*").alias("cands"))  # one row
+    total = each(wants, ("jd",)).crossJoin(F.broadcast(n)).select("jd", none.alias("reason"), (F.col("n") * F.col("cands")).alias("n"), (F.col("demand") * F.col("cands")).alias("demand"))
+    less = held.unionByName(reached.drop("reason")).select("jd", none.alias("reason"), (-F.col("n")).alias("n"), (-F.col("demand")).alias("demand"))
+    return total.unionByName(less).unionByName(reached).groupBy("jd", "reason").agg(F.sum("n").alias("n"), F.sum("demand").alias("demand")).where("n > 0")
+
+
+def ordered_gaps(gaps: DataFrame) -> DataFrame:
+    """gaps() with place within each pair: by distance, those without one last, then by skill; bridgeable ones come first."""
+    w = W.partitionBy("jd", "cand").orderBy((~F.col("bridgeable")).cast("int"), F.when(F.col("bridgeable"), F.col("distance")), "skill")
+    return gaps.withColumn("place", F.row_number().over(w))
+
+
+def legacy(scored: DataFrame) -> DataFrame:
+    """Results with the names that older callers use: score, matched and gaps (bridged ones by distance, then missing)."""
+    out = scored.withColumn("score", F.col("total"))
+    if "matched_skills" in scored.columns:
+        none = lambda c: F.coalesce(c, F.array())
+        out = out.withColumn("matched", none(F.col("matched_skills"))).withColumn("gaps", F.concat(none(F.col("bridged_skills")), none(F.col("missing_skills"))))
+    return out
+
+
+def results(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringParams, candidates: DataFrame | None = None) -> DataFrame:
     """scores() with sorted arrays: matched_skills, and bridged, missing and floored gaps as structs."""
     t = terms(wants, have, paths, p)
-    g = gaps(wants, have, paths, p)
+    g = gaps(wants, have, paths, p, candidates)
     gap = F.struct("skill", "via", S.wire_distance(F.col("distance")).alias("distance"), "hops", "bridgeable", "demand", "reason")
     lists = g.groupBy("jd", "cand").agg(
         F.sort_array(F.collect_list(F.when(F.col("bridgeable"), F.struct(F.col("distance").alias("by"), gap.alias("gap"))))).alias("bridged"),
@@ -99,7 +136,7 @@ def results(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringPar
     )
     lists = lists.select("jd", "cand", F.transform("bridged", lambda x: x["gap"]).alias("bridged_skills"), F.transform("missing", lambda x: x["gap"]).alias("missing_skills"))
     held = t.where("matched").groupBy("jd", "cand").agg(F.sort_array(F.collect_list("skill")).alias("matched_skills"), F.sort_array(F.collect_list(F.when(F.col("floored"), F.col("skill")))).alias("floored_skills"))
-    return scores(wants, have, paths, p).join(lists, ["jd", "cand"], "left").join(held, ["jd", "cand"], "left")
+    return scores(wants, have, paths, p, candidates).join(lists, ["jd", "cand"], "left").join(held, ["jd", "cand"], "left")
 
 
 def explain(result: DataFrame) -> DataFrame:
@@ -125,23 +162,30 @@ def count_only(wants: DataFrame, have: DataFrame, k: float, candidates: DataFram
     return x.select("jd", "cand", F.round(F.col("direct") + F.lit(float(k)) * (F.col("all") - F.col("held")), 6).alias("total"))
 
 
-def sweep(wants: DataFrame, have: DataFrame, paths: DataFrame, configs: list[dict]) -> DataFrame:
-    """config, jd, cand, total for many settings of cutoff, scale, cap, unreachable and hops in one pass over the terms."""
-    spark = wants.sparkSession
+def sweep(wants: DataFrame, have: DataFrame, paths: DataFrame, configs: list[dict], at_once: int = 12) -> DataFrame:
+    """config, jd, cand, total for many settings of cutoff, scale, cap, unreachable and hops.
+
+    The terms are made once; a pass over them sums at_once settings side by side, so that a pair is shuffled once for
+    these and terms aren't multiplied by settings.
+    """
     base = S.ScoringParams(bridge_cutoff=None)
     t = terms(wants, have, paths, base)
-    rows = [(i, c.get("cutoff"), c.get("hops"), float(c.get("scale", 1.0)), c.get("cap"), float(c.get("unreachable", 0.0))) for i, c in enumerate(configs)]
-    grid = spark.createDataFrame(rows, "config int, cutoff double, max_hops int, scale double, cap double, up double")
-    x = t.crossJoin(F.broadcast(grid))
-    ok = F.col("dist").isNotNull() & (F.col("cutoff").isNull() | (F.col("dist") <= F.col("cutoff"))) & (F.col("max_hops").isNull() | F.coalesce(F.col("hops") <= F.col("max_hops"), F.lit(False)))
-    raw = F.greatest(F.lit(0.0), 1.0 - F.col("dist")) * F.col("scale")
-    bridge = F.when(F.col("cap").isNull(), raw).otherwise(F.least(raw, F.col("cap")))
+    if len(configs) > at_once:
+        t = t.persist()
     own = S.proficiency_credit(F.col("weight"), base)
-    held = F.when(ok & (own < 1.0), F.greatest(own, F.least(bridge, F.lit(1.0)))).otherwise(own)
-    gain = F.when(F.col("matched"), F.col("demand") * held).when(ok, F.col("demand") * bridge)
-    met = F.when(F.col("matched") | ok, F.col("demand"))
-    agg = x.groupBy("config", "up", "jd", "cand").agg(F.sum(gain).alias("gain"), F.sum(met).alias("met"))
+    parts = []
+    for first in range(0, len(configs), at_once):
+        sums = []
+        for i, c in enumerate(configs[first : first + at_once], first):
+            p = S.ScoringParams(bridge_cutoff=c.get("cutoff"), max_hops=c.get("hops"), bridge_credit_scale=float(c.get("scale", 1.0)), max_bridge_credit=c.get("cap"))
+            ok, bridge = S.bridgeable(F.col("dist"), F.col("hops"), p), S.bridge_credit(F.col("dist"), p)
+            held = F.when(ok & (own < 1.0), F.greatest(own, F.least(bridge, F.lit(1.0)))).otherwise(own)
+            gain = F.when(F.col("matched"), F.col("demand") * held).when(ok, F.col("demand") * bridge)
+            met = F.when(F.col("matched") | ok, F.col("demand"))
+            zero = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+            sums.append(F.struct(F.lit(i).alias("config"), F.lit(float(c.get("unreachable", 0.0))).alias("up"), zero(gain).alias("gain"), zero(met).alias("met")))
+        parts.append(t.groupBy("jd", "cand").agg(F.array(*sums).alias("x")).select("jd", "cand", F.inline("x")))
     jds = _demand(wants, base).groupBy("jd").agg(F.sum("demand").alias("total_demand"))
-    agg = agg.join(jds, "jd").fillna(0.0, ["gain", "met"])
+    agg = reduce(DataFrame.unionByName, parts).join(jds, "jd")
     total = (F.col("gain") - F.col("up") * (F.col("total_demand") - F.col("met"))) / F.col("total_demand")
     return agg.select("config", "jd", "cand", S.rounded(total, 3).alias("total"))

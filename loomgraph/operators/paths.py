@@ -7,15 +7,13 @@ own with unit weights, so they are not the length of the shortest path by distan
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Path tables up to this many rows are broadcast.
-BROADCAST_ROWS = 400_000
-
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """a, b, distance in both directions."""
@@ -23,54 +21,65 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("lo").alias("a"), F.col("hi").alias("b"), d).union(edges.select(F.col("hi").alias("a"), F.col("lo").alias("b"), d))
 
 
-def apsp(edges: DataFrame, search_cutoff: float | None = None, max_rounds: int | None = None, hops_within: int | None = None) -> DataFrame:
-    """src, dst, dist, hops for every reachable pair of different nodes.
+def apsp(edges: DataFrame, search_cutoff: float | None = None, hops_within: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """src, dst, dist, hops for every reachable pair of different nodes; sources (src): from these only.
 
-    Paths grow outwards from the source by one edge a round, so that distances add up in path order; a round keeps the
-    best distance and the fewest hops of a pair. search_cutoff bounds dist only (null where it is larger; such pairs
-    stay for their hops unless hops_within is smaller). It ends when a round changes nothing, or after max_rounds.
+    Paths grow outwards from the source by one edge a round, so that distances add up in path order; a round extends
+    only the pairs that the one before made nearer, and the search ends when there are none. search_cutoff bounds dist
+    (null where it is larger), hops_within bounds hops (null where there are more); a pair that neither has isn't kept.
     """
     sym = symmetric(edges).persist()
     bounded = lambda c: c if search_cutoff is None else F.when(c <= search_cutoff, c)
-    best = sym.select(F.col("a").alias("src"), F.col("b").alias("dst"), bounded(F.col("distance")).alias("dist"), F.lit(1).alias("hops"))
-    rounds, before = 1, None
-    while max_rounds is None or rounds < max_rounds:
-        longer = best.join(sym, best["dst"] == sym["a"]).where("src <> b").select("src", F.col("b").alias("dst"), bounded(F.col("dist") + F.col("distance")).alias("dist"), (F.col("hops") + 1).alias("hops"))
-        if hops_within is not None:
-            longer = longer.where((F.col("hops") <= hops_within) | F.col("dist").isNotNull())
-        best = best.union(longer).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("hops").alias("hops"))
-        rounds += 1
-        if max_rounds is not None and rounds >= max_rounds:
-            break
-        best = checkpointed(best)
-        now = tuple(best.agg(F.count("dist"), F.sum("dist"), F.count("*"), F.sum("hops")).first())
-        if now == before:
-            break
-        before = now
-    return best
+    within = lambda h: h if hops_within is None else F.when(h <= hops_within, h)
+    first = sym if sources is None else sym.join(sources.select(F.col("src").alias("a")).distinct(), "a", "left_semi")
+    best = first.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("distance").alias("dist"))
+    kept = "dist IS NOT NULL OR hops IS NOT NULL"
+    best = checkpointed(best.select("src", "dst", bounded(F.col("dist")).alias("dist"), within(F.lit(1)).alias("hops"), F.lit(True).alias("moved")).where(kept))
+    while not best.where("moved").isEmpty():
+        moved = best.where("moved").join(sym, F.col("dst") == F.col("a")).where("src <> b")
+        longer = moved.select("src", F.col("b").alias("dst"), bounded(F.col("dist") + F.col("distance")).alias("dist"), within(F.col("hops") + 1).alias("hops")).where(kept)
+        old = best.select("src", "dst", "dist", "hops", F.col("dist").alias("dist0"), F.col("hops").alias("hops0"))
+        both = old.unionByName(longer.withColumns({"dist0": F.lit(None).cast("double"), "hops0": F.lit(None).cast("int")}))
+        both = both.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("hops").alias("hops"), F.min("dist0").alias("dist0"), F.min("hops0").alias("hops0"))
+        better = ~(F.col("dist").eqNullSafe(F.col("dist0")) & F.col("hops").eqNullSafe(F.col("hops0")))
+        best = checkpointed(both.select("src", "dst", "dist", "hops", better.alias("moved")))
+    sym.unpersist()
+    return best.drop("moved")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage in the shared checkpoint folder; a folder of its own where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+    """df, cut from its lineage in the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_folder(spark) -> str:
+    """The folder that spark.checkpoint.dir names; a local master, whose executors are on the same machine, gets a folder
+    of its own without it."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="loomgraph-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def within(edges: DataFrame, sources: DataFrame, max_hops: int = 2, max_distance: float | None = None) -> DataFrame:
-    """src, dst, dist, hops of the cheapest path of 1 to max_hops edges (3 at most) from each source (column src)."""
+    """src, dst, dist, hops of the cheapest path of 1 to max_hops edges (3 at most) from each source (column src).
+
+    Of paths with as many edges only the cheapest to each node goes on, so a round has as many rows as pairs.
+    """
     if max_hops < 1:
         raise ValueError("max_hops must be 1 or more")
     sym = symmetric(edges)
-    level = sources.select("src").join(sym, F.col("src") == F.col("a")).select("src", F.col("b").alias("dst"), F.col("distance").alias("dist"), F.lit(1).alias("hops"))
-    out = level
+    level = sources.select("src").join(sym, F.col("src") == F.col("a")).groupBy("src", F.col("b").alias("dst")).agg(F.min("distance").alias("dist"))
+    out = level.withColumn("hops", F.lit(1))
     for h in range(2, min(max_hops, 3) + 1):
-        level = level.join(sym, level["dst"] == sym["a"]).select("src", F.col("b").alias("dst"), (F.col("dist") + F.col("distance")).alias("dist"), F.lit(h).alias("hops"))
-        out = out.union(level)
+        level = level.join(sym, level["dst"] == sym["a"]).groupBy("src", F.col("b").alias("dst")).agg(F.min(F.col("dist") + F.col("distance")).alias("dist"))
+        out = out.union(level.withColumn("hops", F.lit(h)))
     if max_distance is not None:
         out = out.where(F.col("dist") <= max_distance)
     return out.groupBy("src", "dst").agg(F.min(F.struct("dist", "hops")).alias("x")).select("src", "dst", "x.dist", "x.hops")

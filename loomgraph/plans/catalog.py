@@ -73,9 +73,9 @@ def requires_edges(t: Tables) -> DataFrame:
     return graph.skill_graph(*_taxonomy(t), custom=False)[2]
 
 
-@query("SELECT p_brand AS role, count(DISTINCT p_partkey % 500) AS skills FROM part GROUP BY 1")
+@query(f"SELECT p_brand AS role, count(DISTINCT p_partkey % {P.SKILLS}) AS skills FROM part GROUP BY 1")
 def role_requirements(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.col("p_brand").alias("role")).agg(F.countDistinct(F.col("p_partkey") % 500).alias("skills"))
+    return t.part.groupBy(F.col("p_brand").alias("role")).agg(F.countDistinct(F.col("p_partkey") % t.n_skills()).alias("skills"))
 
 
 # Similarity graph
@@ -97,9 +97,9 @@ def graph_density(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {P.EDGES}, o AS (SELECT count(*) AS o FROM skill WHERE name NOT IN (SELECT lo FROM edges UNION SELECT hi FROM edges))
-SELECT (SELECT count(*) FROM skill) AS skills, (SELECT count(*) FROM edges) AS similar, o AS orphans FROM o""")
+SELECT (SELECT count(*) FROM skill) AS skills, (SELECT count(*) FROM edges) AS similar, o AS orphans, (SELECT count(*) FROM edges WHERE 1 - weight > 0.6::DOUBLE) AS untraversable, 0.4::DOUBLE AS min_traversable_similarity FROM o""")
 def graph_audit(t: Tables) -> DataFrame:
-    return graph.audit(t.skill(), t.edges()).select("skills", "similar", "orphans")
+    return graph.audit(t.skill(), t.edges()).select("skills", "similar", "orphans", "untraversable", "min_traversable_similarity")
 
 
 @query(f"WITH {P.EDGES} SELECT name FROM skill WHERE name NOT IN (SELECT lo FROM edges UNION SELECT hi FROM edges)")
@@ -107,12 +107,12 @@ def orphans(t: Tables) -> DataFrame:
     return graph.orphans(t.skill(), t.edges())
 
 
-@query(f"""WITH {P.EDGES}, s AS (SELECT p_partkey AS a, p_size * 11 AS b, 0.5 + p_size / 200.0 AS w FROM part WHERE p_partkey <= 400 AND p_partkey <> p_size * 11),
+@query(f"""WITH {P.EDGES}, s AS (SELECT p_partkey AS a, p_size * 11 AS b, 0.5 + p_size / 200.0 AS w FROM part WHERE p_partkey <> p_size * 11),
 seeds AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, max(w)::DOUBLE AS weight FROM s GROUP BY 1, 2)
 SELECT s.lo, s.hi, round(s.weight, 6) AS weight, CASE WHEN s.lo NOT IN (SELECT name FROM skill) OR s.hi NOT IN (SELECT name FROM skill) THEN 'absent' WHEN e.lo IS NOT NULL THEN 'already' ELSE 'added' END AS status
 FROM seeds s LEFT JOIN edges e ON s.lo = e.lo AND s.hi = e.hi""")
 def seed_overlay(t: Tables) -> DataFrame:
-    s = t.part.where("p_partkey <= 400 AND p_partkey <> p_size * 11").select(F.col("p_partkey").alias("a"), (F.col("p_size") * 11).cast("long").alias("b"), (0.5 + F.col("p_size") / 200.0).alias("weight"))
+    s = t.part.where("p_partkey <> p_size * 11").select(F.col("p_partkey").alias("a"), (F.col("p_size") * 11).cast("long").alias("b"), (0.5 + F.col("p_size") / 200.0).alias("weight"))
     s = s.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("weight").alias("weight"))
     return graph.seed_overlay(t.edges(), s, t.skill()).withColumn("weight", r("weight"))
 
@@ -145,19 +145,19 @@ def similar_pairs(t: Tables) -> DataFrame:
     return both.groupBy(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).agg(F.max("weight").alias("weight"))
 
 
-@query(f"WITH {P.EDGES} SELECT 'similar' AS kind, count(*) AS n FROM edges UNION ALL SELECT 'skill', count(*) FROM skill UNION ALL SELECT 'requires', count(*) FROM (SELECT DISTINCT p_brand, p_partkey % 500 FROM part)")
+@query(f"WITH {P.EDGES} SELECT 'similar' AS kind, count(*) AS n FROM edges UNION ALL SELECT 'skill', count(*) FROM skill UNION ALL SELECT 'requires', count(*) FROM (SELECT DISTINCT p_brand, p_partkey % {P.SKILLS} FROM part)")
 def edge_counts(t: Tables) -> DataFrame:
     one = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    pairs = t.part.select("p_brand", F.col("p_partkey") % 500).distinct()
+    pairs = t.part.select("p_brand", F.col("p_partkey") % t.n_skills()).distinct()
     return one(t.edges(), "similar").union(one(t.skill(), "skill")).union(one(pairs, "requires"))
 
 
 @query(f"""WITH {P.SYM}, w AS (
-  SELECT a AS src, b AS dst, d, 1 AS h FROM sym WHERE a % 50 = 0
-  UNION ALL SELECT x.a, y.b, x.d + y.d, 2 FROM sym x JOIN sym y ON x.b = y.a WHERE x.a % 50 = 0)
+  SELECT a AS src, b AS dst, d, 1 AS h FROM sym
+  UNION ALL SELECT x.a, y.b, x.d + y.d, 2 FROM sym x JOIN sym y ON x.b = y.a)
 SELECT src, dst, round(min(d), 6) AS dist, min_by(h, struct_pack(d := d, h := h))::BIGINT AS hops FROM w GROUP BY 1, 2""")
 def bounded_path(t: Tables) -> DataFrame:
-    src = t.skill().where("name % 50 = 0").select(F.col("name").alias("src"))
+    src = t.skill().select(F.col("name").alias("src"))
     return paths.within(t.edges(), src, 2).select("src", "dst", r("dist").alias("dist"), F.col("hops").cast("long").alias("hops"))
 
 
@@ -217,8 +217,7 @@ def rank_count_only(t: Tables) -> DataFrame:
   FROM (SELECT DISTINCT cand FROM have) c CROSS JOIN wants w LEFT JOIN have h ON h.cand = c.cand AND h.skill = w.skill LEFT JOIN best b ON b.cand = c.cand AND b.skill = w.skill WHERE h.cand IS NULL) GROUP BY 1, 2""")
 def gap_classify(t: Tables) -> DataFrame:
     p = replace(P.PARAMS, bridge_cutoff=0.7, max_hops=1)
-    g = matching.gaps(t.wants(), t.have(), t.paths(), p).withColumn("reason", F.regexp_extract("reason", "^[a-z_]+", 0))
-    return g.groupBy("jd", "reason").agg(F.count("*").alias("n"), r(F.sum("demand")).alias("demand"))
+    return matching.gap_counts(t.wants(), t.have(), t.paths(), p).withColumn("demand", r("demand"))
 
 
 @query(f"WITH {P.terms()} SELECT jd, cand, skill, round(credit, 6) AS credit, via, round(dist, 6) AS dist FROM terms WHERE floored")
@@ -426,43 +425,41 @@ def bridge_precision(t: Tables) -> DataFrame:
     return b.agg(F.count("*").alias("calls"), r(F.coalesce(F.avg((F.col("skill") % 10 == F.col("via") % 10).cast("double")), F.lit(0.0))).alias("precision"))
 
 
-@query(f"""WITH {P.HAVE}, {P.WANTS}, c AS (SELECT DISTINCT cand FROM have WHERE cand % 20 = 0),
+@query(f"""WITH {P.HAVE}, {P.WANTS}, c AS (SELECT DISTINCT cand FROM have),
 t AS (SELECT jd, cand::VARCHAR AS cand, skill FROM c JOIN have USING (cand) CROSS JOIN (SELECT DISTINCT jd FROM wants) UNION ALL SELECT jd, NULL, skill FROM wants),
 i AS (SELECT jd, skill, ln((1.0::DOUBLE + (SELECT count(*) + 1 FROM c)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM t GROUP BY 1, 2),
 x AS (SELECT t.jd, t.cand, t.skill, idf FROM t JOIN i ON t.jd = i.jd AND t.skill = i.skill), n AS (SELECT jd, cand, sqrt(sum(idf * idf)) AS norm FROM x GROUP BY 1, 2),
 d AS (SELECT a.jd, a.cand, sum(a.idf * b.idf) AS dot FROM x a JOIN x b ON a.jd = b.jd AND a.skill = b.skill AND b.cand IS NULL WHERE a.cand IS NOT NULL GROUP BY 1, 2)
-SELECT n.jd AS query, n.cand, round(coalesce(dot / (n.norm * q.norm), 0), 6) AS score FROM n JOIN n q ON q.jd = n.jd AND q.cand IS NULL LEFT JOIN d ON d.jd = n.jd AND d.cand = n.cand WHERE n.cand IS NOT NULL""")
+SELECT n.jd AS query, n.cand, {P.rounded('coalesce(dot / (n.norm * q.norm), 0)', 6)} AS score FROM n JOIN n q ON q.jd = n.jd AND q.cand IS NULL LEFT JOIN d ON d.jd = n.jd AND d.cand = n.cand WHERE n.cand IS NOT NULL""")
 def tfidf_rank(t: Tables) -> DataFrame:
-    have = t.have().where("cand % 20 = 0")
+    have = t.have()
     wants = t.wants().select(F.col("jd").alias("query"), "skill")
     graded = have.select("cand").distinct().crossJoin(wants.select("query").distinct())
     return evaluation.tfidf(wants, have, graded).withColumn("score", r("score"))
 
 
-@query("""WITH q AS (SELECT label, list(embedding::DOUBLE[]) AS l FROM embeddings WHERE vec_id < 500 GROUP BY 1), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 500)
+@query("""WITH q AS (SELECT label, list(embedding::DOUBLE[]) AS l FROM embeddings GROUP BY 1), e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
 SELECT a.label::BIGINT AS query, a.vec_id, rank FROM (SELECT s.label, s.vec_id, row_number() OVER (PARTITION BY s.label ORDER BY list_cosine_similarity(s.v, t.v) DESC, s.vec_id) AS rank
 FROM e s JOIN (SELECT label, min_by(v, vec_id) AS v FROM e GROUP BY 1) t ON s.label = t.label) a WHERE rank <= 10""")
 def cosine_rank(t: Tables) -> DataFrame:
     from ..functions.vectors import cosine
 
-    e = t.embeddings.where("vec_id < 500").select("vec_id", F.col("label").cast("long").alias("query"), "embedding")
+    e = t.embeddings.select("vec_id", F.col("label").cast("long").alias("query"), "embedding")
     q = e.groupBy("query").agg(F.min_by("embedding", "vec_id").alias("q"))
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "vec_id"))
     x = e.join(q, "query").withColumn("sim", cosine(F.col("embedding"), F.col("q"))).withColumn("rank", place.cast("long"))
     return x.where("rank <= 10").select("query", "vec_id", "rank")
 
 
-_draws = evaluation.random.Random(42)
-_DRAWS = ", ".join(f"({i}, {_draws.randrange(20)})" for i in range(200) for _ in range(20))
-
-
 @query(f"""WITH {RANKED}, v AS (SELECT query, avg((grade >= 2)::INT)::DOUBLE AS value, row_number() OVER (ORDER BY query) - 1 AS item FROM r WHERE rank <= 5 GROUP BY 1),
-drawn(iter, item) AS (VALUES {_DRAWS}), m AS (SELECT iter, avg(value) AS m FROM drawn JOIN v USING (item) GROUP BY 1), l AS (SELECT list_sort(list(m)) AS a FROM m)
+slots AS (SELECT i AS iter, s AS slot, (SELECT count(*) FROM v) AS n FROM range(1000) a(i), range((SELECT count(*) FROM v)) b(s)),
+drawn AS (SELECT iter, ('0x' || substr(md5('draw:' || iter || ':' || slot), 1, 12))::BIGINT % n AS item FROM slots),
+m AS (SELECT iter, avg(value) AS m FROM drawn JOIN v USING (item) GROUP BY 1), l AS (SELECT list_sort(list(m)) AS a FROM m)
 SELECT round(a[floor(len(a) * 0.025)::INT + 1], 6) AS lo, round(a[floor(len(a) * 0.975)::INT + 1], 6) AS hi FROM l""")
 def bootstrap_ci(t: Tables) -> DataFrame:
     p = evaluation.precision_at(evaluation.ranked(t.graded()), 5)
     v = p.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("query")) - 1).alias("item"), F.col("p_at_k").alias("value"), F.lit(1.0).alias("weight"))
-    out = evaluation.bootstrap(v, evaluation.draws(t.spark, v.count(), 200))
+    out = evaluation.bootstrap(v, evaluation.hashed_draws(v))
     return out.select(r("lo").alias("lo"), r("hi").alias("hi"))
 
 
@@ -510,8 +507,7 @@ def _streamed(t: Tables, table: str, plan) -> DataFrame:
     """plan over a stream of a table's files, run to its end with a checkpoint, and its Parquet output."""
     import uuid
 
-    paths.checkpointed(t.spark.range(1))  # sets a checkpoint folder where there is none
-    folder = t.spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/stream-{uuid.uuid4().hex}"
+    folder = f"{paths.checkpoint_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     batch = getattr(t, table)
     source = t.spark.readStream.schema(batch.schema).parquet(f"{t.dir}/{table}.parquet*")
     out = plan(source)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import ScoringParams
 from ..operators import graph, paths
 
-SKILLS = 500
-#: Distances up to this need two edges at most on these tables, so two unrolled joins are an exact oracle.
+#: Largest distance that the queries search for.
 CUTOFF = 1.2
 PARAMS = ScoringParams(bridge_cutoff=CUTOFF, bridge_credit_scale=2.0, max_bridge_credit=0.9, bridgeable_penalty=0.05, unreachable_penalty=0.1, max_hops=2, search_cutoff=CUTOFF)
 
@@ -21,14 +20,22 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
         self._edges: DataFrame | None = None
         self._paths: DataFrame | None = None
+        self._have: DataFrame | None = None
+        self._n: int | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def n_skills(self) -> int:
+        """Nodes of the graph; parts stand for the node of their key modulo this."""
+        if self._n is None:
+            self._n = max(1, self.embeddings.count())
+        return self._n
+
     def skill(self) -> DataFrame:
-        return self.embeddings.where(F.col("vec_id") < SKILLS).select(F.col("vec_id").alias("name"), F.col("label").cast("long").alias("category"), "embedding")
+        return self.embeddings.select(F.col("vec_id").alias("name"), F.col("label").cast("long").alias("category"), "embedding")
 
     def edges(self) -> DataFrame:
         if self._edges is None:
@@ -36,17 +43,20 @@ class Tables:
         return self._edges
 
     def have(self) -> DataFrame:
-        x = self.orders.join(self.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
-        w = 0.5 + 0.5 * (F.col("l_quantity").cast("int") % 3)
-        return x.groupBy(F.col("o_custkey").alias("cand"), (F.col("l_partkey") % SKILLS).alias("skill")).agg(F.max(w).alias("weight"))
+        """Derived once, as terms, paths and candidates all need it."""
+        if self._have is None:
+            x = self.orders.join(self.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+            w = 0.5 + 0.5 * (F.col("l_quantity").cast("int") % 3)
+            self._have = x.groupBy(F.col("o_custkey").alias("cand"), (F.col("l_partkey") % self.n_skills()).alias("skill")).agg(F.max(w).alias("weight")).persist()
+        return self._have
 
     def wants(self) -> DataFrame:
         d = F.when(F.col("p_size") > 35, 1.5).when(F.col("p_size") > 15, 1.0).otherwise(0.5)
-        return self.part.where("p_partkey < 300").groupBy(F.col("p_brand").alias("jd"), (F.col("p_partkey") % SKILLS).alias("skill")).agg(F.max(d).alias("demand"))
+        return self.part.groupBy(F.col("p_brand").alias("jd"), (F.col("p_partkey") % self.n_skills()).alias("skill")).agg(F.max(d).alias("demand"))
 
     def paths(self) -> DataFrame:
         if self._paths is None:
-            self._paths = paths.apsp(self.edges(), CUTOFF, max_rounds=2).persist()
+            self._paths = paths.apsp(self.edges(), CUTOFF, hops_within=PARAMS.max_hops)
         return self._paths
 
     def graded(self) -> DataFrame:
@@ -62,17 +72,21 @@ class Tables:
         return x.select(F.col("conv_id").alias("doc_id"), "skill", F.least(0.5 + 0.5 * (F.col("n") - 1), F.lit(1.5)).alias("weight"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("context"), F.col("turn").alias("seq"))
 
 
-SKILL = f"skill AS (SELECT vec_id AS name, label::BIGINT AS category, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < {SKILLS})"
+SKILLS = "(SELECT greatest(count(*), 1) FROM embeddings)"
+SKILL = "skill AS (SELECT vec_id AS name, label::BIGINT AS category, embedding::DOUBLE[] AS v FROM embeddings)"
 SIM = f"{SKILL}, sim AS (SELECT a.name AS src, b.name AS dst, a.category AS c1, b.category AS c2, list_cosine_similarity(a.v, b.v) AS sim FROM skill a JOIN skill b ON a.name <> b.name)"
 NEAR = f"{SIM}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rn FROM sim WHERE sim >= 0.3) WHERE rn <= 5)"
 EDGES = f"{NEAR}, edges AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, round(max(sim), 3) AS weight FROM near GROUP BY 1, 2)"
 SYM = f"{EDGES}, sym AS (SELECT lo AS a, hi AS b, 1.0::DOUBLE - weight AS d FROM edges UNION ALL SELECT hi, lo, 1.0::DOUBLE - weight FROM edges)"
-PATHS = f"""{SYM}, walks AS (
-  SELECT a AS src, b AS dst, d, 1 AS h FROM sym
-  UNION ALL SELECT x.a, y.b, x.d + y.d, 2 FROM sym x JOIN sym y ON x.b = y.a WHERE x.a <> y.b),
-paths AS (SELECT src, dst, min(CASE WHEN d <= {CUTOFF} THEN d END) AS dist, min(h)::BIGINT AS hops FROM walks GROUP BY 1, 2)"""
+#: Every walk within the cutoff, for distances, and every one of two edges at most, for hops.
+PATHS = f"""RECURSIVE {SYM},
+walks(src, dst, d) AS (
+  SELECT a, b, d FROM sym WHERE d <= {CUTOFF}
+  UNION ALL SELECT w.src, s.b, w.d + s.d FROM walks w JOIN sym s ON w.dst = s.a WHERE w.src <> s.b AND w.d + s.d <= {CUTOFF}),
+near2 AS (SELECT a AS src, b AS dst, 1 AS h FROM sym UNION ALL SELECT x.a, y.b, 2 FROM sym x JOIN sym y ON x.b = y.a WHERE x.a <> y.b),
+paths AS (SELECT src, dst, min(d) AS dist, min(h)::BIGINT AS hops FROM (SELECT src, dst, d, NULL AS h FROM walks UNION ALL SELECT src, dst, NULL, h FROM near2) GROUP BY 1, 2)"""
 HAVE = f"have AS (SELECT o_custkey AS cand, l_partkey % {SKILLS} AS skill, max(0.5 + 0.5 * (l_quantity::INT % 3))::DOUBLE AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
-WANTS = f"wants AS (SELECT p_brand AS jd, p_partkey % {SKILLS} AS skill, max(CASE WHEN p_size > 35 THEN 1.5 WHEN p_size > 15 THEN 1.0 ELSE 0.5 END)::DOUBLE AS demand FROM part WHERE p_partkey < 300 GROUP BY 1, 2)"
+WANTS = f"wants AS (SELECT p_brand AS jd, p_partkey % {SKILLS} AS skill, max(CASE WHEN p_size > 35 THEN 1.5 WHEN p_size > 15 THEN 1.0 ELSE 0.5 END)::DOUBLE AS demand FROM part GROUP BY 1, 2)"
 REACH = f"""{PATHS}, {HAVE}, {WANTS},
 best AS (
   SELECT cand, dst AS skill, min(dist) AS dist, min(hops) AS hops, min_by(src, struct_pack(d := dist, s := src)) FILTER (dist IS NOT NULL) AS via

@@ -65,14 +65,15 @@ def content_hash(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
 
 
-def chunks(x: Column, chunk_words: int = 375, overlap: int = 40) -> Column:
-    """Overlapping windows of words as array<struct<index:int,text:string>>; none for blank text.
+def windows(w: Column, chunk_words: int = 375, overlap: int = 40) -> Column:
+    """Overlapping windows of an array of words as array<struct<index:int,text:string>>; none of no words.
 
-    Windows start every chunk_words - overlap words, and the first one that reaches the end is the last.
+    Windows start every chunk_words - overlap words, and the first one that reaches the end is the last. w should be a
+    column, not an expression: it is read once for each window.
     """
     if chunk_words <= 0 or not 0 <= overlap < chunk_words:
         raise ValueError("chunk_words > overlap >= 0 is needed")
-    w, stride = words(x), chunk_words - overlap
+    stride = chunk_words - overlap
     n = F.when(F.size(w) == 0, 0).otherwise(1 + F.ceil(F.greatest(F.size(w) - chunk_words, F.lit(0)) / stride)).cast("int")
     index = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
     return F.transform(index, lambda i: F.struct(i.alias("index"), F.array_join(F.slice(w, i * stride + 1, F.lit(chunk_words)), " ").alias("text")))
@@ -89,11 +90,31 @@ def strip_fences(x: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip(x), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
 
 
+# Parts of messages of errors that another try doesn't mend.
+FATAL = ("api_key", "apikey", "authentication", "unauthorized", "401", "403", "quota", "billing", "permission denied", "invalid argument")
+
+
 def retryable(message: Column) -> Column:
-    """Fatal keywords first: a message with one is never retried."""
-    low = F.lower(message)
-    fatal = F.rlike(low, F.lit("api key|permission|unauthenticated|unauthorized|invalid argument|quota|billing|not found|400|401|403|404"))
-    return F.when(fatal, False).otherwise(F.rlike(low, F.lit("429|500|502|503|504|timeout|timed out|deadline|unavailable|overloaded|connection|rate|temporar")))
+    """Whether another try may help: of every error but the fatal ones, known or not."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return ~F.rlike(low, F.lit("|".join(FATAL)))
+
+
+def thread_id(stem: Column, path: Column) -> Column:
+    """<stem>-<first 8 of the path's SHA-1>: what a document's run is resumed by."""
+    return F.concat(stem, F.lit("-"), F.substring(F.sha1(path.cast("binary")), 1, 8))
+
+
+def upload_thread_id(digest: Column) -> Column:
+    """upload-<first 16 of the content hash>: an upload has no path that stays."""
+    return F.concat(F.lit("upload-"), F.substring(digest, 1, 16))
+
+
+def casefold(x: Column) -> Column:
+    """Full case folding by way of upper case (so that sharp s becomes ss); final sigma becomes sigma. Of letters whose
+    upper case is that of another letter only the dotless i folds to more than it should."""
+    upper = F.concat(F.upper(x), F.lit(""))  # the optimizer takes upper() out of lower(upper(x))
+    return F.translate(F.lower(upper), "\u03c2", "\u03c3")
 
 
 def document_id(stem: Column, digest: Column) -> Column:

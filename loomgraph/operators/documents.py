@@ -25,8 +25,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", hash_col: str = "cont
 
 
 def chunked(docs: DataFrame, chunk_words: int = 375, overlap: int = 40, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, index, text of overlapping word windows."""
-    return docs.select(id_col, F.explode(T.chunks(F.col(text), chunk_words, overlap)).alias("c")).select(id_col, "c.index", "c.text")
+    """id, index, text of overlapping word windows. A text is split once, so time is in proportion to its length."""
+    split = docs.select(F.col(id_col).alias("__id"), T.words(F.col(text)).alias("__w"))
+    return split.select("__id", F.explode(T.windows(F.col("__w"), chunk_words, overlap)).alias("__c")).select(F.col("__id").alias(id_col), "__c.index", "__c.text")
 
 
 def chunk_groups(chunks: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
@@ -71,6 +72,19 @@ def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: st
     return old.join(parents.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def drift(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key and change of every key in either table: added, removed or kept."""
+    o, n = old.select(key).distinct().withColumn("__o", F.lit(True)), new.select(key).distinct().withColumn("__n", F.lit(True))
+    change = F.when(F.col("__o").isNull(), "added").when(F.col("__n").isNull(), "removed").otherwise("kept")
+    return o.join(n, key, "full_outer").select(key, change.alias("change"))
+
+
+def profiles(have: DataFrame) -> DataFrame:
+    """cand and profile, a map of its skills to weights; a skill that is there twice counts at its largest weight."""
+    one = have.groupBy("cand", "skill").agg(F.max("weight").alias("weight"))
+    return one.groupBy("cand").agg(F.map_from_entries(F.collect_list(F.struct("skill", "weight"))).alias("profile"))
+
+
 def in_batch(candidates: DataFrame, batch: str | None) -> DataFrame:
     """Candidates of a batch; all for None or an empty name, none for an unknown one."""
     return candidates.where(F.array_contains("batch_ids", batch)) if batch else candidates

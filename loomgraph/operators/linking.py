@@ -64,34 +64,87 @@ def nearest_node(left: DataFrame, nodes: DataFrame, embedder: Embedder | None =
     The node matrix is sent to every task, up to BROADCAST_NODES nodes.
     """
     embedder = embedder or BigramEmbedder()
-    rows = nodes.select("name", text_of).orderBy("name").limit(BROADCAST_NODES + 1).collect()
-    if len(rows) > BROADCAST_NODES:
-        raise ValueError(f"more than {BROADCAST_NODES} nodes: link in blocks with operators.graph.nearest")
-    names, matrix = [r[0] for r in rows], embedder.encode([r[1] for r in rows])
-    sent = left.sparkSession.sparkContext.broadcast((names, matrix))
+    sent = left.sparkSession.sparkContext.broadcast(node_matrix(nodes, embedder, text_of))
 
     def run(batches):
         for pdf in batches:
             names, m = sent.value
             if not names or not len(pdf):
                 continue
-            sim = embedder.encode(pdf["surface"].tolist()) @ m.T
+            sim = np.round(embedder.encode(pdf["surface"].tolist()) @ m.T, 9)  # so that equal texts tie in any order of sums
             at = sim.argmax(1)
             yield pd.DataFrame({"surface": pdf["surface"], "node": [names[i] for i in at], "sim": sim[np.arange(len(at)), at]})
 
     return left.select("surface").distinct().mapInPandas(run, "surface string, node string, sim double")
 
 
-def link(phrases: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None, embedder: Embedder | None = None, min_score: float = MIN_SCORE, use_embedding: bool = True) -> DataFrame:
+def node_matrix(nodes: DataFrame, embedder: Embedder, text_of: str = "text") -> tuple[list[str], np.ndarray]:
+    """Names in order and their vectors, of BROADCAST_NODES nodes at most."""
+    rows = nodes.select("name", text_of).orderBy("name").limit(BROADCAST_NODES + 1).collect()
+    if len(rows) > BROADCAST_NODES:
+        raise ValueError(f"more than {BROADCAST_NODES} nodes: link in blocks with operators.graph.nearest")
+    return [r[0] for r in rows], embedder.encode([r[1] for r in rows])
+
+
+class Linker:
+    """link() over one set of nodes, whose index and vectors are made on first use, or by warm(), and kept.
+
+    Without an embedder that works, surfaces that only it could resolve stay unresolved.
+    """
+
+    def __init__(self, nodes: DataFrame, embedder: Embedder | None = None, min_score: float = MIN_SCORE):
+        self.nodes, self.embedder, self.min_score = nodes, embedder or BigramEmbedder(), min_score
+        self._available: bool | None = None
+        self._index: DataFrame | None = None
+
+    def available(self) -> bool:
+        """Whether the embedder gives one vector for a text; tried once."""
+        if self._available is None:
+            try:
+                self._available = len(self.embedder.encode(["probe"])) == 1
+            except Exception:  # the embedder is foreign code
+                self._available = False
+        return self._available
+
+    def warm(self) -> Linker:
+        """Make what the first link would make."""
+        if self._index is None:
+            self.nodes = self.nodes.persist()
+            self._index = surface_index(self.nodes).persist()
+            self._index.count()
+        self.available()
+        return self
+
+    def link(self, phrases: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+        self.warm()
+        return link(phrases, self.nodes, aliases, self.embedder, self.min_score, self.available(), self._index)
+
+    def names(self, phrases: DataFrame) -> DataFrame:
+        """node: the distinct names that phrases (surface) resolve to, in order; what older callers ask for."""
+        return names_only(self.link(phrases.withColumn("weight", F.lit(1.0))))
+
+
+def names_only(linked: DataFrame) -> DataFrame:
+    return linked.where("node IS NOT NULL").select("node").distinct().orderBy("node")
+
+
+def calibration_report(cases: DataFrame, linker: Linker, thresholds: list[float]) -> DataFrame:
+    """calibrate() over cases (surface, expected node or null), each linked by similarity alone, whatever its score."""
+    near = nearest_node(cases.select("surface"), linker.nodes, linker.embedder)
+    scored = cases.join(near, "surface", "left").select("expected", F.col("node").alias("found"), F.coalesce("sim", F.lit(0.0)).alias("score"))
+    return calibrate(scored, thresholds)
+
+
+def link(phrases: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None, embedder: Embedder | None = None, min_score: float = MIN_SCORE, use_embedding: bool = True, index: DataFrame | None = None) -> DataFrame:
     """phrases (surface, weight, ...) with node, score and method.
 
     method: alias, surface, embedding or unresolved. A blank surface is unresolved with score 0; one below min_score
     keeps its score, but no node. nodes: name, and text if the embedding is used. Only what the first two steps leave
-    reaches the embedder.
+    reaches the embedder. index: the nodes' surface_index(), if it is there already.
     """
     aliases = alias_table(phrases.sparkSession) if aliases is None else aliases
     first = active_aliases(aliases, nodes).select(F.col("surface").alias("key"), F.col("node").alias("by_alias")).dropDuplicates(["key"])
-    second = surface_index(nodes).select(F.col("surface").alias("key"), F.col("node").alias("by_surface"))
+    second = (surface_index(nodes) if index is None else index).select(F.col("surface").alias("key"), F.col("node").alias("by_surface"))
     x = phrases.withColumn("key", T.normalize(F.col("surface"))).join(first, "key", "left").join(second, "key", "left")
     known = F.coalesce("by_alias", "by_surface")
     if use_embedding:
@@ -120,8 +173,8 @@ def resolution_rate(linked: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def merge_mentions(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Mentions (doc, skill, weight, context, seq) once for each skill in lower case: the heaviest, the first of equals."""
-    place = F.row_number().over(W.partitionBy(doc, F.lower("skill")).orderBy(F.desc("weight"), "seq"))
+    """Mentions (doc, skill, weight, context, seq) once for each case-folded skill: the heaviest, the first of equals."""
+    place = F.row_number().over(W.partitionBy(doc, T.casefold(F.col("skill"))).orderBy(F.desc("weight"), "seq"))
     return mentions.withColumn("rn", place).where("rn = 1").drop("rn")
 
 
@@ -140,16 +193,18 @@ def gazetteer(nodes: DataFrame) -> DataFrame:
 def gazetteer_matches(docs: DataFrame, aliases: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, node: distinct nodes with an alias (node, alias) that the text has as a whole word.
 
-    Aliases meet texts on their first run of letters and digits, so no text is compared with every alias; an alias
-    without one is compared with all texts (those are few and broadcast by size).
+    Aliases meet ids of texts on their first run of letters and digits, or else on their first character, and each text
+    then meets only the aliases that it may have; no text is compared with every alias, or shuffled more than once.
     """
-    low = docs.select(doc, F.lower(text).alias("t")).where("t IS NOT NULL")
+    low = docs.select(F.col(doc).alias("__id"), F.lower(text).alias("__t")).where("__t IS NOT NULL")
     start = F.regexp_extract("alias", r"(?U)\w+", 0)
-    keyed = aliases.withColumn("key", start)
-    tokens = low.select(doc, "t", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?U)\w+"), 0))).alias("key"))
-    hit = tokens.join(keyed.where("key <> ''"), "key").where(T.mentions(F.col("t"), F.col("alias"))).select(doc, "node")
-    odd = low.join(keyed.where("key = ''"), T.mentions(F.col("t"), F.col("alias"))).select(doc, "node")
-    return hit.union(odd).distinct()
+    keyed = aliases.where("alias <> ''").select("node", "alias", F.when(start != "", start).otherwise(F.substring("alias", 1, 1)).alias("__key"))
+    signs = F.split(F.regexp_replace("__t", r"(?U)[\w\s]+", ""), "")
+    keys = F.array_distinct(F.concat(F.regexp_extract_all("__t", F.lit(r"(?U)\w+"), 0), signs))
+    tokens = low.select("__id", F.explode(keys).alias("__key"))
+    may = tokens.join(keyed, "__key").groupBy("__id").agg(F.collect_set(F.struct("node", "alias")).alias("__may"))
+    hit = low.join(may, "__id").select("__id", "__t", F.explode("__may").alias("__m")).where(T.mentions(F.col("__t"), F.col("__m.alias")))
+    return hit.select(F.col("__id").alias(doc), "__m.node").distinct()
 
 
 def register(surface_rows: list[str], nodes: DataFrame, threshold: float = 0.82, embedder: Embedder | None = None) -> list[dict]:

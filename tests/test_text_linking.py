@@ -1,3 +1,7 @@
+import collections
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,19 +26,40 @@ def test_normalize_document(spark):
     assert one(spark, T.normalize_document, "a\r\nb\x0bc") == "a\nb\nc"
 
 
-@pytest.mark.parametrize("n, size, overlap, want", [(1000, 400, 50, 3), (45, 10, 2, 6), (17, 10, 2, 2), (0, 10, 2, 0), (10, 10, 2, 1)])
-def test_chunks(spark, n, size, overlap, want):
-    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
-    rows = documents.chunked(df, size, overlap).orderBy("index").collect()
-    assert len(rows) == want
-    assert not n or rows[-1]["text"].split()[-1] == f"w{n - 1}"
-
-
-@pytest.mark.parametrize("size, calls", [(1, 6), (2, 3), (3, 2), (4, 2), (6, 1), (99, 1), (0, 6)])
-def test_chunk_groups(spark, size, calls):
-    df = spark.createDataFrame([(1, i, f"t{i}") for i in range(6)], "doc_id long, index int, text string")
-    rows = documents.chunk_groups(df, size).orderBy("group").collect()
-    assert len(rows) == calls and (("SECTION" in rows[0]["text"]) == (size > 1))
+def test_windows_cover_every_word(spark):
+    """Over generated lengths and sizes: windows start every stride, only the last one reaches the end, and none is lost."""
+    rng = random.Random(5)
+    for _ in range(6):
+        size = rng.randint(1, 30)
+        overlap = rng.randrange(size)
+        docs = [(i, " ".join(f"w{j}" for j in range(rng.choice((0, 1, size - 1, size, size + 1, rng.randint(0, 200)))))) for i in range(12)]
+        got = collections.defaultdict(list)
+        for r in documents.chunked(spark.createDataFrame(docs, "doc_id long, text string"), size, overlap).collect():
+            got[r["doc_id"]].append((r["index"], r["text"].split()))
+        for i, text in docs:
+            w, own = text.split(), sorted(got[i])
+            assert [k for k, _ in own] == list(range(len(own))) and bool(own) == bool(w)
+            for k, part in own:
+                start = k * (size - overlap)
+                assert part == w[start : start + size] and (start + size >= len(w)) == (k == len(own) - 1)
+
+
+def test_a_long_text_is_cut_in_linear_time(spark):
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda i: i.cast("string")), " ").alias("text"))
+    began = time.time()
+    assert documents.chunked(df).agg(F.max("index")).first()[0] == -(-(300_000 - 375) // 335)
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize("chunks", [1, 2, 7, 12])
+def test_groups_hold_size_chunks(spark, chunks):
+    df = spark.createDataFrame([(1, i, f"t{i}") for i in range(chunks)], "doc_id long, index int, text string")
+    for size in (0, 1, 3, chunks, chunks + 5):
+        rows = documents.chunk_groups(df, size).orderBy("group").collect()
+        per = max(1, size)
+        assert len(rows) == -(-chunks // per) and sum(r["n"] for r in rows) == chunks
+        assert [r["first_index"] for r in rows] == list(range(0, chunks, per))
+        assert all(("SECTION" in r["text"]) == (r["n"] > 1) for r in rows)
 
 
 @pytest.fixture(scope="module")
@@ -61,10 +86,10 @@ def test_merge_keeps_the_heaviest(spark):
 
 
 def test_gazetteer_respects_word_borders(spark):
-    names = spark.createDataFrame([("Git",), ("C++",), ("Microsoft Azure software",)], "name string")
-    docs = spark.createDataFrame([(1, "GitHub and c++ on azure"), (2, "git, indeed"), (3, None)], "doc_id long, text string")
+    names = spark.createDataFrame([("Git",), ("C++",), ("Microsoft Azure software",), ("++ --",)], "name string")
+    docs = spark.createDataFrame([(1, "GitHub and c++ on azure"), (2, "git, indeed"), (3, None), (4, "a ++ -- b"), (4, "azure")], "doc_id long, text string")
     got = {(r["doc_id"], r["node"]) for r in linking.gazetteer_matches(docs, linking.gazetteer(names)).collect()}
-    assert got == {(1, "C++"), (1, "Microsoft Azure software"), (2, "Git")}
+    assert got == {(1, "C++"), (1, "Microsoft Azure software"), (2, "Git"), (4, "++ --"), (4, "Microsoft Azure software")}
 
 
 def test_register_sees_what_it_created(spark, nodes):

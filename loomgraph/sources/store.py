@@ -1,8 +1,9 @@
 """A store of graph and candidate tables as versioned Parquet, with atomic commits.
 
-A version is a manifest (JSON: table -> folder). Committing writes the changed tables to new folders, then creates the
-next manifest without overwriting; a second writer that got there first makes it fail, and readers see whole versions
-only. Works on any file system that Spark reads.
+A version is a manifest (JSON: table -> folder). Committing writes the changed tables to new folders and the manifest to
+a file of its own, which is then renamed to the next version; a second writer that got there first makes that fail, and
+readers see whole manifests only. The rename is atomic on HDFS and local disks; on an object store without one, let one
+writer commit at a time. vacuum() removes what the latest versions no longer name.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ TABLES = {
     "similar": "lo string, hi string, weight double, edge_source string",
     "candidates": "candidate_id string, name string, doc_type string, content_hash string, batch_ids array<string>, failed_chunks array<int>, unresolved array<string>, extracted_at timestamp",
     "has_skill": "candidate_id string, node string, weight double, context string, method string, link_score double",
+    # tries of chunk groups of documents that haven't reached the pool yet
+    "extractions": "content_hash string, first_index int, n int, attempt int, error string, done boolean, skills array<struct<skill:string,weight:double,context:string>>",
 }
-KEYS = {"skills": ["name"], "roles": ["name"], "requires": ["role", "skill"], "similar": ["lo", "hi"], "candidates": ["candidate_id"], "has_skill": ["candidate_id", "node"]}
+KEYS = {"skills": ["name"], "roles": ["name"], "requires": ["role", "skill"], "similar": ["lo", "hi"], "candidates": ["candidate_id"], "has_skill": ["candidate_id", "node"], "extractions": ["content_hash", "first_index"]}
 MAX_NODES, MAX_EDGES = 200_000, 400_000
 
 
@@ -79,14 +82,48 @@ class Store:
             if check and not (twice := self.spark.read.parquet(folder).groupBy(*KEYS[name]).count().where("count > 1").limit(1)).isEmpty():
                 raise ValueError(f"{name} has a key twice: {twice.first()}")
             entries[name] = folder
-        p, fs = self._fs(f"{self.path}/_versions/{before + 1:08d}")
+        self._put(json.dumps(entries), f"{self.path}/_versions/{before + 1:08d}")
+        return before + 1
+
+    def _put(self, text: str, path: str) -> None:
+        """A file that is there whole or not at all, and never replaces one."""
+        jvm = self.spark._jvm
+        p, fs = self._fs(path)
+        draft = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_drafts/{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.mkdirs(p.getParent())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = fs.create(p, False)
+            files.rename(draft, p, none)
         except Exception as e:
-            raise ConflictError(f"version {before + 1} exists") from e
-        out.write(bytearray(json.dumps(entries).encode()))
-        out.close()
-        return before + 1
+            fs.delete(draft, False)
+            raise ConflictError(f"{path} exists") from e
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove the folders that none of the latest `keep` versions names, and older manifests; their number."""
+        latest = self.version()
+        named = {f for v in range(max(1, latest - keep + 1), latest + 1) for f in self.manifest(v).values()}
+        gone = 0
+        for table in TABLES:
+            p, fs = self._fs(f"{self.path}/{table}")
+            for x in fs.listStatus(p) if fs.exists(p) else ():
+                if f"{self.path}/{table}/{x.getPath().getName()}" not in named:
+                    gone += fs.delete(x.getPath(), True)
+        for v in range(1, max(1, latest - keep + 1)):
+            p, fs = self._fs(f"{self.path}/_versions/{v:08d}")
+            fs.delete(p, False)
+        return gone
+
+    def __enter__(self) -> Store:
+        if not self.ping():
+            raise ConnectionError(f"{self.path} can't be reached")
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Nothing is held open between calls."""
 
     # graph
 
@@ -133,6 +170,30 @@ class Store:
             self.read(t).createOrReplaceTempView(prefix + t)
         return [prefix + t for t in TABLES]
 
+    def migrate(self, artifact: dict[str, DataFrame], dry_run: bool = False) -> DataFrame:
+        """Write an artifact's tables (skills, roles, requires, similar) to the store, in one commit.
+
+        kind, rows, good, errors of each. A row with a null key, an end that isn't there, a weight outside 0 to 1, or two
+        equal ends is counted as an error and left out; of rows with the same key one is good. With dry_run nothing is
+        written. The sizes are checked first.
+        """
+        blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+        skills, roles = ({"skills": "name", "roles": "name"}[k] for k in ("skills", "roles"))
+        good = {"skills": artifact["skills"].where(~blank(skills)).dropDuplicates([skills]), "roles": artifact["roles"].where(~blank(roles)).dropDuplicates([roles])}
+        end = lambda table, c: good[table].select(F.col("name").alias(c))
+        good["requires"] = artifact["requires"].join(end("roles", "role"), "role", "left_semi").join(end("skills", "skill"), "skill", "left_semi").dropDuplicates(["role", "skill"])
+        pairs = canonical(artifact["similar"]).where("lo <> hi AND weight BETWEEN 0 AND 1")
+        good["similar"] = pairs.join(end("skills", "lo"), "lo", "left_semi").join(end("skills", "hi"), "hi", "left_semi").dropDuplicates(["lo", "hi"])
+        full = {}
+        for name, df in good.items():
+            have = set(df.columns)
+            full[name] = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], TABLES[name]).schema])
+        counts = {k: (artifact[k].count(), full[k].count()) for k in full}
+        check_ceilings(counts["skills"][1] + counts["roles"][1], counts["requires"][1] + counts["similar"][1])
+        if not dry_run:
+            self.commit(full)
+        return self.spark.createDataFrame([(k, n, m, n - m) for k, (n, m) in counts.items()], "kind string, rows long, good long, errors long")
+
     def verify(self, expected: dict[str, int]) -> DataFrame:
         """kind, n, expected, ok for a written graph."""
         want = self.spark.createDataFrame(list(expected.items()), "kind string, expected long")
@@ -180,6 +241,29 @@ class Store:
         return c.join(self.read("has_skill"), "candidate_id", "left").select(F.col("candidate_id").alias("cand"), "name", F.col("node").alias("skill"), "weight")
 
 
+def canonical(similar: DataFrame) -> DataFrame:
+    """Pairs (lo, hi, ...) in one order, the smaller name first."""
+    rest = [c for c in similar.columns if c not in ("lo", "hi")]
+    return similar.select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"), *rest)
+
+
+def summarise(skills: DataFrame, roles: DataFrame, requires: DataFrame, similar: DataFrame) -> DataFrame:
+    """kind, n of an artifact: nodes and edges by kind, pairs counted once, and both totals; a pair stands for two
+    relationships in the second."""
+    one = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    pairs = one(canonical(similar).select("lo", "hi").distinct(), "similar")
+    parts = one(skills, "skills").union(one(roles, "roles")).union(one(requires, "requires")).union(pairs)
+    times = F.when(F.col("kind") == "similar", 2).otherwise(1) * F.col("n")
+    nodes = F.col("kind").isin("skills", "roles")
+    total = parts.agg(F.sum(F.when(nodes, F.col("n"))).alias("node_total"), F.sum(F.when(~nodes, times)).alias("relationship_total"))
+    return parts.union(total.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("node_total", "relationship_total")]))))
+
+
+def vectors_of(skills: DataFrame) -> DataFrame:
+    """name, embedding of the nodes that have a vector."""
+    return skills.where("embedding IS NOT NULL AND size(embedding) > 0").select("name", "embedding")
+
+
 def check_ceilings(nodes: int, edges: int) -> None:
     if nodes > MAX_NODES or edges > MAX_EDGES:
         raise ValueError(f"{nodes} nodes and {edges} edges; at most {MAX_NODES} and {MAX_EDGES} are allowed")

@@ -15,16 +15,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import FATAL
+
 MOST = 4
 BASE, CAP = 2.0, 60.0
-# Words of messages that are never, and that may be, retried; fatal ones count first.
-FATAL = ("api key", "permission", "unauthenticated", "unauthorized", "invalid argument", "quota", "billing", "not found", "400", "401", "403", "404")
-PASSING = ("429", "500", "502", "503", "504", "timeout", "timed out", "deadline", "unavailable", "overloaded", "connection", "rate", "temporar")
 
 
 def retryable(message: str | None) -> bool:
+    """Whether another try may help: of every error but the fatal ones, known or not."""
     low = (message or "").lower()
-    return not any(k in low for k in FATAL) and any(k in low for k in PASSING)
+    return not any(k in low for k in FATAL)
 
 
 def delay(attempt: int, rng: random.Random | None = None) -> float:

@@ -8,7 +8,7 @@ from loomgraph.streaming import retry
 
 
 def test_retry_policy():
-    assert not retry.retryable("429 quota exceeded") and retry.retryable("503 unavailable") and not retry.retryable("odd")
+    assert not retry.retryable("429 quota exceeded") and retry.retryable("503 unavailable") and retry.retryable("odd") and retry.retryable("the network is unreachable") and retry.retryable(None) and not retry.retryable("could not generate: api_key missing")
     assert 60 <= retry.delay(10, random.Random(1)) <= 60.5
     p = retry.Progress()
     assert [p.step(5, 2, e) for e in (None, "503", "503", "503", "503", None)] == ["advance", "retry", "retry", "retry", "give_up", "advance"]

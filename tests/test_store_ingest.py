@@ -1,12 +1,13 @@
 import io
 import json
 import zipfile
+from pathlib import Path
 
 import pytest
 
 from loomgraph.plans.engine import MatchEngine
 from loomgraph.sources import readers
-from loomgraph.sources.store import ParityError, Store
+from loomgraph.sources.store import ConflictError, ParityError, Store, summarise, vectors_of
 from loomgraph.streaming import ingest as I
 
 
@@ -98,3 +99,128 @@ def test_engine(spark, store):
     assert [r["skill"] for r in e.extract_jd_skills("We need Docker and React").collect()] == ["Docker", "React"]
     assert e.register_skills(["Zig", "Docker"]).where("status = 'created'").count() == 1 and e.graph_stats().first()["skills"] == 7
     assert {r["name"]: r["skill_count"] for r in e.list_candidates("b1").collect()} == {"devops": 2, "frontend": 2}
+
+
+def flaky(fails):
+    """An extractor that fails for a group as often as fails (group text's first word -> messages) says, then names it."""
+    import pandas as pd
+
+    def run(chunks, nodes):
+        seen = Path(fails["dir"])
+
+        def ask(batches):
+            for pdf in batches:
+                rows = []
+                for sid, i, text in pdf[["source_id", "index", "text"]].itertuples(index=False):
+                    word = text.split()[0] if not text.startswith("---") else text.split("\n")[1].split()[0]
+                    mark = seen / f"{word}"
+                    n = len(mark.read_text()) if mark.exists() else 0
+                    mark.write_text("x" * (n + 1))
+                    errors = fails.get(word, [])
+                    rows.append((sid, i, None, None, None, errors[n]) if n < len(errors) else (sid, i, "Docker", 1.0, word, None))
+                yield pd.DataFrame(rows, columns=["source_id", "index", "skill", "weight", "context", "error"])
+
+        return chunks.coalesce(1).mapInPandas(ask, "source_id string, index int, skill string, weight double, context string, error string")
+
+    return run
+
+
+def tried(fails):
+    return {p.name: len(p.read_text()) for p in Path(fails["dir"]).iterdir() if p.is_file()}
+
+
+def text_of(*words):
+    """A chunk of ten words for each word."""
+    return " ".join(" ".join([w] + [f"{w}{i}" for i in range(9)]) for w in words).encode()
+
+
+CONFIG = I.IngestConfig(chunk_words=10, overlap_words=0, attempts=3, wait=lambda n: 0)
+
+
+def test_groups_are_tried_again_and_given_up(spark, store, tmp_path):
+    fails = {"dir": str(tmp_path), "bb": ["503", "odd"], "cc": ["503"] * 9, "dd": ["401 unauthorized"]}
+    docs = readers.read_bytes(spark, [("one.txt", text_of("aa", "bb", "cc", "dd")), ("two.txt", text_of("ee"))])
+    got = {r["path"]: r for r in I.ingest(docs, store, "b", CONFIG, flaky(fails)).collect()}
+    assert tried(fails) == {"aa": 1, "bb": 3, "cc": 3, "dd": 1, "ee": 1}
+    assert got["one.txt"]["status"] == "partial" and got["two.txt"]["status"] == "complete" and got["one.txt"]["in_pool"]
+    stored = {r["name"]: r["failed_chunks"] for r in store.read("candidates").collect()}
+    assert stored == {"one": [2, 3], "two": []} and store.read("extractions").count() == 0
+    # a profile with failed chunks is extracted again, a whole one isn't
+    again = {r["path"]: r for r in I.ingest(docs, store, "c", CONFIG, flaky({"dir": str(tmp_path)})).collect()}
+    assert again["one.txt"]["status"] == "complete" and again["two.txt"]["status"] == "reused" and tried(fails)["ee"] == 1
+
+
+def test_an_interrupted_run_goes_on_at_its_cursor(spark, store, tmp_path, monkeypatch):
+    fails = {"dir": str(tmp_path)}
+    docs = readers.read_bytes(spark, [("one.txt", text_of("aa", "bb", "cc"))])
+    whole = store.upsert_candidates
+    monkeypatch.setattr(store, "upsert_candidates", lambda *a: (_ for _ in ()).throw(OSError("disk is away")))
+    row = I.ingest(docs, store, "b", CONFIG, flaky(fails)).first()
+    assert row["status"] == "persist_failed" and not row["in_pool"] and "disk" in row["error"] and store.read("candidates").count() == 0
+    monkeypatch.setattr(store, "upsert_candidates", whole)
+    row = I.ingest(docs, store, "b", I.IngestConfig(chunk_words=10, overlap_words=0, chunks_per_call=2, wait=lambda n: 0), flaky(fails)).first()
+    assert row["status"] == "complete" and tried(fails) == {"aa": 1, "bb": 1, "cc": 1} and store.read("candidates").count() == 1
+
+
+def test_groups_hold_several_chunks_and_fail_as_one(spark, store, tmp_path):
+    fails = {"dir": str(tmp_path), "cc": ["quota"]}
+    docs = readers.read_bytes(spark, [("one.txt", text_of("aa", "bb", "cc", "dd", "ee"))])
+    row = I.ingest(docs, store, None, I.IngestConfig(chunk_words=10, overlap_words=0, chunks_per_call=2, wait=lambda n: 0), flaky(fails)).first()
+    assert row["status"] == "partial" and store.read("candidates").first()["failed_chunks"] == [2, 3]
+
+
+def test_persist_policy(spark, store, monkeypatch):
+    calls = []
+
+    def fail(text):
+        def run(*a):
+            calls.append(text)
+            raise OSError(text)
+        return run
+
+    c, k = store.read("candidates"), store.read("has_skill")
+    for text, n in (("network", 3), ("forbidden", 1)):
+        calls.clear()
+        monkeypatch.setattr(store, "upsert_candidates", fail(text))
+        assert text in I.persist(store, c, k, CONFIG) and len(calls) == n
+
+
+def test_a_broken_linker_loses_no_extraction(spark, store, tmp_path):
+    fails = {"dir": str(tmp_path)}
+    docs = readers.read_bytes(spark, [("one.txt", text_of("aa"))])
+
+    def broken(phrases, nodes):
+        raise RuntimeError("no embedder")
+
+    row = I.ingest(docs, store, "b", CONFIG, flaky(fails), broken).first()
+    assert row["status"] == "link_failed" and not row["in_pool"] and store.read("candidates").count() == 0
+    assert I.ingest(docs, store, "b", CONFIG, flaky(fails)).first()["status"] == "complete" and tried(fails) == {"aa": 1}
+
+
+def test_manifests_are_whole_and_old_versions_go(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "v"))
+    for i in range(4):
+        s.upsert_skills(spark.createDataFrame([(f"s{i}", "c")], "name string, source string"))
+    with pytest.raises(ConflictError):
+        s._put("{}", f"{s.path}/_versions/{s.version():08d}")
+    assert s.vacuum(keep=1) == 3 and s.read("skills").count() == 4 and s.version() == 4
+    with s as same:
+        assert same is s
+
+
+def test_migration(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "m"))
+    art = {
+        "skills": spark.createDataFrame([("A", [1.0]), ("B", None), ("B", None), (None, None), (" ", None)], "name string, embedding array<double>"),
+        "roles": spark.createDataFrame([("R", "15-1")], "name string, soc string"),
+        "requires": spark.createDataFrame([("R", "A"), ("R", "Z"), ("Q", "A")], "role string, skill string"),
+        "similar": spark.createDataFrame([("B", "A", 0.8), ("A", "A", 0.5), ("A", "B", 2.0), ("A", "Z", 0.4)], "lo string, hi string, weight double"),
+    }
+    want = {"skills": (5, 2, 3), "roles": (1, 1, 0), "requires": (3, 1, 2), "similar": (4, 1, 3)}
+    for dry in (True, False):
+        got = {r["kind"]: (r["rows"], r["good"], r["errors"]) for r in s.migrate(art, dry_run=dry).collect()}
+        assert got == want and s.version() == (0 if dry else 1)
+    assert [tuple(r)[:3] for r in s.read("similar").collect()] == [("A", "B", 0.8)]
+    n = {r["kind"]: r["n"] for r in summarise(s.read("skills"), s.read("roles"), s.read("requires"), s.read("similar")).collect()}
+    assert n == {"skills": 2, "roles": 1, "requires": 1, "similar": 1, "node_total": 3, "relationship_total": 3}
+    assert [r["name"] for r in vectors_of(s.read("skills")).collect()] == ["A"]

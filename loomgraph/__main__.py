@@ -1,4 +1,4 @@
-"""spark-submit entry: python -m loomgraph ingest|rank|gaps|stats|arms ..."""
+"""spark-submit entry: python -m loomgraph ingest|rank|gaps|stats|arms|evaluate|ablate|calibrate|migrate|serve ..."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import argparse
 import json
 
 from .config import Config, load_env, session
-from .operators import evaluation
-from .plans.arms import run_arm
-from .plans.engine import MatchEngine
+from .operators import evaluation, linking, paths
+from .plans.arms import ARMS, GRID, ablate, head_to_head, report, run_arm, run_arms, sweep
+from .plans.engine import MatchEngine, set_engine
+from .plans.tools import server
 from .sources import readers
 from .sources.store import Store
 
@@ -29,6 +30,16 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--want", nargs="+", required=True)
     sub.add_parser("stats", help="size of the graph")
     sub.add_parser("arms", help="evaluate the stored graph on the seeded dataset")
+    a = sub.add_parser("evaluate", help="the arms, ablations and baselines on the seeded dataset, as Markdown")
+    a.add_argument("--arm", action="append", choices=[n for n, x in ARMS.items() if x.get("graph") != "typed"], help="default: all that need no classified pairs")
+    sub.add_parser("ablate", help="one-factor changes from the setting chosen on the training split")
+    a = sub.add_parser("calibrate", help="correct, missed and wrong links by threshold, of a CSV of surface,expected")
+    a.add_argument("cases")
+    a = sub.add_parser("migrate", help="write an artifact (a folder of Parquet tables skills, roles, requires, similar) to the store")
+    a.add_argument("artifact")
+    a.add_argument("--dry-run", action="store_true")
+    a = sub.add_parser("serve", help="a JSON server over the engine")
+    a.add_argument("--port", type=int, default=8000)
     args = p.parse_args(argv)
     load_env()
     path = args.store or Config.from_env().store
@@ -45,6 +56,27 @@ def main(argv: list[str] | None = None) -> None:
         engine.get_bridgeable_gaps(weights(args.want), weights(args.have)).show(truncate=False)
     elif args.command == "stats":
         engine.graph_stats().show()
+    elif args.command in ("evaluate", "ablate"):
+        wants, graded, have = evaluation.dataset(spark, evaluation.Generator().jds())
+        similar = engine.store.read("similar")
+        if args.command == "ablate":
+            apsp = paths.apsp(similar)
+            best = GRID[sweep(wants, graded.where("split = 'train'"), have, apsp).first()["config"]]
+            print(report("Ablation", {json.dumps(best): ablate(wants, graded, have, apsp, best)}))
+        else:
+            names = args.arm or [n for n, x in ARMS.items() if x.get("graph") != "typed"]
+            tables = {"Arms": run_arms(wants, graded, have, engine.nodes(), similar, names=names)}
+            tables["Against the cosine baseline"] = head_to_head(wants, graded, have, engine.paths(), engine.params)
+            print(report("Evaluation", tables))
+    elif args.command == "calibrate":
+        cases = spark.read.csv(args.cases, header=True, schema="surface string, expected string")
+        linking.calibration_report(cases, linking.Linker(engine.nodes()), [x / 100 for x in range(60, 100, 2)]).show(50)
+    elif args.command == "migrate":
+        art = {t: spark.read.parquet(f"{args.artifact}/{t}") for t in ("skills", "roles", "requires", "similar")}
+        engine.store.migrate(art, args.dry_run).show()
+    elif args.command == "serve":
+        set_engine(engine)
+        server(engine, args.port).serve_forever()
     else:
         print(json.dumps(run_arm(engine.store.read("similar"), *evaluation.dataset(spark, evaluation.Generator().jds())), indent=2))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import asdict, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
+from ..functions import text as T
 from ..functions.scoring import TUNED_PARAMS, ScoringParams
 from ..operators import documents, evaluation, graph, linking, matching, paths
+from ..sources import readers
 from ..sources.store import Store
 from ..streaming import ingest as ingestion
 
@@ -29,7 +32,7 @@ class MatchEngine:
 
     def paths(self) -> DataFrame:
         if self._paths is None:
-            self._paths = paths.apsp(self.store.read("similar"), self.params.search_cutoff).persist()
+            self._paths = paths.apsp(self.store.read("similar"), self.params.search_cutoff)
         return self._paths
 
     def pool(self, batch: str | None = None) -> DataFrame:
@@ -39,8 +42,6 @@ class MatchEngine:
         return self._pools[key]
 
     def invalidate_graph(self) -> None:
-        if self._paths is not None:
-            self._paths.unpersist()
         self._paths = None
 
     def invalidate_pool(self, batch: str | None = None) -> None:
@@ -76,6 +77,15 @@ class MatchEngine:
         """The engine's parameters with those that are given and not None."""
         return replace(self.params, **{k: v for k, v in given.items() if v is not None})
 
+    def link_trace(self, skills, link: bool = True) -> DataFrame:
+        """One row, links: what each given skill was resolved to, and how, as structs in the order of the names."""
+        x = self.resolve(skills, link).select(F.struct("surface", "node", "weight", F.round("score", 4).alias("score"), "method").alias("l"))
+        return x.agg(F.array_sort(F.collect_list("l")).alias("links"))
+
+    def echo(self, p: ScoringParams) -> Column:
+        """The parameters that a result was made with, as a struct."""
+        return F.struct(*[F.lit(v).alias(k) for k, v in asdict(p).items()])
+
     # results
 
     def _candidates(self, candidates, batch: str | None, link: bool) -> tuple[DataFrame, DataFrame]:
@@ -99,6 +109,44 @@ class MatchEngine:
         scored = scored.join(cands, "cand").withColumnRenamed("cand", "candidate_id").withColumn("cand", F.col("name"))
         return matching.rank(scored, top_k).drop("cand", "jd").orderBy("rank")
 
+    def ranking_response(self, jd, candidates=None, batch: str | None = None, top_k: int | None = None, link: bool = True, **params) -> DataFrame:
+        """One row: candidates (structs with nested gaps, by rank), jd_links, params and n_candidates."""
+        p = self.params_for(**params)
+        have, cands = self._candidates(candidates, batch, link)
+        wants = self.wants(jd, link)
+        full = matching.results(wants, have, self.paths(), p, cands).join(cands, "cand")
+        ranked = matching.rank(full.withColumnRenamed("cand", "candidate_id").withColumn("cand", F.col("name")), top_k)
+        none = lambda c: F.coalesce(c, F.array()).alias(c)
+        one = F.struct("rank", "candidate_id", "name", "total", "direct", "bridge", "penalty", "total_demand", *[none(c) for c in ("matched_skills", "bridged_skills", "missing_skills", "floored_skills")])
+        out = ranked.agg(F.array_sort(F.collect_list(one)).alias("candidates"), F.count("*").cast("int").alias("n_candidates"))
+        return out.crossJoin(self.link_trace(jd, link).withColumnRenamed("links", "jd_links")).withColumn("params", self.echo(p))
+
+    def gap_response(self, jd, skills, max_hops: int | None = None, link: bool = True) -> DataFrame:
+        """One row: bridgeable and missing (structs, in order), both link traces and params."""
+        p = self.params_for(max_hops=max_hops)
+        gaps = matching.ordered_gaps(self.get_bridgeable_gaps(jd, skills, max_hops, link).withColumns({"jd": F.lit(0), "cand": F.lit(0)}))
+        gap = F.struct("place", "skill", "via", S.wire_distance(F.col("distance")).alias("distance"), "hops", "demand", "reason")
+        some = lambda cond: F.array_sort(F.collect_list(F.when(cond, gap)))
+        out = gaps.agg(some(F.col("bridgeable")).alias("bridgeable"), some(~F.col("bridgeable")).alias("missing"))
+        return self._traced(out, jd, skills, link).withColumn("params", self.echo(p))
+
+    def explain_response(self, jd, skills, link: bool = True) -> DataFrame:
+        """One row: explain_score() with both link traces."""
+        return self._traced(self.explain_score(jd, skills, link), jd, skills, link)
+
+    def _traced(self, df: DataFrame, jd, skills, link: bool) -> DataFrame:
+        df = df.crossJoin(self.link_trace(jd, link).withColumnRenamed("links", "jd_links"))
+        return df.crossJoin(self.link_trace(skills, link).withColumnRenamed("links", "candidate_links"))
+
+    def upload(self, name: str, content: bytes, batch: str | None = None) -> DataFrame:
+        """One row on an uploaded file: thread_id, candidate_id, status, in_pool, error, skill_count and unresolved."""
+        doc = readers.read_bytes(self.spark, [(name, content)])
+        out = self.ingest(doc, batch).join(doc.select("path", "content_hash"), "path")
+        c = self.store.read("candidates").select("candidate_id", "unresolved")
+        n = self.store.read("has_skill").groupBy("candidate_id").agg(F.count("*").alias("skill_count"))
+        out = out.join(c, "candidate_id", "left").join(n, "candidate_id", "left")
+        return out.select(T.upload_thread_id(F.col("content_hash")).alias("thread_id"), "candidate_id", "status", "in_pool", "error", F.coalesce("skill_count", F.lit(0)).alias("skill_count"), F.coalesce("unresolved", F.array()).alias("unresolved"))
+
     def get_bridgeable_gaps(self, jd, skills, max_hops: int | None = None, link: bool = True) -> DataFrame:
         have = self.wants(skills, link, "candidate").select(F.col("jd").alias("cand"), "skill", F.col("demand").alias("weight"))
         cands = self.spark.createDataFrame([("candidate",)], "cand string")
@@ -146,3 +194,18 @@ class MatchEngine:
         scored = matching.scores(wants, have, self.paths(), self.params, graded.select("cand"))
         labels = graded.select("cand", "tier", "grade", "exact_overlap")
         return matching.rank(scored).join(labels, "cand", "left").fillna({"tier": "", "grade": 0, "exact_overlap": 0}).orderBy("rank")
+
+
+_ENGINE: MatchEngine | None = None
+
+
+def set_engine(engine: MatchEngine | None) -> None:
+    """The engine that tools and the server of this process use."""
+    global _ENGINE
+    _ENGINE = engine
+
+
+def get_engine() -> MatchEngine:
+    if _ENGINE is None:
+        raise RuntimeError("no engine: call set_engine() first")
+    return _ENGINE

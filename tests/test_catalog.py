@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from loomgraph.plans import catalog
+from loomgraph.plans import catalog, catalog_more  # noqa: F401 (registers its queries)
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .pdf import Pdf
 
 SUFFIXES = ("txt", "md", "docx", "pdf")
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -36,15 +37,15 @@ def docx_text(data: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """Text of the pages; needs the optional pypdf."""
+    """Text of the pages, one after the other; a page of images has none. By pypdf where it is installed."""
     if not data.startswith(b"%PDF"):
         raise ValueError("not a PDF file")
     try:
         from pypdf import PdfReader
-    except ImportError as e:
-        raise ImportError("reading PDF needs pypdf") from e
+    except ImportError:
+        PdfReader = None
     try:
-        return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages)
+        return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages) if PdfReader else Pdf(data).text()
     except Exception as e:
         raise ValueError(f"broken PDF file: {e}") from e
 

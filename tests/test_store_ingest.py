@@ -1,6 +1,7 @@
 import io
 import json
 import zipfile
+import zlib
 from pathlib import Path
 
 import pytest
@@ -38,6 +39,47 @@ def test_readers(spark):
         readers.parse(b"", "xlsx")
 
 
+def pdf(pages, packed=False, extra=b""):
+    """A PDF with a content stream for each page; packed: Flate streams, and objects in an object stream."""
+    z = (lambda x: (b"/Filter/FlateDecode", zlib.compress(x))) if packed else (lambda x: (b"", x))
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+    plain = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[%s]/Count %d>>" % (kids, len(pages)), 5: b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>"}
+    streams = {}
+    for i, content in enumerate(pages):
+        plain[10 + 2 * i] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R/Resources<</Font<</F1 5 0 R/F2 6 0 R>>>>>>" % (11 + 2 * i)
+        streams[11 + 2 * i] = z(content)
+    plain[6] = b"<</Type/Font/ToUnicode 7 0 R>>"
+    streams[7] = z(extra)
+    out = b"%PDF-1.5\n"
+    if packed:
+        heads, bodies = b"", b""
+        for n, body in plain.items():
+            heads += b"%d %d " % (n, len(bodies))
+            bodies += body + b" "
+        raw = zlib.compress(heads + bodies)
+        out += b"99 0 obj<</Type/ObjStm/N %d/First %d/Filter/FlateDecode/Length %d>>stream\n" % (len(plain), len(heads), len(raw)) + raw + b"\nendstream endobj\n"
+    else:
+        out += b"".join(b"%d 0 obj%sendobj\n" % x for x in plain.items())
+    for n, (f, body) in streams.items():
+        out += b"%d 0 obj<<%s/Length %d>>stream\n" % (n, f, len(body)) + body + b"\nendstream endobj\n"
+    return out + b"trailer<</Root 1 0 R>>\n%%EOF\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf(packed):
+    cmap_ = b"1 beginbfchar <0001> <00C9> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
+    pages = [
+        b"BT /F1 12 Tf 72 720 Td (Docker and \\(old\\) Kub\\145rnetes) Tj 0 -14 Td [(Py)-20(thon)-300(Go)] TJ T* (next) Tj ET",
+        b"q 1 0 0 1 0 0 cm /Im1 Do Q",
+        b"BT /F2 9 Tf <00010002 0003> Tj /F1 9 Tf 5 0 Td ( same line) Tj ET",
+    ]
+    assert readers.parse(pdf(pages, packed, cmap_), "pdf") == "Docker and (old) Kubernetes\nPython Go\nnext\n\nÉab same line"
+    with pytest.raises(ValueError):
+        readers.parse(b"%PDF-1.4 cut off", "pdf")
+    with pytest.raises(ValueError):
+        readers.parse(pdf(pages).replace(b"trailer<<", b"trailer<</Encrypt 1 0 R"), "pdf")
+
+
 def test_payloads(spark):
     good = [{"skill": " Docker ", "weight": 1.5, "context": "ran  Docker"}]
     rows = [json.dumps(good), "```json\n" + json.dumps({"skills": good}) + "\n```", json.dumps([*good, {"skill": "x", "weight": 9, "context": "c"}]), "nonsense"]

@@ -89,10 +89,11 @@ def reach(have: DataFrame, paths: DataFrame, targets: DataFrame | None = None) -
     """cand, skill, dist, hops, via: of every skill reachable from another skill that a candidate has.
 
     have: cand, skill. paths: apsp(). targets: skill; only these are of interest, and restrict paths before the join.
-    A candidate's own skills are reached from its other skills (what the held floor needs).
+    A candidate's own skills are reached from its other skills (what the held floor needs). via is an aggregate of its
+    own, so that plans that don't read it hash numbers only.
     """
     if targets is not None:
         paths = paths.join(targets.select(F.col("skill").alias("dst")).distinct(), "dst", "left_semi")
     x = have.select("cand", F.col("skill").alias("src")).join(paths, "src")
-    best = F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "src")))
-    return x.groupBy("cand", F.col("dst").alias("skill")).agg(best.alias("x"), F.min("hops").alias("hops")).select("cand", "skill", F.col("x.dist").alias("dist"), "hops", F.col("x.src").alias("via"))
+    via = F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "src")))["src"]
+    return x.groupBy("cand", F.col("dst").alias("skill")).agg(F.min("dist").alias("dist"), F.min("hops").alias("hops"), via.alias("via"))

@@ -27,13 +27,19 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, read
 
-# Ends of a sentence, bare separators, and phrases of web boilerplate.
+# Ends of a sentence, bare separators, and phrases of web boilerplate in English, German, French and Spanish.
 ENDS = tuple(".!?…:;\"')]”’»。！？")
 SEPARATORS = frozenset(x.encode() for x in ("|", ">", "»", "›", "·", "•", "/", "::", "-", "–"))
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript",
     "lorem ipsum", "privacy policy", "read more", "share this", "sign up for", "skip to content", "subscribe to",
     "terms of service", "terms of use",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "javascript aktivieren", "newsletter abonnieren",
+    "nutzungsbedingungen", "weiterlesen", "zum seitenanfang",
+    "abonnez-vous", "accepter les cookies", "activer javascript", "conditions d'utilisation", "haut de page", "lire la suite",
+    "politique de confidentialité", "tous droits réservés",
+    "aceptar cookies", "activar javascript", "leer más", "política de privacidad", "suscríbete a", "términos de uso",
+    "todos los derechos reservados", "volver arriba",
 )
 PUNCTUATION = string.punctuation.encode()
 PUNCTUATION_LEAST = 6

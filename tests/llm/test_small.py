@@ -56,6 +56,42 @@ def test_significance():
     assert toxicity.significant([], 0, 0.1) == []
 
 
+def test_units_of_many_documents_are_tested_like_others():
+    """The tail in logarithms, against exact sums, on both sides of any size, and of what chance explains."""
+    from fractions import Fraction
+    from math import comb, exp
+
+    for a, n, p in ((5, 10, 0.1), (60, 399, 0.1), (60, 400, 0.1), (61, 401, 0.1), (30, 1000, 0.01), (1, 3, 0.2)):
+        q = Fraction(p).limit_denominator(1000)
+        want = float(sum(comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(a, n + 1)))
+        assert exp(toxicity.log_tail(a, n, p)) == pytest.approx(want, rel=1e-9)
+    assert toxicity.log_tail(60, 400, 0.15) == 0.0 == toxicity.log_tail(0, 5, 0.1) and toxicity.log_tail(900, 1000, 0.001) < -4000
+    row = lambda unit, a, b: {"unit": unit, "a": a, "b": b}
+    assert toxicity.significant([row("x", 60, 340), row("y", 60, 339), row("z", 500, 10)], 1000, 0.15) == [row("z", 500, 10)]
+
+
+def test_extreme_values_of_clean_text():
+    """Over words drawn as lambda and K assume, a text has a significant passage in few cases, however long it is."""
+    import math
+
+    rng = random.Random(21)
+    weights, p = {"bad": 3.0, "vile": 2.2, "foul": 1.8}, {"bad": 0.001, "vile": 0.002, "foul": 0.004}
+    rise = lambda lam: (1 - sum(p.values())) * math.exp(lam * toxicity.DRIFT) + sum(q * math.exp(lam * weights[w]) for w, q in p.items()) - 1
+    low, high = 1e-6, 5.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if rise(mid) < 0 else (low, mid)
+    m = toxicity.Model(weights, lam=low, k=1.0)
+    pool, odds = [*p, "word"], [*p.values(), 1 - sum(p.values())]
+    least = min(weights.values())
+    tops = [(n, s) for n in (300, 2000) for _ in range(250) for *_, s in m.scan(" ".join(rng.choices(pool, odds, k=n)))[1]]
+    m.k = sum(s >= least for _, s in tops) / (250 * 2300 * math.exp(-low * least))
+    for n in (300, 2000):
+        hits = sum(bool(m.passages(" ".join(rng.choices(pool, odds, k=n)))[0]) for _ in range(400))
+        assert hits / 400 < 2.5 * toxicity.E_VALUE
+    assert m.passages("word " * 50 + "bad vile bad foul bad " * 3)[0]
+
+
 # quality
 
 
@@ -327,11 +363,19 @@ def test_superminhash_stops_early_without_loss():
     assert got[:3].tolist() == [brute_superminhash(s) for s in sets] and (got[3] == np.iinfo(np.uint64).max).all()
 
 
-def test_superminhash_estimates_with_less_variance():
-    a = [np.arange(900, dtype=np.uint64) + np.uint64(10_000 * i) for i in range(20)]
-    b = [np.unique(np.concatenate([x[:800], x[:100] + np.uint64(5_000)])) for x in a]
-    ha, hb = (neardup.signatures([np.unique(neardup.splitmix(x)) for x in y]) for y in (a, b))
-    assert (ha == hb).mean() == pytest.approx(0.8, abs=0.02)
+@pytest.mark.parametrize("union", [50, 1000])
+def test_superminhash_estimates_with_less_variance(union):
+    """Unbiased, with less variance than as many independent hashes (J (1 - J) / m); by the published factor for 50."""
+    n = 300
+    a = [neardup.splitmix(np.arange(union * 3 // 4, dtype=np.uint64) + np.uint64(10_000 * i)) for i in range(n)]
+    b = [neardup.splitmix(np.arange(union // 4, union, dtype=np.uint64) + np.uint64(10_000 * i)) for i in range(n)]
+    share = len(np.intersect1d(a[0], b[0])) / union
+    got = (neardup.signatures([np.sort(x) for x in a]) == neardup.signatures([np.sort(x) for x in b])).mean(1)
+    plain = share * (1 - share) / neardup.HASHES
+    assert got.mean() == pytest.approx(share, abs=4 * (plain / n) ** 0.5)
+    m, u = neardup.HASHES, 50
+    factor = 1 - sum(k**u * ((k + 1) ** u + (k - 1) ** u - 2 * k**u) / ((m - 1) ** (u - 1) * m**u * (u - 1)) for k in range(1, m))
+    assert got.var() < 0.9 * plain and (union != u or got.var() == pytest.approx(factor * plain, rel=0.25))
 
 
 # licences

@@ -15,13 +15,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of the contracts: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch handed to a Python worker, and bytes of text handed to a function at once (one text
 #: may be longer).
 BATCH_ROWS = 256
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 PIECE_BYTES = 4 << 20
 
 _OWN: list[tuple] = []  # paths of intermediate tables, with the context that wrote them
@@ -124,9 +125,9 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, fn, text: str = "text
     """
     prepare(df.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    out_schema = df.sparkSession.createDataFrame([], schema).schema
+    out_schema = StructType.fromDDL(schema)
     clash(keep, out_schema.names)
-    out_schema = df.sparkSession.createDataFrame([], ", ".join([*(f"`{c}` {types[c]}" for c in keep), schema])).schema
+    out_schema = StructType.fromDDL(", ".join([*(f"`{c}` {types[c]}" for c in keep), schema]))
     n = len(keep)
     at = keep.index(text) if text in keep and types[text] == "string" else n
     sent = [F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)]
@@ -145,6 +146,7 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, fn, text: str = "text
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                 cols += [pa.array(got[arrow.field(i).name], type=arrow.field(i).type) for i in range(n, len(arrow))]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     return df.select(*sent).mapInArrow(run, out_schema)
 

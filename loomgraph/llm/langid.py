@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, read, remainder, unit
+from .common import cut, map_texts, read, remainder, unit
 
 #: Bounds of the training sample: documents of a language, characters taken of each, characters in all.
 DOCS = 150
@@ -42,6 +42,8 @@ SEGMENT = 2048
 MARK = 64
 #: Largest dense table.
 DENSE_BYTES = 192_000_000
+#: Rows of the table of languages that is sent to every task.
+BROADCAST_LANGUAGES = 20_000
 UNKNOWN = "und"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -257,12 +259,10 @@ class Model:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """labelled: rows to learn from. A language's documents are those of the lowest id hashes."""
     labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return Model({})
-    share = labelled.sparkSession.createDataFrame([(k, min(1.0, DOCS / n)) for k, n in counts.items()], "lang string, share double")
+    share = cut(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(DOCS)) / F.count("*")).alias("share")))
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
     start = F.pmod(F.xxhash64(F.lit("langid window"), "id"), F.greatest(F.length("text") - DOC_CHARS, F.lit(0)) + 1) + 1
-    rows = labelled.where("text IS NOT NULL").withColumn("h", unit(F.col("id"), "langid")).join(F.broadcast(share), "lang").where("h <= share")
+    rows = labelled.where("text IS NOT NULL").withColumn("h", unit(F.col("id"), "langid")).join(share, "lang").where("h <= share")
     rows = rows.select("lang", "h", F.substring("text", start.cast("int"), F.lit(DOC_CHARS)).alias("text"))
     found: dict[str, set] = {}
     for r in rows.toLocalIterator():

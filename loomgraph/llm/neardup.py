@@ -41,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import cut, map_texts, read, splitmix
 
@@ -247,7 +248,7 @@ def prefixes(sets: DataFrame, frequency: np.ndarray, similar: int) -> DataFrame:
     """element, id, component, n (set size) and rest (elements from this one on) for each element of each prefix."""
     sent = sets.sparkSession.sparkContext.broadcast(frequency)
     kind = dict(sets.dtypes)["id"]
-    schema = sets.sparkSession.createDataFrame([], f"element long, id {kind}, component {kind}, n int, rest int").schema
+    schema = StructType.fromDDL(f"element long, id {kind}, component {kind}, n int, rest int")
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema

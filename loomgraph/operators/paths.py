@@ -47,6 +47,15 @@ def apsp(edges: DataFrame, search_cutoff: float | None = None, hops_within: int
     return best.drop("moved")
 
 
+def toward(edges: DataFrame, targets: DataFrame, search_cutoff: float | None = None, hops_within: int | None = None) -> DataFrame:
+    """The rows of apsp() whose dst is among targets (skill), grown backwards from these, as paths have no direction.
+
+    Work and rows are in proportion to the targets; sums are made from the target's end, so the last bit may differ.
+    """
+    back = apsp(edges, search_cutoff, hops_within, targets.select(F.col("skill").alias("src")))
+    return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist", "hops")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, cut from its lineage in the shared checkpoint folder."""
     checkpoint_folder(df.sparkSession)

@@ -16,6 +16,10 @@ from ..sources.store import Store
 from ..streaming import ingest as ingestion
 
 
+#: Similarity edges up to which the paths between all nodes are kept.
+ALL_PAIRS = 20_000
+
+
 class MatchEngine:
     """Graph, paths and pools are built on first use and kept until a write makes them stale."""
 
@@ -30,7 +34,10 @@ class MatchEngine:
     def nodes(self) -> DataFrame:
         return self.store.read("skills").withColumn("text", F.concat("name", F.lit(" ("), F.coalesce("category", F.lit("")), F.lit(")")))
 
-    def paths(self) -> DataFrame:
+    def paths(self, wants: DataFrame | None = None) -> DataFrame:
+        """All paths, made once, for a graph of at most ALL_PAIRS edges; of a larger one only those to what is wanted."""
+        if self._paths is None and wants is not None and self.store.read("similar").limit(ALL_PAIRS + 1).count() > ALL_PAIRS:
+            return paths.toward(self.store.read("similar"), wants, self.params.search_cutoff)
         if self._paths is None:
             self._paths = paths.apsp(self.store.read("similar"), self.params.search_cutoff)
         return self._paths
@@ -105,7 +112,8 @@ class MatchEngine:
     def rank_candidates(self, jd, candidates=None, batch: str | None = None, top_k: int | None = None, link: bool = True, **params) -> DataFrame:
         p = self.params_for(**params)
         have, cands = self._candidates(candidates, batch, link)
-        scored = matching.scores(self.wants(jd, link), have, self.paths(), p, cands)
+        wants = self.wants(jd, link)
+        scored = matching.scores(wants, have, self.paths(wants), p, cands)
         scored = scored.join(cands, "cand").withColumnRenamed("cand", "candidate_id").withColumn("cand", F.col("name"))
         return matching.rank(scored, top_k).drop("cand", "jd").orderBy("rank")
 
@@ -114,7 +122,7 @@ class MatchEngine:
         p = self.params_for(**params)
         have, cands = self._candidates(candidates, batch, link)
         wants = self.wants(jd, link)
-        full = matching.results(wants, have, self.paths(), p, cands).join(cands, "cand")
+        full = matching.results(wants, have, self.paths(wants), p, cands).join(cands, "cand")
         ranked = matching.rank(full.withColumnRenamed("cand", "candidate_id").withColumn("cand", F.col("name")), top_k)
         none = lambda c: F.coalesce(c, F.array()).alias(c)
         one = F.struct("rank", "candidate_id", "name", "total", "direct", "bridge", "penalty", "total_demand", *[none(c) for c in ("matched_skills", "bridged_skills", "missing_skills", "floored_skills")])
@@ -150,11 +158,13 @@ class MatchEngine:
     def get_bridgeable_gaps(self, jd, skills, max_hops: int | None = None, link: bool = True) -> DataFrame:
         have = self.wants(skills, link, "candidate").select(F.col("jd").alias("cand"), "skill", F.col("demand").alias("weight"))
         cands = self.spark.createDataFrame([("candidate",)], "cand string")
-        return matching.gaps(self.wants(jd, link), have, self.paths(), self.params_for(max_hops=max_hops), cands).drop("jd", "cand").orderBy("distance", "skill")
+        wants = self.wants(jd, link)
+        return matching.gaps(wants, have, self.paths(wants), self.params_for(max_hops=max_hops), cands).drop("jd", "cand").orderBy("distance", "skill")
 
     def explain_score(self, jd, skills, link: bool = True) -> DataFrame:
         have = self.wants(skills, link, "candidate").select(F.col("jd").alias("cand"), "skill", F.col("demand").alias("weight"))
-        return matching.explain(matching.results(self.wants(jd, link), have, self.paths(), self.params))
+        wants = self.wants(jd, link)
+        return matching.explain(matching.results(wants, have, self.paths(wants), self.params))
 
     def list_candidates(self, batch: str | None = None) -> DataFrame:
         return documents.pool_summary(documents.in_batch(self.store.read("candidates"), batch), self.store.read("has_skill"))

@@ -112,3 +112,26 @@ def test_results_and_explanation(spark, serving):
     r = matching.explain(matching.results(w, h, serving, TUNED_PARAMS)).first()
     assert r["matched_skills"] == ["Docker"] and [g["skill"] for g in r["bridged_skills"]] == ["Kubernetes"]
     assert r["missing_skills"][0]["distance"] == -1.0 and "bridged: Kubernetes" in r["explanation"]
+
+
+def test_paths_toward_targets(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(60)})
+    e = edges(spark, [(f"n{a:02}", f"n{b:02}", round(rng.uniform(0.3, 0.95), 2)) for a, b in rows])
+    targets = spark.createDataFrame([("n01",), ("n05",), ("absent",)], "skill string")
+    key = lambda df: sorted((r["src"], r["dst"], None if r["dist"] is None else round(r["dist"], 9), r["hops"]) for r in df.collect())
+    for cutoff, hops in ((None, None), (0.9, None), (0.9, 2)):
+        whole = paths.apsp(e, cutoff, hops)
+        assert key(paths.toward(e, targets, cutoff, hops)) == key(whole.where("dst IN ('n01', 'n05')"))
+    # against Floyd and Warshall
+    d = {(r["lo"], r["hi"]): 1 - r["weight"] for r in e.collect()}
+    d |= {(b, a): x for (a, b), x in d.items()}
+    names = sorted({a for a, _ in d})
+    for k in names:
+        for a in names:
+            for b in names:
+                if a != b and (a, k) in d and (k, b) in d:
+                    d[a, b] = min(d.get((a, b), 9e9), d[a, k] + d[k, b])
+    assert {(r["src"], r["dst"]): round(r["dist"], 9) for r in paths.apsp(e).collect()} == {k: round(v, 9) for k, v in d.items()}

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from .paths import reach
+from .paths import held_or_reached, reach
 
 
 def _demand(wants: DataFrame, p: S.ScoringParams) -> DataFrame:
@@ -32,8 +32,7 @@ def terms(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringParam
     One row for each wanted skill that a candidate has or that can be reached from what it has.
     """
     wants, have = _demand(wants, p), _have(have)
-    near = reach(have, paths, wants)
-    both = have.join(near, ["cand", "skill"], "full_outer") if p.enable_bridging else have.withColumns({"dist": F.lit(None).cast("double"), "hops": F.lit(None).cast("int"), "via": F.lit(None)})
+    both = held_or_reached(have, paths, wants) if p.enable_bridging else have.withColumns({"dist": F.lit(None).cast("double"), "hops": F.lit(None).cast("int"), "via": F.lit(None)})
     x = both.join(wants, "skill")
     matched = F.col("weight").isNotNull()
     ok = S.bridgeable(F.col("dist"), F.col("hops"), p)

@@ -94,6 +94,18 @@ def within(edges: DataFrame, sources: DataFrame, max_hops: int = 2, max_distance
     return out.groupBy("src", "dst").agg(F.min(F.struct("dist", "hops")).alias("x")).select("src", "dst", "x.dist", "x.hops")
 
 
+def _steps(have: DataFrame, paths: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """cand, skill, weight (null), dist, hops, src: a row for each path from a skill that a candidate has."""
+    if targets is not None:
+        paths = paths.join(targets.select(F.col("skill").alias("dst")).distinct(), "dst", "left_semi")
+    x = have.select("cand", F.col("skill").alias("src")).join(paths, "src")
+    return x.select("cand", F.col("dst").alias("skill"), F.lit(None).cast("double").alias("weight"), "dist", "hops", "src")
+
+
+def _via():
+    return F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "src")))["src"].alias("via")
+
+
 def reach(have: DataFrame, paths: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """cand, skill, dist, hops, via: of every skill reachable from another skill that a candidate has.
 
@@ -101,8 +113,12 @@ def reach(have: DataFrame, paths: DataFrame, targets: DataFrame | None = None) -
     A candidate's own skills are reached from its other skills (what the held floor needs). via is an aggregate of its
     own, so that plans that don't read it hash numbers only.
     """
-    if targets is not None:
-        paths = paths.join(targets.select(F.col("skill").alias("dst")).distinct(), "dst", "left_semi")
-    x = have.select("cand", F.col("skill").alias("src")).join(paths, "src")
-    via = F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "src")))["src"]
-    return x.groupBy("cand", F.col("dst").alias("skill")).agg(F.min("dist").alias("dist"), F.min("hops").alias("hops"), via.alias("via"))
+    return _steps(have, paths, targets).groupBy("cand", "skill").agg(F.min("dist").alias("dist"), F.min("hops").alias("hops"), _via())
+
+
+def held_or_reached(have: DataFrame, paths: DataFrame, targets: DataFrame) -> DataFrame:
+    """reach() with weight, the candidate's own for a skill that it has: held and reached skills in one aggregate."""
+    own = have.join(targets.select("skill").distinct(), "skill", "left_semi")
+    own = own.select("cand", "skill", F.col("weight").cast("double").alias("weight"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("hops"), F.lit(None).cast(dict(have.dtypes)["skill"]).alias("src"))
+    both = own.union(_steps(have, paths, targets))
+    return both.groupBy("cand", "skill").agg(F.max("weight").alias("weight"), F.min("dist").alias("dist"), F.min("hops").alias("hops"), _via())

@@ -404,7 +404,7 @@ def precision_at_k(t: Tables) -> DataFrame:
 
 @query(f"WITH {RANKED} SELECT query, round(coalesce(1.0::DOUBLE / min(rank) FILTER (grade >= 2), 0), 6) AS mrr FROM r GROUP BY 1")
 def mrr(t: Tables) -> DataFrame:
-    return evaluation.mrr(evaluation.ranked(t.graded())).withColumn("mrr", r("mrr"))
+    return evaluation.mrr_of(t.graded()).withColumn("mrr", r("mrr"))
 
 
 @query(f"""WITH {RANKED}, a AS (SELECT *, avg(grade) OVER (PARTITION BY query, score) AS mean, row_number() OVER (PARTITION BY query ORDER BY grade DESC) AS ideal FROM r)

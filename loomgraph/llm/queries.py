@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, linefirst, media, mixing, neardup, quality, sharding, toxicity
+from . import bpe, langid, licenses, linefirst, media, mixing, neardup, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_near_duplicates": neardup.query,
     "op9_line_rules": linefirst.query,
     "op10_bpe": bpe.query,
+    "op11_topk": topk.query,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
     "op8_near_duplicates": neardup.ORACLE,
     "op9_line_rules": linefirst.ORACLE,
+    "op11_topk": topk.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, linefirst, media, mixing, neardup, quality, sharding, topk, toxicity
+from . import bpe, langid, licenses, linefirst, media, mixing, neardup, quality, sharding, topk, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_line_rules": linefirst.query,
     "op10_bpe": bpe.query,
     "op11_topk": topk.query,
+    "op12_prefix_trie": trie.query,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
     "op8_near_duplicates": neardup.ORACLE,
     "op9_line_rules": linefirst.ORACLE,
     "op11_topk": topk.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, linefirst, media, mixing, neardup, quality, sharding, topk, toxicity, trie
+from . import bpe, collocation, langid, licenses, linefirst, media, mixing, neardup, quality, sharding, topk, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe": bpe.query,
     "op11_topk": topk.query,
     "op12_prefix_trie": trie.query,
+    "op13_collocations": collocation.query,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_line_rules": linefirst.ORACLE,
     "op11_topk": topk.ORACLE,
     "op12_prefix_trie": trie.ORACLE,
+    "op13_collocations": collocation.ORACLE,
 }

@@ -5,15 +5,14 @@ Everything is per language. A word is known by a 64-bit hash of its language and
 1. Words are counted. Their hashes are compared with their texts; should two words share a hash, all is done again under
    another seed, so counts are exact.
 2. Prefixes: pairs of neighbouring words that both occur LEAST times (a bitmap of these words, of at most MOST_BITS bits,
-   is broadcast; what it lets through in error is counted and then found too rare) are counted. The frequent ones are
-   the prefixes that grow.
-3. Projection: every occurrence of a frequent prefix, by a bitmap of the same size, sends what follows it, up to
-   LONGEST words, and no further than a pair that isn't frequent: nothing longer can be frequent there. Equal
-   projections are counted before they move.
+   is broadcast) are counted in four times as many buckets as there are words. A prefix can be frequent only if its
+   bucket is; a bitmap of these buckets is broadcast. What a bitmap lets through in error is counted and found too rare.
+3. Projection: every occurrence of such a prefix sends what follows it, up to LONGEST words, and no further than a pair
+   whose bucket is rare: nothing longer can be frequent there. Equal ones of a chunk are counted before they move.
 4. Growth: one task gets all that follows a prefix, in the order of the words that follow, and extends it to the right,
    depth first: all occurrences of an extension are neighbours, so its count is the length of a run, and only the
    current run of each depth is held. A prefix with more than a task's share of all occurrences is divided by its next
-   word; its own count is known already, and fewer than SHARES prefixes for each partition can be so frequent.
+   word, and its own count summed over these; fewer than SHARES prefixes for each partition can be so frequent.
 5. Scores and drops are joins over the frequent phrases. Sums and products are decimals of 38 digits.
 
 Defined cases: a null text is empty, a null language `und`; a piece of one word gives no phrase; overlapping occurrences
@@ -44,7 +43,7 @@ UNKNOWN = "und"
 #: Bytes that are tokenised at once, and words of a language, and languages, that a worker keeps with hashes or counts.
 CHUNK, WORDS, LANGS = 4 << 20, 1 << 19, 16
 #: Bits of the bitmap of frequent words or pairs, at most, and for each of them; bits of one row of it.
-MOST_BITS, ID_BITS, BITMAP = 1 << 28, 16, 32_768
+MOST_BITS, ID_BITS, BITMAP = 1 << 28, 64, 32_768
 #: Prefixes that may have more than their share, for each partition.
 SHARES = 8
 
@@ -145,10 +144,6 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return splitmix(splitmix(a) * np.uint64(3) + b)
 
 
-def _long(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=[f"w{i}" for i in range(1, len(columns) + 1)])
-
-
 def count_words(rows: DataFrame, seed: int) -> DataFrame:
     """id, lang, word, n of every word of rows (lang, text)."""
 
@@ -178,76 +173,93 @@ def count_words(rows: DataFrame, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, lang string, word string, n long").groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
-def prefixes(rows: DataFrame, seed: int, frequent: Bits, least: int) -> DataFrame:
-    """w1, w2, f of the pairs of neighbours that occur `least` times."""
+def bucket(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket, of 2^bits, of a pair of neighbours."""
+    return (pair_hash(a, b) >> np.uint64(64 - bits)).view(np.int64)
 
-    def run(batches):
-        for a, b in windows(batches, seed, 2):
-            there = (a != 0) & frequent.has(a)
-            both = there & (b != 0) & frequent.has(b)
-            yield _long(a[both], b[both])
 
-    return rows.mapInArrow(run, "w1 long, w2 long").groupBy("w1", "w2").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+def count_buckets(rows: DataFrame, seed: int, frequent: Bits, bits: int) -> DataFrame:
+    """bucket, n: how many pairs of frequent neighbours fall into each bucket."""
 
+    def run(batches):
+        for a, b in windows(batches, seed, 2):
+            both = (a != 0) & (b != 0)
+            both[both] = frequent.has(a[both])
+            both[both] = frequent.has(b[both])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(a[both], b[both], bits))], names=["bucket"])
 
-def project(rows: DataFrame, seed: int, pairs: Bits) -> DataFrame:
-    """w1 to w4 and n: what follows each frequent prefix (w1, w2), w3 and, or 0, w4."""
+    return rows.mapInArrow(run, "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
 
-    def run(batches):
-        for a, b, c, d in windows(batches, seed, 4):
-            solid = (a != 0) & (b != 0) & (c != 0)
-            solid[solid] = pairs.has(pair_hash(a[solid], b[solid]))
-            solid[solid] = pairs.has(pair_hash(b[solid], c[solid]))
-            a, b, c, d = a[solid], b[solid], c[solid], d[solid].copy()
-            d[(d != 0) & ~pairs.has(pair_hash(c, d))] = 0
-            yield _long(a, b, c, d)
 
-    return rows.mapInArrow(run, "w1 long, w2 long, w3 long, w4 long").groupBy("w1", "w2", "w3", "w4").agg(F.count("*").alias("n"))
+def project(rows: DataFrame, seed: int, frequent: Bits, pairs: Bits, hot: np.ndarray, bits: int) -> DataFrame:
+    """w1 to w4, hot and n: each prefix (w1, w2) in a frequent bucket with the words that follow, w3 and w4, or 0.
 
+    Equal rows of a chunk are counted together. hot: the prefix's bucket is among those with more than their share.
+    """
 
-def grow(projected: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """p (array of 3 or 4 hashes) and f of the frequent extensions of all prefixes (found: w1, w2, f)."""
-    spark = projected.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = (found.agg(F.sum("f")).first()[0] or 0) // (SHARES * parts) + 1
-    hot = found.where(F.col("f") > share).select("w1", "w2", F.lit(True).alias("hot"))  # fewer than SHARES * parts
-    x = projected.join(F.broadcast(hot), ["w1", "w2"], "left")
-    x = x.withColumn("by", F.when(F.col("hot"), F.col("w3")).otherwise(0)).drop("hot")
+    def run(batches):
+        for a, b, c, d in windows(batches, seed, LONGEST):
+            solid = (a != 0) & (b != 0)
+            solid[solid] = frequent.has(a[solid])
+            solid[solid] = frequent.has(b[solid])
+            first = np.zeros(0, np.int64) if not solid.any() else bucket(a[solid], b[solid], bits)
+            there = pairs.has(first)
+            solid[solid] = there
+            a, b, c, d, first = a[solid], b[solid], c[solid].copy(), d[solid].copy(), first[there]
+            c[(c != 0) & ~pairs.has(bucket(b, c, bits))] = 0
+            d[(c == 0) | (d != 0) & ~pairs.has(bucket(c, d, bits))] = 0
+            order = np.argsort(pair_hash(pair_hash(a, b), pair_hash(c, d)))
+            cols = [x[order] for x in (a, b, c, d)]
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols])
+            at = np.flatnonzero(new)
+            n = np.diff(np.r_[at, len(order)])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in cols), pa.array(np.isin(first[order][at], hot)), pa.array(n)], names=["w1", "w2", "w3", "w4", "hot", "n"])
+
+    return rows.mapInArrow(run, "w1 long, w2 long, w3 long, w4 long, hot boolean, n long")
+
+
+def grow(projected: DataFrame, least: int) -> DataFrame:
+    """p (array of 2 to 4 hashes) and f of the frequent prefixes and their frequent extensions."""
+    parts = int(projected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = projected.withColumn("by", F.when(F.col("hot"), F.col("w3")).otherwise(0))
 
     def run(batches):
-        runs: dict[int, list] = {}  # by depth: the phrase that grows, and its count so far
+        runs: dict[int, list] = {}  # by depth: the phrase that grows, its count so far, and whether its prefix is divided
 
-        def step(depth, keys, n):
+        def step(depth, keys, n, hot):
             """Counts of runs of equal phrases of one depth; the last run stays open."""
             new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, int)
             sums = np.add.reduceat(n, new) if len(new) else np.zeros(0, np.int64)
-            keys = keys[new]
+            keys, hot = keys[new], hot[new]
             if depth in runs and len(keys):
-                key, had = runs.pop(depth)
+                key, had, was = runs.pop(depth)
                 if (key == keys[0]).all():
                     sums[0] += had
                 else:
-                    keys, sums = np.vstack((key[None], keys)), np.r_[had, sums]
+                    keys, sums, hot = np.vstack((key[None], keys)), np.r_[had, sums], np.r_[was, hot]
             if len(keys):
-                runs[depth] = [keys[-1], int(sums[-1])]
-                return keys[:-1], sums[:-1]
-            return keys, sums
+                runs[depth] = [keys[-1], int(sums[-1]), bool(hot[-1])]
+            return out(depth, keys[:-1], sums[:-1], hot[:-1])
 
-        def out(keys, sums):
-            ok = sums >= least
-            return pa.RecordBatch.from_arrays([pa.array(list(keys[ok]), pa.list_(pa.int64())), pa.array(sums[ok])], names=["p", "f"])
+        def out(depth, keys, sums, hot):
+            part = hot & (depth == 2)
+            ok = part | (sums >= least)
+            return pa.RecordBatch.from_arrays([pa.array(list(keys[ok]), pa.list_(pa.int64())), pa.array(sums[ok]), pa.array(part[ok])], names=["p", "f", "part"])
 
         for b in batches:
-            rows = np.stack([b.column(f"w{i}").to_numpy(zero_copy_only=False) for i in range(1, 5)], 1)
-            n = b.column("n").to_numpy(zero_copy_only=False)
-            yield out(*step(3, rows[:, :3], n))
-            full = rows[:, 3] != 0
-            yield out(*step(4, rows[full], n[full]))
-        for key, had in runs.values():
-            yield out(key[None], np.array([had]))
+            rows = np.stack([b.column(f"w{i}").to_numpy(zero_copy_only=False) for i in range(1, LONGEST + 1)], 1)
+            n, hot = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "hot"))
+            for depth in range(2, LONGEST + 1):
+                there = rows[:, depth - 1] != 0
+                yield step(depth, rows[there, :depth], n[there], hot[there])
+        for depth, (key, had, was) in runs.items():
+            yield out(depth, key[None], np.array([had]), np.array([was]))
 
     x = x.repartition(parts, "w1", "w2", "by").sortWithinPartitions("w1", "w2", "w3", "w4")
-    return x.select("w1", "w2", "w3", "w4", "n").mapInArrow(run, "p array<long>, f long")
+    got = cut(x.select("w1", "w2", "w3", "w4", "hot", "n").mapInArrow(run, "p array<long>, f long, part boolean"))
+    divided = got.where("part").groupBy("p").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return got.where("NOT part").select("p", "f").unionByName(divided)
 
 
 def _frequent(docs: DataFrame, lang_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -263,18 +275,17 @@ def _frequent(docs: DataFrame, lang_col: str, text_col: str, least: int) -> tupl
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = cut(counted.where(F.col("n") >= least))
     frequent = Bits(spark, kept.select(F.col("id").alias("hash")), kept.count())
-    found = cut(prefixes(rows, seed, frequent, least))
-
-    def keyed(batches):
-        for b in batches:
-            a, c = (b.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("w1", "w2"))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(a, c).view(np.int64))], names=["hash"])
-
-    pairs = Bits(spark, found.select("w1", "w2").mapInArrow(keyed, "hash long"), found.count())
-    longer = grow(project(rows, seed, pairs), found, least)
+    every = counted.agg(F.sum("n")).first()[0] or 0
+    bits = min(63, (4 * every).bit_length() + 1)
+    found = cut(count_buckets(rows, seed, frequent, bits).where(F.col("n") >= least))
+    n, occurrences = found.agg(F.count("*"), F.sum("n")).first()
+    pairs = Bits(spark, found.select(F.col("bucket").alias("hash")), n)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = (occurrences or 0) // (SHARES * parts) + 1
+    hot = np.array([r[0] for r in found.where(F.col("n") > share).select("bucket").collect()], np.int64)  # fewer than SHARES * parts
+    longer = grow(project(rows, seed, frequent, pairs, hot, bits), least)
     one = kept.select(F.array("id").alias("p"), F.col("n").alias("f"))
-    two = found.select(F.array("w1", "w2").alias("p"), "f")
-    return kept, total, cut(one.unionByName(two).unionByName(longer))
+    return kept, total, cut(one.unionByName(longer))
 
 
 def score(a: Column, left: Column, right: Column) -> Column:

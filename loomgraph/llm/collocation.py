@@ -71,14 +71,16 @@ def chunks(raw: bytes, most: int = CHUNK):
 
 
 class Ids(dict):
-    """Hashes of the words of one language; 0 for BREAK."""
+    """Hashes of the words of one language; 0 for BREAK and for what isn't in `only`, as no phrase goes across either."""
 
-    def __init__(self, lang: str, seed: int):
+    def __init__(self, lang: str, seed: int, only: Bits | None = None):
         super().__init__()
-        self.key = hashlib.blake2b(f"{seed}:{lang}".encode(), digest_size=16).digest()
+        self.key, self.only = hashlib.blake2b(f"{seed}:{lang}".encode(), digest_size=16).digest(), only
 
     def __missing__(self, word: bytes) -> int:
         x = 0 if word == BREAK else int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little") or 1
+        if x and self.only is not None and not self.only.has_one(x):
+            x = 0
         self[word] = x
         return x
 
@@ -96,13 +98,13 @@ def _texts(batches):
             yield from by.items()
 
 
-def _streams(batches, seed: int):
-    """(ids, whole): hashes of words in order, 0 between pieces and texts; whole: nothing is carried to the next one."""
+def _streams(batches, seed: int, only: Bits):
+    """(ids, whole): hashes of words in order, 0 for borders and rare words; whole: nothing is carried to the next one."""
     known: dict[str, Ids] = {}
     for lang, texts in _texts(batches):
         if lang not in known and len(known) >= LANGS:
             known.clear()
-        ids = known.setdefault(lang, Ids(lang, seed))
+        ids = known.setdefault(lang, Ids(lang, seed, only))
         for part in chunks((b"\n").join(texts)):
             if len(ids) > WORDS:
                 ids.clear()
@@ -111,15 +113,15 @@ def _streams(batches, seed: int):
         yield np.zeros(LONGEST, np.uint64), True
 
 
-def windows(batches, seed: int, width: int):
-    """Hashes of every run of `width` neighbours, as columns; borders are 0, and every word begins a run."""
+def windows(batches, seed: int, only: Bits, width: int):
+    """(x, n): hashes in order, of which the first n begin runs of `width` neighbours; every word begins one once."""
     left = np.zeros(0, np.uint64)
-    for got, whole in _streams(batches, seed):
+    for got, whole in _streams(batches, seed, only):
         x = np.concatenate((left, got))
-        n = len(x) - width + 1
-        if n > 0:
-            yield [x[i : n + i] for i in range(width)]
-        left = np.zeros(0, np.uint64) if whole else x[max(0, n) :]
+        n = max(0, len(x) - width + 1)
+        if n:
+            yield x, n
+        left = np.zeros(0, np.uint64) if whole else x[n:]
 
 
 class Bits:
@@ -139,9 +141,14 @@ class Bits:
         return (self.sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
+    def has_one(self, x: int) -> bool:
+        place = (x - (x >> 63 << 64)) % (self.rows * BITMAP)
+        return bool(self.sent.value[place >> 3] >> (place & 7) & 1)
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return splitmix(splitmix(a) * np.uint64(3) + b)
+        return splitmix(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
 def count_words(rows: DataFrame, seed: int) -> DataFrame:
@@ -182,11 +189,9 @@ def count_buckets(rows: DataFrame, seed: int, frequent: Bits, bits: int) -> Data
     """bucket, n: how many pairs of frequent neighbours fall into each bucket."""
 
     def run(batches):
-        for a, b in windows(batches, seed, 2):
-            both = (a != 0) & (b != 0)
-            both[both] = frequent.has(a[both])
-            both[both] = frequent.has(b[both])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(a[both], b[both], bits))], names=["bucket"])
+        for x, n in windows(batches, seed, frequent, 2):
+            both = (x[:n] != 0) & (x[1:] != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket(x[:n][both], x[1:][both], bits))], names=["bucket"])
 
     return rows.mapInArrow(run, "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
 
@@ -198,16 +203,16 @@ def project(rows: DataFrame, seed: int, frequent: Bits, pairs: Bits, hot: np.nda
     """
 
     def run(batches):
-        for a, b, c, d in windows(batches, seed, LONGEST):
-            solid = (a != 0) & (b != 0)
-            solid[solid] = frequent.has(a[solid])
-            solid[solid] = frequent.has(b[solid])
-            first = np.zeros(0, np.int64) if not solid.any() else bucket(a[solid], b[solid], bits)
-            there = pairs.has(first)
-            solid[solid] = there
-            a, b, c, d, first = a[solid], b[solid], c[solid].copy(), d[solid].copy(), first[there]
-            c[(c != 0) & ~pairs.has(bucket(b, c, bits))] = 0
-            d[(c == 0) | (d != 0) & ~pairs.has(bucket(c, d, bits))] = 0
+        for x, n in windows(batches, seed, frequent, LONGEST):
+            both = np.flatnonzero((x[:-1] != 0) & (x[1:] != 0))
+            own = bucket(x[both], x[both + 1], bits)
+            there = pairs.has(own)
+            ok, first = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+            ok[both], first[both] = there, own
+            at = np.flatnonzero(ok[:n])
+            a, b, first = x[at], x[at + 1], first[at]
+            c = np.where(ok[at + 1], x[at + 2], np.uint64(0))
+            d = np.where(ok[at + 1] & ok[at + 2], x[at + 3], np.uint64(0))
             order = np.argsort(pair_hash(pair_hash(a, b), pair_hash(c, d)))
             cols = [x[order] for x in (a, b, c, d)]
             new = np.ones(len(order), bool)

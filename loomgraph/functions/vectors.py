@@ -30,6 +30,21 @@ class Embedder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+def queries_of(embedder: Embedder, texts: list[str]) -> np.ndarray:
+    """Vectors of texts that are searched for; an embedder that tells queries from passages has encode_queries()."""
+    return getattr(embedder, "encode_queries", embedder.encode)(texts)
+
+
+class QueryMode:
+    """An embedder whose encode() is another one's query mode."""
+
+    def __init__(self, embedder: Embedder):
+        self.embedder = embedder
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return queries_of(self.embedder, texts)
+
+
 class BigramEmbedder:
     """The deterministic default: a histogram of lower-cased character pairs in 64 buckets, of unit length."""
 

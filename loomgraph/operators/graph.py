@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import similarity_of_cost, typed_cost
+from .vectorindex import PROBES, VectorIndex
+from .workspace import ship
 
 #: Nodes whose vectors are compared at once; a block of pairs holds two of these.
 BLOCK = 1024
@@ -80,6 +82,7 @@ def nearest(nodes: DataFrame, k: int | None, min_sim: float, block: int = BLOCK)
     Exact: vectors are compared in pairs of blocks, as matrix products, each pair of blocks once for both directions; it
     gives at most k rows a node and direction, and the work grows with the square of the nodes. Ties go to the smaller id.
     """
+    ship(nodes.sparkSession)
     kind = dict(nodes.dtypes)["id"]
     n = nodes.count()
     parts = max(1, -(-n // block))
@@ -122,11 +125,15 @@ def offer(near: DataFrame) -> DataFrame:
     return near.groupBy(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).agg(F.max("sim").alias("weight"))
 
 
-def semantic_edges(nodes: DataFrame, k: int = 5, min_sim: float = 0.30, strong_sim: float | None = None, existing: DataFrame | None = None, max_density: float | None = 0.15) -> DataFrame:
-    """Similarity edges: nearest neighbours, all pairs of strong_sim or more, none where existing has the pair."""
-    near = nearest(nodes, k, min_sim)
+def semantic_edges(nodes: DataFrame, k: int = 5, min_sim: float = 0.30, strong_sim: float | None = None, existing: DataFrame | None = None, max_density: float | None = 0.15, index: VectorIndex | None = None, probes: int = PROBES, exact: bool = False) -> DataFrame:
+    """Similarity edges: nearest neighbours, all pairs of strong_sim or more, none where existing has the pair.
+
+    index: over the nodes' vectors; neighbours are then sought in `probes` of its cells each, or with exact=True in all
+    that may hold one. Without an index all pairs of nodes are compared.
+    """
+    near = nearest(nodes, k, min_sim) if index is None else index.near(nodes, k, min_sim, probes, exact)
     if strong_sim is not None:
-        near = near.union(nearest(nodes, None, strong_sim))
+        near = near.union(nearest(nodes, None, strong_sim) if index is None else index.near(nodes, None, strong_sim))
     pairs = offer(near)
     if max_density is not None:
         check_density(nodes.count(), pairs.count(), max_density)

@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import BigramEmbedder, Embedder
+from ..functions.vectors import BigramEmbedder, Embedder, QueryMode, embed, queries_of
+from .vectorindex import PROBES, VectorIndex
+from .workspace import ship
 
 MIN_SCORE = 0.80
 #: Nodes up to this number are compared with every left-over surface as one broadcast matrix.
@@ -64,6 +66,7 @@ def nearest_node(left: DataFrame, nodes: DataFrame, embedder: Embedder | None =
     The node matrix is sent to every task, up to BROADCAST_NODES nodes.
     """
     embedder = embedder or BigramEmbedder()
+    ship(left.sparkSession)
     sent = left.sparkSession.sparkContext.broadcast(node_matrix(nodes, embedder, text_of))
 
     def run(batches):
@@ -71,18 +74,31 @@ def nearest_node(left: DataFrame, nodes: DataFrame, embedder: Embedder | None =
             names, m = sent.value
             if not names or not len(pdf):
                 continue
-            sim = np.round(embedder.encode(pdf["surface"].tolist()) @ m.T, 9)  # so that equal texts tie in any order of sums
+            sim = np.round(queries_of(embedder, pdf["surface"].tolist()) @ m.T, 9)  # so that equal texts tie in any order of sums
             at = sim.argmax(1)
             yield pd.DataFrame({"surface": pdf["surface"], "node": [names[i] for i in at], "sim": sim[np.arange(len(at)), at]})
 
     return left.select("surface").distinct().mapInPandas(run, "surface string, node string, sim double")
 
 
+def node_index(nodes: DataFrame, path: str, embedder: Embedder | None = None, text_of: str = "text", cells: int | None = None) -> VectorIndex:
+    """An index over the vectors of nodes (name, text), any number of them, for link()."""
+    ship(nodes.sparkSession)
+    return VectorIndex.build(embed(nodes.select(F.col("name").alias("id"), text_of), text_of, embedder=embedder).select("id", "embedding"), path, cells)
+
+
+def indexed_node(left: DataFrame, vectors: VectorIndex, embedder: Embedder | None = None, probes: int = PROBES, exact: bool = False) -> DataFrame:
+    """nearest_node() through an index of the nodes' vectors, made with the same embedder."""
+    ship(left.sparkSession)
+    asked = embed(left.select(F.col("surface").alias("id")).distinct(), "id", embedder=QueryMode(embedder or BigramEmbedder()))
+    return vectors.near(asked, 1, probes=probes, exact=exact, same=True).select(F.col("src").alias("surface"), F.col("dst").alias("node"), "sim")
+
+
 def node_matrix(nodes: DataFrame, embedder: Embedder, text_of: str = "text") -> tuple[list[str], np.ndarray]:
     """Names in order and their vectors, of BROADCAST_NODES nodes at most."""
     rows = nodes.select("name", text_of).orderBy("name").limit(BROADCAST_NODES + 1).collect()
     if len(rows) > BROADCAST_NODES:
-        raise ValueError(f"more than {BROADCAST_NODES} nodes: link in blocks with operators.graph.nearest")
+        raise ValueError(f"more than {BROADCAST_NODES} nodes: give link() their node_index()")
     return [r[0] for r in rows], embedder.encode([r[1] for r in rows])
 
 
@@ -135,12 +151,14 @@ def calibration_report(cases: DataFrame, linker: Linker, thresholds: list[float]
     return calibrate(scored, thresholds)
 
 
-def link(phrases: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None, embedder: Embedder | None = None, min_score: float = MIN_SCORE, use_embedding: bool = True, index: DataFrame | None = None) -> DataFrame:
+def link(phrases: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None, embedder: Embedder | None = None, min_score: float = MIN_SCORE, use_embedding: bool = True, index: DataFrame | None = None, vectors: VectorIndex | None = None, exact: bool = False) -> DataFrame:
     """phrases (surface, weight, ...) with node, score and method.
 
     method: alias, surface, embedding or unresolved. A blank surface is unresolved with score 0; one below min_score
     keeps its score, but no node. nodes: name, and text if the embedding is used. Only what the first two steps leave
-    reaches the embedder. index: the nodes' surface_index(), if it is there already.
+    reaches the embedder. index: the nodes' surface_index(), if it is there already. vectors: their node_index(), which
+    any number of nodes may have; it probes some of its cells, or with exact=True all that may hold the nearest node.
+    Without it all nodes are compared, up to BROADCAST_NODES of them.
     """
     aliases = alias_table(phrases.sparkSession) if aliases is None else aliases
     first = active_aliases(aliases, nodes).select(F.col("surface").alias("key"), F.col("node").alias("by_alias")).dropDuplicates(["key"])
@@ -149,7 +167,7 @@ def link(phrases: DataFrame, nodes: DataFrame, aliases: DataFrame | None = None,
     known = F.coalesce("by_alias", "by_surface")
     if use_embedding:
         rest = x.where(known.isNull() & (F.col("key") != "")).select("surface")
-        near = nearest_node(rest, nodes, embedder)
+        near = nearest_node(rest, nodes, embedder) if vectors is None else indexed_node(rest, vectors, embedder, exact=exact)
         x = x.join(near.select("surface", F.col("node").alias("near"), "sim"), "surface", "left")
     else:
         x = x.withColumns({"near": F.lit(None).cast("string"), "sim": F.lit(None).cast("double")})

@@ -46,12 +46,14 @@ def terms(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringParam
     )
 
 
-def scores(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringParams, candidates: DataFrame | None = None) -> DataFrame:
+def scores(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringParams, candidates: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """jd, cand, total, direct, bridge, penalty, total_demand, n_matched, n_bridged, n_missing, n_floored for every pair.
 
-    candidates: cand; every one is scored, skills or not (default: those in have).
+    candidates: cand; every one is scored, skills or not (default: those in have). pairs: jd, cand; only these are.
     """
     t = terms(wants, have, paths, p)
+    if pairs is not None:
+        t = t.join(pairs.select("jd", "cand"), ["jd", "cand"], "left_semi")
     agg = t.groupBy("jd", "cand").agg(
         F.sum(F.when(F.col("matched"), F.col("demand") * F.col("credit"))).alias("direct"),
         F.sum(F.when(F.col("bridged"), F.col("demand") * F.col("credit"))).alias("bridge"),
@@ -62,7 +64,8 @@ def scores(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.ScoringPara
     )
     jds = _demand(wants, p).groupBy("jd").agg(F.sum("demand").alias("total_demand"), F.count("*").alias("n_skills"))
     cands = (candidates if candidates is not None else have).select("cand").distinct()
-    x = cands.crossJoin(jds).join(agg, ["jd", "cand"], "left")
+    every = cands.crossJoin(jds) if pairs is None else pairs.select("jd", "cand").distinct().join(jds, "jd")
+    x = every.join(agg, ["jd", "cand"], "left")
     x = x.fillna(0.0, ["direct", "bridge", "held", "bridged_demand"]).fillna(0, ["n_matched", "n_bridged", "n_floored"])
     lost = F.greatest(F.col("total_demand") - F.col("held") - F.col("bridged_demand"), F.lit(0.0))
     x = x.withColumn("penalty", F.col("bridged_demand") * float(p.bridgeable_penalty) + lost * float(p.unreachable_penalty))
@@ -96,13 +99,15 @@ def gap_counts(wants: DataFrame, have: DataFrame, paths: DataFrame, p: S.Scoring
     """
     wants = _demand(wants, p)
     cands = (candidates if candidates is not None else have).select("cand").distinct()
-    own = _have(have).join(cands, "cand", "left_semi").select("cand", "skill")
-    near = reach(own, paths, wants).join(own, ["cand", "skill"], "left_anti").join(wants, "skill")
-    kind = F.regexp_extract(S.gap_reason(F.col("dist"), F.col("hops"), p), "^[a-z_]+", 0)
+    own = _have(have).join(cands, "cand", "left_semi")
+    # a row for each skill and reason meets the descriptions, not one for each candidate's skill
+    x = held_or_reached(own, paths, wants)
+    kind = F.when(F.col("weight").isNull(), F.regexp_extract(S.gap_reason(F.col("dist"), F.col("hops"), p), "^[a-z_]+", 0))
+    per = x.groupBy("skill", kind.alias("reason")).agg(F.count("*").alias("m")).join(wants, "skill")
     none = F.lit("no_path" if p.enable_bridging else "bridging_disabled")
     each = lambda df, by: df.groupBy(*by).agg(F.count("*").alias("n"), F.sum("demand").alias("demand"))
-    reached = each(near.select("jd", kind.alias("reason"), "demand"), ("jd", "reason"))
-    held = each(own.join(wants, "skill"), ("jd",))
+    per = per.groupBy("jd", "reason").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("demand")).alias("demand"))
+    reached, held = per.where("reason IS NOT NULL"), per.where("reason IS NULL").drop("reason")
     n = cands.agg(F.count("*").alias("cands"))  # one row
     total = each(wants, ("jd",)).crossJoin(F.broadcast(n)).select("jd", none.alias("reason"), (F.col("n") * F.col("cands")).alias("n"), (F.col("demand") * F.col("cands")).alias("demand"))
     less = held.unionByName(reached.drop("reason")).select("jd", none.alias("reason"), (-F.col("n")).alias("n"), (-F.col("demand")).alias("demand"))

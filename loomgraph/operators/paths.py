@@ -6,14 +6,12 @@ own with unit weights, so they are not the length of the shortest path by distan
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hublabels import HubLabels
+from .workspace import checkpoint_folder, checkpointed  # noqa: F401 (callers take them from here)
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """a, b, distance in both directions."""
@@ -28,22 +26,29 @@ def apsp(edges: DataFrame, search_cutoff: float | None = None, hops_within: int
     only the pairs that the one before made nearer, and the search ends when there are none. search_cutoff bounds dist
     (null where it is larger), hops_within bounds hops (null where there are more); a pair that neither has isn't kept.
     """
-    sym = symmetric(edges).persist()
+    sym = checkpointed(symmetric(edges))
+    first = sym if sources is None else sym.join(sources.select(F.col("src").alias("a")).distinct(), "a", "left_semi")
+    return relaxed(None, first.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("distance").alias("dist"), F.lit(1).alias("hops")), sym, search_cutoff, hops_within)
+
+
+def relaxed(known: DataFrame | None, offers: DataFrame, sym: DataFrame, search_cutoff: float | None, hops_within: int | None) -> DataFrame:
+    """known and offers (src, dst, dist, hops), grown along the steps of sym (a, b, distance) from what offers made nearer."""
     bounded = lambda c: c if search_cutoff is None else F.when(c <= search_cutoff, c)
     within = lambda h: h if hops_within is None else F.when(h <= hops_within, h)
-    first = sym if sources is None else sym.join(sources.select(F.col("src").alias("a")).distinct(), "a", "left_semi")
-    best = first.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("distance").alias("dist"))
     kept = "dist IS NOT NULL OR hops IS NOT NULL"
-    best = checkpointed(best.select("src", "dst", bounded(F.col("dist")).alias("dist"), within(F.lit(1)).alias("hops"), F.lit(True).alias("moved")).where(kept))
+
+    def better(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        new = new.select("src", "dst", bounded(F.col("dist")).alias("dist"), within(F.col("hops")).alias("hops")).where(kept)
+        none = {"dist0": F.lit(None).cast("double"), "hops0": F.lit(None).cast("int")}
+        both = new.withColumns(none) if old is None else old.select("src", "dst", "dist", "hops", F.col("dist").alias("dist0"), F.col("hops").alias("hops0")).unionByName(new.withColumns(none))
+        both = both.groupBy("src", "dst").agg(*[F.min(c).alias(c) for c in ("dist", "hops", "dist0", "hops0")])
+        moved = ~(F.col("dist").eqNullSafe(F.col("dist0")) & F.col("hops").eqNullSafe(F.col("hops0")))
+        return checkpointed(both.select("src", "dst", "dist", "hops", moved.alias("moved")))
+
+    best = better(known, offers)
     while not best.where("moved").isEmpty():
-        moved = best.where("moved").join(sym, F.col("dst") == F.col("a")).where("src <> b")
-        longer = moved.select("src", F.col("b").alias("dst"), bounded(F.col("dist") + F.col("distance")).alias("dist"), within(F.col("hops") + 1).alias("hops")).where(kept)
-        old = best.select("src", "dst", "dist", "hops", F.col("dist").alias("dist0"), F.col("hops").alias("hops0"))
-        both = old.unionByName(longer.withColumns({"dist0": F.lit(None).cast("double"), "hops0": F.lit(None).cast("int")}))
-        both = both.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("hops").alias("hops"), F.min("dist0").alias("dist0"), F.min("hops0").alias("hops0"))
-        better = ~(F.col("dist").eqNullSafe(F.col("dist0")) & F.col("hops").eqNullSafe(F.col("hops0")))
-        best = checkpointed(both.select("src", "dst", "dist", "hops", better.alias("moved")))
-    sym.unpersist()
+        x = best.where("moved").join(sym, F.col("dst") == F.col("a")).where("src <> b")
+        best = better(best, x.select("src", F.col("b").alias("dst"), (F.col("dist") + F.col("distance")).alias("dist"), (F.col("hops") + 1).alias("hops")))
     return best.drop("moved")
 
 
@@ -56,26 +61,6 @@ def toward(edges: DataFrame, targets: DataFrame, search_cutoff: float | None = N
     return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist", "hops")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage in the shared checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def checkpoint_folder(spark) -> str:
-    """The folder that spark.checkpoint.dir names; a local master, whose executors are on the same machine, gets a folder
-    of its own without it."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="loomgraph-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def within(edges: DataFrame, sources: DataFrame, max_hops: int = 2, max_distance: float | None = None) -> DataFrame:
     """src, dst, dist, hops of the cheapest path of 1 to max_hops edges (3 at most) from each source (column src).
 
@@ -94,8 +79,11 @@ def within(edges: DataFrame, sources: DataFrame, max_hops: int = 2, max_distance
     return out.groupBy("src", "dst").agg(F.min(F.struct("dist", "hops")).alias("x")).select("src", "dst", "x.dist", "x.hops")
 
 
-def _steps(have: DataFrame, paths: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """cand, skill, weight (null), dist, hops, src: a row for each path from a skill that a candidate has."""
+def _steps(have: DataFrame, paths: DataFrame | HubLabels, targets: DataFrame | None) -> DataFrame:
+    """cand, skill, weight (null), dist, hops, src: a row for each path from a skill that a candidate has, or, over labels,
+    for each hub between."""
+    if isinstance(paths, HubLabels):
+        return paths.steps(have, targets)
     if targets is not None:
         paths = paths.join(targets.select(F.col("skill").alias("dst")).distinct(), "dst", "left_semi")
     x = have.select("cand", F.col("skill").alias("src")).join(paths, "src")
@@ -106,17 +94,17 @@ def _via():
     return F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", "src")))["src"].alias("via")
 
 
-def reach(have: DataFrame, paths: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def reach(have: DataFrame, paths: DataFrame | HubLabels, targets: DataFrame | None = None) -> DataFrame:
     """cand, skill, dist, hops, via: of every skill reachable from another skill that a candidate has.
 
-    have: cand, skill. paths: apsp(). targets: skill; only these are of interest, and restrict paths before the join.
+    have: cand, skill. paths: apsp() or HubLabels. targets: skill; only these are of interest, and restrict paths before the join.
     A candidate's own skills are reached from its other skills (what the held floor needs). via is an aggregate of its
     own, so that plans that don't read it hash numbers only.
     """
     return _steps(have, paths, targets).groupBy("cand", "skill").agg(F.min("dist").alias("dist"), F.min("hops").alias("hops"), _via())
 
 
-def held_or_reached(have: DataFrame, paths: DataFrame, targets: DataFrame) -> DataFrame:
+def held_or_reached(have: DataFrame, paths: DataFrame | HubLabels, targets: DataFrame) -> DataFrame:
     """reach() with weight, the candidate's own for a skill that it has: held and reached skills in one aggregate."""
     own = have.join(targets.select("skill").distinct(), "skill", "left_semi")
     own = own.select("cand", "skill", F.col("weight").cast("double").alias("weight"), F.lit(None).cast("double").alias("dist"), F.lit(None).cast("int").alias("hops"), F.lit(None).cast(dict(have.dtypes)["skill"]).alias("src"))

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import documents, evaluation, graph, linking, matching, paths
+from ..operators.workspace import new_folder
 from . import projection as P
 from .projection import Tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The same queries over Tables, so that several may share what they derive.
+PLANS: dict = {}
 
 
 def query(sql: str | None = None):
     """Register a function of Tables under its name."""
 
     def add(fn):
+        PLANS[fn.__name__] = fn
         QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             ORACLE_SQL[fn.__name__] = sql
@@ -505,9 +509,8 @@ def calibration_table(t: Tables) -> DataFrame:
 
 def _streamed(t: Tables, table: str, plan) -> DataFrame:
     """plan over a stream of a table's files, run to its end with a checkpoint, and its Parquet output."""
-    import uuid
 
-    folder = f"{paths.checkpoint_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(t.spark, "stream")
     batch = getattr(t, table)
     source = t.spark.readStream.schema(batch.schema).parquet(f"{t.dir}/{table}.parquet*")
     out = plan(source)
@@ -534,18 +537,19 @@ def stream_event_windows(t: Tables) -> DataFrame:
     return _streamed(t, "events", plan)
 
 
-# Evaluation of the arms that need no graph, on the seeded dataset
+# Evaluation of the arms that need no graph
 
 
 @query()
 def eval_arms(t: Tables) -> DataFrame:
-    """arm, split and metrics of the no-bridging, tf-idf and count-only arms; published values are in the tests."""
-    wants, graded, have = evaluation.dataset(t.spark, evaluation.Generator().jds())
-    none = t.spark.createDataFrame([], "src string, dst string, dist double, hops int")
+    """arm, split and metrics of the no-bridging, tf-idf and count-only arms over all judged pairs."""
+    wants, graded, have = t.judged()
+    kind = dict(have.dtypes)["skill"]
+    none = t.spark.createDataFrame([], f"src {kind}, dst {kind}, dist double, hops int")
     name = lambda df: df.select(F.col("jd").alias("query"), "cand", F.col("total").alias("score"))
     arms = {
         "no_bridging": name(matching.scores(wants, have, none, S.ScoringParams(enable_bridging=False))),
-        "tfidf": evaluation.tfidf(wants.select(F.col("jd").alias("query"), "skill"), have, graded.select(F.col("jd").alias("query"), "cand")),
+        "tfidf": evaluation.tfidf(wants.select(F.col("jd").alias("query"), "skill"), have, graded.select(F.col("jd").alias("query"), "cand")).withColumn("score", F.round("score", 9)),
         **{f"count_only_{k}": name(matching.count_only(wants, have, k)) for k in (0.9, 1.0, 1.5238)},
     }
     scored = None
@@ -561,11 +565,5 @@ def eval_arms(t: Tables) -> DataFrame:
     )
 
 
-@query()
-def eval_dataset(t: Tables) -> DataFrame:
-    """Every description and candidate of the seeded evaluation dataset; its hash is pinned in the tests."""
-    return evaluation.dataset(t.spark, evaluation.Generator().jds())[1]
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rank_topk"](spark, sf_dir)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import documents, evaluation, graph, linking, matching, paths
+from ..operators import documents, dynamic, evaluation, graph, linking, matching, paths, topk
+from ..operators.hublabels import HubLabels
+from ..operators.vectorindex import VectorIndex
+from ..operators.workspace import new_folder
 from ..sources import readers
 from ..sources.store import Store, summarise
 from ..streaming import retry
@@ -21,8 +22,7 @@ from .projection import Tables
 
 
 def _folder(t: Tables, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    return f"{paths.checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(t.spark, name)
 
 
 # Files
@@ -152,13 +152,13 @@ def artifact_summary(t: Tables) -> DataFrame:
     return summarise(s.read("skills"), s.read("roles"), s.read("requires"), s.read("similar")).withColumn("n", F.col("n").cast("long"))
 
 
-@query("SELECT p_type AS name, count(*) > 0 AS found FROM part WHERE p_type = (SELECT min(p_type) FROM part) GROUP BY 1 UNION ALL SELECT 'no such skill', FALSE")
+@query("""WITH s AS (SELECT DISTINCT p_type AS name FROM part WHERE p_size < 40), a AS (SELECT p_type AS name FROM part UNION SELECT p_name FROM part)
+SELECT a.name, s.name IS NOT NULL AS found FROM a LEFT JOIN s ON a.name = s.name""")
 def point_lookup(t: Tables) -> DataFrame:
-    """A skill by its name, and one that isn't there."""
+    """Which of all names of parts and their types are stored skills."""
     s = Store(t.spark, _folder(t, "store"))
-    s.upsert_skills(t.part.select(F.col("p_type").alias("name")).distinct().withColumn("source", F.lit("p")))
-    name = t.part.agg(F.min("p_type")).first()[0]
-    return t.spark.createDataFrame([(s.find_skill(name).first()["name"], s.skill_exists(name)), ("no such skill", s.skill_exists("no such skill"))], "name string, found boolean")
+    s.upsert_skills(t.part.where("p_size < 40").select(F.col("p_type").alias("name")).distinct().withColumn("source", F.lit("p")))
+    return s.lookup(t.part.select(F.col("p_type").alias("name")).union(t.part.select("p_name")))
 
 
 @query("""WITH a AS (SELECT DISTINCT p_type AS k FROM part WHERE p_size < 25), b AS (SELECT DISTINCT p_type AS k FROM part WHERE p_size >= 20)
@@ -341,17 +341,7 @@ def cosine_text_rank(t: Tables) -> DataFrame:
     return out.select("query", "cand", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def _values(rows: list[tuple]) -> str:
-    """Rows as SQL VALUES."""
-    lit = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
-    return ", ".join(f"({', '.join(map(lit, row))})" for row in rows)
-
-
-_JDS = evaluation.Generator().jds()
-_EVAL = f"""w(jd, skill, demand) AS (VALUES {_values([(j['jd_id'], s, d) for j in _JDS for s, d in j['jd_skills'].items()])}),
-g(jd, split, cand, tier, grade, exact_overlap, pos) AS (VALUES {_values([(j['jd_id'], j['split'], c['cand_id'], c['tier'], c['grade'], c['exact_overlap'], i) for j in _JDS for i, c in enumerate(j['candidates'])])}),
-h(cand, skill) AS (VALUES {_values([(c['cand_id'], s) for j in _JDS for c in j['candidates'] for s in c['skills']])})"""
-C.ORACLE_SQL["eval_dataset"] = f"WITH {_EVAL} SELECT jd, split, cand, tier, grade, exact_overlap, pos FROM g"
+_EVAL = P.JUDGED
 _KS = (0.9, 1.0, 1.5238)
 C.ORACLE_SQL["eval_arms"] = f"""WITH {_EVAL}, tot AS (SELECT jd, sum(demand) AS td, count(*) AS n FROM w GROUP BY 1),
 m AS (SELECT g.jd, g.cand, coalesce(sum(demand), 0) AS direct, count(demand) AS held FROM g LEFT JOIN (h JOIN w USING (skill)) x ON x.cand = g.cand AND x.jd = g.jd GROUP BY 1, 2),
@@ -361,7 +351,7 @@ x AS (SELECT jd, cand, skill, idf FROM terms JOIN idf USING (jd, skill)), norms
 dots AS (SELECT a.jd, a.cand, sum(a.idf * b.idf) AS dot FROM x a JOIN x b ON a.jd = b.jd AND a.skill = b.skill AND b.cand IS NULL WHERE a.cand IS NOT NULL GROUP BY 1, 2),
 scores AS (
   SELECT 'no_bridging' AS arm, jd, cand, {P.rounded('direct / td', 3)} AS score FROM m JOIN tot USING (jd)
-  UNION ALL SELECT 'tfidf', g.jd, g.cand, coalesce(dot / (a.norm * q.norm), 0) FROM g JOIN norms a ON a.jd = g.jd AND a.cand = g.cand JOIN norms q ON q.jd = g.jd AND q.cand IS NULL LEFT JOIN dots ON dots.jd = g.jd AND dots.cand = g.cand
+  UNION ALL SELECT 'tfidf', g.jd, g.cand, round(coalesce(dot / (a.norm * q.norm), 0), 9) FROM g JOIN norms a ON a.jd = g.jd AND a.cand = g.cand JOIN norms q ON q.jd = g.jd AND q.cand IS NULL LEFT JOIN dots ON dots.jd = g.jd AND dots.cand = g.cand
   {" ".join(f"UNION ALL SELECT 'count_only_{k}', jd, cand, round(direct + {k}::DOUBLE * (n - held), 6) FROM m JOIN tot USING (jd)" for k in _KS)}),
 s AS (SELECT arm, split, g.jd, g.cand, score, grade, row_number() OVER (PARTITION BY arm, g.jd ORDER BY score DESC, pos) AS rank, avg(grade) OVER (PARTITION BY arm, g.jd, score) AS mean, row_number() OVER (PARTITION BY arm, g.jd ORDER BY grade DESC) AS ideal FROM g JOIN scores USING (jd, cand)),
 each AS (SELECT arm, split, jd, avg((grade >= 2)::INT) FILTER (rank <= 5) AS p5, coalesce(1.0::DOUBLE / min(rank) FILTER (grade >= 2), 0) AS mrr, sum(mean / log2(rank + 1)) FILTER (rank <= 10) / sum(grade / log2(ideal + 1)) FILTER (ideal <= 10) AS ndcg FROM s GROUP BY 1, 2, 3),
@@ -371,8 +361,56 @@ SELECT arm, split, round(any_value(acc), 6) AS bridge_over_weak, round(avg(ndcg)
 
 @query(f"WITH {_EVAL} SELECT tier, count(*) AS n, round(avg(exact_overlap), 6) AS mean_overlap, round(avg((SELECT count(*) FROM h WHERE h.cand = g.cand)), 6) AS mean_skills FROM g GROUP BY 1")
 def eval_tiers(t: Tables) -> DataFrame:
-    """The tiers of the seeded dataset: exact overlap with the description, and size."""
-    _, graded, have = evaluation.dataset(t.spark, evaluation.Generator().jds())
+    """The tiers of the judged pairs: exact overlap with the description, and size."""
+    _, graded, have = t.judged()
     size = have.groupBy("cand").agg(F.count("*").alias("k"))
     sizes = graded.join(size, "cand", "left").groupBy("tier").agg(r(F.avg(F.coalesce("k", F.lit(0)))).alias("mean_skills"))
     return evaluation.overlap_by_tier(graded).withColumn("mean_overlap", r("mean_overlap")).join(sizes, "tier")
+
+
+# Indexes: cells of vectors, labels of hubs, paths kept up to date, the threshold algorithm
+
+
+@query(f"WITH {P.NEAR} SELECT src, dst, {P.rounded('sim', 6)} AS sim FROM near")
+def index_neighbors(t: Tables) -> DataFrame:
+    """The nearest neighbours of all vectors through an inverted file, with every cell that may hold one."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex.build(vectors, _folder(t, "vectors"))
+    return index.near(vectors, 5, 0.3, probes=4, exact=True).select("src", "dst", r("sim").alias("sim"))
+
+
+#: Every sum rounded to the places of hub labels, so that equal lengths are equal in either order of sums.
+_EXACT = P.REACH.replace("1.0::DOUBLE - weight", "round(1.0::DOUBLE - weight, 9)").replace("w.d + s.d", "round(w.d + s.d, 9)")
+
+
+@query(f"WITH {_EXACT} SELECT cand, skill, round(dist, 6) AS dist, hops, via FROM best")
+def hub_reach(t: Tables) -> DataFrame:
+    """What every candidate reaches of what is wanted, from hub labels instead of a table of pairs."""
+    labels = HubLabels(t.edges(), P.CUTOFF, P.PARAMS.max_hops)
+    return paths.reach(t.have(), labels, t.wants()).select("cand", "skill", r("dist").alias("dist"), F.col("hops").cast("long").alias("hops"), "via")
+
+
+_EDITED = P.PATHS.replace("edges AS (", "edges0 AS (", 1).replace("sym AS (", """edges AS (
+  SELECT lo, hi, CASE WHEN (lo + hi) % 11 = 0 THEN 0.95 ELSE weight END::DOUBLE AS weight FROM edges0 WHERE lo % 7 <> 0
+  UNION ALL SELECT a, b, 0.9::DOUBLE FROM (SELECT DISTINCT least(vec_id, vec_id * 3 % n) AS a, greatest(vec_id, vec_id * 3 % n) AS b FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 13 = 0)
+  WHERE a <> b AND NOT EXISTS (SELECT 1 FROM edges0 e WHERE e.lo = a AND e.hi = b AND e.lo % 7 <> 0)), sym AS (""", 1)
+
+
+@query(f"WITH {_EDITED} SELECT src, dst, round(dist, 6) AS dist, hops FROM paths")
+def paths_updated(t: Tables) -> DataFrame:
+    """All paths after edges went, came and changed, from those before."""
+    before = t.edges()
+    gone = before.where("lo % 7 = 0").select("lo", "hi")
+    changed = before.where("lo % 7 <> 0 AND (lo + hi) % 11 = 0").select("lo", "hi", F.lit(0.95).alias("weight"))
+    a, b = F.col("vec_id"), F.col("vec_id") * 3 % t.n_skills()
+    came = t.embeddings.where((F.col("vec_id") % 13 == 0) & (a != b)).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.lit(0.9).alias("weight")).distinct()
+    came = came.join(before.where("lo % 7 <> 0").select("lo", "hi"), ["lo", "hi"], "left_anti")
+    after = paths.checkpointed(dynamic.edited(before, changed.unionByName(came), gone))
+    return dynamic.updated(t.paths(), before, after, P.CUTOFF, P.PARAMS.max_hops).select("src", "dst", r("dist").alias("dist"), F.col("hops").cast("long").alias("hops"))
+
+
+@query(C.ORACLE_SQL["rank_topk"])
+def rank_threshold(t: Tables) -> DataFrame:
+    """The ten best of every description, of whom few are scored."""
+    top, _ = topk.rank_top(t.wants(), t.have(), t.paths(), t.edges(), P.PARAMS, 10)
+    return top.select("jd", "cand", "total", F.col("rank").cast("long").alias("rank"))

@@ -59,6 +59,16 @@ class Tables:
             self._paths = paths.apsp(self.edges(), CUTOFF, hops_within=PARAMS.max_hops)
         return self._paths
 
+    def judged(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """wants, graded pairs (jd, split, cand, tier, grade, exact_overlap, pos) and have (every weight 1): a pair is graded
+        by how many of the wanted skills the candidate has."""
+        wants, have = self.wants(), self.have().withColumn("weight", F.lit(1.0))
+        n = wants.join(have, "skill").groupBy("jd", "cand").agg(F.count("*").alias("exact_overlap"))
+        grade = F.least(F.floor(F.col("exact_overlap") / 4), F.lit(3)).cast("long")
+        split = F.when(F.substring("jd", -1, 1).isin("1", "3", "5"), "train").otherwise("heldout")
+        graded = n.select("jd", split.alias("split"), "cand", F.concat(F.lit("tier "), grade.cast("string")).alias("tier"), grade.alias("grade"), "exact_overlap", F.col("cand").alias("pos"))
+        return wants, graded, have
+
     def graded(self) -> DataFrame:
         x = self.documents.join(self.labels, "doc_id")
         grade = (2 * F.col("quality") + 1 - F.col("toxic")).cast("long")
@@ -87,6 +97,10 @@ near2 AS (SELECT a AS src, b AS dst, 1 AS h FROM sym UNION ALL SELECT x.a, y.b,
 paths AS (SELECT src, dst, min(d) AS dist, min(h)::BIGINT AS hops FROM (SELECT src, dst, d, NULL AS h FROM walks UNION ALL SELECT src, dst, NULL, h FROM near2) GROUP BY 1, 2)"""
 HAVE = f"have AS (SELECT o_custkey AS cand, l_partkey % {SKILLS} AS skill, max(0.5 + 0.5 * (l_quantity::INT % 3))::DOUBLE AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 WANTS = f"wants AS (SELECT p_brand AS jd, p_partkey % {SKILLS} AS skill, max(CASE WHEN p_size > 35 THEN 1.5 WHEN p_size > 15 THEN 1.0 ELSE 0.5 END)::DOUBLE AS demand FROM part GROUP BY 1, 2)"
+JUDGED = f"""{HAVE}, {WANTS}, w AS (SELECT jd, skill, demand FROM wants), h AS (SELECT cand, skill FROM have),
+g AS (
+  SELECT jd, CASE WHEN right(jd, 1) IN ('1', '3', '5') THEN 'train' ELSE 'heldout' END AS split, cand, 'tier ' || least(n // 4, 3) AS tier, least(n // 4, 3)::BIGINT AS grade, n AS exact_overlap, cand AS pos
+  FROM (SELECT jd, cand, count(*) AS n FROM w JOIN h USING (skill) GROUP BY 1, 2))"""
 REACH = f"""{PATHS}, {HAVE}, {WANTS},
 best AS (
   SELECT cand, dst AS skill, min(dist) AS dist, min(hops) AS hops, min_by(src, struct_pack(d := dist, s := src)) FILTER (dist IS NOT NULL) AS via

@@ -22,17 +22,23 @@ from .engine import MatchEngine, get_engine
 ROUNDS, ROWS = 4, 200
 
 
-def rows(df: DataFrame, most: int = ROWS) -> list[dict]:
-    return [json.loads(x) for x in df.limit(most).toJSON().collect()]
+def rows(df: DataFrame, most: int = ROWS, offset: int | None = None) -> list[dict]:
+    """The rows of a result, refused if they are more than `most`; with an offset, `most` of them from there on."""
+    if offset is not None:
+        return [json.loads(x) for x in df.offset(int(offset)).limit(most).toJSON().collect()]
+    got = df.limit(most + 1).toJSON().collect()
+    if len(got) > most:
+        raise ValueError(f"{df.count()} rows; ask for {most} at a time, with an offset from 0")
+    return [json.loads(x) for x in got]
 
 
 _SKILLS = {"type": "object", "additionalProperties": {"type": "number"}}
 #: name -> (what it does, schema of its parameters, whether it is scoped to a batch, call).
 TOOLS: dict[str, tuple[str, dict, bool, Callable]] = {
-    "rank_candidates": ("Rank the pool for wanted skills with weights.", {"jd_skills": _SKILLS, "top_k": {"type": "integer"}}, True, lambda e, jd_skills, top_k=None, batch=None: rows(e.rank_candidates(jd_skills, batch=batch, top_k=top_k))),
+    "rank_candidates": ("Rank the pool for wanted skills with weights.", {"jd_skills": _SKILLS, "top_k": {"type": "integer"}, "offset": {"type": "integer"}}, True, lambda e, jd_skills, top_k=None, offset=None, batch=None: rows(e.rank_candidates(jd_skills, batch=batch, top_k=top_k), offset=offset)),
     "get_bridgeable_gaps": ("What a profile lacks of the wanted skills, and what bridges it.", {"jd_skills": _SKILLS, "candidate_skills": _SKILLS}, False, lambda e, jd_skills, candidate_skills: rows(e.gap_response(jd_skills, candidate_skills))),
     "explain_score": ("A score in its terms.", {"jd_skills": _SKILLS, "candidate_skills": _SKILLS}, False, lambda e, jd_skills, candidate_skills: rows(e.explain_response(jd_skills, candidate_skills))),
-    "list_candidates": ("The candidates of the pool.", {}, True, lambda e, batch=None: rows(e.list_candidates(batch))),
+    "list_candidates": ("The candidates of the pool.", {"offset": {"type": "integer"}}, True, lambda e, offset=None, batch=None: rows(e.list_candidates(batch).orderBy("name", "candidate_id"), offset=offset)),
     "graph_stats": ("The size of the skill graph.", {}, False, lambda e: rows(e.graph_stats())),
 }
 
@@ -100,7 +106,8 @@ def answer(engine: MatchEngine, method: str, path: str, body: dict, client=None,
             case ("GET", "/api/jds"):
                 return 200, {"jds": rows(engine.list_eval_jds(jds if jds is not None else evaluation.Generator().jds(), query.get("split")))}
             case ("GET", "/api/candidates"):
-                return 200, {"candidates": rows(engine.list_candidates(query.get("batch_id")))}
+                found = engine.list_candidates(query.get("batch_id")).orderBy("name", "candidate_id")
+                return 200, {"candidates": rows(found, offset=query.get("offset")), "total": found.count()}
             case ("POST", "/api/candidates"):
                 return 200, rows(engine.upload(body["name"], base64.b64decode(body["content"]), body.get("batch_id")))[0]
             case ("POST", "/api/jd_skills"):

@@ -59,10 +59,12 @@ class Pdf:
         m = _STREAM.search(body)
         if not m:
             return b""
-        if b"/FlateDecode" in body[: m.start()]:
+        named = re.search(rb"/Filter\s*(?:\[(.*?)\]|(/\w+))", body[: m.start()], re.S)
+        filters = re.findall(rb"/(\w+)", named.group(1) or named.group(2) or b"") if named else []
+        if filters in ([b"FlateDecode"], [b"Fl"]):
             return zlib.decompressobj().decompress(m.group(1))
-        if b"/Filter" in body[: m.start()]:
-            return b""
+        if filters:
+            raise ValueError(f"a PDF stream behind {', '.join(f.decode() for f in filters)}, which can't be read")
         return m.group(1)
 
     def referred(self, body: bytes, key: bytes) -> list[int]:

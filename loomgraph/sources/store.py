@@ -164,6 +164,11 @@ class Store:
     def skill_exists(self, name: str) -> bool:
         return not self.find_skill(name).limit(1).isEmpty()
 
+    def lookup(self, names: DataFrame) -> DataFrame:
+        """name, found of every name asked for, in one join."""
+        there = self.read("skills").select("name", F.lit(True).alias("found"))
+        return names.select("name").distinct().join(there, "name", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
     def register_views(self, prefix: str = "") -> list[str]:
         """A temporary SQL view of every table."""
         for t in TABLES:

@@ -52,14 +52,20 @@ def gazetteer_extractor(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, stored: DataFrame) -> DataFrame:
-    """docs with candidate_id and action: error, reused, again (stored with failed chunks), copy (of a document here) or new."""
+    """docs with candidate_id, action: error, reused, again (stored with failed chunks), copy (of a document here) or new, and
+    lead: the action of the document whose candidate it is, its own but for copies."""
     known = stored.where("content_hash <> ''").groupBy("content_hash").agg(F.min(F.struct("candidate_id", "failed_chunks")).alias("s"))
     x = docs.join(known, "content_hash", "left")
     x = documents.first_of_each(x, "path")
     fresh = T.document_id(F.col("source_id"), F.col("content_hash"))
     failed = F.size(F.coalesce("s.failed_chunks", F.array().cast("array<int>"))) > 0
     action = F.when(F.col("error").isNotNull(), "error").when(F.col("original") != F.col("path"), "copy").when(F.col("s").isNull(), "new").when(failed, "again").otherwise("reused")
-    return x.withColumn("action", action).withColumn("candidate_id", F.coalesce("s.candidate_id", fresh)).drop("s", "original")
+    x = x.withColumn("action", action).withColumn("candidate_id", F.coalesce("s.candidate_id", fresh))
+    # a copy is its original's candidate, under the id made from the original's name
+    first = x.where("action IN ('new', 'again', 'reused') AND original = path").select("content_hash", F.col("candidate_id").alias("its"), F.col("action").alias("led"))
+    x = x.join(first, "content_hash", "left")
+    copy = F.col("action") == "copy"
+    return x.withColumns({"candidate_id": F.when(copy, F.col("its")).otherwise(F.col("candidate_id")), "lead": F.when(copy, F.col("led")).otherwise(F.col("action"))}).drop("s", "original", "its", "led")
 
 
 # Parts of messages of errors of the store that another try doesn't mend.
@@ -169,9 +175,10 @@ def ingest(docs: DataFrame, store: Store, batch: str | None = None, config: Inge
     if persist_error is None and link_error is None:
         # what has reached the pool needs no cursor any more; failed tries are the pool's failed_chunks
         store.commit({"extractions": store.read("extractions").join(todo.select("content_hash"), "content_hash", "left_anti")})
-    working = F.col("action").isin("new", "again")
+    working = F.col("lead").isin("new", "again")  # a copy shares its original's outcome
     status = F.when(F.col("action") == "error", "failed").when(working & F.lit(link_error is not None), "link_failed")
-    status = status.when(F.lit(persist_error is not None), "persist_failed").when(~working, "reused").when(F.coalesce("partial", F.lit(False)), "partial").otherwise("complete")
+    status = status.when(F.lit(persist_error is not None), "persist_failed").when(working & F.coalesce("partial", F.lit(False)), "partial")
+    status = status.when(F.col("action").isin("new", "again"), "complete").otherwise("reused")
     error = F.coalesce("error", F.when(status == "link_failed", F.lit(link_error)).when(status == "persist_failed", F.lit(persist_error)))
     return planned.join(partial, "candidate_id", "left").select(
         "path", T.thread_id(F.col("source_id"), F.col("path")).alias("thread_id"), "candidate_id", "action", status.alias("status"), status.isin("complete", "partial", "reused").alias("in_pool"), error.alias("error")

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from loomgraph.plans import catalog, catalog_more  # noqa: F401 (registers its queries)
+from loomgraph.plans.projection import Tables
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,9 +18,15 @@ def tidy(x):
     return (None if math.isnan(x) else float(f"{x:.9g}")) if isinstance(x, float) else x
 
 
+@pytest.fixture(scope="module")
+def shared(spark):
+    """Edges, paths and holdings are made once for all queries."""
+    return Tables(spark, DIR)
+
+
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
-def test_query(spark, name):
-    df = catalog.QUERIES[name](spark, DIR)
+def test_query(shared, name):
+    df = catalog.PLANS[name](shared)
     got = sorted(repr([tidy(r[c]) for c in sorted(df.columns)]) for r in df.collect())
     if name not in catalog.ORACLE_SQL:
         return

@@ -65,7 +65,8 @@ def train(vectors: DataFrame, cells: int, n: int, rounds: int = ROUNDS, seed: in
                     np.add.at(total, at, x)
                     n += np.bincount(at, minlength=len(n))
             there = np.flatnonzero(n)
-            yield pd.DataFrame({"cell": there, "n": n[there], "total": list(total[there])})
+            if len(there):
+                yield pd.DataFrame({"cell": there, "n": n[there], "total": list(total[there])})
 
         parts = some.mapInPandas(sums, "cell int, n long, total array<double>")
         each = parts.select("cell", "n", F.posexplode("total").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x"))
@@ -132,7 +133,8 @@ class VectorIndex:
             for pdf in batches:
                 if len(pdf):
                     i, j = choose(_distances(np.stack([np.asarray(v, float) for v in pdf["v"]]), centers.value), pdf["least"].to_numpy(float))
-                    yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[i], "v": [pdf["v"].iloc[a] for a in i], "cell": j})
+                    if len(i):
+                        yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[i], "v": [pdf["v"].iloc[a] for a in i], "cell": j})
 
         return queries.mapInPandas(run, f"qid {kind}, v array<double>, cell int")
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import documents, dynamic, evaluation, graph, linking, matching, paths, topk
+from ..operators import documents, dynamic, embedding, evaluation, graph, linking, matching, paths, topk
 from ..operators.hublabels import HubLabels
 from ..operators.vectorindex import VectorIndex
 from ..operators.workspace import new_folder
 from ..sources import readers
 from ..sources.store import Store, summarise
-from ..streaming import retry
+from ..streaming import lanes
 from . import catalog as C
 from . import projection as P
 from .catalog import query, r
@@ -288,35 +290,33 @@ def payloads(t: Tables) -> DataFrame:
     return x.select("id", F.col("error").isNotNull().alias("bad"), F.col("skills")[0]["skill"].alias("skill"))
 
 
-_ERROR = "CASE event_id % 7 WHEN 0 THEN 'quota is used up' WHEN 1 THEN 'timeout' WHEN 2 THEN 'odd' WHEN 3 THEN 'timeout' END"
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT user_id, {_ERROR} AS error, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
-f AS (SELECT user_id, 0::BIGINT AS i, 0 AS cur, 0 AS att, 0 AS lost FROM (SELECT DISTINCT user_id FROM events)
-  UNION ALL SELECT f.user_id, e.i, CASE WHEN error IS NULL OR contains(error, 'quota') OR att + 1 >= 4 THEN cur + 1 ELSE cur END, CASE WHEN error IS NULL OR contains(error, 'quota') OR att + 1 >= 4 THEN 0 ELSE att + 1 END,
-    CASE WHEN error IS NOT NULL AND (contains(error, 'quota') OR att + 1 >= 4) THEN lost + 1 ELSE lost END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
-SELECT user_id AS doc_id, max_by(cur, i)::BIGINT AS cur, max_by(att, i)::BIGINT AS attempt, max_by(lost, i)::BIGINT AS failed FROM f GROUP BY 1""")
-def retry_progress(t: Tables) -> DataFrame:
-    """The cursor of every document over a stream of tries: success, another try, or giving up."""
-    folder = _folder(t, "retry")
-    i = F.col("event_id") % 7
-    error = F.when(i == 0, "quota is used up").when(i.isin(1, 3), "timeout").when(i == 2, "odd")
-    events = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
-    tries = events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.lit(1_000_000).alias("chunks"), error.alias("error"))
-
-    def put(df: DataFrame, epoch: int) -> None:
-        df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
-
-    retry.follow(tries).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = t.spark.read.parquet(f"{folder}/out").groupBy("doc_id").agg(F.max_by(F.struct("cursor", "attempt", "failed_chunks"), "epoch").alias("x"))
-    return out.select("doc_id", F.col("x.cursor").cast("long").alias("cur"), F.col("x.attempt").cast("long").alias("attempt"), F.size("x.failed_chunks").cast("long").alias("failed"))
-
-
-@query(f"""SELECT {_ERROR} AS error, count(*) AS n, NOT coalesce(contains({_ERROR}, 'quota'), FALSE) AS again FROM events GROUP BY 1, 3""")
-def retry_classes(t: Tables) -> DataFrame:
-    i = F.col("event_id") % 7
-    x = t.events.select(F.when(i == 0, "quota is used up").when(i.isin(1, 3), "timeout").when(i == 2, "odd").alias("error"))
-    return x.groupBy("error").agg(F.count("*").alias("n")).withColumn("again", T.retryable(F.col("error")))
+@query(f"WITH {C._chunk_sql(375, 40)} SELECT doc_id::VARCHAR AS doc_id, index, 1::BIGINT AS attempt, md5(text) AS payload FROM chunk")
+def extract_lanes(t: Tables) -> DataFrame:
+    """Every chunk of a stream of documents, called once in its document's lane; the call gives the chunk's digest."""
+    folder = _folder(t, "lanes")
+    documents.chunked(t.documents).select(F.col("doc_id").cast("string").alias("content_hash"), F.col("index").alias("first_index"), F.lit(1).alias("n"), "text").write.parquet(f"{folder}/chunks")
+    groups = t.spark.readStream.schema("content_hash string, first_index int, n int, text string").parquet(f"{folder}/chunks")
+    out = lanes.extracted(groups, lambda text: hashlib.md5(text.encode()).hexdigest(), lanes=8, heartbeat=False)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    x = t.spark.read.schema(lanes.OUT).parquet(f"{folder}/out")
+    return x.select(F.col("content_hash").alias("doc_id"), F.col("first_index").cast("long").alias("index"), F.col("attempt").cast("long").alias("attempt"), "payload")
+
+
+_SAID = r"[\p{L}\p{N}_+#.]*[\p{L}\p{N}_+#]"
+
+
+@query(rf"""WITH t AS (SELECT row_number() OVER () AS d, regexp_extract_all(lower(text), '{_SAID}') AS w FROM conversations WHERE text IS NOT NULL),
+x AS (SELECT d, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM t), v AS (SELECT w, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= {embedding.LEAST}),
+one AS (SELECT a.w AS a, b.w AS b FROM x a JOIN x b ON a.d = b.d AND b.i BETWEEN a.i + 1 AND a.i + {embedding.SPAN}),
+p AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM one UNION ALL SELECT b, a FROM one) WHERE a IN (SELECT w FROM v) AND b IN (SELECT w FROM v) GROUP BY 1, 2),
+m AS (SELECT a, sum(n) AS m FROM p GROUP BY 1)
+SELECT p.a, p.b, p.n, round(ln(p.n::DOUBLE * (SELECT sum(n) FROM p)::DOUBLE / (x.m::DOUBLE * y.m::DOUBLE)), 6) AS ppmi FROM p JOIN m x ON x.a = p.a JOIN m y ON y.a = p.b WHERE ln(p.n::DOUBLE * (SELECT sum(n) FROM p)::DOUBLE / (x.m::DOUBLE * y.m::DOUBLE)) > 1e-9""")
+def word_ppmi(t: Tables) -> DataFrame:
+    """What a learnt embedder factors: mutual information of the words of all conversations."""
+    words, pairs = embedding.counted(t.conversations)
+    name = lambda c, i: words.select(F.col("i").alias(i), F.col("word").alias(c))
+    x = embedding.ppmi(pairs).where("x > 1e-9").join(pairs, ["i", "j"]).join(name("a", "i"), "i").join(name("b", "j"), "j")
+    return x.select("a", "b", "n", F.round("x", 6).alias("ppmi"))
 
 
 # Evaluation

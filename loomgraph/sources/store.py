@@ -25,8 +25,10 @@ TABLES = {
     "has_skill": "candidate_id string, node string, weight double, context string, method string, link_score double",
     # tries of chunk groups of documents that haven't reached the pool yet
     "extractions": "content_hash string, first_index int, n int, attempt int, error string, done boolean, skills array<struct<skill:string,weight:double,context:string>>",
+    # what became of the documents of each stream's latest batch
+    "outcomes": "query string, batch long, path string, thread_id string, candidate_id string, action string, status string, in_pool boolean, error string",
 }
-KEYS = {"skills": ["name"], "roles": ["name"], "requires": ["role", "skill"], "similar": ["lo", "hi"], "candidates": ["candidate_id"], "has_skill": ["candidate_id", "node"], "extractions": ["content_hash", "first_index"]}
+KEYS = {"skills": ["name"], "roles": ["name"], "requires": ["role", "skill"], "similar": ["lo", "hi"], "candidates": ["candidate_id"], "has_skill": ["candidate_id", "node"], "extractions": ["content_hash", "first_index"], "outcomes": ["query", "batch", "path"]}
 MAX_NODES, MAX_EDGES = 200_000, 400_000
 
 
@@ -211,14 +213,23 @@ class Store:
 
     # pool
 
-    def upsert_candidates(self, candidates: DataFrame, skills: DataFrame) -> int:
-        """In one commit: candidates win by id with batch_ids united; their skill sets are replaced; unknown nodes are skipped."""
+    def upsert_candidates(self, candidates: DataFrame, skills: DataFrame, outcomes: DataFrame | None = None) -> int:
+        """In one commit: candidates win by id with batch_ids united; their skill sets are replaced; unknown nodes are
+        skipped. outcomes: of one batch of a stream, in place of those of its earlier batches."""
         known = skills.join(self.read("skills").select(F.col("name").alias("node")), "node", "left_semi")
+        more = {}
+        if outcomes is not None:
+            more["outcomes"] = self.read("outcomes").join(outcomes.select("query").distinct(), "query", "left_anti").unionByName(outcomes)
         return self.commit({
+            **more,
             "candidates": documents.upsert(self.read("candidates"), candidates, "candidate_id", append=("batch_ids",)),
             "has_skill": documents.replace_children(self.read("has_skill"), known.select(*self.read("has_skill").columns), candidates, "candidate_id"),
         })
 
+    def outcomes(self, query: str, batch: int) -> DataFrame:
+        """What became of a batch that reached the pool; no rows for one that didn't."""
+        return self.read("outcomes").where((F.col("query") == query) & (F.col("batch") == batch)).drop("query", "batch")
+
     def add_to_batch(self, candidate_id: str, batch: str) -> bool:
         """Idempotent; False if there is no such candidate."""
         if not batch or not batch.strip():

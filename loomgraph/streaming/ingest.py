@@ -123,11 +123,11 @@ def extract(todo: DataFrame, store: Store, extractor, config: IngestConfig) -> D
         groups.unpersist()
 
 
-def persist(store: Store, candidates: DataFrame, skills: DataFrame, config: IngestConfig) -> str | None:
+def persist(store: Store, candidates: DataFrame, skills: DataFrame, config: IngestConfig, outcomes: DataFrame | None = None) -> str | None:
     """Write to the pool, again after errors that may pass; the last error, or None."""
     for attempt in range(1, max(1, config.attempts) + 1):
         try:
-            store.upsert_candidates(candidates, skills)
+            store.upsert_candidates(candidates, skills, outcomes)
             return None
         except Exception as e:  # whatever the file system raises; what it says decides on another try
             error = f"{type(e).__name__}: {e}"
@@ -137,12 +137,16 @@ def persist(store: Store, candidates: DataFrame, skills: DataFrame, config: Inge
     return None
 
 
-def ingest(docs: DataFrame, store: Store, batch: str | None = None, config: IngestConfig = IngestConfig(), extractor=gazetteer_extractor, linker=None) -> DataFrame:
+def ingest(docs: DataFrame, store: Store, batch: str | None = None, config: IngestConfig = IngestConfig(), extractor=gazetteer_extractor, linker=None, mark: tuple[str, int] | None = None) -> DataFrame:
     """Put documents (readers.documents) into the pool; path, thread_id, candidate_id, action, status, in_pool, error of each.
 
     extractor: (chunks: source_id, index, text; nodes) -> source_id, index, skill, weight, context, optionally error.
     linker: (phrases: source_id, surface, weight, context, seq; nodes) -> the same with node, score and method.
+    mark: a stream's name and the number of its batch, committed together with what the batch puts into the pool. A batch
+    that is known there has been written: nothing is done again, and its outcomes are given again.
     """
+    if mark and not (known := store.outcomes(*mark)).isEmpty():
+        return known
     nodes = store.read("skills")
     planned = plan(docs, store.read("candidates")).persist()
     todo = planned.where("action IN ('new', 'again')").persist()
@@ -170,19 +174,26 @@ def ingest(docs: DataFrame, store: Store, batch: str | None = None, config: Inge
     attach = old.withColumn("batch_ids", F.array_union(F.coalesce("batch_ids", F.array()), batches))
     new = rows if link_error is None else rows.limit(0)
     put = new.unionByName(attach).dropDuplicates(["candidate_id"])
-    persist_error = persist(store, put, skills.unionByName(kept), config)
     partial = failed.select("candidate_id", F.lit(True).alias("partial"))
+
+    def outcome(persist_error: str | None) -> DataFrame:
+        working = F.col("lead").isin("new", "again")  # a copy shares its original's outcome
+        status = F.when(F.col("action") == "error", "failed").when(working & F.lit(link_error is not None), "link_failed")
+        status = status.when(F.lit(persist_error is not None), "persist_failed").when(working & F.coalesce("partial", F.lit(False)), "partial")
+        status = status.when(F.col("action").isin("new", "again"), "complete").otherwise("reused")
+        error = F.coalesce("error", F.when(status == "link_failed", F.lit(link_error)).when(status == "persist_failed", F.lit(persist_error)))
+        return planned.join(partial, "candidate_id", "left").select(
+            "path", T.thread_id(F.col("source_id"), F.col("path")).alias("thread_id"), "candidate_id", "action", status.alias("status"), status.isin("complete", "partial", "reused").alias("in_pool"), error.alias("error")
+        )
+
+    marked = None
+    if mark and link_error is None:
+        marked = outcome(None).dropDuplicates(["path"]).withColumns({"query": F.lit(mark[0]), "batch": F.lit(mark[1]).cast("long")})
+    persist_error = persist(store, put, skills.unionByName(kept), config, marked)
     if persist_error is None and link_error is None:
         # what has reached the pool needs no cursor any more; failed tries are the pool's failed_chunks
         store.commit({"extractions": store.read("extractions").join(todo.select("content_hash"), "content_hash", "left_anti")})
-    working = F.col("lead").isin("new", "again")  # a copy shares its original's outcome
-    status = F.when(F.col("action") == "error", "failed").when(working & F.lit(link_error is not None), "link_failed")
-    status = status.when(F.lit(persist_error is not None), "persist_failed").when(working & F.coalesce("partial", F.lit(False)), "partial")
-    status = status.when(F.col("action").isin("new", "again"), "complete").otherwise("reused")
-    error = F.coalesce("error", F.when(status == "link_failed", F.lit(link_error)).when(status == "persist_failed", F.lit(persist_error)))
-    return planned.join(partial, "candidate_id", "left").select(
-        "path", T.thread_id(F.col("source_id"), F.col("path")).alias("thread_id"), "candidate_id", "action", status.alias("status"), status.isin("complete", "partial", "reused").alias("in_pool"), error.alias("error")
-    )
+    return outcome(persist_error)
 
 
 def gazetteer_linker(phrases: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -191,13 +202,14 @@ def gazetteer_linker(phrases: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, batch: str | None = None, config: IngestConfig = IngestConfig(), extractor=gazetteer_extractor, once: bool = True) -> StreamingQuery:
-    """Ingest files as they arrive. A restart with the same checkpoint goes on where it stopped; a batch of files that was
-    interrupted is ingested again, which content hashes make harmless."""
+    """Ingest files as they arrive. A restart with the same checkpoint goes on where it stopped. A batch is written once: its
+    number is committed with the pool, so one that was interrupted after its commit isn't written again, and one that was
+    interrupted before goes on with the tries that the store has."""
     glob = "*.{" + ",".join(readers.SUFFIXES) + "}"
     files = spark.readStream.schema(FILES).format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", config.max_files).load(folder)
 
     def put(df: DataFrame, epoch: int) -> None:
-        ingest(readers.documents(df), store, batch, config, extractor).collect()
+        ingest(readers.documents(df), store, batch, config, extractor, mark=(checkpoint, epoch)).collect()
 
     writer = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

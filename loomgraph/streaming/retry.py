@@ -1,4 +1,4 @@
-"""The retry policy of extraction and persistence, as a fold over events and as a stateful stream operator.
+"""The retry policy of extraction and persistence.
 
 A document's groups of chunks are tried in order. Success moves the cursor and clears the attempt; a failure that can
 be retried waits and tries again, up to MOST times; then, or at a fatal failure, every chunk of the group is recorded
@@ -8,12 +8,6 @@ as failed and the cursor moves on.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import FATAL
 
@@ -30,47 +24,3 @@ def retryable(message: str | None) -> bool:
 def delay(attempt: int, rng: random.Random | None = None) -> float:
     """Seconds to wait before a try: exponential, capped, with up to half a second of jitter."""
     return min(BASE**attempt, CAP) + (rng or random).uniform(0, 0.5)
-
-
-@dataclass
-class Progress:
-    cursor: int = 0
-    attempt: int = 0
-    failed: list[int] = field(default_factory=list)
-
-    def step(self, chunks: int, size: int, error: str | None, most: int = MOST) -> str:
-        """One try of the group at the cursor: advance, retry or give_up."""
-        span = min(max(1, size), chunks - self.cursor)
-        if error is None:
-            self.cursor, self.attempt = self.cursor + span, 0
-            return "advance"
-        self.attempt += 1
-        if retryable(error) and self.attempt < most:
-            return "retry"
-        self.failed += range(self.cursor, self.cursor + span)
-        self.cursor, self.attempt = self.cursor + span, 0
-        return "give_up"
-
-    def status(self, chunks: int) -> str:
-        if self.cursor < chunks:
-            return "running"
-        return "complete" if not self.failed else "failed" if len(self.failed) == chunks else "partial"
-
-
-def follow(events: DataFrame, size: int = 1) -> DataFrame:
-    """doc_id, cursor, attempt, failed_chunks, status after each batch of a stream of tries (doc_id, seq, chunks, error)."""
-
-    def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p = Progress(*state.get[:2], list(state.get[2])) if state.exists else Progress()
-        chunks = 0
-        for pdf in pdfs:
-            for row in pdf.sort_values("seq").itertuples():
-                chunks = int(row.chunks)
-                if p.cursor < chunks:
-                    p.step(chunks, size, None if pd.isna(row.error) else row.error)
-        state.update((p.cursor, p.attempt, p.failed))
-        yield pd.DataFrame({"doc_id": [key[0]], "cursor": [p.cursor], "attempt": [p.attempt], "failed_chunks": [p.failed], "status": [p.status(chunks)]})
-
-    kind = dict(events.dtypes)["doc_id"]
-    out = f"doc_id {kind}, cursor int, attempt int, failed_chunks array<int>, status string"
-    return events.groupBy("doc_id").applyInPandasWithState(update, out, "cursor int, attempt int, failed array<int>", "update", GroupStateTimeout.NoTimeout)

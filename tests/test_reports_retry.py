@@ -10,21 +10,6 @@ from loomgraph.streaming import retry
 def test_retry_policy():
     assert not retry.retryable("429 quota exceeded") and retry.retryable("503 unavailable") and retry.retryable("odd") and retry.retryable("the network is unreachable") and retry.retryable(None) and not retry.retryable("could not generate: api_key missing")
     assert 60 <= retry.delay(10, random.Random(1)) <= 60.5
-    p = retry.Progress()
-    assert [p.step(5, 2, e) for e in (None, "503", "503", "503", "503", None)] == ["advance", "retry", "retry", "retry", "give_up", "advance"]
-    assert p.failed == [2, 3] and p.status(5) == "partial"
-    p = retry.Progress()
-    assert p.step(2, 9, "401 unauthorized") == "give_up" and p.status(2) == "failed"
-
-
-def test_retry_stream(spark, tmp_path):
-    rows = [("a", 1, 2, None), ("a", 2, 2, "503"), ("b", 1, 1, "403")]
-    spark.createDataFrame(rows, "doc_id string, seq int, chunks int, error string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    events = spark.readStream.schema("doc_id string, seq int, chunks int, error string").parquet(str(tmp_path / "in"))
-    q = retry.follow(events).writeStream.outputMode("update").format("memory").queryName("progress").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["doc_id"]: (r["cursor"], r["attempt"], r["status"]) for r in spark.table("progress").collect()}
-    assert got == {"a": (1, 1, "running"), "b": (1, 0, "failed")}
 
 
 def test_classify(spark):

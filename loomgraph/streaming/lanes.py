@@ -109,8 +109,9 @@ def extracted(groups: DataFrame, call: Callable[[str], str], rpm: int = 0, lanes
     """OUT for a stream of chunk groups (content_hash, first_index, n, text): call gives a group's payload.
 
     The query's state needs the RocksDB provider, which is set for the session. heartbeat: a row a second, which no lane
-    sees, from a source of its own: a restarted query looks at its timers only when some source has something new. Leave
-    it out where a query ends with its input and no call can fail or wait.
+    sees, from a source of its own: a restarted query looks at its timers only when some source has something new. Without
+    it there are no timers either, and a call that would have to wait ends the query: for queries that end with their
+    input, whose calls can't fail.
     """
     spark = groups.sparkSession
     ship(spark)
@@ -121,4 +122,4 @@ def extracted(groups: DataFrame, call: Callable[[str], str], rpm: int = 0, lanes
     if heartbeat:
         beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0")
         x = x.unionByName(beat.select(F.lit(0).alias("lane"), F.lit("").alias("content_hash"), F.lit(0).alias("first_index"), F.lit(0).alias("n"), F.lit("").alias("text")))
-    return x.groupBy("lane").transformWithStateInPandas(Lane(call, quota, most, wait, window), OUT, "Append", "ProcessingTime")
+    return x.groupBy("lane").transformWithStateInPandas(Lane(call, quota, most, wait, window), OUT, "Append", "ProcessingTime" if heartbeat else "None")

@@ -87,7 +87,7 @@ def test_long_results(spark, store):
 def test_other_filters_are_errors(spark):
     page = zlib.compress(b"BT (Docker) Tj ET")
     for name, raw, good in ((b"/FlateDecode", page, True), (b"[/FlateDecode]", page, True), (b"/ASCII85Decode", b"87cURD]j~>", False), (b"[/ASCII85Decode /FlateDecode]", b"x", False)):
-        whole = b"%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R] /Count 1>> endobj\n3 0 obj <</Type /Page /Contents 4 0 R>> endobj\n4 0 obj <</Length %d /Filter %s>> stream\n%s\nendstream endobj\ntrailer <</Root 1 0 R>>" % (len(raw), name, raw)
+        whole = b"%%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R] /Count 1>> endobj\n3 0 obj <</Type /Page /Contents 4 0 R>> endobj\n4 0 obj <</Length %d /Filter %s>> stream\n%s\nendstream endobj\ntrailer <</Root 1 0 R>>" % (len(raw), name, raw)
         row = readers.read_bytes(spark, [("x.pdf", whole)]).first()
         assert (row["error"] is None) == good and (not good or "Docker" in row["text"]) and (good or "can't be read" in row["error"])
     assert pdf  # read through readers

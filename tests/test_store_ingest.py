@@ -126,7 +126,7 @@ def test_store_rules(spark, store):
 
 
 def test_engine(spark, store):
-    e = MatchEngine(store, use_embedding=False)
+    e = MatchEngine(store, use_embedding=False, path_table=True)
     assert e.rank_candidates(["Docker"]).count() == 0
     e.ingest(readers.read_bytes(spark, [("devops.txt", b"Ran Docker and AWS."), ("frontend.txt", b"React, JavaScript")]), "b1")
     top = e.rank_candidates({"Docker": 1.0, "k8s": 1.0, "AWS": 1.0}).collect()

@@ -20,7 +20,7 @@ def engine(spark, tmp_path_factory):
     s = Store(spark, str(tmp_path_factory.mktemp("engine")))
     s.upsert_skills(spark.createDataFrame([(n, "c") for n in ("Docker", "Kubernetes", "AWS", "React", "JavaScript")], "name string, category string"))
     s.upsert_similar(spark.createDataFrame([("Docker", "Kubernetes", 0.8, "e"), ("React", "JavaScript", 0.9, "e")], "lo string, hi string, weight double, edge_source string"))
-    e = MatchEngine(s, use_embedding=False)
+    e = MatchEngine(s, use_embedding=False, path_table=True)
     e.ingest(readers.read_bytes(spark, [("devops.txt", b"Ran Docker and AWS."), ("frontend.txt", b"React, JavaScript")]), "b1")
     return e
 

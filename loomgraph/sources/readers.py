@@ -81,7 +81,12 @@ def parsed(files: DataFrame, permissive: bool = False) -> DataFrame:
 
 def documents(files: DataFrame, permissive: bool = False) -> DataFrame:
     """parsed() with normalized text and its content_hash; a blank document is an error."""
-    x = parsed(files, permissive).withColumn("text", T.normalize_document(F.col("text")))
+    return finished(parsed(files, permissive))
+
+
+def finished(parsed: DataFrame) -> DataFrame:
+    """What documents() makes of parsed texts."""
+    x = parsed.withColumn("text", T.normalize_document(F.col("text")))
     x = x.withColumn("error", F.when(F.col("error").isNull() & (F.col("text") == ""), "ValueError: no text").otherwise(F.col("error")))
     return x.withColumn("content_hash", T.content_hash(F.col("text")))
 

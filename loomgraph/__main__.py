@@ -1,4 +1,4 @@
-"""spark-submit entry: python -m loomgraph ingest|rank|gaps|stats|arms|evaluate|ablate|calibrate|migrate|serve ..."""
+"""spark-submit entry: python -m loomgraph build|ingest|rank|gaps|stats|arms|evaluate|ablate|calibrate|migrate|serve ..."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import argparse
 import json
 
 from .config import Config, load_env, session
-from .operators import evaluation, linking, paths
+from .operators import evaluation, linkcases, linking, paths
 from .plans.arms import ARMS, GRID, ablate, head_to_head, report, run_arm, run_arms, sweep
+from .plans.build import build
 from .plans.engine import MatchEngine, set_engine
 from .plans.tools import server
 from .sources import readers
@@ -18,6 +19,12 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="loomgraph")
     p.add_argument("--store", help="folder of the store (default: $LOOMGRAPH_STORE)")
     sub = p.add_subparsers(dest="command", required=True)
+    a = sub.add_parser("build", help="graph of a folder of taxonomy files, with vectors and similarity edges, into the store")
+    a.add_argument("folder")
+    a.add_argument("--neighbours", type=int, default=5)
+    a.add_argument("--min-sim", type=float, default=0.30)
+    a.add_argument("--max-density", type=float, default=0.15)
+    a.add_argument("--dry-run", action="store_true")
     a = sub.add_parser("ingest", help="put a folder of documents into the pool")
     a.add_argument("folder")
     a.add_argument("--batch")
@@ -33,8 +40,8 @@ def main(argv: list[str] | None = None) -> None:
     a = sub.add_parser("evaluate", help="the arms, ablations and baselines on the seeded dataset, as Markdown")
     a.add_argument("--arm", action="append", choices=[n for n, x in ARMS.items() if x.get("graph") != "typed"], help="default: all that need no classified pairs")
     sub.add_parser("ablate", help="one-factor changes from the setting chosen on the training split")
-    a = sub.add_parser("calibrate", help="correct, missed and wrong links by threshold, of a CSV of surface,expected")
-    a.add_argument("cases")
+    a = sub.add_parser("calibrate", help="correct, missed and wrong links by threshold, of a CSV of surface,expected or of the fixed cases")
+    a.add_argument("cases", nargs="?")
     a = sub.add_parser("migrate", help="write an artifact (a folder of Parquet tables skills, roles, requires, similar) to the store")
     a.add_argument("artifact")
     a.add_argument("--dry-run", action="store_true")
@@ -48,7 +55,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = session()
     engine = MatchEngine(Store(spark, path))
     weights = lambda names: {n.partition("=")[0]: float(n.partition("=")[2] or 1) for n in names}
-    if args.command == "ingest":
+    if args.command == "build":
+        build(engine.store, *readers.read_taxonomy(spark, args.folder), k=args.neighbours, min_sim=args.min_sim, max_density=args.max_density, dry_run=args.dry_run).show()
+    elif args.command == "ingest":
         engine.ingest(readers.read_directory(spark, args.folder), args.batch).show(truncate=False)
     elif args.command == "rank":
         engine.rank_candidates(weights(args.skills), batch=args.batch, top_k=args.top).show(truncate=False)
@@ -69,8 +78,12 @@ def main(argv: list[str] | None = None) -> None:
             tables["Against the cosine baseline"] = head_to_head(wants, graded, have, engine.paths(), engine.params)
             print(report("Evaluation", tables))
     elif args.command == "calibrate":
-        cases = spark.read.csv(args.cases, header=True, schema="surface string, expected string")
-        linking.calibration_report(cases, linking.Linker(engine.nodes()), [x / 100 for x in range(60, 100, 2)]).show(50)
+        cases = spark.read.csv(args.cases, header=True, schema="surface string, expected string") if args.cases else linkcases.cases(spark)
+        if lost := [r["name"] for r in linkcases.absent(cases, engine.nodes()).collect()]:
+            p.error(f"the graph lacks {', '.join(lost)}")
+        report_ = linkcases.table(linkcases.judged(cases, linking.Linker(engine.nodes()))).persist()
+        report_.show(50)
+        print(json.dumps({"chosen": linkcases.chosen(report_)}))
     elif args.command == "migrate":
         art = {t: spark.read.parquet(f"{args.artifact}/{t}") for t in ("skills", "roles", "requires", "similar")}
         engine.store.migrate(art, args.dry_run).show()

@@ -14,10 +14,11 @@ from ..operators import documents, dynamic, embedding, evaluation, graph, linkin
 from ..operators.hublabels import HubLabels
 from ..operators.vectorindex import VectorIndex
 from ..operators.workspace import new_folder
-from ..sources import readers
+from ..sources import datasource, readers
 from ..sources.store import Store, summarise
 from ..streaming import lanes
 from . import catalog as C
+from . import build as B
 from . import projection as P
 from .catalog import query, r
 from .projection import Tables
@@ -44,6 +45,43 @@ def taxonomy_files(t: Tables) -> DataFrame:
     return x.groupBy("soc", "skill").agg(F.count("*").alias("n"), F.count_if(F.col("hot") == "Y").alias("hot"))
 
 
+@query("SELECT coalesce(lang, 'und') AS lang, sum(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')))::BIGINT AS n_words FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def document_files(t: Tables) -> DataFrame:
+    """Texts written as text files, a folder for each language, and read back by the data source for documents."""
+    folder = _folder(t, "files")
+    texts = t.documents.where("text IS NOT NULL").select(F.concat(F.lit("in-"), F.coalesce("lang", F.lit("und"))).alias("of"), "text")
+    texts.write.partitionBy("of").option("maxRecordsPerFile", 500).text(folder)
+    found = datasource.read(t.spark, folder, recursiveFileLookup="true")
+    words = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0)))
+    return found.groupBy(F.regexp_extract("path", "of=in-([^/]*)/", 1).alias("lang")).agg(F.sum(F.when(F.col("error").isNull(), words)).alias("n_words"))
+
+
+@query(f"""WITH {C.TAXONOMY}, kept AS (SELECT * FROM raw WHERE soc LIKE '15-%' AND (hot OR demand))
+SELECT 'requires' AS kind, count(DISTINCT (title, skill))::BIGINT AS n FROM kept JOIN occ USING (soc)
+UNION ALL SELECT 'roles', count(DISTINCT title)::BIGINT FROM occ WHERE soc LIKE '15-%'
+UNION ALL SELECT 'skills', count(DISTINCT skill)::BIGINT FROM kept""")
+def built_graph(t: Tables) -> DataFrame:
+    """The graph built from the taxonomy in one call: vectors of all nodes, edges, and one commit; its edges are tested against
+    numpy."""
+    store = Store(t.spark, _folder(t, "built"))
+    B.build(store, *C._taxonomy(t), custom=False, max_density=None)
+    return store.counts().where("kind IN ('skills', 'roles', 'requires')")
+
+
+@query("""WITH c AS (SELECT doc_id, lang, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL),
+k AS (SELECT min(content_hash) AS content_hash FROM c GROUP BY lang)
+SELECT content_hash, min(doc_id) AS first_doc, count(*) AS n FROM c WHERE content_hash IN (SELECT content_hash FROM k) GROUP BY 1""")
+def hash_lookups(t: Tables) -> DataFrame:
+    """Documents looked up by content hash in a stored table whose files have Bloom filters: each language's first hash."""
+    store = Store(t.spark, _folder(t, "lookups"))
+    rows = t.documents.where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("candidate_id"), F.col("lang").alias("doc_type"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    have = set(rows.columns)
+    store.commit({"candidates": rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in store.read("candidates").schema if f.name not in have])})
+    stored = store.read("candidates")
+    wanted = stored.groupBy("doc_type").agg(F.min("content_hash").alias("content_hash")).select("content_hash").distinct()
+    return stored.join(wanted, "content_hash").groupBy("content_hash").agg(F.min(F.col("candidate_id").cast("long")).alias("first_doc"), F.count("*").alias("n"))
+
+
 @query(f"""WITH {C._TYPED}, l AS (SELECT least(a, b)::VARCHAR AS lo, greatest(a, b)::VARCHAR AS hi, edge_type, seq, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY seq DESC) AS rn FROM typed)
 SELECT lo, hi, edge_type, seq FROM l WHERE rn = 1""")
 def typed_cache(t: Tables) -> DataFrame:

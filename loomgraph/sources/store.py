@@ -2,7 +2,8 @@
 
 A version is a manifest (JSON: table -> folder). Committing writes the changed tables to new folders and the manifest to
 a file of its own, which is then renamed to the next version; a second writer that got there first makes that fail, and
-readers see whole manifests only. The rename is atomic on HDFS and local disks; on an object store without one, let one
+readers see whole manifests only. A table's files are sorted by its key, with Parquet's Bloom filters on the columns of
+LOOKUPS, so a lookup reads the row groups that may hold it and no others. The rename is atomic on HDFS and local disks; on an object store without one, let one
 writer commit at a time. vacuum() removes what the latest versions no longer name.
 """
 
@@ -29,6 +30,8 @@ TABLES = {
     "outcomes": "query string, batch long, path string, thread_id string, candidate_id string, action string, status string, in_pool boolean, error string",
 }
 KEYS = {"skills": ["name"], "roles": ["name"], "requires": ["role", "skill"], "similar": ["lo", "hi"], "candidates": ["candidate_id"], "has_skill": ["candidate_id", "node"], "extractions": ["content_hash", "first_index"], "outcomes": ["query", "batch", "path"]}
+# columns that rows are looked up by
+LOOKUPS = {"skills": ["name"], "roles": ["name"], "requires": ["role", "skill"], "similar": ["lo", "hi"], "candidates": ["candidate_id", "content_hash"], "has_skill": ["candidate_id", "node"], "extractions": ["content_hash"]}
 MAX_NODES, MAX_EDGES = 200_000, 400_000
 
 
@@ -41,8 +44,9 @@ class ParityError(ValueError):
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, row_group_bytes: int = 32 << 20):
+        """row_group_bytes: what a lookup reads at least; smaller ones cost more footers."""
+        self.spark, self.path, self.row_group_bytes = spark, path.rstrip("/"), row_group_bytes
 
     # manifests
 
@@ -80,13 +84,22 @@ class Store:
         entries = self.manifest(before)
         for name, df in tables.items():
             folder = f"{self.path}/{name}/{uuid.uuid4().hex}"
-            df.select(*[c.name for c in self.spark.createDataFrame([], TABLES[name]).schema]).write.parquet(folder)
+            self._write(df.select(*[c.name for c in self.spark.createDataFrame([], TABLES[name]).schema]), name, folder)
             if check and not (twice := self.spark.read.parquet(folder).groupBy(*KEYS[name]).count().where("count > 1").limit(1)).isEmpty():
                 raise ValueError(f"{name} has a key twice: {twice.first()}")
             entries[name] = folder
         self._put(json.dumps(entries), f"{self.path}/_versions/{before + 1:08d}")
         return before + 1
 
+    def _write(self, df: DataFrame, table: str, folder: str) -> None:
+        """Dealt by the whole key and sorted by it. Ranges would prune files too, but finding them runs the input twice, and
+        an extraction's input is calls of a model; the Bloom filters prune files instead."""
+        keys = KEYS[table]
+        out = df.repartition(*keys).sortWithinPartitions(*keys).write.option("parquet.block.size", self.row_group_bytes)
+        for c in LOOKUPS.get(table, ()):
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{c}", "true")
+        out.parquet(folder)
+
     def _put(self, text: str, path: str) -> None:
         """A file that is there whole or not at all, and never replaces one."""
         jvm = self.spark._jvm
@@ -148,11 +161,14 @@ class Store:
 
     def replace_similar(self, edges: DataFrame, skills: DataFrame) -> int:
         """All similarity edges anew, the pool untouched; stored skills must all be in the artifact."""
-        if not (lost := self.read("skills").join(skills, "name", "left_anti")).isEmpty():
-            raise ParityError(f"stored skills are not in the artifact: {[r['name'] for r in lost.select('name').limit(5).collect()]}")
+        self._none_lost(skills)
         check_ceilings(skills.count(), edges.count())
         return self.commit({"similar": edges})
 
+    def _none_lost(self, skills: DataFrame) -> None:
+        if lost := self.read("skills").join(skills, "name", "left_anti").select("name").limit(5).collect():
+            raise ParityError(f"stored skills are not in the artifact: {[r['name'] for r in lost]}")
+
     def load_graph(self, expected_skills: int | None = None, expected_pairs: int | None = None) -> tuple[DataFrame, DataFrame]:
         skills, similar = self.read("skills"), self.read("similar")
         for what, df, want in (("skills", skills, expected_skills), ("similar pairs", similar, expected_pairs)):
@@ -177,12 +193,12 @@ class Store:
             self.read(t).createOrReplaceTempView(prefix + t)
         return [prefix + t for t in TABLES]
 
-    def migrate(self, artifact: dict[str, DataFrame], dry_run: bool = False) -> DataFrame:
+    def migrate(self, artifact: dict[str, DataFrame], dry_run: bool = False, guard: bool = False) -> DataFrame:
         """Write an artifact's tables (skills, roles, requires, similar) to the store, in one commit.
 
         kind, rows, good, errors of each. A row with a null key, an end that isn't there, a weight outside 0 to 1, or two
         equal ends is counted as an error and left out; of rows with the same key one is good. With dry_run nothing is
-        written. The sizes are checked first.
+        written. The sizes are checked first; with guard, stored skills must all be in the artifact.
         """
         blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
         skills, roles = ({"skills": "name", "roles": "name"}[k] for k in ("skills", "roles"))
@@ -197,6 +213,8 @@ class Store:
             full[name] = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], TABLES[name]).schema])
         counts = {k: (artifact[k].count(), full[k].count()) for k in full}
         check_ceilings(counts["skills"][1] + counts["roles"][1], counts["requires"][1] + counts["similar"][1])
+        if guard:
+            self._none_lost(full["skills"])
         if not dry_run:
             self.commit(full)
         return self.spark.createDataFrame([(k, n, m, n - m) for k, (n, m) in counts.items()], "kind string, rows long, good long, errors long")

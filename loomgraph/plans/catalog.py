@@ -469,13 +469,13 @@ def bootstrap_ci(t: Tables) -> DataFrame:
 
 # Typed edges: parts classify pairs of skills
 
-_TYPED = """typed AS (SELECT p_partkey % 500 AS a, (p_partkey * 7) % 500 AS b, CASE p_size % 4 WHEN 0 THEN 'substitute' WHEN 1 THEN 'prerequisite' WHEN 2 THEN 'complement' ELSE 'unrelated' END AS edge_type,
-  CASE WHEN p_size % 8 < 4 THEN 'a_to_b' ELSE 'symmetric' END AS direction, (p_size % 10) / 10.0::DOUBLE AS confidence, p_partkey AS seq FROM part WHERE p_partkey % 500 <> (p_partkey * 7) % 500)"""
+_TYPED = """typed AS (SELECT p_partkey % (SELECT greatest(1, count(*)) FROM embeddings) AS a, (p_partkey * 7) % (SELECT greatest(1, count(*)) FROM embeddings) AS b, CASE p_size % 4 WHEN 0 THEN 'substitute' WHEN 1 THEN 'prerequisite' WHEN 2 THEN 'complement' ELSE 'unrelated' END AS edge_type,
+  CASE WHEN p_size % 8 < 4 THEN 'a_to_b' ELSE 'symmetric' END AS direction, (p_size % 10) / 10.0::DOUBLE AS confidence, p_partkey AS seq FROM part WHERE p_partkey % (SELECT greatest(1, count(*)) FROM embeddings) <> (p_partkey * 7) % (SELECT greatest(1, count(*)) FROM embeddings))"""
 
 
 def _typed(t: Tables) -> DataFrame:
     s = F.col("p_size")
-    a, b = F.col("p_partkey") % 500, F.col("p_partkey") * 7 % 500
+    a, b = F.col("p_partkey") % t.n_skills(), F.col("p_partkey") * 7 % t.n_skills()
     kind = F.when(s % 4 == 0, "substitute").when(s % 4 == 1, "prerequisite").when(s % 4 == 2, "complement").otherwise("unrelated")
     return t.part.where(a != b).select(a.alias("a"), b.alias("b"), kind.alias("edge_type"), F.when(s % 8 < 4, "a_to_b").otherwise("symmetric").alias("direction"), ((s % 10) / 10.0).alias("confidence"), F.col("p_partkey").alias("seq"))
 

@@ -213,14 +213,14 @@ def set_drift(t: Tables) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT vec_id AS name, CASE WHEN label < 8 THEN 'skill' ELSE 'role' END AS kind FROM embeddings),
-e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, rel FROM (SELECT p_partkey % 500 AS a, (p_partkey * 3 + 1) % 500 AS b, CASE WHEN p_size % 5 = 0 THEN 'requires' ELSE 'similar' END AS rel FROM part) WHERE a <> b),
+e AS (SELECT least(a, b) AS lo, greatest(a, b) AS hi, rel FROM (SELECT p_partkey % (SELECT greatest(1, count(*)) FROM embeddings) AS a, (p_partkey * 3 + 1) % (SELECT greatest(1, count(*)) FROM embeddings) AS b, CASE WHEN p_size % 5 = 0 THEN 'requires' ELSE 'similar' END AS rel FROM part) WHERE a <> b),
 v AS (SELECT lo, hi FROM e WHERE rel = 'similar' AND lo IN (SELECT name FROM n WHERE kind = 'skill') AND hi IN (SELECT name FROM n WHERE kind = 'skill')),
 d AS (SELECT name, count(*) AS k FROM (SELECT lo AS name FROM v UNION ALL SELECT hi FROM v) GROUP BY 1)
 SELECT n.name, coalesce(k, 0) AS degree FROM n LEFT JOIN d ON d.name = n.name WHERE kind = 'skill'""")
 def skill_view(t: Tables) -> DataFrame:
     """The skills of a mixed graph, isolated ones too, with their similarity edges."""
     nodes = t.embeddings.select(F.col("vec_id").alias("name"), F.when(F.col("label") < 8, "skill").otherwise("role").alias("node_type"))
-    a, b = F.col("p_partkey") % 500, (F.col("p_partkey") * 3 + 1) % 500
+    a, b = F.col("p_partkey") % t.n_skills(), (F.col("p_partkey") * 3 + 1) % t.n_skills()
     edges = t.part.where(a != b).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), F.lit(1.0).alias("weight"), F.when(F.col("p_size") % 5 == 0, "requires").otherwise("similar").alias("relation"))
     skills, similar = graph.skill_view(nodes, edges)
     n = similar.select(F.col("lo").alias("name")).union(similar.select("hi")).groupBy("name").agg(F.count("*").alias("k"))

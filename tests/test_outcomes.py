@@ -99,7 +99,7 @@ def test_edges_and_aliases_of_the_engine(spark, store):
     store.upsert_similar(edges)
     for table in (True, False):
         e = engine.MatchEngine(store, path_table=table, aliases={"whale": "Docker"})
-        rank = lambda: [(r["name"], r["total"]) for r in e.rank_candidates({"whale": 1.0}, {"x": {"AWS": 1.0}, "y": {"React": 1.0}}, top_k=2, bridge_cutoff=0.9).collect()]
+        rank = lambda: [(r["name"], r["total"]) for r in e.rank_candidates({"whale": 1.0}, {"x": {"AWS": 1.0}, "y": {"React": 1.0}}, top_k=2, bridge_cutoff=0.9, bridge_credit_scale=1.0, max_bridge_credit=1.0).collect()]
         before = rank()
         assert before[0][0] == "x" and before[0][1] > before[1][1]
         e.edit_edges(spark.createDataFrame([("React", "Docker", 0.95, "y")], "lo string, hi string, weight double, edge_source string"), spark.createDataFrame([("Docker", "AWS")], "lo string, hi string"))

@@ -1,16 +1,19 @@
 """Sharding by a k-d tree over metadata, with leaves of equal bytes.
 
 The tree is built level by level until leaves reach the target bytes: shards_for() gives the number of leaves of a
-target, and a node is divided as long as it holds more than one. For every open node one aggregation gives its weight
-and the extent of each dimension; the widest dimension is cut at the weighted median (for an odd number of leaves, at
-the matching weighted quantile, so that all leaves end at the same size). The cut is found exactly without sorting: the node's key range is divided into BUCKETS equal
-parts, their weights are summed on the executors, and the part that the cut falls into is divided again until it
-holds a single row or a single key. What comes to the driver is at most BUCKETS numbers for each of fewer than
-`shards` nodes, whatever the input. Rows are read from one checkpointed table of ids, sizes and keys.
+target, and a node is divided as long as it holds more than one. Every row carries its node from level to level. For
+every open node one aggregation gives its weight and the extent of each dimension; the widest dimension is cut at the
+weighted median (for an odd number of leaves, at the matching weighted quantile, so that all leaves end at the same
+size). The cut is found exactly without sorting: the node's key range is divided into BUCKETS equal parts, their weights
+are summed, and the part that the cut falls into is divided again until it holds a single text, then a single row.
+Searches and cuts are tables, a row for each open node, so the plan is the same for 40 leaves and for 800,000; the
+driver sees their numbers of rows only. A table of nodes is broadcast up to MOST_NODES rows; a level with more of them is
+shuffled by node, where no node holds more than about a part in MOST_NODES of all bytes.
 
 A dimension's key is 63 bits: 23 bits of the dimension's own value, 24 bits of the text's hash, 16 bits of the
-id's hash. So rows with the same metadata can still be divided, a group of copies however large included, and
-copies stay together wherever a cut does not have to pass through their group.
+id's hash. So rows with the same metadata can still be divided, and copies lie beside each other. A cut that falls into a
+text's copies moves to the nearer end of them if that changes the sides by SLACK of a leaf's share at most; only larger
+groups of copies are divided. Over all levels a leaf's bytes change by less than twice SLACK.
 
 Defined cases: null text counts as no bytes; null metadata has the lowest value; repeated rows are separate rows, and
 ties in a key go to the same side of a cut; a text longer than a shard's share makes that shard larger, as rows aren't
@@ -21,13 +24,12 @@ not named in the arguments are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, folder, read
 
 SHARDS = 40
 #: Parts of a key range whose weights are summed at once.
@@ -38,16 +40,10 @@ OVERHEAD = 16
 RUN = 1024
 CODE_BITS, TEXT_BITS, ID_BITS = 23, 24, 16
 LOW_BITS = TEXT_BITS + ID_BITS
-
-
-@dataclass
-class Node:
-    leaves: int
-    first: int
-    dim: int = -1
-    at: int = 0
-    left: Node | None = None
-    right: Node | None = None
+#: Share of a leaf's bytes by which a cut may miss its place to keep the copies of a text together.
+SLACK = 0.05
+#: Rows of a table of nodes that are broadcast, at most (about 100 bytes each).
+MOST_NODES = 50_000
 
 
 def category(col: str) -> Column:
@@ -73,74 +69,90 @@ def keyed(docs: DataFrame, dims: Sequence[str], id_col: str, text_col: str) -> D
     )
 
 
-def _nodes(root: Node) -> list[Node]:
-    return [root] if root.left is None else [*_nodes(root.left), *_nodes(root.right)]
-
-
-def _place(node: Node) -> Column:
-    """The first leaf of the node that a row is in."""
-    if node.left is None:
-        return F.lit(node.first)
-    return F.when(F.col(f"k{node.dim}") < F.lit(node.at), _place(node.left)).otherwise(_place(node.right))
-
-
-def _of(values: dict[int, int], kind: str = "long") -> Column:
-    """values by the column node; a map literal, so that the generated code is the same for every pass."""
-    return F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), F.col("node")).cast(kind)
-
-
-def build(rows: DataFrame, dims: int, shards: int) -> Node:
-    """The tree over keyed rows; see the module's text for the bounds on what reaches the driver."""
-    root, span = Node(shards, 0), None
-    while True:
-        open_ = {n.first: n for n in _nodes(root) if n.leaves > 1}
-        if not open_:
-            return root
-        placed = rows.withColumn("node", _place(root)).where(F.col("node").isin(list(open_)))
-        stats = placed.groupBy("node").agg(
-            F.sum("size").alias("w"),
-            *[f(f"k{i}").alias(f"{name}{i}") for i in range(dims) for name, f in (("lo", F.min), ("hi", F.max))],
-        )
-        found = {r["node"]: r for r in stats.collect()}
-        if span is None and found:
-            span = [max(1, (found[0][f"hi{i}"] >> LOW_BITS) - (found[0][f"lo{i}"] >> LOW_BITS)) for i in range(dims)]
-        search: dict[int, list] = {}
-        for k, n in open_.items():
-            n.left, n.right = Node(n.leaves // 2, n.first), Node(n.leaves - n.leaves // 2, n.first + n.leaves // 2)
-            n.dim = 0
-            if k in found:
-                r = found[k]
-                n.dim = max(range(dims), key=lambda i: (((r[f"hi{i}"] >> LOW_BITS) - (r[f"lo{i}"] >> LOW_BITS)) / span[i], -i))
-                # [low, high), weight below low, weight wanted on the left
-                search[k] = [r[f"lo{n.dim}"], r[f"hi{n.dim}"] + 1, 0, r["w"] * (n.leaves // 2) / n.leaves]
-        key = F.array(*[F.col(f"k{i}") for i in range(dims)])
-        dim = {k: open_[k].dim for k in search}
-        base = placed.select("node", "size", F.element_at(key, _of({k: d + 1 for k, d in dim.items()}, "int")).alias("key")) if search else None
-        while search:
-            step = {k: max(1, -(-(s[1] - s[0]) // BUCKETS)) for k, s in search.items()}
-            low, high = (_of({k: s[i] for k, s in search.items()}) for i in (0, 1))
-            part = F.expr("(key - low) div step")
-            sums = (
-                base.where(F.col("node").isin(list(search))).withColumns({"low": low, "high": high, "step": _of(step)})
-                .where((F.col("key") >= F.col("low")) & (F.col("key") < F.col("high")))
-                .withColumn("part", part).groupBy("node", "part").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
-            )
-            parts: dict[int, list] = {}
-            for r in sums.collect():
-                parts.setdefault(r["node"], []).append((r["part"], r["w"], r["n"]))
-            for k in list(search):
-                lo, _, below, want = search[k]
-                for part, w, n in sorted(parts[k]):
-                    start = lo + part * step[k]
-                    if below + w < want:
-                        below += w
-                        continue
-                    if n == 1 or step[k] == 1:  # cut before or after these rows, whichever is nearer
-                        open_[k].at = start + step[k] if below + w - want < want - below else start
-                        del search[k]
-                    else:
-                        search[k] = [start, start + step[k], below, want]
-                    break
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. A checkpoint would carry what the optimizer knows of df from level to level,
+    which grows with every CASE."""
+    path = folder(df.sparkSession, "kd")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _with(rows: DataFrame, nodes: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of their node; n: rows of nodes."""
+    return rows.join(F.broadcast(nodes) if n <= MOST_NODES else nodes, "node", how)
+
+
+def _searches(rows: DataFrame, dims: int, span: Sequence[int]) -> DataFrame:
+    """A search for each node that is to be divided: its widest dimension, the weight wanted on the left, what a cut may miss
+    it by, and the range [lo, hi) of keys, in units, that the cut is in; below is the weight left of the range."""
+    stats = rows.groupBy("node", "leaves").agg(
+        F.sum("size").alias("w"), *[f(f"k{i}").alias(f"{name}{i}") for i in range(dims) for name, f in (("lo", F.min), ("hi", F.max))],
+    )
+    extent = lambda i: (F.shiftright(f"hi{i}", LOW_BITS) - F.shiftright(f"lo{i}", LOW_BITS)) / F.lit(float(span[i]))
+    wide = F.array_max(F.array(*[F.struct(extent(i).alias("e"), F.lit(-i).alias("i")) for i in range(dims)]))  # ties: the first
+    stats = stats.withColumn("dim", -wide["i"])
+    of = lambda name: F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(dims)]), F.col("dim") + 1)
+    unit, left = F.lit(1 << ID_BITS).cast("long"), F.expr("leaves div 2")
+    return stats.select(
+        "node", "leaves", "dim", (F.col("w") * left / F.col("leaves")).alias("want"), (F.col("w") / F.col("leaves") * SLACK).alias("slack"),
+        unit.alias("unit"), F.shiftleft(F.shiftright(of("lo"), ID_BITS), ID_BITS).alias("lo"), F.shiftleft(F.shiftright(of("hi"), ID_BITS) + 1, ID_BITS).alias("hi"),
+        F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("at"),
+    )
+
+
+def _narrowed(rows: DataFrame, search: DataFrame, n: int, dims: int) -> DataFrame:
+    """The searches after one more division of their ranges; at is the cut of those that have found it."""
+    unit = F.col("unit")
+    step = F.expr(f"greatest(1, (hi - lo + unit * {BUCKETS} - 1) div (unit * {BUCKETS}))") * unit
+    given = search.select("node", "dim", "lo", "hi", step.alias("step"))
+    key = F.element_at(F.array(*[F.col(f"k{i}") for i in range(dims)]), F.col("dim") + 1)
+    x = _with(rows.select("node", "size", *[f"k{i}" for i in range(dims)]), given, n).withColumn("key", key)
+    x = x.where((F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi")))
+    x = x.groupBy("node", F.expr("(key - lo) div step").alias("part")).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+    x = x.join(search.withColumn("step", step), "node")
+    upto = F.sum("w").over(W.partitionBy("node").orderBy("part").rowsBetween(W.unboundedPreceding, 0))  # BUCKETS rows at most
+    x = x.withColumn("upto", F.col("below") + upto).where(F.col("upto") >= F.col("want"))
+    x = x.groupBy("node").agg(F.min_by(F.struct(*[c for c in x.columns if c not in ("node", "part")], "part"), "part").alias("x")).select("node", "x.*")
+    # of the part that the cut is in: it holds one unit, which is a text (then a key), or is divided again
+    whole = lambda c: F.col(c) - F.pmod(F.col(c), unit)
+    one = whole("first") == whole("last")
+    under = F.col("upto") - F.col("w")
+    after = (F.col("upto") - F.col("want")) < (F.col("want") - under)
+    miss = F.least(F.col("upto") - F.col("want"), F.col("want") - under)
+    found = one & ((unit == 1) | (F.col("n") == 1) | (miss <= F.col("slack")))
+    start = F.col("lo") + F.col("part") * F.col("step")
+    lo, hi = F.when(one, whole("first")).otherwise(start), F.when(one, whole("first") + unit).otherwise(start + F.col("step"))
+    return x.select(
+        "node", "leaves", "dim", "want", "slack", F.when(one, F.lit(1).cast("long")).otherwise(unit).alias("unit"), lo.alias("lo"), hi.alias("hi"),
+        under.alias("below"), F.when(found, F.when(after, hi).otherwise(lo)).alias("at"),
+    )
+
+
+def build(rows: DataFrame, dims: int, shards: int) -> DataFrame:
+    """Keyed rows with node, their shard; node is the first leaf under a node."""
+    spans = rows.agg(*[f(f"k{i}").alias(f"{name}{i}") for i in range(dims) for name, f in (("lo", F.min), ("hi", F.max))]).first()
+    if spans["lo0"] is None:
+        return rows.withColumn("node", F.lit(0).cast("long"))
+    span = [max(1, (spans[f"hi{i}"] >> LOW_BITS) - (spans[f"lo{i}"] >> LOW_BITS)) for i in range(dims)]
+    rows = rows.withColumns({"node": F.lit(0).cast("long"), "leaves": F.lit(shards).cast("long")})
+    for _ in range((shards - 1).bit_length()):
+        open_ = rows.where("leaves > 1")
+        search, cuts = _written(_searches(open_, dims, span)), None
+        while n := search.count():
+            search = _written(_narrowed(open_, search, n, dims))
+            done = search.where("at IS NOT NULL").select("node", "dim", "at")
+            cuts, search = done if cuts is None else cuts.unionByName(done), search.where("at IS NULL")
+        if cuts is None:
+            break
+        key = F.element_at(F.array(*[F.col(f"k{i}") for i in range(dims)]), F.col("dim") + 1)
+        left = F.expr("leaves div 2")
+        x = _with(rows, cuts, cuts.count(), "left").withColumn("right", key >= F.col("at"))
+        rows = _written(x.select(
+            *[c for c in rows.columns if c not in ("node", "leaves")],
+            F.when(F.col("right"), F.col("node") + left).otherwise(F.col("node")).alias("node"),
+            F.when(F.col("at").isNull(), F.col("leaves")).when(F.col("right"), F.col("leaves") - left).otherwise(left).alias("leaves"),
+        ))
+    return rows.drop("leaves")
 
 
 def numbered(rows: DataFrame, total: int, shards: int) -> DataFrame:
@@ -171,13 +183,12 @@ def shard_kd(docs: DataFrame, shards: int | None = SHARDS, dims: Sequence[str] =
     rows = cut(keyed(docs, dims, id_col, text_col))
     if target_bytes is not None:
         shards = shards_for(rows, target_bytes)
-    root = build(rows, len(dims), shards)
-    placed = rows.select("doc_id", "size", "text_crc32", _place(root).cast("int").alias("shard"))
+    placed = build(rows, len(dims), shards).select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"))
     return numbered(placed, rows.count(), shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7: all documents into 40 shards by bytes. lang and size are equal for equal texts, so copies share a shard
-    unless a median passes through their group."""
+    """op7: all documents into 40 shards by bytes. Equal texts of one lang have equal keys but for the id, so copies
+    share a shard unless a cut has to pass through their group."""
     out = shard_kd(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -70,8 +70,8 @@ def keyed(docs: DataFrame, dims: Sequence[str], id_col: str, text_col: str) -> D
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder. A checkpoint would carry what the optimizer knows of df from level to level,
-    which grows with every CASE."""
+    """df as a table in the shared folder. With checkpoint() planning took longer from level to level and
+    then didn't end; what the optimizer keeps of a checkpointed plan is the likely cause."""
     path = folder(df.sparkSession, "kd")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -42,8 +42,9 @@ def artifact(occupations: DataFrame, skills: DataFrame, embedder: Embedder | Non
     return {"skills": nodes, "roles": roles, "requires": requires, "similar": edges}
 
 
-def build(store: Store, occupations: DataFrame, skills: DataFrame, embedder: Embedder | None = None, dry_run: bool = False, **settings) -> DataFrame:
+def build(store: Store, occupations: DataFrame, skills: DataFrame, embedder: Embedder | None = None, dry_run: bool = False, ceilings: tuple[int, int] | None = None, **settings) -> DataFrame:
     """artifact() written to a store in one commit; kind, rows, good, errors, as Store.migrate() reports them. The pool
-    stays; a store with a skill that the artifact hasn't is refused, as its candidates would lose it."""
+    stays; a store with a skill that the artifact hasn't is refused, as its candidates would lose it. ceilings: nodes and
+    edges above which nothing is written; the Parquet store itself has none."""
     made = artifact(occupations, skills, embedder, **settings)
-    return store.migrate(made, dry_run, guard=True)
+    return store.migrate(made, dry_run, guard=True, ceilings=ceilings)

@@ -193,12 +193,13 @@ class Store:
             self.read(t).createOrReplaceTempView(prefix + t)
         return [prefix + t for t in TABLES]
 
-    def migrate(self, artifact: dict[str, DataFrame], dry_run: bool = False, guard: bool = False) -> DataFrame:
+    def migrate(self, artifact: dict[str, DataFrame], dry_run: bool = False, guard: bool = False, ceilings: tuple[int, int] | None = (MAX_NODES, MAX_EDGES)) -> DataFrame:
         """Write an artifact's tables (skills, roles, requires, similar) to the store, in one commit.
 
         kind, rows, good, errors of each. A row with a null key, an end that isn't there, a weight outside 0 to 1, or two
         equal ends is counted as an error and left out; of rows with the same key one is good. With dry_run nothing is
-        written. The sizes are checked first; with guard, stored skills must all be in the artifact.
+        written. The sizes are checked first (nodes and edges of a hosted graph's tariff; ceilings=None for a store of any
+        size); with guard, stored skills must all be in the artifact.
         """
         blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
         skills, roles = ({"skills": "name", "roles": "name"}[k] for k in ("skills", "roles"))
@@ -212,7 +213,8 @@ class Store:
             have = set(df.columns)
             full[name] = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], TABLES[name]).schema])
         counts = {k: (artifact[k].count(), full[k].count()) for k in full}
-        check_ceilings(counts["skills"][1] + counts["roles"][1], counts["requires"][1] + counts["similar"][1])
+        if ceilings is not None:
+            check_ceilings(counts["skills"][1] + counts["roles"][1], counts["requires"][1] + counts["similar"][1], *ceilings)
         if guard:
             self._none_lost(full["skills"])
         if not dry_run:
@@ -298,6 +300,6 @@ def vectors_of(skills: DataFrame) -> DataFrame:
     return skills.where("embedding IS NOT NULL AND size(embedding) > 0").select("name", "embedding")
 
 
-def check_ceilings(nodes: int, edges: int) -> None:
-    if nodes > MAX_NODES or edges > MAX_EDGES:
-        raise ValueError(f"{nodes} nodes and {edges} edges; at most {MAX_NODES} and {MAX_EDGES} are allowed")
+def check_ceilings(nodes: int, edges: int, most_nodes: int = MAX_NODES, most_edges: int = MAX_EDGES) -> None:
+    if nodes > most_nodes or edges > most_edges:
+        raise ValueError(f"{nodes} nodes and {edges} edges; at most {most_nodes} and {most_edges} are allowed")

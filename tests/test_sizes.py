@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import embedding
+from loomgraph.plans import build
+from loomgraph.sources import store
 
 
 def test_counts_are_of_all_words(spark, monkeypatch):
@@ -14,3 +16,16 @@ def test_counts_are_of_all_words(spark, monkeypatch):
     words, pairs = embedding.counted(df, span=2, least=1)
     assert {r["word"] for r in words.collect()} == {"a", "b", "c"} and pairs.where("i = 2 OR j = 2").count() == 4
     assert set(embedding.learn(df, least=1).words) == {"a", "b"}
+
+
+def test_a_built_graph_has_no_ceiling(spark, tmp_path, monkeypatch):
+    """The tariff of a hosted graph bounds migrate() as before, not what is built into a store."""
+    rows = [(f"15-{i}", f"role {i}", f"skill {j}") for i in range(3) for j in range(2)]
+    taxonomy = spark.createDataFrame(rows, "soc string, title string, skill string")
+    skills = taxonomy.select("soc", "skill", F.lit("tool").alias("element"), F.lit("Y").alias("hot"), F.lit("Y").alias("demand"))
+    monkeypatch.setattr(store, "check_ceilings", lambda nodes, edges, most_nodes=1, most_edges=1: (_ for _ in ()).throw(ValueError("too many")))
+    made = store.Store(spark, f"{tmp_path}/s")
+    build.build(made, taxonomy.select("soc", "title").distinct(), skills, custom=False, max_density=None)
+    assert {r["kind"]: r["n"] for r in made.counts().collect()}["requires"] == 6
+    with pytest.raises(ValueError):
+        made.migrate({k: made.read(k) for k in ("skills", "roles", "requires", "similar")}, dry_run=True)

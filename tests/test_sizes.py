@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import embedding
+from loomgraph.functions.scoring import ScoringParams
+from loomgraph.operators import embedding, grid, matching, paths
 from loomgraph.plans import build
 from loomgraph.sources import store
 
@@ -29,3 +30,36 @@ def test_a_built_graph_has_no_ceiling(spark, tmp_path, monkeypatch):
     assert {r["kind"]: r["n"] for r in made.counts().collect()}["requires"] == 6
     with pytest.raises(ValueError):
         made.migrate({k: made.read(k) for k in ("skills", "roles", "requires", "similar")}, dry_run=True)
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_cells_give_what_terms_give(spark, monkeypatch, kind):
+    """Several blocks, groups and chunks, against a row for each term; no stage shuffles more rows than the tables times
+    the blocks and groups."""
+    monkeypatch.setattr(grid, "BLOCK", 150)
+    monkeypatch.setattr(grid, "GROUP", 40)
+    monkeypatch.setattr(grid, "CHUNK", 7)
+    monkeypatch.setattr(grid, "WIDE", 2)
+    rng = np.random.default_rng(3)
+    skill = lambda c: f"concat('s', {c})" if kind == "string" else f"cast({c} + (1L << 60) AS bigint)"
+    pick = lambda n, *most: spark.createDataFrame([tuple(int(x) for x in row) for row in rng.integers(0, most, (n, len(most)))], ", ".join(f"x{i} long" for i in range(len(most)))).distinct()
+    edges = pick(90, 40, 40, 50).where("x0 < x1").dropDuplicates(["x0", "x1"]).selectExpr(f"{skill('x0')} AS lo", f"{skill('x1')} AS hi", "0.45 + x2 / 100 AS weight")
+    have = pick(260, 30, 44, 3).selectExpr("x0 AS cand", f"{skill('x1')} AS skill", "0.5 + x2 * 0.5 AS weight")
+    wants = pick(70, 5, 48, 3).selectExpr("concat('j', x0) AS jd", f"{skill('x1')} AS skill", "0.5 + x2 * 0.5 AS demand")
+    p = ScoringParams(bridge_cutoff=0.9, bridge_credit_scale=2.0, max_bridge_credit=0.9, bridgeable_penalty=0.05, unreachable_penalty=0.1, max_hops=2)
+    near = paths.apsp(edges, 1.0, hops_within=3)
+    rows = lambda df, *cs: sorted(tuple(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in cs) for r in df.collect())
+    t = matching.terms(wants, have, near, p).persist()
+    for k in ("floored", "bridged"):
+        assert rows(matching.picked(wants, have, near, p, k), "jd", "cand", "skill", "dist", "via", "credit") == rows(t.where(k), "jd", "cand", "skill", "dist", "via", "credit")
+    n = matching.bridges(wants, have, near, p).groupBy("skill", "via").agg(F.sum("n").alias("n"))
+    assert rows(n, "skill", "via", "n") == rows(t.where("bridged").groupBy("skill", "via").agg(F.count("*").alias("n")), "skill", "via", "n")
+    got = matching._sums(wants, have, near, p)
+    want = matching._labelled_sums(wants, have, near, p, None).fillna(0).where("n_matched + n_bridged > 0")
+    assert rows(got, *sorted(got.columns)) == rows(want, *sorted(got.columns))
+    g = matching.gaps(wants, have, near, p).groupBy("jd", F.regexp_extract("reason", "^[a-z_]+", 0).alias("reason")).agg(F.count("*").alias("n"))
+    assert rows(matching.gap_counts(wants, have, near, p), "jd", "reason", "n") == rows(g, "jd", "reason", "n")
+    few = list(enumerate([ScoringParams(bridge_cutoff=0.5, max_hops=1), p]))
+    base = ScoringParams(bridge_cutoff=None)
+    swept, labelled = matching._swept(wants, have, near, base, few), matching._labelled_sweep(matching.terms(wants, have, near, base), base, few)
+    assert rows(swept, *sorted(swept.columns)) == rows(labelled, *sorted(swept.columns))

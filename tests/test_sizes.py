@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import ScoringParams
-from loomgraph.operators import embedding, grid, matching, paths
+from loomgraph.operators import embedding, evaluation, graph, grid, matching, paths
 from loomgraph.plans import build
 from loomgraph.sources import store
 
@@ -63,3 +63,14 @@ def test_cells_give_what_terms_give(spark, monkeypatch, kind):
     base = ScoringParams(bridge_cutoff=None)
     swept, labelled = matching._swept(wants, have, near, base, few), matching._labelled_sweep(matching.terms(wants, have, near, base), base, few)
     assert rows(swept, *sorted(swept.columns)) == rows(labelled, *sorted(swept.columns))
+
+
+def test_tfidf_of_all_pairs(spark, monkeypatch):
+    """Cells against a row for each query, candidate and skill; what nobody holds, and candidates without a wanted skill."""
+    monkeypatch.setattr(grid, "BLOCK", 5)
+    monkeypatch.setattr(grid, "CHUNK", 3)
+    have = spark.createDataFrame([(i, f"s{(i * k) % 13}") for i in range(1, 12) for k in (1, 3, 5)] + [(99, "alone")], "cand long, skill string")
+    wants = spark.createDataFrame([(q, f"s{k}") for q, ks in (("a", (1, 2, 3, 40)), ("b", (5, 7, 1))) for k in ks], "query string, skill string")
+    graded = have.select("cand").distinct().crossJoin(wants.select("query").distinct())
+    rows = lambda df: sorted((r["query"], r["cand"], round(r["score"], 9)) for r in df.collect())
+    assert rows(evaluation.tfidf_of_all(wants, have)) == rows(evaluation.tfidf(wants, have, graded))

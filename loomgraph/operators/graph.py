@@ -14,6 +14,8 @@ from .workspace import ship
 
 #: Nodes whose vectors are compared at once; a block of pairs holds two of these.
 BLOCK = 1024
+#: Tasks that a category's pairs are dealt to.
+PARTS = 16
 # Names that never become skills, skills added by hand, and substitutes that no measurement found.
 STOP_SKILLS = ("Microsoft Office software", "Microsoft PowerPoint", "Microsoft Word", "Microsoft Outlook", "Microsoft Visio", "Microsoft Project")
 GENERIC_SKILLS = (
@@ -173,17 +175,30 @@ def category_edges(nodes: DataFrame, weight: float = 0.5, max_size: int | None =
     sizes = nodes.groupBy("category").agg(F.countDistinct("name").alias("n"))
     skipped = sizes.where(F.col("n") > max_size) if max_size is not None else sizes.where("false")
     own = nodes.join(skipped, "category", "left_anti").select("name", "category").distinct()
-    pairs = own.select(F.col("name").alias("lo"), "category").join(own.select(F.col("name").alias("hi"), "category"), "category").where("lo < hi")
-    return pairs.select("lo", "hi").distinct().select("lo", "hi", F.lit(float(weight)).alias("weight"), F.lit("category").alias("edge_source")), skipped
+    # only two nodes of several categories each can meet twice; all other pairs are made once, and needn't be compared
+    several = own.groupBy("name").agg((F.count("*") > 1).alias("several"))
+    own = own.join(several, "name")
+    # a category's pairs are dealt to PARTS tasks: its nodes in parts against all of them
+    part = F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int")
+    left = own.select(F.col("name").alias("lo"), "category", "several", part.alias("part"))
+    right = own.select(F.col("name").alias("hi"), "category", F.col("several").alias("too"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    key = ["category", "part"]  # few rows, but many pairs: the number of tasks is given, so that they aren't put together
+    pairs = left.repartition(4 * PARTS, *key).join(right.repartition(4 * PARTS, *key), key).where("lo < hi")
+    once = pairs.where("NOT (several AND too)").select("lo", "hi")
+    pairs = once.unionByName(pairs.where("several AND too").select("lo", "hi").distinct())
+    return pairs.select("lo", "hi", F.lit(float(weight)).alias("weight"), F.lit("category").alias("edge_source")), skipped
 
 
 def typed_candidates(nodes: DataFrame, k: int = 8, min_sim: float = 0.30) -> DataFrame:
     """Pairs to classify: the same category, or among each other's k nearest across categories (k first, then the filter)."""
     same = category_edges(nodes.select(F.col("id").alias("name"), "category"))[0].select("lo", "hi")
     cat = nodes.select("id", "category")
-    near = nearest(nodes, k, min_sim).join(cat.select(F.col("id").alias("src"), F.col("category").alias("c1")), "src").join(cat.select(F.col("id").alias("dst"), F.col("category").alias("c2")), "dst")
-    cross = near.where(~F.col("c1").eqNullSafe(F.col("c2"))).select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
-    return same.union(cross).distinct()
+    ends = lambda df, a, b: df.join(cat.select(F.col("id").alias(a), F.col("category").alias("c1")), a).join(cat.select(F.col("id").alias(b), F.col("category").alias("c2")), b)
+    near = ends(nearest(nodes, k, min_sim), "src", "dst").where(~F.col("c1").eqNullSafe(F.col("c2")))
+    cross = near.select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")).distinct()
+    # the pairs of one category are many, and none of them comes twice; what is near is compared with their categories
+    shared = ends(cross, "lo", "hi").where("c1 = c2").select("lo", "hi").distinct()
+    return same.unionByName(cross.join(shared, ["lo", "hi"], "left_anti"))
 
 
 def without_curated(pairs: DataFrame, curated: DataFrame) -> DataFrame:

@@ -74,3 +74,16 @@ def test_tfidf_of_all_pairs(spark, monkeypatch):
     graded = have.select("cand").distinct().crossJoin(wants.select("query").distinct())
     rows = lambda df: sorted((r["query"], r["cand"], round(r["score"], 9)) for r in df.collect())
     assert rows(evaluation.tfidf_of_all(wants, have)) == rows(evaluation.tfidf(wants, have, graded))
+
+
+def test_category_pairs_are_not_compared(spark):
+    """Nodes of several categories meet once; pairs of others aren't shuffled to find that out."""
+    rows = [(f"n{i:02d}", f"c{i % 3}") for i in range(20)] + [("n01", "c2"), ("n02", "c1"), ("n04", "c2"), ("n07", None)]
+    nodes = spark.createDataFrame(rows, "name string, category string")
+    by = {c: {n for n, d in rows if d == c} for c in ("c0", "c1", "c2")}
+    want = {(a, b) for s in by.values() for a in s for b in s if a < b}
+    got = graph.category_edges(nodes)[0].select("lo", "hi")
+    assert len(found := [tuple(r) for r in got.collect()]) == len(set(found)) and set(found) == want
+    vectors = nodes.dropDuplicates(["name"]).select("name", F.array(F.hash("name") / 2e9, F.lit(1.0)).alias("embedding"))
+    both = graph.typed_candidates(nodes.join(vectors, "name").withColumnRenamed("name", "id"))
+    assert len(found := [tuple(r) for r in both.collect()]) == len(set(found)) and want <= set(found)

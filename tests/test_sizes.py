@@ -87,3 +87,24 @@ def test_category_pairs_are_not_compared(spark):
     vectors = nodes.dropDuplicates(["name"]).select("name", F.array(F.hash("name") / 2e9, F.lit(1.0)).alias("embedding"))
     both = graph.typed_candidates(nodes.join(vectors, "name").withColumnRenamed("name", "id"))
     assert len(found := [tuple(r) for r in both.collect()]) == len(set(found)) and want <= set(found)
+
+
+def test_reach_over_labels_makes_no_row_for_a_way(spark, monkeypatch):
+    """Ways are reduced in cells, over labels and over paths: nothing is shuffled by candidate and skill. No candidate is a
+    group too, and a skill that is only few hops away has no via."""
+    monkeypatch.setattr(grid, "BLOCK", 40)
+    monkeypatch.setattr(grid, "CHUNK", 5)
+    edges = spark.createDataFrame([(i, (i * 7 + 3) % 30, 0.5 + (i % 4) / 10) for i in range(30)] + [(28, 40, 0.05)], "a long, b long, weight double")
+    edges = edges.where("a <> b").selectExpr("least(a, b) AS lo", "greatest(a, b) AS hi", "weight").dropDuplicates(["lo", "hi"])
+    have = spark.createDataFrame(list({(c if c else None, (c * 5 + k * k) % 33) for c in range(9) for k in range(4)} | {(8, 28)}), "cand long, skill long")
+    targets = spark.createDataFrame([(s,) for s in range(0, 42, 2)], "skill long")
+    near = paths.apsp(edges, 0.8, 2)
+    plain = lambda t: paths._steps(have, near, t).groupBy("cand", "skill").agg(F.min("dist").alias("dist"), F.min("hops").alias("hops"), paths._via())
+    rows = lambda df: sorted(repr((r["cand"], r["skill"], r["dist"] and round(r["dist"], 6), r["hops"], r["via"])) for r in df.collect())
+    labels = paths.HubLabels(edges, 0.8, 2)
+    for t, way in ((targets, labels), (None, near)):
+        want = rows(plain(t))
+        assert "(8, 40, None, 1, None)" in want and any(x.startswith("(None") for x in want)
+        assert rows(paths.reach(have, way, t)) == want
+    plan = paths.reach(have.where("cand IS NOT NULL"), labels, targets)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate(keys=[cand" not in plan and "MapInArrow" in plan

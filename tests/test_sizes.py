@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import ScoringParams
-from loomgraph.operators import embedding, evaluation, graph, grid, matching, paths
+from loomgraph.operators import embedding, evaluation, graph, grid, matching, paths, topk
 from loomgraph.plans import build
 from loomgraph.sources import store
 
@@ -108,3 +108,17 @@ def test_reach_over_labels_makes_no_row_for_a_way(spark, monkeypatch):
         assert rows(paths.reach(have, way, t)) == want
     plan = paths.reach(have.where("cand IS NOT NULL"), labels, targets)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate(keys=[cand" not in plan and "MapInArrow" in plan
+
+
+def test_threshold_ranking_has_few_rounds(spark, monkeypatch):
+    """Where the bound tells nobody apart all are scored, in three rounds and not in one for each doubling."""
+    calls = []
+    monkeypatch.setattr(topk, "scores", lambda *a, **k: calls.append(1) or matching.scores(*a, **k))
+    edges = spark.createDataFrame([(0, 1, 0.9)], "lo long, hi long, weight double")
+    have = spark.createDataFrame([(c, 5, 1.0) for c in range(60)], "cand long, skill long, weight double")
+    wants = spark.createDataFrame([("a", 0, 1.0)], "jd string, skill long, demand double")
+    p = ScoringParams(bridge_cutoff=0.6, bridge_credit_scale=1.0, max_bridge_credit=0.4, bridgeable_penalty=0.05, unreachable_penalty=0.1, max_hops=2)
+    got, scored = topk.rank_top(wants, have, paths.apsp(edges, 0.9, 2), edges, p, 2, begin=1)
+    assert [r["cand"] for r in got.orderBy("rank").collect()] == [0, 1] and scored == 60 and len(calls) == 3
+    none, scored = topk.rank_top(wants, have.limit(0), paths.apsp(edges, 0.9, 2), edges, p, 2)
+    assert none.count() == scored == 0

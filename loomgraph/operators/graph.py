@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import similarity_of_cost, typed_cost
+from . import nearby
 from .vectorindex import PROBES, VectorIndex
-from .workspace import ship
 
-#: Nodes whose vectors are compared at once; a block of pairs holds two of these.
-BLOCK = 1024
 #: Tasks that a category's pairs are dealt to.
 PARTS = 16
 # Names that never become skills, skills added by hand, and substitutes that no measurement found.
@@ -78,44 +74,13 @@ def embed_text(name: str = "name", category: str = "category", embed_category: s
     return F.concat(F.col(name), F.lit(" ("), c, F.lit(")"))
 
 
-def nearest(nodes: DataFrame, k: int | None, min_sim: float, block: int = BLOCK) -> DataFrame:
+def nearest(nodes: DataFrame, k: int | None, min_sim: float, block: int = nearby.SLAB) -> DataFrame:
     """src, dst, sim: of every node (id, embedding) the k most similar others (all, for None) with min_sim or more.
 
-    Exact: vectors are compared in pairs of blocks, as matrix products, each pair of blocks once for both directions; it
-    gives at most k rows a node and direction, and the work grows with the square of the nodes. Ties go to the smaller id.
+    Exact: every node is compared with slabs of all others (nearby), which gives at most k rows a node and slab; the work
+    grows with the square of the nodes. Ties go to the smaller id.
     """
-    ship(nodes.sparkSession)
-    kind = dict(nodes.dtypes)["id"]
-    n = nodes.count()
-    parts = max(1, -(-n // block))
-    dealt = nodes.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    blocks = dealt.groupBy("part").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    right = blocks.select(F.col("part").alias("q"), F.col("ids").alias("ids2"), F.col("vs").alias("vs2"))
-
-    def unit(vs) -> np.ndarray:
-        x = np.array([np.asarray(v, float) for v in vs])
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    def best(sim: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(sim >= min_sim)
-        order = np.lexsort((b[j], -sim[i, j], i))
-        i, j = i[order], j[order]
-        if k is not None:
-            place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-            i, j = i[place < k], j[place < k]
-        return pd.DataFrame({"src": a[i], "dst": b[j], "sim": sim[i, j]})
-
-    def run(batches):
-        for pdf in batches:
-            for part, q, ids, vs, ids2, vs2 in pdf[["part", "q", "ids", "vs", "ids2", "vs2"]].itertuples(index=False):
-                a, b = np.asarray(ids), np.asarray(ids2)
-                sim = unit(vs) @ unit(vs2).T
-                sim[a[:, None] == b[None, :]] = -2
-                yield best(sim, a, b)
-                if part != q:
-                    yield best(sim.T, b, a)
-
-    near = blocks.crossJoin(right).where("part <= q").mapInPandas(run, f"src {kind}, dst {kind}, sim double")
+    near = nearby.nearest(nodes, nodes, k, min_sim, block)
     if k is None:
         return near
     place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("sim"), "dst"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import ScoringParams
-from loomgraph.operators import embedding, evaluation, graph, grid, matching, paths, topk
+from loomgraph.operators import embedding, evaluation, graph, grid, matching, nearby, paths, topk
 from loomgraph.plans import build
 from loomgraph.sources import store
 
@@ -122,3 +122,36 @@ def test_threshold_ranking_has_few_rounds(spark, monkeypatch):
     assert [r["cand"] for r in got.orderBy("rank").collect()] == [0, 1] and scored == 60 and len(calls) == 3
     none, scored = topk.rank_top(wants, have.limit(0), paths.apsp(edges, 0.9, 2), edges, p, 2)
     assert none.count() == scored == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+@pytest.mark.parametrize("k", [1, 3, None])
+def test_slabs_keep_ties_in_order(monkeypatch, kind, k):
+    """Copies tie exactly, whatever they are multiplied with, and go by id; equal ids never meet; of many copies few are compared."""
+    monkeypatch.setattr(nearby, "TILE", 7)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.repeat(rng.normal(size=(4, 5)), 30, axis=0), rng.normal(size=(40, 5)), np.zeros((2, 5)), np.full((1, 5), np.nan)])
+    ids = rng.permutation(len(x))
+    ids[3] = ids[2]  # one id twice
+    ids = np.array([f"n{i:03d}" for i in ids], object) if kind == "string" else ids
+    u = nearby.unit(x)
+    slab = nearby.Slab(ids, x, k)
+    got = sorted((ids[i], d, round(s, 12)) for a, b, c in slab.best(ids, u, 0.2, None, False) for i, d, s in zip(a, b, c))
+    want = []
+    for i in range(len(x)):
+        sims = sorted((-round(float(np.einsum("i,i->", u[i], u[j])), 12), ids[j]) for j in range(len(x)) if ids[j] != ids[i])
+        want += [(ids[i], d, -s) for s, d in [t for t in sims if -t[0] >= 0.2][:k]]
+    assert got == sorted(want)
+    assert k is None or len(slab.ids) <= 4 * (k + 2) + 44
+
+
+def test_nearest_gives_few_rows(spark):
+    """At most k rows a node and slab, where a row for each pair of small blocks had been more than the nodes times those."""
+    rng = np.random.default_rng(2)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 4)))], "id long, embedding array<double>")
+    before = graph.nearest(nodes, 5, 0.3)._jdf.queryExecution()
+    near = nearby.nearest(nodes, nodes, 5, 0.3)
+    assert near.count() <= 3000 * 5 and near.join(graph.nearest(nodes, 5, 0.3).select("src", "dst"), ["src", "dst"]).count() == near.count()
+    assert "CartesianProduct" not in before.executedPlan().toString() and "NestedLoop" not in before.executedPlan().toString()
+    with pytest.raises(Exception, match="differ in length"):
+        nearby.nearest(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], nodes.schema), nodes, 1, 0.0).collect()

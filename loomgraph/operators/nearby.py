@@ -58,12 +58,13 @@ class Slab:
         self.ids, self.x, self.k = ids, x, k
         self.thin = x.astype(np.float32)
 
-    def best(self, names: np.ndarray, q: np.ndarray, min_sim: float, places: int | None, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of queries, ids and similarities of the k best (all, for None) of at least min_sim."""
+    def best(self, names: np.ndarray, q: np.ndarray, min_sim: float | np.ndarray, places: int | None, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of queries, ids and similarities of the k best (all, for None) of at least min_sim (one, or one for each query)."""
+        min_sim = np.broadcast_to(np.asarray(min_sim, float), len(q))
         k, err = self.k, (q.shape[1] + 8) * 1.2e-7 + 1e-9
         thin = q.astype(np.float32)
         lo, hi = np.searchsorted(self.ids, names, "left"), np.searchsorted(self.ids, names, "right")
-        least = np.full(len(q), min_sim - err)  # what a pair needs in single precision to count
+        least = min_sim - err  # what a pair needs in single precision to count
         held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         for a in range(0, len(self.ids), TILE):
             b = min(a + TILE, len(self.ids))
@@ -83,7 +84,7 @@ class Slab:
             exact = np.concatenate([np.einsum("ij,ij->i", q[i[c : c + AGAIN]], self.x[j[c : c + AGAIN]]) for c in range(0, len(i), AGAIN)])
             if places is not None:
                 exact = np.round(exact, places)
-            ok = exact >= min_sim
+            ok = exact >= min_sim[i]
             found = i[ok], j[ok], exact[ok]
             if k is None:
                 yield found[0], self.ids[found[1]], found[2]

@@ -7,7 +7,9 @@ puts every vector into the cell of its nearest center, in Parquet partitioned by
 near() compares a query with the vectors of its `probes` nearest cells. With exact=True it goes on to every cell that
 may hold something as near as what it has: a member is no nearer to the query than the query's distance from the center
 less the cell's radius. Cells of any size are dealt to tasks in parts of PART vectors and QUERIES queries, so neither a
-cell that holds a third of all vectors nor one that all queries probe is one task's work.
+cell that holds a third of all vectors nor one that all queries probe is one task's work. The cells that an exact search
+goes on to are most of them where vectors have many dimensions, so a query isn't sent to each: cells are put together in
+slabs, a query is sent once to a slab, and there compared with the cells that may hold something.
 
 Vectors count by direction (unit length, a norm of 1e-12 at least). Null vectors and ids take no part. Similarities are
 rounded to nine places, so that equal vectors tie in any order of sums; ties go to the smaller id.
@@ -17,10 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import nearby
 from .workspace import checkpointed, ship
 
 MOST_CELLS = 4096
@@ -29,6 +34,10 @@ SAMPLE, ROUNDS = 100, 8
 PROBES = 8
 #: Vectors and queries that meet in one group, on average, and queries whose similarities are held at once.
 PART, QUERIES, TILE = 8192, 4096, 512
+#: Queries that are dealt to cells at once, and rows of what that gives.
+DEAL = 1024
+#: Vectors of neighbouring cells that queries are sent to at once by an exact search, and queries that are compared at once.
+SLAB, ROWS = 32768, 1024
 
 
 def unit(vectors) -> np.ndarray:
@@ -132,9 +141,12 @@ class VectorIndex:
         def run(batches):
             for pdf in batches:
                 if len(pdf):
-                    i, j = choose(_distances(np.stack([np.asarray(v, float) for v in pdf["v"]]), centers.value), pdf["least"].to_numpy(float))
-                    if len(i):
-                        yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[i], "v": [pdf["v"].iloc[a] for a in i], "cell": j})
+                    for c in range(0, len(pdf), DEAL):
+                        part = pdf.iloc[c : c + DEAL]
+                        names, v = part["qid"].to_numpy(), part["v"].to_numpy()
+                        i, j = choose(_distances(np.stack([np.asarray(x, float) for x in v]), centers.value), part["least"].to_numpy(float))
+                        for d in range(0, len(i), DEAL):
+                            yield pd.DataFrame({"qid": names[i[d : d + DEAL]], "v": list(v[i[d : d + DEAL]]), "cell": j[d : d + DEAL]})
 
         return queries.mapInPandas(run, f"qid {kind}, v array<double>, cell int")
 
@@ -172,6 +184,82 @@ class VectorIndex:
         key = ["cell", "part", "turn"]
         return q.groupBy(*key).cogroup(v.groupBy(*key)).applyInPandas(meet, f"qid {kind}, id {own}, sim double")
 
+    def _rest(self, queries: DataFrame, k: int, kind: str, few: int, same: bool) -> DataFrame:
+        """qid, id, sim: of queries (qid, v, least) the k best of each slab, from the cells beyond the `few` nearest that
+        may hold a similarity of `least`."""
+        own, sizes, radius = dict(self.table.dtypes)["id"], self.sizes, self.radius
+        parts = np.maximum(1, -(-sizes // SLAB))
+        of = np.cumsum(sizes) // SLAB  # cells of one slab are together; larger cells are in several parts
+        width = int(parts.max())
+        used = sorted({int(a) * width + b for a, n in zip(of, parts) for b in range(n)})
+        number = {a: i for i, a in enumerate(used)}
+        rows = [(c, [number[int(of[c]) * width + b] for b in range(parts[c])]) for c in range(len(sizes)) if sizes[c]]
+        deal = F.broadcast(self.spark.createDataFrame(rows, "cell int, slabs array<int>"))  # MOST_CELLS at most
+        slabs = len(used)
+        n = queries.count()
+        groups = max(1, -(-n // nearby.GROUP), min(-(-n // ROWS), -(-4 * self.spark.sparkContext.defaultParallelism // slabs)))
+        every = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+        none = lambda t: F.lit(None).cast(t)
+        pick = F.get("slabs", F.pmod(F.xxhash64("id"), F.size("slabs")).cast("int"))
+        v = self.table.join(deal, "cell").select(pick.alias("slab"), every(groups).alias("group"), F.lit(False).alias("asks"), "cell", none(kind).alias("qid"), "id", "v", none("double").alias("least"))
+        q = queries.select(every(slabs).alias("slab"), F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("group"), F.lit(True).alias("asks"), F.lit(-1).alias("cell"), "qid", none(own).alias("id"), "v", "least")
+        task = (F.col("group") * slabs + F.col("slab")).cast("int").alias("task")
+        both = v.unionByName(q).select(task, "asks", "cell", "qid", "id", "v", "least").repartitionById(groups * slabs, F.col("task")).sortWithinPartitions("task", "asks", "cell")
+        sent = self.spark.sparkContext.broadcast(self.centers)
+        there = sizes > 0
+        arrow = to_arrow_schema(self.spark.createDataFrame([], f"qid {kind}, id {own}, sim double").schema)
+        column = lambda b, c: b.column(c).to_numpy(zero_copy_only=False)
+
+        def best(slab, names, x, least):
+            """Of one batch of queries and one slab (cell -> Slab)."""
+            d = np.where(there[None], _distances(x, sent.value), np.inf)
+            done = np.argpartition(d, few - 1, axis=1)[:, :few]
+            cells = np.array(sorted(slab))
+            may = 1 - np.maximum(d[:, cells] - radius[None, cells] - 1e-9, 0) ** 2 / 2
+            open_ = (may >= least[:, None] - 1e-9) & ~(done[:, :, None] == cells[None, None]).any(1)
+            found, least = [], least.copy()
+            for c in np.argsort(-may.max(0)):
+                at = np.flatnonzero(open_[:, c] & (may[:, c] >= least - 1e-9))
+                if len(at):
+                    for i, ids, sim in slab[cells[c]].best(names[at], x[at], least[at], 9, same):
+                        found.append((at[i], ids, sim))
+                        # k of one cell are enough to know what is too far in others
+                        n = np.bincount(i, minlength=len(at))
+                        low = np.full(len(at), np.inf)
+                        np.minimum.at(low, i, sim)
+                        least[at] = np.where(n >= k, np.maximum(least[at], low), least[at])
+            if found:
+                i, ids, sim = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((ids, -sim, i))
+                i, ids, sim = i[order], ids[order], sim[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"qid": names[i[keep]], "id": ids[keep], "sim": sim[keep]}), arrow, preserve_index=False)
+
+        def run(batches):
+            at, held, slab = None, [], None
+            for batch in batches:
+                tasks, asks = column(batch, "task"), column(batch, "asks").astype(bool)
+                key = 2 * tasks.astype(np.int64) + asks
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []
+                for a, b in zip(starts, [*starts[1:], len(key)]):
+                    if tasks[a] != at:
+                        at, held, slab = tasks[a], [], None
+                    part = batch.slice(a, b - a)
+                    if not asks[a]:
+                        held.append((column(part, "cell"), column(part, "id"), nearby.vectors(part.column("v"))))
+                        continue
+                    if slab is None:
+                        if not held:
+                            continue
+                        cell, ids, x = (np.concatenate(x) for x in zip(*held))
+                        held, edges = [], np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+                        slab = {int(cell[i]): nearby.Slab(ids[i:j], x[i:j], k) for i, j in zip(edges, edges[1:])}
+                    names, x, least = column(part, "qid"), nearby.vectors(part.column("v")), column(part, "least")
+                    for c in range(0, len(x), ROWS):
+                        yield from best(slab, names[c : c + ROWS], x[c : c + ROWS], least[c : c + ROWS])
+
+        return both.mapInArrow(run, f"qid {kind}, id {own}, sim double")
+
     def near(self, queries: DataFrame, k: int | None = 1, min_sim: float = -1.0, probes: int = PROBES, exact: bool = False, same: bool = False) -> DataFrame:
         """src, dst, sim: of every query (id, embedding) the k most similar vectors (all, for None, which is always exact)
         of min_sim or more. same: a vector with the query's id counts too."""
@@ -193,13 +281,10 @@ class VectorIndex:
             at = np.argpartition(d, few - 1, axis=1)[:, :few]
             return np.repeat(np.arange(len(d)), few), at.reshape(-1)
 
-        def within(d, least, most=None):
+        def within(d, least):
             """Cells that may hold a similarity of `least`: sim <= 1 - distance^2 / 2."""
             bound = 1 - np.maximum(d - radius[None] - 1e-9, 0) ** 2 / 2
-            ok = (bound >= least[:, None] - 1e-9) & there[None]
-            if most is not None:
-                ok[most] = False
-            return np.nonzero(ok)
+            return np.nonzero((bound >= least[:, None] - 1e-9) & there[None])
 
         if not few:
             return self.spark.createDataFrame([], f"src {kind}, dst {dict(self.table.dtypes)['id']}, sim double")
@@ -212,7 +297,6 @@ class VectorIndex:
             found = checkpointed(found)
             kth = found.where(F.col("rn") == k).select("qid", F.col("sim").alias("kth"))
             more = x.join(kth, "qid", "left").select("qid", "v", F.coalesce("kth", F.lit(min_sim)).alias("least"))
-            rest = lambda d, least: within(d, least, (lambda a: (a[0], a[1]))(nearest(d, least)))
-            late = self._scan(checkpointed(self._deal(more, rest, kind)), k, min_sim, kind, same)
+            late = self._rest(checkpointed(more), k, kind, few, same)
             found = best(found.select("qid", "id", "sim").unionByName(late))
         return found.select(F.col("qid").alias("src"), F.col("id").alias("dst"), "sim")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import ScoringParams
 from loomgraph.operators import embedding, evaluation, graph, grid, matching, nearby, paths, topk
+from loomgraph.operators.vectorindex import VectorIndex
 from loomgraph.plans import build
 from loomgraph.sources import store
 
@@ -155,3 +156,22 @@ def test_nearest_gives_few_rows(spark):
     assert "CartesianProduct" not in before.executedPlan().toString() and "NestedLoop" not in before.executedPlan().toString()
     with pytest.raises(Exception, match="differ in length"):
         nearby.nearest(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 3.0])], nodes.schema), nodes, 1, 0.0).collect()
+
+
+def test_exact_search_sends_queries_to_slabs(spark, tmp_path, monkeypatch):
+    """Where every cell may hold something near, a query isn't sent to each: one row for each slab, also of a cell in parts."""
+    from loomgraph.operators import vectorindex
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(300, 24)), np.repeat(rng.normal(size=(2, 24)), 60, axis=0)])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    index = VectorIndex.build(vectors, f"{tmp_path}/i", cells=20)
+    monkeypatch.setattr(vectorindex, "SLAB", 50)
+    dealt, deal = [], VectorIndex._deal
+    monkeypatch.setattr(VectorIndex, "_deal", lambda self, *a: dealt.append(deal(self, *a)) or dealt[-1])
+    got = index.near(vectors, 5, 0.1, probes=2, exact=True).collect()
+    assert sum(d.count() for d in dealt) == 2 * len(x)
+    u = nearby.unit(x)
+    sim = np.round(np.einsum("id,jd->ij", u, u), 9)
+    want = {(i, j) for i in range(len(x)) for s, j in sorted((-sim[i, j], j) for j in range(len(x)) if j != i and sim[i, j] >= 0.1)[:5]}
+    assert len(got) == len(want) and {(r["src"], r["dst"]) for r in got} == want

@@ -7,12 +7,14 @@ on with others. A lane makes at most its share of the quota in any window, and t
 tasks together stay below it, retries included. Nobody sleeps: what can't be called yet waits for a timer. All of this is
 the query's state, so a restart with the same checkpoint goes on at every document's cursor.
 
-Memory: a lane's call times, at most its share; its open groups are rows of the state store.
+Memory: a lane's call times, at most its share, and the numbers of its open groups; their texts are rows of the state store.
 """
 
 from __future__ import annotations
 
+import heapq
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,6 +26,8 @@ from ..operators.workspace import ship
 from . import retry
 
 LANES = 64
+#: Finished groups that are given on at once.
+ROWS = 4096
 OUT = "content_hash string, first_index int, n int, attempt int, error string, payload string"
 
 
@@ -47,35 +51,50 @@ class Lane(StatefulProcessor):
         self.calls = handle.getValueState("calls", "times array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self.stored()
+        documents = dict(stored)
         for pdf in rows:
             for x in pdf.itertuples(index=False):
-                self.groups.updateValue((x.content_hash, int(x.first_index)), (int(x.n), x.text))
-                had = self.documents.getValue((x.content_hash,))
-                if had is None or (x.first_index < had[0] and not had[1]):
-                    self.documents.updateValue((x.content_hash,), (int(x.first_index), 0, 0))
-        yield from self.work(key[0])
+                first = int(x.first_index)
+                self.groups.updateValue((x.content_hash, first), (int(x.n), x.text))
+                had = documents.get(x.content_hash)
+                if had is None or (first < had[0] and not had[1]):
+                    documents[x.content_hash] = (first, 0, 0)
+        yield from self.work(key[0], stored, documents)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.work(key[0])
+        stored = self.stored()
+        yield from self.work(key[0], stored, dict(stored))
 
-    def work(self, lane: int) -> Iterator[pd.DataFrame]:
-        """Call what may be called now, and set a timer for the next time that something may."""
+    def stored(self) -> dict[str, tuple[int, int, int]]:
+        return {h: (cursor, attempt, due) for (h,), (cursor, attempt, due) in self.documents.iterator()}
+
+    def work(self, lane: int, stored: dict[str, tuple[int, int, int]], documents: dict[str, tuple[int, int, int]]) -> Iterator[pd.DataFrame]:
+        """Call what may be called now, and set a timer for the next time that something may. Of documents what differs
+        from stored is written at the end."""
         quota, window = self.quota[lane], int(self.window * 1000) + 1  # times are cut to milliseconds
-        times = list(self.calls.get()[0]) if self.calls.exists() else []
+        # without a quota nobody asks when calls were made
+        times = deque(self.calls.get()[0] if quota and self.calls.exists() else ())
         after: dict[str, list[int]] = {}
         for h, i in self.groups.keys():
             after.setdefault(h, []).append(i)
-        waiting = sorted((due, h, cursor, attempt) for (h,), (cursor, attempt, due) in self.documents.iterator())
-        out, blocked = [], None
+        for left in after.values():
+            left.sort(reverse=True)
+        waiting = [(due, h, cursor, attempt) for h, (cursor, attempt, due) in documents.items()]
+        heapq.heapify(waiting)
+        out, blocked, now = [], None, int(self.clock() * 1000)
         while waiting:
-            due, h, cursor, attempt = waiting.pop(0)
+            due, h, cursor, attempt = waiting[0]
             now = int(self.clock() * 1000)
-            times = [t for t in times if now - t < window]
+            while times and now - times[0] >= window:
+                times.popleft()
             if due > now or (quota and len(times) >= quota):
                 blocked = max(due, now + 1, times[-quota] + window if quota and len(times) >= quota else 0)
                 break
+            heapq.heappop(waiting)
             n, text = self.groups.getValue((h, cursor))
-            times.append(now)
+            if quota:
+                times.append(now)
             payload, error = None, None
             try:
                 payload = self.call(text)
@@ -83,23 +102,37 @@ class Lane(StatefulProcessor):
                 error = f"{type(e).__name__}: {e}"
             if error and retry.retryable(error) and attempt + 1 < self.most:
                 later = int(self.clock() * 1000 + self.wait(attempt + 1) * 1000)
-                self.documents.updateValue((h,), (cursor, attempt + 1, later))
-                waiting = sorted([*waiting, (later, h, cursor, attempt + 1)])
+                documents[h] = (cursor, attempt + 1, later)
+                heapq.heappush(waiting, (later, h, cursor, attempt + 1))
                 continue
             out.append((h, cursor, n, attempt + 1, error, payload))
             self.groups.removeKey((h, cursor))
-            after[h].remove(cursor)
-            if after[h]:
-                self.documents.updateValue((h,), (min(after[h]), 0, 0))
-                waiting.insert(0, (0, h, min(after[h]), 0))
+            left = after[h]
+            left.pop() if left[-1] == cursor else left.remove(cursor)
+            if left:
+                documents[h] = (left[-1], 0, 0)
+                heapq.heappush(waiting, (0, h, left[-1], 0))
             else:
-                self.documents.removeKey((h,))
-        self.calls.update((times,))
+                del documents[h], after[h]
+            if len(out) >= ROWS:
+                yield self.given(out)
+                out = []
+        for h in stored.keys() - documents.keys():
+            self.documents.removeKey((h,))
+        for h, x in documents.items():
+            if stored.get(h) != x:
+                self.documents.updateValue((h,), x)
+        if quota:
+            self.calls.update((list(times),))
         # the timer that woke the lane is still listed
         if blocked is not None and not any(now < t <= blocked for t in self.handle.listTimers()):
             self.handle.registerTimer(blocked)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+            yield self.given(out)
+
+    @staticmethod
+    def given(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     def close(self) -> None:
         pass

@@ -135,3 +135,16 @@ def test_a_restart_goes_on_at_the_cursor(spark, tmp_path):
     for f in log.iterdir():
         tries[f.name.split("-")[0]] += 1
     assert all(n == 1 for k, n in tries.items() if k != "b2") and 2 <= tries["b2"] <= 4
+
+
+def test_work_is_in_proportion_to_the_groups():
+    """Without a quota no call times are kept, and neither is a document's state written that is done in the same batch."""
+    held = Held()
+    lane = lanes.Lane(lambda text: text, [0])
+    lane.init(held)
+    written, put = [], lane.documents.updateValue
+    type(lane.documents).updateValue = staticmethod(lambda k, v: written.append(k) or put(k, v))
+    rows = pd.DataFrame([(f"d{i % 500}", i // 500, 1, f"t{i}") for i in range(20000)], columns=["content_hash", "first_index", "n", "text"])
+    out = pd.concat(lane.handleInputRows((0,), iter([rows]), None))
+    assert len(out) == 20000 and all(list(g) == list(range(40)) for _, g in out.groupby("content_hash")["first_index"])
+    assert not written and not held.values and not held.maps["groups"] and not held.maps["documents"]

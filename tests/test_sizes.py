@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import ScoringParams
-from loomgraph.operators import embedding, evaluation, graph, grid, matching, nearby, paths, topk
+from loomgraph.operators import dynamic, embedding, evaluation, graph, grid, matching, nearby, paths, topk
 from loomgraph.operators.vectorindex import VectorIndex
 from loomgraph.plans import build
 from loomgraph.sources import store
@@ -175,3 +175,14 @@ def test_exact_search_sends_queries_to_slabs(spark, tmp_path, monkeypatch):
     sim = np.round(np.einsum("id,jd->ij", u, u), 9)
     want = {(i, j) for i in range(len(x)) for s, j in sorted((-sim[i, j], j) for j in range(len(x)) if j != i and sim[i, j] >= 0.1)[:5]}
     assert len(got) == len(want) and {(r["src"], r["dst"]) for r in got} == want
+
+
+def test_a_lost_step_meets_only_what_it_is_on_the_way_of(spark, monkeypatch):
+    """A step longer than the way around it is met with no pair, however many end and begin at it."""
+    made = []
+    monkeypatch.setattr(dynamic, "checkpointed", lambda df: made.append(paths.checkpointed(df)) or made[-1])
+    edges = spark.createDataFrame([(0, i, 0.9) for i in range(1, 12)] + [(1, 2, 0.4)], "lo long, hi long, weight double")
+    near = paths.checkpointed(paths.apsp(edges, 1.2, 2))
+    lost = paths.symmetric(edges.where("lo = 1")).withColumn("one", F.lit(1.0))
+    assert dynamic._through(near, lost, "dist", "distance", 1.2).count() == 0 and [df.count() for df in made] == [0]
+    assert {tuple(r) for r in dynamic._through(near, lost, "hops", "one", 2).collect()} == {(1, 2), (2, 1)}

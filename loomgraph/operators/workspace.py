@@ -77,3 +77,13 @@ def placed(rows: DataFrame, *order, name: str = "place") -> DataFrame:
     own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
     out = rows.withColumn("__own", own).join(F.broadcast(starts), "__part")
     return out.withColumn(name, F.col("__start") + F.col("__own") - 1).drop("__part", "__start", "__own")
+
+
+#: Rows that a task of spread() holds, on average.
+SPREAD = 1_000_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to tasks of about SPREAD rows, where `rows` are more than the session's partitions hold at that size."""
+    parts = -(-rows // SPREAD)
+    return df if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *keys)

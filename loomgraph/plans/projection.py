@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import ScoringParams
 from ..operators import graph, matching, paths
+from ..operators.workspace import spread
 
 #: Largest distance that the queries search for.
 CUTOFF = 1.2
@@ -45,7 +46,9 @@ class Tables:
     def have(self) -> DataFrame:
         """Derived once, as terms, paths and candidates all need it."""
         if self._have is None:
-            x = self.orders.join(self.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+            n = self.lineitem.count()  # tasks are as many as the rows ask for, so none grows with the tables
+            x = spread(self.orders, n, "o_orderkey").join(spread(self.lineitem, n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+            x = spread(x, n, "o_custkey")
             w = 0.5 + 0.5 * (F.col("l_quantity").cast("int") % 3)
             self._have = x.groupBy(F.col("o_custkey").alias("cand"), (F.col("l_partkey") % self.n_skills()).alias("skill")).agg(F.max(w).alias("weight")).persist()
         return self._have

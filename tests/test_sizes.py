@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import ScoringParams
-from loomgraph.operators import dynamic, embedding, evaluation, graph, grid, matching, nearby, paths, topk
+from loomgraph.operators import dynamic, embedding, evaluation, graph, grid, matching, nearby, paths, topk, workspace
 from loomgraph.operators.vectorindex import VectorIndex
 from loomgraph.plans import build
 from loomgraph.sources import store
@@ -186,3 +186,12 @@ def test_a_lost_step_meets_only_what_it_is_on_the_way_of(spark, monkeypatch):
     lost = paths.symmetric(edges.where("lo = 1")).withColumn("one", F.lit(1.0))
     assert dynamic._through(near, lost, "dist", "distance", 1.2).count() == 0 and [df.count() for df in made] == [0]
     assert {tuple(r) for r in dynamic._through(near, lost, "hops", "one", 2).collect()} == {(1, 2), (2, 1)}
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    """Partitions that a setting fixes would grow with the tables; small tables stay as they are."""
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k")
+    assert "RepartitionByExpression" not in workspace.spread(df, 1000, "id")._jdf.queryExecution().logical().toString()
+    monkeypatch.setattr(workspace, "SPREAD", 100)
+    got = workspace.spread(df, 1000, "id")
+    assert got.rdd.getNumPartitions() == 10 and got.count() == 1000

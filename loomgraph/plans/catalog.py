@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import documents, evaluation, graph, linking, matching, paths
-from ..operators.workspace import new_folder
+from ..operators.workspace import new_folder, spread
 from . import projection as P
 from .projection import Tables
 
@@ -45,7 +45,9 @@ def r(c, n: int = 6):
 def _taxonomy(t: Tables) -> tuple[DataFrame, DataFrame]:
     soc = F.concat(F.when(F.col("c_nationkey") < 12, "15-").otherwise("17-"), F.col("c_custkey").cast("string"))
     occupations = t.customer.select(soc.alias("soc"), F.col("c_name").alias("title"), F.col("c_custkey"))
-    x = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    n = t.lineitem.count()  # tasks are as many as the rows ask for, so none grows with the tables
+    x = spread(t.orders, n, "o_orderkey").join(spread(t.lineitem, n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    x = spread(spread(x, n, "l_partkey").join(spread(t.part, n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey")), n, "o_custkey")
     skills = x.join(occupations, F.col("o_custkey") == F.col("c_custkey")).select(
         "soc", F.col("p_name").alias("skill"), F.col("p_type").alias("element"),
         F.when(F.col("l_returnflag") == "R", "Y").otherwise("N").alias("hot"), F.when(F.col("l_linestatus") == "O", "Y").otherwise("N").alias("demand"),

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import documents, dynamic, embedding, evaluation, graph, linking, matching, paths, topk
 from ..operators.hublabels import HubLabels
 from ..operators.vectorindex import VectorIndex
-from ..operators.workspace import new_folder
+from ..operators.workspace import new_folder, spread
 from ..sources import datasource, readers
 from ..sources.store import Store, summarise
 from ..streaming import lanes
@@ -41,7 +41,7 @@ def taxonomy_files(t: Tables) -> DataFrame:
     named = {"soc": "O*NET-SOC Code", "skill": "Workplace Example", "element": "Element Name", "hot": "Hot Technology", "demand": "In Demand"}
     out(skills.withColumnsRenamed(named), "Software Skills.txt")
     found = readers.read_taxonomy(t.spark, folder)
-    x = found[1].join(found[0].select("soc").distinct(), "soc")
+    x = spread(found[1].join(found[0].select("soc").distinct(), "soc"), t.lineitem.count(), "soc", "skill")
     return x.groupBy("soc", "skill").agg(F.count("*").alias("n"), F.count_if(F.col("hot") == "Y").alias("hot"))
 
 

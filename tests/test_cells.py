@@ -1,12 +1,14 @@
 """Cells of one block and of several give the same, and give what belongs to a cell once."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scoring import ScoringParams
-from loomgraph.operators import grid, matching, paths
+from loomgraph.operators import grid, matching, paths, workspace
 
 P = ScoringParams(bridge_cutoff=0.9, bridge_credit_scale=2.0, max_bridge_credit=0.9, bridgeable_penalty=0.05, unreachable_penalty=0.1, max_hops=2)
 
@@ -78,3 +80,13 @@ def test_counts_are_given_once_a_cell(spark, made):
     assert b.count() == b.groupBy(F.col("skill"), "via", F.col("n")).count().agg(F.sum("count")).first()[0] <= groups * near.count()
     want = matching.terms(wants, own, near, P).where("bridged").groupBy("skill", "via").agg(F.count("*").alias("n"))
     assert rows(b.groupBy("skill", "via").agg(F.sum("n").alias("n")), "skill", "via", "n") == rows(want, "skill", "via", "n")
+
+
+def test_a_round_of_paths_replaces_the_one_before(spark):
+    """Of the rounds' tables only the last is left on disk."""
+    edges = spark.createDataFrame([(i, i + 1, 0.9) for i in range(8)], "lo long, hi long, weight double")
+    n = len(workspace._OWN)
+    got = paths.apsp(edges)
+    assert got.count() == 72
+    left = [p for _, p in workspace._OWN[n:]]
+    assert len(left) == 2 and len([p for p in left if os.path.exists(p.removeprefix("file:"))]) == 2  # steps, and paths
